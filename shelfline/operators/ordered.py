@@ -25,8 +25,8 @@ def hot_ranges(extents: DataFrame, key: str, chunk_rows: int) -> DataFrame:
     The width spreads a key's rows over about ``rows / chunk_rows`` chunks. As
     sequence numbers are unique, no chunk can hold more rows than its width.
     """
-    parts = F.ceil(F.col("_rows") / chunk_rows)
-    width = F.ceil((F.col("_last") - F.col("_first") + 1) / parts).cast("bigint")
+    parts = f"(_rows + {chunk_rows} - 1) div {chunk_rows}"
+    width = F.expr(f"(_last - _first) div ({parts}) + 1")
     return extents.where(F.col("_rows") > chunk_rows).select(key, "_first", width.alias("_width"))
 
 
@@ -35,7 +35,7 @@ def add_chunk(df: DataFrame, key: str, seq: str, hot: DataFrame) -> DataFrame:
 
     ``hot`` is broadcast: its size is bounded by rows / chunk_rows.
     """
-    chunk = F.floor((F.col(seq) - F.col("_first")) / F.col("_width")).cast("bigint")
+    chunk = F.expr(f"(`{seq}` - _first) div _width")
     return (
         df.join(F.broadcast(hot), key, "left")
         .withColumn("chunk", F.coalesce(chunk, F.lit(0).cast("bigint")))

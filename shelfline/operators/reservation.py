@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -88,7 +87,7 @@ def reserve_stock(products: DataFrame, requests: DataFrame, chunk_rows: int = CH
         (F.col("_opening") + F.sum(_net()).over(so_far)).alias("remaining"),
     )
     replayed = _in_request_order(contended.select(*requests.columns, "chunk", "_opening")).mapInArrow(
-        _replay_rows, T.StructType(requests.schema.fields).add("outcome", T.StringType()).add("remaining", T.LongType())
+        _replay_rows, T.StructType([*requests.schema, T.StructField("outcome", T.StringType()), T.StructField("remaining", T.LongType())])
     )
     return summed.unionByName(replayed).unionByName(refused.withColumn("remaining", F.lit(None).cast("bigint")))
 
@@ -106,8 +105,11 @@ def remaining_stock(products: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def _in_request_order(rows: DataFrame) -> DataFrame:
     """One run of rows per chunk, by ``seq``. The explicit count keeps AQE from merging all into one task."""
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, "product_id", "chunk").sortWithinPartitions("product_id", "chunk", "seq")
+    return rows.repartition(_tasks(rows), "product_id", "chunk").sortWithinPartitions("product_id", "chunk", "seq")
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _hot_openings(chunked: DataFrame, demand: DataFrame, hot: DataFrame, is_contended: Column) -> DataFrame:
@@ -134,12 +136,14 @@ def _settle(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     spans = rows.sparkSession.createDataFrame([], _span_schema(chunks))
     while True:
         known = spans.groupBy("product_id", "chunk").agg(F.collect_list(F.struct("low", "high", "change")).alias("spans"))
-        # One row per chunk, so a product's group holds its rows / chunk_rows.
+        walk = chunks.join(known, ["product_id", "chunk"], "left").select(
+            "product_id", "chunk", "_stock", (F.col("_give") - F.col("_take")).alias("net"), "spans"
+        )
+        # One row per chunk: a product sends its rows / chunk_rows rows to one task.
         walked = durable(
-            chunks.join(known, ["product_id", "chunk"], "left")
-            .select("product_id", "chunk", "_stock", (F.col("_give") - F.col("_take")).alias("net"), "spans")
-            .groupBy("product_id")
-            .applyInPandas(_follow, _walked_schema(chunks))
+            walk.repartition(_tasks(rows), "product_id")
+            .sortWithinPartitions("product_id", "chunk")
+            .mapInArrow(_follow, _walked_schema(chunks))
         )
         still_open = walked.where(~F.col("settled")).select("product_id", "chunk", "_opening")
         if still_open.isEmpty():
@@ -162,19 +166,20 @@ def _walked_schema(chunks: DataFrame) -> str:
     return f"product_id {_key_type(chunks)}, chunk bigint, _opening bigint, settled boolean"
 
 
-def _follow(chunks: pd.DataFrame) -> pd.DataFrame:
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pass the stock from chunk to chunk through the spans that cover it; guess across open chunks."""
-    chunks = chunks.sort_values("chunk")
-    left = int(chunks["_stock"].iloc[0])
-    openings, settled = [], []
-    for net, spans in zip(chunks["net"], chunks["spans"]):
-        openings.append(left)
-        change = next((s["change"] for s in (spans if spans is not None else ()) if s["low"] <= left <= s["high"]), None)
-        settled.append(change is not None)
-        left = left + change if change is not None else max(0, left + int(net))
-    return pd.DataFrame(
-        {"product_id": chunks["product_id"].values, "chunk": chunks["chunk"].values, "_opening": openings, "settled": settled}
-    )
+    product, left = None, 0
+    for batch in batches:
+        openings, settled = [], []
+        for row in batch.to_pylist():
+            if row["product_id"] != product:
+                product, left = row["product_id"], row["_stock"]
+            change = next((s["change"] for s in row["spans"] or () if s["low"] <= left <= s["high"]), None)
+            openings.append(left)
+            settled.append(change is not None)
+            left = left + change if change is not None else max(0, left + row["net"])
+        columns = [batch.column("product_id"), batch.column("chunk"), pa.array(openings, pa.int64()), pa.array(settled, pa.bool_())]
+        yield pa.record_batch(columns, ["product_id", "chunk", "_opening", "settled"])
 
 
 _UNBOUNDED = 2**62

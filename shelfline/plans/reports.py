@@ -125,8 +125,9 @@ def top_customers(orders: DataFrame, as_of: str, days: int = 30, k: int = 5) ->
         .groupBy("customer_id")
         .agg(F.sum("amount").alias("total_spent"), F.count(F.lit(1)).alias("order_count"))
     )
+    placed = F.nullif(F.col("order_count"), F.lit(0).cast("bigint"))
     return (
-        top_k_with_ties(stats, [], ["total_spent"], k, "spend_rank")
+        top_k_with_ties(stats, [], ["total_spent"], k, "spend_rank", row=placed)
         .select(
             "customer_id",
             "total_spent",

@@ -37,7 +37,7 @@ def write_orders_by_month(orders: DataFrame, path: str) -> None:
 
 
 def read_orders_by_month(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    orders = spark.read.schema(T.StructType(ORDERS.fields).add("order_month", T.DateType())).parquet(path)
+    orders = spark.read.schema(T.StructType([*ORDERS, T.StructField("order_month", T.DateType())])).parquet(path)
     if since is not None:
         orders = orders.where(F.col("order_month") >= F.trunc(F.lit(since).cast("date"), "MM"))
     return orders.drop("order_month")

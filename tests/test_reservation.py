@@ -139,3 +139,10 @@ def test_contended_products_keep_several_tasks(spark):
     outcomes = reserve_stock(products, requests).where(F.col("outcome") == "INSUFFICIENT")
     tasks = outcomes.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
     assert tasks > 1
+
+
+def test_same_requests_can_be_replayed_twice(spark):
+    products = spark.createDataFrame([("a", 8)], STOCK)
+    requests = spark.createDataFrame(reserve(5, 4, 3, 1), STOCK_REQUESTS)
+    first, second = (sorted(reserve_stock(products, requests).collect()) for _ in range(2))
+    assert first == second and requests.columns == STOCK_REQUESTS.names
