@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -182,69 +183,77 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, ["product_id", "chunk", "_opening", "settled"])
 
 
+_CODES = (RESERVED, INSUFFICIENT, RELEASED)
 _UNBOUNDED = 2**62
 
 
-class _Run:
-    """Replay of one chunk: the stock left, and how far the opening could shift without changing a decision."""
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], np.ndarray, np.ndarray]]:
+    """Each batch with the rows that open a chunk, the outcome codes, and the stock left after every row.
 
-    def __init__(self, key: tuple, opening: int):
-        self.key, self.opening, self.left = key, opening, opening
-        self.down = self.up = _UNBOUNDED
-
-    def step(self, op: str, quantity: int) -> str:
-        if op == "RELEASE":
-            self.left += quantity
-            return RELEASED
-        if quantity > self.left:
-            self.up = min(self.up, quantity - self.left - 1)
-            return INSUFFICIENT
-        self.left -= quantity
-        self.down = min(self.down, self.left)
-        return RESERVED
-
-    def span(self) -> tuple:
-        return (*self.key, self.opening - self.down, self.opening + self.up, self.left - self.opening)
-
-
-def _steps(batch: pa.RecordBatch, run: _Run | None) -> Iterator[tuple[_Run, bool, str]]:
-    """Feed a batch to the running replay, which starts anew whenever the chunk changes."""
-    columns = ("product_id", "chunk", "_opening", "op", "quantity")
-    for product, chunk, opening, op, quantity in zip(*[batch.column(name).to_pylist() for name in columns]):
-        fresh = run is None or run.key != (product, chunk)
-        if fresh:
-            run = _Run((product, chunk), opening)
-        yield run, fresh, run.step(op, quantity)
+    The stock carries over from batch to batch, so memory holds one batch
+    however long a chunk is.
+    """
+    product = chunk = None
+    left = 0
+    for batch in batches:
+        opened, codes, remaining = [], [], []
+        columns = [batch.column(name).to_pylist() for name in ("product_id", "chunk", "_opening", "op", "quantity")]
+        for row_product, row_chunk, opening, op, quantity in zip(*columns):
+            if row_chunk != chunk or row_product != product:
+                product, chunk, left = row_product, row_chunk, opening
+                opened.append(len(codes))
+            if op == "RELEASE":
+                left += quantity
+                codes.append(2)
+            elif quantity > left:
+                codes.append(1)
+            else:
+                left -= quantity
+                codes.append(0)
+            remaining.append(left)
+        yield batch, opened, np.array(codes, np.int8), np.array(remaining, np.int64)
 
 
 def _replay_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    run = None
-    for batch in batches:
-        outcomes, remaining = [], []
-        for run, _, outcome in _steps(batch, run):
-            outcomes.append(outcome)
-            remaining.append(run.left)
+    for batch, _, codes, remaining in _replay(batches):
         result = batch.drop_columns(["chunk", "_opening"])
-        result = result.append_column("outcome", pa.array(outcomes, pa.string()))
-        yield result.append_column("remaining", pa.array(remaining, pa.int64()))
+        outcomes = pa.DictionaryArray.from_arrays(pa.array(codes), pa.array(_CODES)).cast(pa.string())
+        yield result.append_column("outcome", outcomes).append_column("remaining", pa.array(remaining))
 
 
 def _replay_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per chunk: by how much its opening may shift before a decision changes, and its change of stock."""
     run, kind = None, None
-    for batch in batches:
+    for batch, opened, codes, remaining in _replay(batches):
+        if not len(codes):
+            continue
         kind = batch.schema.field("product_id").type
-        ended, previous = [], run
-        for run, fresh, _ in _steps(batch, run):
-            if fresh and previous is not None:
-                ended.append(previous)
-            previous = run
+        quantity = batch.column("quantity").to_numpy(zero_copy_only=False)
+        starts = opened if opened[:1] == [0] else [0, *opened]
+        # An accepted request allows less stock down to nothing left, a refused one more up to just short of it.
+        down = np.minimum.reduceat(np.where(codes == 0, remaining, _UNBOUNDED), starts)
+        up = np.minimum.reduceat(np.where(codes == 1, quantity - remaining - 1, _UNBOUNDED), starts)
+        ended = []
+        for n, (start, stop) in enumerate(zip(starts, [*starts[1:], len(codes)])):
+            if n or starts is opened:
+                if run is not None:
+                    ended.append(run)
+                run = {name: batch.column(name)[start].as_py() for name in ("product_id", "chunk", "_opening")}
+                run["down"] = run["up"] = _UNBOUNDED
+            run["down"], run["up"] = min(run["down"], int(down[n])), min(run["up"], int(up[n]))
+            run["left"] = int(remaining[stop - 1])
         yield _spans(ended, kind)
     if run is not None:
         yield _spans([run], kind)
 
 
-def _spans(runs: list[_Run], kind: pa.DataType) -> pa.RecordBatch:
-    columns = list(zip(*[run.span() for run in runs])) or [()] * 5
-    names = ["product_id", "chunk", "low", "high", "change"]
-    types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.record_batch([pa.array(values, type) for values, type in zip(columns, types)], names)
+def _spans(runs: list[dict], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.record_batch(
+        {
+            "product_id": pa.array([r["product_id"] for r in runs], kind),
+            "chunk": pa.array([r["chunk"] for r in runs], pa.int64()),
+            "low": pa.array([r["_opening"] - r["down"] for r in runs], pa.int64()),
+            "high": pa.array([r["_opening"] + r["up"] for r in runs], pa.int64()),
+            "change": pa.array([r["left"] - r["_opening"] for r in runs], pa.int64()),
+        }
+    )
