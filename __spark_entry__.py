@@ -264,6 +264,11 @@ def update_products(t: StarSchema) -> DataFrame:
     return updated.select("id", "name", "description", "price", "stock", "category")
 
 
+@query
+def stock_adjustments(t: StarSchema) -> DataFrame:
+    return catalog.stock_adjustments(t.products(), catalog.update_products(t.products(), t.update_requests()).accepted)
+
+
 @query
 def update_rejects(t: StarSchema) -> DataFrame:
     return joined(catalog.update_products(t.products(), t.update_requests()).rejects.select("request_id", "id", "reasons"))

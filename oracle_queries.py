@@ -283,6 +283,11 @@ SELECT p.id, coalesce(u.name, p.name) AS name, coalesce(u.description, p.descrip
        CAST(CASE WHEN u.id IS NULL THEN p.price ELSE round_even(u.price, 2) END AS DOUBLE) AS price,
        CAST(coalesce(u.stock, p.stock) AS INT) AS stock, coalesce(u.category, p.category) AS category
 FROM products p LEFT JOIN latest u ON u.id = p.id""",
+    "stock_adjustments": f"""WITH {PRODUCTS}, {UPDATE_REQUESTS}, latest AS (
+  SELECT * FROM requests WHERE stock >= 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY request_id DESC) = 1)
+SELECT p.id, CASE WHEN u.stock > p.stock THEN 'INCREASE' ELSE 'DECREASE' END AS direction,
+       CAST(abs(u.stock - p.stock) AS INT) AS units
+FROM products p JOIN latest u ON u.id = p.id WHERE u.stock <> p.stock""",
     "update_rejects": f"""WITH {UPDATE_REQUESTS}
 SELECT request_id, id, CASE WHEN stock < 0 THEN 'Stock cannot be negative' ELSE 'Product not found' END AS reasons
 FROM requests WHERE stock < 0 OR id NOT IN (SELECT p_partkey FROM part)""",

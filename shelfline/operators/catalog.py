@@ -62,7 +62,7 @@ def delete_products(products: DataFrame, requests: DataFrame) -> Split:
     The first request for an id deletes it, so a repeated one finds nothing.
     The first is found by aggregation, not by ordering all requests of an id.
     """
-    kept = products.join(requests.select("id"), "id", "left_anti").select(products.columns)
+    kept = products.join(requests.select("id").distinct(), "id", "left_anti").select(products.columns)
     first = requests.groupBy("id").agg(F.min(F.struct("seq", "request_id")).alias("_first"))
     effective = first.join(products.select("id"), "id", "left_semi").select("id", "_first")
     rejects = (
@@ -72,3 +72,14 @@ def delete_products(products: DataFrame, requests: DataFrame) -> Split:
         .withColumn("reasons", F.array(F.lit(NOT_FOUND)))
     )
     return Split(kept, rejects)
+
+
+def stock_adjustments(before: DataFrame, after: DataFrame) -> DataFrame:
+    """How far an update moved each product's stock: ``direction`` and the absolute ``units``."""
+    moved = F.col("_after") - F.col("stock")
+    return (
+        before.select("id", "stock")
+        .join(after.select("id", F.col("stock").alias("_after")), "id")
+        .where(moved != 0)
+        .select("id", F.when(moved > 0, "INCREASE").otherwise("DECREASE").alias("direction"), F.abs(moved).alias("units"))
+    )

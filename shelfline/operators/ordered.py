@@ -30,14 +30,14 @@ def hot_ranges(extents: DataFrame, key: str, chunk_rows: int) -> DataFrame:
     return extents.where(F.col("_rows") > chunk_rows).select(key, "_first", width.alias("_width"))
 
 
-def add_chunk(df: DataFrame, key: str, seq: str, hot: DataFrame) -> DataFrame:
-    """Number the chunk of every row; 0 for keys that are not cut.
+def add_chunk(df: DataFrame, key: str, seq: str, hot: DataFrame, only_cut: bool = False) -> DataFrame:
+    """Number the chunk of every row; 0 for keys that are not cut, or no row for them with ``only_cut``.
 
     ``hot`` is broadcast: its size is bounded by rows / chunk_rows.
     """
     chunk = F.expr(f"(`{seq}` - _first) div _width")
     return (
-        df.join(F.broadcast(hot), key, "left")
+        df.join(F.broadcast(hot), key, "inner" if only_cut else "left")
         .withColumn("chunk", F.coalesce(chunk, F.lit(0).cast("bigint")))
         .drop("_first", "_width")
     )
@@ -54,8 +54,7 @@ def with_previous(df: DataFrame, key: str, seq: str, value: str, name: str, chun
     chunked = add_chunk(df, key, seq, hot)
     within = Window.partitionBy(key, "chunk").orderBy(seq)
     edges = (
-        add_chunk(df.select(key, seq, value), key, seq, hot)
-        .join(F.broadcast(hot.select(key)), key, "left_semi")
+        add_chunk(df.select(key, seq, value), key, seq, hot, only_cut=True)
         .groupBy(key, "chunk")
         .agg(F.max_by(F.struct(value), F.col(seq)).alias("_edge"))
     )

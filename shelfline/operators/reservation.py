@@ -75,7 +75,8 @@ def reserve_stock(products: DataFrame, requests: DataFrame, chunk_rows: int = CH
         chunked, openings = valid.withColumn("chunk", F.lit(0).cast("bigint")), one_chunk
     else:
         chunked = add_chunk(valid, "product_id", "seq", hot)
-        openings = one_chunk.unionByName(_hot_openings(chunked, demand, hot, is_contended))
+        cut = add_chunk(valid, "product_id", "seq", hot, only_cut=True)
+        openings = one_chunk.unionByName(_hot_openings(cut, demand, is_contended))
 
     unknown = F.col("_opening").isNull()
     at_rest = chunked.join(openings.where(unknown | ~F.col("_contended")), ["product_id", "chunk"])
@@ -113,9 +114,8 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _hot_openings(chunked: DataFrame, demand: DataFrame, hot: DataFrame, is_contended: Column) -> DataFrame:
-    """Opening stock of every chunk of the cut products."""
-    rows = chunked.join(F.broadcast(hot.select("product_id")), "product_id", "left_semi")
+def _hot_openings(rows: DataFrame, demand: DataFrame, is_contended: Column) -> DataFrame:
+    """Opening stock of every chunk of the cut products, given their rows."""
     totals = rows.groupBy("product_id", "chunk").agg(F.sum(_units("RESERVE")).alias("_take"), F.sum(_units("RELEASE")).alias("_give"))
     product = demand.select("product_id", "_stock", is_contended.alias("_contended"))
     chunks = durable(totals.join(product, "product_id"))
