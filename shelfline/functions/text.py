@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Plain JSON only: no single quotes, no NaN or Infinity.
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
+# Control and Unicode spaces, line and paragraph ends, and the byte order mark.
+WHITESPACE = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 
 def is_blank(value: Column) -> Column:
     """Null, empty, or nothing but control characters and spaces."""
@@ -33,12 +38,26 @@ def is_uuid(value: Column) -> Column:
     return value.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sole_json_value(value: Column) -> Column:
     """The JSON value in ``value``, or null if it is malformed or followed by anything.
 
     ``from_json`` stops after the first value. Wrapping the text in an array
     whose second element is a known number makes leftovers visible.
     """
-    mark = F.length(value).cast("string")
-    wrapped = F.from_json(F.concat(F.lit("["), value, F.lit(","), mark, F.lit("]")), "array<string>", STRICT_JSON)
-    return F.when((F.size(wrapped) == 2) & (F.get(wrapped, F.lit(1)) == mark), F.get(wrapped, F.lit(0)))
+
+    def unwrap(text: Column) -> Column:
+        mark = F.length(text).cast("string")
+        wrapped = F.from_json(F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]")), "array<string>", STRICT_JSON)
+        return once(wrapped, lambda w: F.when((F.size(w) == 2) & (F.get(w, F.lit(1)) == mark), F.get(w, F.lit(0))))
+
+    return once(value, unwrap)
+
+
+def trim_whitespace(value: Column) -> Column:
+    """Drop whitespace of any kind, line ends included, from both ends."""
+    return F.btrim(value, F.lit(WHITESPACE))

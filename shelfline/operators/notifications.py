@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfline.functions.rules import Split, broken_rules, notify_request_rules
-from shelfline.functions.text import STRICT_JSON, is_empty, sole_json_value, utf16_length
+from shelfline.functions.text import STRICT_JSON, is_empty, once, sole_json_value, trim_whitespace, utf16_length
 
 # Channels in order, and how many characters of the message each previews.
 CHANNELS = ("email", "sms", "push", "slack")
@@ -98,19 +101,18 @@ def parse_replies(replies: DataFrame) -> Split:
     ``channel_unlisted`` flag replies that ignored the instructions.
     """
     unfenced = F.regexp_replace(F.regexp_replace("reply", "```json\n?", ""), "```\n?", "")
-    cleaned = F.regexp_replace(unfenced, r"^\s+|\s+$", "")
-    fields = F.from_json(sole_json_value(cleaned), "subject string, body string, channel string", STRICT_JSON)
-    parsed = replies.withColumn("_fields", fields)
-    usable = F.lit(True)
-    for name in ("subject", "body", "channel"):
-        usable = usable & ~is_empty(F.col(f"_fields.{name}"))
-    parsed = parsed.withColumn("_usable", F.coalesce(usable, F.lit(False)))
+    names = ("subject", "body", "channel")
+    read = F.from_json(
+        sole_json_value(trim_whitespace(unfenced)), ", ".join(f"{name} string" for name in names), STRICT_JSON
+    )
+    complete = once(read, lambda f: F.when(~reduce(or_, [is_empty(f[name]) for name in names]), f))
+    parsed = replies.withColumn("_fields", complete)
     excerpt = F.concat(F.lit("non-JSON response: "), F.substring("reply", 1, 100), F.lit("..."))
     accepted = (
-        parsed.where("_usable")
+        parsed.where(F.col("_fields").isNotNull())
         .select(*replies.columns, "_fields.subject", "_fields.body", "_fields.channel")
         .withColumn("subject_too_long", utf16_length(F.col("subject")) > SUBJECT_CHARS)
         .withColumn("channel_unlisted", ~F.col("channel").isin(*REPLY_CHANNELS))
     )
-    rejects = parsed.where(~F.col("_usable")).drop("_fields", "_usable").withColumn("reasons", F.array(excerpt))
+    rejects = parsed.where(F.col("_fields").isNull()).drop("_fields").withColumn("reasons", F.array(excerpt))
     return Split(accepted, rejects)
