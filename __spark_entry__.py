@@ -397,6 +397,8 @@ def product_events(t: StarSchema) -> DataFrame:
         F.get_json_object("payload", "$.name").alias("name"),
         F.get_json_object("payload", "$.price.amount").cast("double").alias("price"),
         F.get_json_object("payload", "$.stock.quantity").cast("int").alias("stock"),
+        F.get_json_object("payload", "$.lowStock").alias("low_stock"),
+        F.get_json_object("payload", "$.createdAt").alias("created_at"),
     )
 
 

@@ -340,7 +340,8 @@ SELECT 'create-' || request_id AS request_id, 400 AS status, reasons AS message
 UNION ALL
 SELECT 'delete-' || request_id, 404, reasons FROM delete_rejects""",
     "product_events": f"""WITH {PRODUCTS}
-SELECT 'PRODUCT_CREATED' AS "eventType", CAST(id AS VARCHAR) AS "entityId", name, CAST(price AS DOUBLE) AS price, stock
+SELECT 'PRODUCT_CREATED' AS "eventType", CAST(id AS VARCHAR) AS "entityId", name, CAST(price AS DOUBLE) AS price, stock,
+       CAST(stock < 10 AS VARCHAR) AS low_stock, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS created_at
 FROM products""",
     "order_placed_events": f'WITH {SALES} SELECT id AS "orderId", customer_id AS "customerId", status FROM sales',
     "routed_events": ROUTED,

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shelfline.functions.text import STRICT_JSON
+from shelfline.operators.filters import LOW_STOCK
 from shelfline.schemas import EVENT_TYPES
 
 # Fixed value: failed deliveries after which a message goes to the dead letters.
 MAX_ATTEMPTS = 5
 
+_WRITTEN = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 _ENVELOPE = "eventType string, entityId string, payload string, malformed string"
 
 
@@ -27,18 +29,19 @@ def product_events(products: DataFrame, event_type: str) -> DataFrame:
             "name",
             "description",
             F.struct(F.col("price").alias("amount"), "currency").alias("price"),
-            F.struct(F.col("stock").alias("quantity")).alias("stock"),
+            F.struct(F.col("stock").alias("quantity"), (F.col("stock") == 0).alias("empty")).alias("stock"),
             "category",
             F.col("created_at").alias("createdAt"),
+            (F.col("stock") < LOW_STOCK).alias("lowStock"),
         )
     )
     envelope = F.struct(F.lit(event_type).alias("eventType"), F.col("id").alias("entityId"), payload.alias("payload"))
-    return products.select(F.to_json(envelope, {"ignoreNullFields": "false"}).alias("message"))
+    return products.select(F.to_json(envelope, _WRITTEN).alias("message"))
 
 
 def order_placed_events(orders: DataFrame) -> DataFrame:
     placed = F.struct(F.col("id").alias("orderId"), F.col("customer_id").alias("customerId"), "status")
-    return orders.select(F.to_json(placed, {"ignoreNullFields": "false"}).alias("message"))
+    return orders.select(F.to_json(placed, _WRITTEN).alias("message"))
 
 
 def parse_events(raw: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Raw product-event messages: one row per delivery, ``message_id`` and ``raw`` JSON text."""
+"""Message streams: raw product events (``message_id`` and ``raw`` JSON text per delivery) and stock requests."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfline.schemas import RAW_EVENTS
+from shelfline.schemas import RAW_EVENTS, STOCK_REQUESTS
 
 
 def read_product_events(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -16,6 +16,15 @@ def read_product_events(spark: SparkSession, path: str, max_files_per_trigger: i
     )
 
 
+def read_stock_requests(spark: SparkSession, path: str, max_files_per_trigger: int = 100) -> DataFrame:
+    """Stream of stock requests, admitting few enough files that one product's share of a micro-batch fits a task."""
+    return (
+        spark.readStream.schema(STOCK_REQUESTS)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .parquet(path)
+    )
+
+
 def read_product_events_kafka(
     spark: SparkSession, servers: str, topic: str, max_offsets_per_trigger: int = 10_000_000
 ) -> DataFrame:

@@ -31,7 +31,8 @@ def test_product_event_envelope(spark):
     made = json.loads(events.product_events(catalog, "PRODUCT_CREATED").first().message)
     assert (made["eventType"], made["entityId"]) == ("PRODUCT_CREATED", "a")
     payload = made["payload"]
-    assert payload["price"] == {"amount": 10.0, "currency": "USD"} and payload["stock"] == {"quantity": 3}
+    assert payload["price"] == {"amount": 10.0, "currency": "USD"} and payload["stock"] == {"quantity": 3, "empty": False}
+    assert payload["lowStock"] is True and payload["createdAt"] == "2024-01-01T00:00:00.000000Z"
     gone = json.loads(events.product_events(catalog, "PRODUCT_DELETED").first().message)
     assert gone == {"eventType": "PRODUCT_DELETED", "entityId": "a", "payload": None}
 

@@ -6,7 +6,7 @@ from shelfline.operators.events import dead_letter, event_outcome_counts, order_
 from shelfline.operators.notifications import order_confirmations
 from shelfline.operators.reservation import reserve_stock
 from shelfline.schemas import ORDERS, RAW_EVENTS, STOCK_REQUESTS
-from shelfline.sources.events import read_product_events
+from shelfline.sources.events import read_product_events, read_stock_requests
 from shelfline.streaming.fanout import post_order_fanout
 from shelfline.streaming.reservation import reserve_stock_stream
 from shelfline.streaming.routing import dead_letter_stream, routed_sinks
@@ -87,7 +87,7 @@ def test_reservation_stream_equals_batch(spark, tmp_path):
     batch = spark.createDataFrame(requests, STOCK_REQUESTS)
     for low in range(0, 300, 100):  # file order is request order
         batch.where(F.col("seq").between(low, low + 99)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(STOCK_REQUESTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream = read_stock_requests(spark, f"{tmp_path}/in", max_files_per_trigger=1)
     writer = reserve_stock_stream(stream, products).writeStream.format("parquet")
     finish(writer.option("checkpointLocation", f"{tmp_path}/progress"), path=f"{tmp_path}/out")
     columns = ["request_id", "outcome", "remaining"]
