@@ -482,6 +482,14 @@ def reserved_stock_stream(t: StarSchema) -> DataFrame:
     return t.spark.read.schema(outcomes.schema).parquet(f"{path}/out")
 
 
+@query
+def reserved_stock_batches(t: StarSchema) -> DataFrame:
+    path = work_folder(t.spark, "batches")
+    live = StarSchema(t.spark, t.folder, streaming=True)
+    _finish(stock_stream.reserve_stock_batches(live.stock_requests(), t.products(), f"{path}/out", f"{path}/progress"), path)
+    return t.spark.read.parquet(f"{path}/out/outcomes").drop("batch_id")
+
+
 @query
 def routed_events_stream(t: StarSchema) -> DataFrame:
     path = work_folder(t.spark, "routed")

@@ -307,6 +307,7 @@ FROM lines""",
     "reserved_stock": RESERVED_STOCK,
     "reserved_stock_split": RESERVED_STOCK,
     "reserved_stock_stream": RESERVED_STOCK,
+    "reserved_stock_batches": RESERVED_STOCK,
     "stock_after_reservation": f"{STOCK_WALK} SELECT id, stock FROM final_stock",
     "price_orders": f"""WITH {SALES}
 SELECT id, product_id, quantity, CAST({UNIT_TOTAL} AS DOUBLE) AS amount FROM sales""",

@@ -6,9 +6,19 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from shelfline.operators.reservation import INSUFFICIENT, INVALID_OPERATION, INVALID_QUANTITY, RELEASED, RESERVED
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+
+from shelfline.operators.ordered import CHUNK_ROWS
+from shelfline.operators.reservation import (
+    INSUFFICIENT,
+    INVALID_OPERATION,
+    INVALID_QUANTITY,
+    RELEASED,
+    RESERVED,
+    remaining_stock,
+    reserve_stock,
+)
+from shelfline.session import durable
 from shelfline.streaming.state import use_rocksdb
 
 SYNCED = "SYNCED"
@@ -62,7 +72,8 @@ def reserve_stock_stream(requests: DataFrame, products: DataFrame) -> DataFrame:
     Counters start from the product table; a SYNC request overwrites one with
     its ``quantity``. A product's requests of one micro-batch are sorted in
     its task, so bound the batch at the source (``maxFilesPerTrigger``,
-    ``maxOffsetsPerTrigger``). The batch operator has no such limit.
+    ``maxOffsetsPerTrigger``). For large batches with hot products use
+    :func:`reserve_stock_batches`, which splits them.
     """
     use_rocksdb(requests.sparkSession)
     kind = requests.schema["product_id"].dataType.simpleString()
@@ -82,3 +93,26 @@ def reserve_stock_stream(requests: DataFrame, products: DataFrame) -> DataFrame:
             initialState=initial.groupBy("product_id"),
         )
     )
+
+
+def reserve_stock_batches(
+    requests: DataFrame, products: DataFrame, out: str, checkpoint: str, chunk_rows: int = CHUNK_ROWS
+) -> DataStreamWriter:
+    """Run the batch operator on every micro-batch, hot products cut into chunks.
+
+    Batch ``n`` reads the stock left by batch ``n - 1`` and owns the folders
+    ``outcomes/batch_id=n`` and ``stock/batch_id=n`` under ``out``, which it
+    replaces when it is run again. It writes the whole (id, stock) table each
+    time, so it suits large batches; the counter state suits small ones.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = products.select("id", "stock")
+        if batch_id > 0:
+            before = spark.read.schema(before.schema).parquet(f"{out}/stock/batch_id={batch_id - 1}")
+        outcomes = durable(reserve_stock(before, batch, chunk_rows))
+        outcomes.write.mode("overwrite").parquet(f"{out}/outcomes/batch_id={batch_id}")
+        remaining_stock(before, outcomes).write.mode("overwrite").parquet(f"{out}/stock/batch_id={batch_id}")
+
+    return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from shelfline.operators.events import dead_letter, event_outcome_counts, order_placed_events, parse_events, route_events
 from shelfline.operators.notifications import order_confirmations
-from shelfline.operators.reservation import reserve_stock
+from shelfline.operators.reservation import remaining_stock, reserve_stock
 from shelfline.schemas import ORDERS, RAW_EVENTS, STOCK_REQUESTS
 from shelfline.sources.events import read_product_events, read_stock_requests
 from shelfline.streaming.fanout import post_order_fanout
-from shelfline.streaming.reservation import reserve_stock_stream
+from shelfline.streaming.reservation import reserve_stock_batches, reserve_stock_stream
 from shelfline.streaming.routing import dead_letter_stream, routed_sinks
 
 MESSAGES = [
@@ -77,7 +77,7 @@ def test_dead_letters_across_micro_batches(spark, tmp_path):
     assert got == rows(expected) == [("m8", 5)]
 
 
-def test_reservation_stream_equals_batch(spark, tmp_path):
+def reservation_case(spark, tmp_path):
     rng = random.Random(3)
     requests = [
         (f"r{seq}", seq, rng.choice(["hot", "hot", "b", "missing"]), rng.randint(0, 6), rng.choice(["RESERVE", "RESERVE", "RELEASE"]))
@@ -87,12 +87,27 @@ def test_reservation_stream_equals_batch(spark, tmp_path):
     batch = spark.createDataFrame(requests, STOCK_REQUESTS)
     for low in range(0, 300, 100):  # file order is request order
         batch.where(F.col("seq").between(low, low + 99)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = read_stock_requests(spark, f"{tmp_path}/in", max_files_per_trigger=1)
+    return products, batch, read_stock_requests(spark, f"{tmp_path}/in", max_files_per_trigger=1)
+
+
+OUTCOME = ["request_id", "outcome", "remaining"]
+
+
+def test_reservation_stream_equals_batch(spark, tmp_path):
+    products, batch, stream = reservation_case(spark, tmp_path)
     writer = reserve_stock_stream(stream, products).writeStream.format("parquet")
     finish(writer.option("checkpointLocation", f"{tmp_path}/progress"), path=f"{tmp_path}/out")
-    columns = ["request_id", "outcome", "remaining"]
     got = spark.read.schema("request_id string, outcome string, remaining bigint").parquet(f"{tmp_path}/out")
-    assert rows(got.select(columns)) == rows(reserve_stock(products, batch).select(columns))
+    assert rows(got.select(OUTCOME)) == rows(reserve_stock(products, batch).select(OUTCOME))
+
+
+def test_reservation_batches_equal_batch(spark, tmp_path):
+    products, batch, stream = reservation_case(spark, tmp_path)
+    finish(reserve_stock_batches(stream, products, f"{tmp_path}/out", f"{tmp_path}/progress", chunk_rows=15))
+    outcomes = reserve_stock(products, batch)
+    assert rows(spark.read.parquet(f"{tmp_path}/out/outcomes").select(OUTCOME)) == rows(outcomes.select(OUTCOME))
+    left = spark.read.parquet(f"{tmp_path}/out/stock/batch_id=2")
+    assert rows(left) == rows(remaining_stock(products, outcomes))
 
 
 def test_sync_overwrites_the_counter(spark, tmp_path):
