@@ -10,13 +10,16 @@ facts keep this parallel:
   ``chunk_rows`` requests is cut into chunks that replay side by side from
   guessed opening stocks. A replay also reports for which openings its
   decisions hold, so a wrong guess often settles the chunk all the same;
-  the chunks it does not settle are replayed from their corrected opening.
-  The first open chunk of a product always has its exact opening, so every
-  round settles at least one chunk per product, and the result is exact.
+  chunks it does not settle replay again from their corrected opening. The
+  first open chunk of a product always has its exact opening and hands its
+  stock on to the chunks after it: one more in the first round, and twice as
+  many in every further one. So the rounds end after about log2(chunks) even
+  if no guess ever helps, and the result is exact.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,9 +108,10 @@ def remaining_stock(products: DataFrame, outcomes: DataFrame) -> DataFrame:
     return products.join(moved, "id", "left").withColumn("stock", stock).select(products.columns)
 
 
-def _in_request_order(rows: DataFrame) -> DataFrame:
-    """One run of rows per chunk, by ``seq``. The explicit count keeps AQE from merging all into one task."""
-    return rows.repartition(_tasks(rows), "product_id", "chunk").sortWithinPartitions("product_id", "chunk", "seq")
+def _in_request_order(rows: DataFrame, run: str = "chunk") -> DataFrame:
+    """Each run of chunks in one task, by ``seq``. The explicit count keeps AQE from merging all into one task."""
+    keys = dict.fromkeys(["product_id", run, "chunk"])
+    return rows.repartition(_tasks(rows), "product_id", run).sortWithinPartitions(*keys, "seq")
 
 
 def _tasks(df: DataFrame) -> int:
@@ -133,23 +137,24 @@ def _hot_openings(rows: DataFrame, demand: DataFrame, is_contended: Column) -> D
 
 
 def _settle(rows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Exact opening of every chunk: replay open chunks, then follow the known pieces, until none is open."""
+    """Exact opening of every chunk: follow the known spans, replay what they leave open, until nothing is."""
     spans = rows.sparkSession.createDataFrame([], _span_schema(chunks))
-    while True:
+    for round in itertools.count():
         known = spans.groupBy("product_id", "chunk").agg(F.collect_list(F.struct("low", "high", "change")).alias("spans"))
         walk = chunks.join(known, ["product_id", "chunk"], "left").select(
             "product_id", "chunk", "_stock", (F.col("_give") - F.col("_take")).alias("net"), "spans"
         )
+        lead = 2**round
         # One row per chunk: a product sends its rows / chunk_rows rows to one task.
         walked = durable(
             walk.repartition(_tasks(rows), "product_id")
             .sortWithinPartitions("product_id", "chunk")
-            .mapInArrow(_follow, _walked_schema(chunks))
+            .mapInArrow(lambda batches, lead=lead: _follow(batches, lead), _walked_schema(chunks))
         )
-        still_open = walked.where(~F.col("settled")).select("product_id", "chunk", "_opening")
-        if still_open.isEmpty():
+        to_replay = walked.where(F.col("run").isNotNull()).select("product_id", "chunk", "run", "_opening")
+        if to_replay.isEmpty():
             return walked.select("product_id", "chunk", "_opening")
-        fresh = _in_request_order(rows.join(F.broadcast(still_open), ["product_id", "chunk"])).mapInArrow(
+        fresh = _in_request_order(rows.join(F.broadcast(to_replay), ["product_id", "chunk"]), "run").mapInArrow(
             _replay_spans, _span_schema(chunks)
         )
         spans = durable(spans.unionByName(fresh))
@@ -164,44 +169,61 @@ def _span_schema(chunks: DataFrame) -> str:
 
 
 def _walked_schema(chunks: DataFrame) -> str:
-    return f"product_id {_key_type(chunks)}, chunk bigint, _opening bigint, settled boolean"
+    return f"product_id {_key_type(chunks)}, chunk bigint, _opening bigint, run bigint"
 
 
-def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass the stock from chunk to chunk through the spans that cover it; guess across open chunks."""
-    product, left = None, 0
+def _follow(batches: Iterator[pa.RecordBatch], lead: int) -> Iterator[pa.RecordBatch]:
+    """Pass the stock from chunk to chunk through the spans that cover it; guess across open chunks.
+
+    Chunks with a ``run`` need a replay. A product's first open chunk and the
+    ``lead - 1`` after it form one run, in which only the first has an
+    opening and the others take over what is left.
+    """
+    product, left, led = None, 0, None
     for batch in batches:
-        openings, settled = [], []
+        openings, runs = [], []
         for row in batch.to_pylist():
             if row["product_id"] != product:
-                product, left = row["product_id"], row["_stock"]
+                product, left, led = row["product_id"], row["_stock"], None
             change = next((s["change"] for s in row["spans"] or () if s["low"] <= left <= s["high"]), None)
-            openings.append(left)
-            settled.append(change is not None)
+            if led is None and change is None:
+                led = [row["chunk"], lead]
+                openings.append(left)
+                runs.append(row["chunk"])
+            elif led and led[1] > 1:
+                led[1] -= 1
+                openings.append(None)
+                runs.append(led[0])
+            else:
+                openings.append(left)
+                runs.append(row["chunk"] if change is None else None)
             left = left + change if change is not None else max(0, left + row["net"])
-        columns = [batch.column("product_id"), batch.column("chunk"), pa.array(openings, pa.int64()), pa.array(settled, pa.bool_())]
-        yield pa.record_batch(columns, ["product_id", "chunk", "_opening", "settled"])
+        columns = [batch.column("product_id"), batch.column("chunk"), pa.array(openings, pa.int64()), pa.array(runs, pa.int64())]
+        yield pa.record_batch(columns, ["product_id", "chunk", "_opening", "run"])
 
 
 _CODES = (RESERVED, INSUFFICIENT, RELEASED)
 _UNBOUNDED = 2**62
 
 
-def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], np.ndarray, np.ndarray]]:
-    """Each batch with the rows that open a chunk, the outcome codes, and the stock left after every row.
+def _replay(
+    batches: Iterator[pa.RecordBatch],
+) -> Iterator[tuple[pa.RecordBatch, dict[int, int], np.ndarray, np.ndarray]]:
+    """Each batch with the rows that open a chunk and the stock there, the outcome codes, and the stock after every row.
 
     The stock carries over from batch to batch, so memory holds one batch
-    however long a chunk is.
+    however long a chunk is, and into a chunk without an opening of its own.
     """
     product = chunk = None
     left = 0
     for batch in batches:
-        opened, codes, remaining = [], [], []
+        opened, codes, remaining = {}, [], []
         columns = [batch.column(name).to_pylist() for name in ("product_id", "chunk", "_opening", "op", "quantity")]
         for row_product, row_chunk, opening, op, quantity in zip(*columns):
             if row_chunk != chunk or row_product != product:
-                product, chunk, left = row_product, row_chunk, opening
-                opened.append(len(codes))
+                product, chunk = row_product, row_chunk
+                left = left if opening is None else opening
+                opened[len(codes)] = left
             if op == "RELEASE":
                 left += quantity
                 codes.append(2)
@@ -222,38 +244,37 @@ def _replay_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _replay_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk: by how much its opening may shift before a decision changes, and its change of stock."""
-    run, kind = None, None
+    """One row per chunk: between which openings its decisions stay the same, and its change of stock."""
+    chunk, kind = None, None
     for batch, opened, codes, remaining in _replay(batches):
         if not len(codes):
             continue
         kind = batch.schema.field("product_id").type
         quantity = batch.column("quantity").to_numpy(zero_copy_only=False)
-        starts = opened if opened[:1] == [0] else [0, *opened]
+        starts = list(dict.fromkeys([0, *opened]))
         # An accepted request allows less stock down to nothing left, a refused one more up to just short of it.
         down = np.minimum.reduceat(np.where(codes == 0, remaining, _UNBOUNDED), starts)
         up = np.minimum.reduceat(np.where(codes == 1, quantity - remaining - 1, _UNBOUNDED), starts)
         ended = []
-        for n, (start, stop) in enumerate(zip(starts, [*starts[1:], len(codes)])):
-            if n or starts is opened:
-                if run is not None:
-                    ended.append(run)
-                run = {name: batch.column(name)[start].as_py() for name in ("product_id", "chunk", "_opening")}
-                run["down"] = run["up"] = _UNBOUNDED
-            run["down"], run["up"] = min(run["down"], int(down[n])), min(run["up"], int(up[n]))
-            run["left"] = int(remaining[stop - 1])
+        for start, stop, less, more in zip(starts, [*starts[1:], len(codes)], down.tolist(), up.tolist()):
+            if start in opened:
+                if chunk is not None:
+                    ended.append(chunk)
+                chunk = {name: batch.column(name)[start].as_py() for name in ("product_id", "chunk")}
+                chunk.update(opening=opened[start], down=_UNBOUNDED, up=_UNBOUNDED)
+            chunk.update(down=min(chunk["down"], less), up=min(chunk["up"], more), left=int(remaining[stop - 1]))
         yield _spans(ended, kind)
-    if run is not None:
-        yield _spans([run], kind)
+    if chunk is not None:
+        yield _spans([chunk], kind)
 
 
-def _spans(runs: list[dict], kind: pa.DataType) -> pa.RecordBatch:
+def _spans(chunks: list[dict], kind: pa.DataType) -> pa.RecordBatch:
     return pa.record_batch(
         {
-            "product_id": pa.array([r["product_id"] for r in runs], kind),
-            "chunk": pa.array([r["chunk"] for r in runs], pa.int64()),
-            "low": pa.array([r["_opening"] - r["down"] for r in runs], pa.int64()),
-            "high": pa.array([r["_opening"] + r["up"] for r in runs], pa.int64()),
-            "change": pa.array([r["left"] - r["_opening"] for r in runs], pa.int64()),
+            "product_id": pa.array([c["product_id"] for c in chunks], kind),
+            "chunk": pa.array([c["chunk"] for c in chunks], pa.int64()),
+            "low": pa.array([c["opening"] - c["down"] for c in chunks], pa.int64()),
+            "high": pa.array([c["opening"] + c["up"] for c in chunks], pa.int64()),
+            "change": pa.array([c["left"] - c["opening"] for c in chunks], pa.int64()),
         }
     )

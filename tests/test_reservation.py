@@ -111,6 +111,22 @@ def test_cut_product_with_hard_guesses(spark, quantities):
     assert got == want and left == want_left
 
 
+def test_guesses_that_never_help_still_end_soon(spark, monkeypatch):
+    """Wide quantities: two different stocks practically never meet again."""
+    from shelfline.operators import reservation
+
+    follow, rounds = reservation.durable, []
+    monkeypatch.setattr(reservation, "durable", lambda df: rounds.append("run" in df.columns) or follow(df))
+    rng = random.Random(4)
+    requests = [
+        (f"r{seq}", seq, "a", rng.randint(1, 10**6), "RELEASE" if rng.random() < 0.4 else "RESERVE") for seq in range(1000)
+    ]
+    want, want_left = sequential({"a": 10**6}, requests)
+    got, left = run(spark, {"a": 10**6}, requests, chunk_rows=20)
+    assert got == want and left == want_left
+    assert sum(rounds) <= 7  # 50 chunks
+
+
 def test_sparse_and_clustered_sequence_numbers(spark):
     rng = random.Random(9)
     seqs = sorted({rng.randrange(10) * 10**9 + rng.randrange(200) for _ in range(400)})
