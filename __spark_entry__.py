@@ -451,8 +451,7 @@ def order_confirmations(t: StarSchema) -> DataFrame:
 def notification_prompts(t: StarSchema) -> DataFrame:
     parsed = events.parse_events(t.event_messages()).where(~F.col("malformed"))
     audience = F.when(F.col("event_id") % 3 == 0, "premium VIP customer")
-    kept = parsed.withColumn("payload", F.when(F.col("payload").isNotNull(), "{}"))
-    return notifications.notification_prompts(kept, audience).select("event_id", "prompt")
+    return notifications.notification_prompts(parsed, audience).select("event_id", "prompt")
 
 
 @query

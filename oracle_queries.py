@@ -77,7 +77,7 @@ MESSAGES = """messages AS (
          CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN 'PRODUCT_CREATED' WHEN 'click' THEN 'PRODUCT_UPDATED'
               WHEN 'purchase' THEN 'PRODUCT_DELETED' ELSE 'PRODUCT_VIEWED' END AS "eventType",
          CASE WHEN event_type <> 'error' THEN CAST(event_id AS VARCHAR) END AS "entityId",
-         event_type NOT IN ('error', 'purchase') AS has_payload,
+         CASE WHEN event_type NOT IN ('error', 'purchase') THEN '{"price":' || value || '}' END AS payload,
          CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'unknown' ELSE 'handled' END AS outcome
   FROM events)"""
 
@@ -374,7 +374,7 @@ SELECT event_id, 'Event: ' || "eventType" || chr(10)
           WHEN 'PRODUCT_UPDATED' THEN 'An existing product has been updated (price, description, or stock).'
           WHEN 'PRODUCT_DELETED' THEN 'A product has been removed from the catalog.'
           ELSE 'Event type: ' || "eventType" END
-  || CASE WHEN has_payload THEN chr(10) || 'Product details: {{}}' ELSE '' END || chr(10)
+  || CASE WHEN payload IS NOT NULL THEN chr(10) || 'Product details: ' || payload ELSE '' END || chr(10)
   || 'Target audience: ' || CASE WHEN event_id % 3 = 0 THEN 'premium VIP customer' ELSE 'general customer' END
   || chr(10) || chr(10) || 'Generate an appropriate notification for this event.' AS prompt
 FROM messages WHERE outcome <> 'failed'""",

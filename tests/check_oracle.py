@@ -39,10 +39,20 @@ def normal(columns, rows):
     return [columns[i] for i in order], sorted((tuple(_value(r[i]) for i in order) for r in rows), key=repr)
 
 
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz", "DATE": "date", "BOOLEAN": "boolean"}
+
+
+def kinds_differ(df, relation):
+    want = {d[0]: KINDS.get(str(d[1]), str(d[1])) for d in relation.description}
+    return {name: (kind, want[name]) for name, kind in df.dtypes if want[name] != kind}
+
+
 def compare(spark, con, run, sql, folder):
     df = run(spark, folder)
     got = normal(df.columns, [tuple(r) for r in df.collect()])
     relation = con.execute(sql)
+    if set(df.columns) == {d[0] for d in relation.description} and kinds_differ(df, relation):
+        return f"types {kinds_differ(df, relation)}", len(got[1])
     want = normal([d[0] for d in relation.description], relation.fetchall())
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}", len(got[1])
