@@ -12,9 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from shelfline.schemas import MONEY
 
 
-def _utc(column: str) -> Column:
-    """Stored times carry no zone; they are UTC."""
-    return F.col(column).cast("timestamp")
+# Stored times carry no zone and are UTC; reading them as instants keeps date filters in the scan.
+TABLES = {
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp,"
+        " o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+        " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+        " l_shipdate timestamp"
+    ),
+    "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
 @dataclass(frozen=True)
@@ -25,11 +37,10 @@ class StarSchema:
 
     def table(self, name: str) -> DataFrame:
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
-        stored = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        if not self.streaming:
-            return stored
-        files = self.spark.readStream.schema(stored.schema).option("pathGlobFilter", f"{name}.parquet")
-        return files.parquet(self.folder)
+        if self.streaming:
+            files = self.spark.readStream.schema(TABLES[name]).option("pathGlobFilter", f"{name}.parquet")
+            return files.parquet(self.folder)
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def products(self) -> DataFrame:
         return self.table("part").select(
@@ -61,7 +72,7 @@ class StarSchema:
                 F.lit("USD").alias("currency"),
                 self._status().alias("status"),
                 F.lit(None).cast("string").alias("payment_ref"),
-                _utc("o_orderdate").alias("created_at"),
+                F.col("o_orderdate").alias("created_at"),
                 F.lit(0).cast("bigint").alias("version"),
             )
         )
@@ -73,7 +84,7 @@ class StarSchema:
             F.col("o_custkey").alias("customer_id"),
             F.col("o_totalprice").cast(MONEY).alias("amount"),
             self._status().alias("status"),
-            _utc("o_orderdate").alias("created_at"),
+            F.col("o_orderdate").alias("created_at"),
         )
 
     def _events(self) -> DataFrame:
