@@ -380,7 +380,9 @@ def error_status(t: StarSchema) -> DataFrame:
         F.concat(F.lit("create-"), F.col("request_id")).alias("request_id"), "reasons", F.lit("INVALID").alias("kind")
     )
     missing = catalog.delete_products(t.products(), t.delete_requests()).rejects.select(
-        F.concat(F.lit("delete-"), F.col("request_id").cast("string")).alias("request_id"), "reasons", F.lit("NOT_FOUND").alias("kind")
+        F.concat(F.lit("delete-"), F.col("request_id").cast("string")).alias("request_id"),
+        "reasons",
+        F.lit("NOT_FOUND").alias("kind"),
     )
     return ordering.error_status(refused.unionByName(missing)).select("request_id", "status", "message")
 
@@ -523,8 +525,9 @@ def post_order_fanout(t: StarSchema) -> DataFrame:
     for running in fanout.post_order_fanout(orders, f"{path}/out", f"{path}/progress").values():
         running.awaitTermination()
     mails = t.spark.read.parquet(f"{path}/out/confirmations")
-    sent = t.spark.read.parquet(f"{path}/out/events").select(F.get_json_object("message", "$.orderId").alias("order_id"), F.get_json_object("message", "$.status").alias("status"))
-    return mails.join(sent, "order_id").select("order_id", "recipient", "total", "status")
+    fields = F.from_json("message", "orderId string, status string")
+    sent = t.spark.read.parquet(f"{path}/out/events").select(fields.alias("f")).select("f.*")
+    return mails.join(sent, F.col("order_id") == F.col("orderId")).select("order_id", "recipient", "total", "status")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shelfline.operators.ordered import CHUNK_ROWS, add_chunk, hot_ranges, key_extents
-from shelfline.session import durable
+from shelfline.session import durable, written
 
 RESERVED = "RESERVED"
 RELEASED = "RELEASED"
@@ -41,6 +41,10 @@ def _units(op: str) -> Column:
     return F.when(F.col("op") == op, F.col("quantity")).otherwise(F.lit(0)).cast("bigint")
 
 
+def _moves() -> tuple[Column, Column]:
+    return F.sum(_units("RESERVE")).alias("_take"), F.sum(_units("RELEASE")).alias("_give")
+
+
 def _net() -> Column:
     return _units("RELEASE") - _units("RESERVE")
 
@@ -64,18 +68,15 @@ def reserve_stock(products: DataFrame, requests: DataFrame, chunk_rows: int = CH
     valid = requests.where(refusal.isNull())
 
     stock = products.select(F.col("id").alias("product_id"), F.col("stock").cast("bigint").alias("_stock"))
-    demand = durable(
-        key_extents(valid, "product_id", "seq", F.sum(_units("RESERVE")).alias("_take"), F.sum(_units("RELEASE")).alias("_give")).join(
-            stock, "product_id", "left"
-        )
-    )
+    demand = durable(key_extents(valid, "product_id", "seq", *_moves()).join(stock, "product_id", "left"))
     is_contended = F.col("_take") > F.col("_stock")
     hot = hot_ranges(demand, "product_id", chunk_rows)
+    chunk_zero = F.lit(0).cast("bigint").alias("chunk")
     one_chunk = demand.where(F.col("_rows") <= chunk_rows).select(
-        "product_id", F.lit(0).cast("bigint").alias("chunk"), F.col("_stock").alias("_opening"), is_contended.alias("_contended")
+        "product_id", chunk_zero, F.col("_stock").alias("_opening"), is_contended.alias("_contended")
     )
     if hot.isEmpty():
-        chunked, openings = valid.withColumn("chunk", F.lit(0).cast("bigint")), one_chunk
+        chunked, openings = valid.select("*", chunk_zero), one_chunk
     else:
         chunked = add_chunk(valid, "product_id", "seq", hot)
         cut = add_chunk(valid, "product_id", "seq", hot, only_cut=True)
@@ -91,8 +92,9 @@ def reserve_stock(products: DataFrame, requests: DataFrame, chunk_rows: int = CH
         F.when(F.col("op") == "RELEASE", RELEASED).when(unknown, INSUFFICIENT).otherwise(RESERVED).alias("outcome"),
         (F.col("_opening") + F.sum(_net()).over(so_far)).alias("remaining"),
     )
+    decided = [T.StructField("outcome", T.StringType()), T.StructField("remaining", T.LongType())]
     replayed = _in_request_order(contended.select(*requests.columns, "chunk", "_opening")).mapInArrow(
-        _replay_rows, T.StructType([*requests.schema, T.StructField("outcome", T.StringType()), T.StructField("remaining", T.LongType())])
+        _replay_rows, T.StructType([*requests.schema, *decided])
     )
     return summed.unionByName(replayed).unionByName(refused.withColumn("remaining", F.lit(None).cast("bigint")))
 
@@ -120,7 +122,7 @@ def _tasks(df: DataFrame) -> int:
 
 def _hot_openings(rows: DataFrame, demand: DataFrame, is_contended: Column) -> DataFrame:
     """Opening stock of every chunk of the cut products, given their rows."""
-    totals = rows.groupBy("product_id", "chunk").agg(F.sum(_units("RESERVE")).alias("_take"), F.sum(_units("RELEASE")).alias("_give"))
+    totals = rows.groupBy("product_id", "chunk").agg(*_moves())
     product = demand.select("product_id", "_stock", is_contended.alias("_contended"))
     chunks = durable(totals.join(product, "product_id"))
 
@@ -132,19 +134,25 @@ def _hot_openings(rows: DataFrame, demand: DataFrame, is_contended: Column) -> D
     contended = chunks.where(F.col("_contended"))
     if contended.isEmpty():
         return calm
-    settled = _settle(rows, contended).withColumn("_contended", F.lit(True))
+    replayable = written(
+        rows.join(F.broadcast(contended.select("product_id").distinct()), "product_id", "left_semi").select(
+            "product_id", "chunk", "seq", "op", "quantity"
+        ),
+        "contended",
+    )
+    settled = _settle(replayable, contended).withColumn("_contended", F.lit(True))
     return calm.unionByName(settled)
 
 
 def _settle(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """Exact opening of every chunk: follow the known spans, replay what they leave open, until nothing is."""
     spans = rows.sparkSession.createDataFrame([], _span_schema(chunks))
-    for round in itertools.count():
+    for attempt in itertools.count():
         known = spans.groupBy("product_id", "chunk").agg(F.collect_list(F.struct("low", "high", "change")).alias("spans"))
         walk = chunks.join(known, ["product_id", "chunk"], "left").select(
             "product_id", "chunk", "_stock", (F.col("_give") - F.col("_take")).alias("net"), "spans"
         )
-        lead = 2**round
+        lead = 2**attempt
         # One row per chunk: a product sends its rows / chunk_rows rows to one task.
         walked = durable(
             walk.repartition(_tasks(rows), "product_id")

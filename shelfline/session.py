@@ -53,3 +53,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables and stream progress, beside the checkpoints."""
     _ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table beside the checkpoints, for results that several later jobs scan."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from shelfline.schemas import MONEY
 
 
+EXACT = "decimal(38,10)"
+
 # Stored times carry no zone and are UTC; reading them as instants keeps date filters in the scan.
 TABLES = {
     "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
@@ -56,7 +58,9 @@ class StarSchema:
         )
 
     def _status(self) -> Column:
-        return F.when(F.col("o_orderstatus") == "F", "CONFIRMED").when(F.col("o_orderstatus") == "O", "PENDING").otherwise("FAILED")
+        # Nested and null-safe, so that a test for CONFIRMED folds to a plain comparison the scan can use.
+        others = F.when(F.col("o_orderstatus") == "O", "PENDING").otherwise("FAILED")
+        return F.when(F.col("o_orderstatus").eqNullSafe("F"), "CONFIRMED").otherwise(others)
 
     def orders(self) -> DataFrame:
         """One row per order line. The id is the order's, so it repeats."""
@@ -126,7 +130,7 @@ class StarSchema:
             key.alias("seq"),
             F.when(key % 7 == 0, "").otherwise(F.col("p_name")).alias("name"),
             F.when(key % 11 != 0, F.col("p_brand")).alias("description"),
-            (F.col("p_retailprice").cast("decimal(19,2)") - 910 + F.lit("0.005").cast("decimal(4,3)")).cast("decimal(38,10)").alias("price"),
+            (F.col("p_retailprice").cast(MONEY) - 910 + F.lit("0.005").cast("decimal(4,3)")).cast(EXACT).alias("price"),
             (F.col("p_size") - 3).alias("stock"),
             F.when(key % 13 == 0, "X").otherwise(F.col("p_type")).alias("category"),
         )
@@ -140,7 +144,7 @@ class StarSchema:
             (F.col("o_custkey") * 2).alias("id"),
             F.concat(F.lit("Item "), F.col("o_orderpriority")).alias("name"),
             F.col("o_orderpriority").alias("description"),
-            (F.col("o_totalprice").cast("decimal(19,2)") * F.lit("0.125").cast("decimal(4,3)")).cast("decimal(38,10)").alias("price"),
+            (F.col("o_totalprice").cast(MONEY) * F.lit("0.125").cast("decimal(4,3)")).cast(EXACT).alias("price"),
             (key % 100 - 5).cast("int").alias("stock"),
             F.concat(F.lit("C"), F.col("o_orderstatus")).alias("category"),
         )

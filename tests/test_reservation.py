@@ -1,6 +1,8 @@
 import random
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from shelfline.operators.reservation import remaining_stock, reserve_stock
@@ -162,3 +164,54 @@ def test_same_requests_can_be_replayed_twice(spark):
     requests = spark.createDataFrame(reserve(5, 4, 3, 1), STOCK_REQUESTS)
     first, second = (sorted(reserve_stock(products, requests).collect()) for _ in range(2))
     assert first == second and requests.columns == STOCK_REQUESTS.names
+
+
+def test_runs_survive_small_arrow_batches(spark):
+    """One product holds half of the rows, and its runs span many batches."""
+    rng = random.Random(8)
+    requests = [
+        (f"r{s}", s, rng.choice(["hot", "hot", "b", "c"]), rng.randint(1, 9), "RELEASE" if rng.random() < 0.3 else "RESERVE")
+        for s in range(1500)
+    ]
+    stock = {"hot": 90, "b": 20, "c": 0}
+    want, want_left = sequential(stock, requests)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "17")
+    try:
+        for chunk_rows in (1_000_000, 100):
+            got, left = run(spark, stock, requests, chunk_rows=chunk_rows)
+            assert got == want and left == want_left
+    finally:
+        spark.conf.set(name, before)
+
+
+def arrow(opening, requests, sizes):
+    columns = {
+        "product_id": ["a"] * len(requests), "chunk": [0] * len(requests), "_opening": [opening] * len(requests),
+        "op": [op for op, _ in requests], "quantity": [q for _, q in requests],
+    }
+    return iter(pa.Table.from_pydict(columns).to_batches(max_chunksize=sizes))
+
+
+REQUESTS = st.lists(st.tuples(st.sampled_from(["RESERVE", "RESERVE", "RELEASE"]), st.integers(1, 12)), min_size=1, max_size=30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(REQUESTS, st.integers(0, 40), st.integers(0, 60), st.integers(1, 7))
+def test_span_holds_for_every_opening_inside_it(requests, opening, other, sizes):
+    from shelfline.operators.reservation import _replay, _replay_spans
+
+    def replay(start):
+        batches = list(_replay(arrow(start, requests, sizes)))
+        return [c for _, _, codes, _ in batches for c in codes.tolist()], int(batches[-1][3][-1])
+
+    spans = [row for batch in _replay_spans(arrow(opening, requests, sizes)) for row in batch.to_pylist()]
+    assert len(spans) == 1
+    codes, left = replay(opening)
+    assert spans[0]["low"] <= opening <= spans[0]["high"] and left == opening + spans[0]["change"] and left >= 0
+    other_codes, other_left = replay(other)
+    inside = spans[0]["low"] <= other <= spans[0]["high"]
+    assert inside == (codes == other_codes)
+    if inside:
+        assert other_left == other + spans[0]["change"]
