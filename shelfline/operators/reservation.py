@@ -153,9 +153,9 @@ def _settle(rows: DataFrame, chunks: DataFrame) -> DataFrame:
             "product_id", "chunk", "_stock", (F.col("_give") - F.col("_take")).alias("net"), "spans"
         )
         lead = 2**attempt
-        # One row per chunk: a product sends its rows / chunk_rows rows to one task.
+        # One row per chunk: a product sends its rows / chunk_rows rows to one task, and AQE picks the few tasks needed.
         walked = durable(
-            walk.repartition(_tasks(rows), "product_id")
+            walk.repartition("product_id")
             .sortWithinPartitions("product_id", "chunk")
             .mapInArrow(lambda batches, lead=lead: _follow(batches, lead), _walked_schema(chunks))
         )
