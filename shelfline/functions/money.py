@@ -23,9 +23,18 @@ def mean(total: Column, count: Column) -> Column:
 
 
 def percent_change(current: Column, previous: Column) -> Column:
-    """Growth over ``previous`` in percent; null when there is nothing to compare with."""
+    """Growth over ``previous`` in percent, half away from zero; null when there is nothing to compare with.
+
+    Whole hundredths of a percent are divided out exactly. A plain decimal
+    quotient of two wide sums keeps only a few digits, so it would round twice.
+    """
     base = F.coalesce(previous, F.lit(0).cast(WIDE_MONEY))
-    return half_up((current - base) / F.nullif(base, F.lit(0).cast(WIDE_MONEY)) * 100)
+    change = current - base
+    size = F.nullif(F.abs(base), F.lit(0).cast(WIDE_MONEY))
+    doubled, twice = F.abs(change) * 20_000 + size, size * 2
+    hundredths = ((doubled - doubled % twice) / twice).cast("decimal(30,0)")
+    percent = (hundredths * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(32,2)")
+    return F.when((change < 0) != (base < 0), -percent).otherwise(percent)
 
 
 def money_error(

@@ -72,10 +72,19 @@ def test_trend_without_confirmed_orders_is_empty(spark):
     assert tuples(reports.monthly_revenue_trend(orders(spark, [("u", "a", 1, "1.00", "FAILED", "2024-01-01")]))) == []
 
 
-def test_growth_rounds_half_away_from_zero(spark):
-    sales = orders(spark, [("u", "a", 1, "8000.00", "CONFIRMED", "2024-01-01"), ("u", "a", 1, "7989.80", "CONFIRMED", "2024-02-01")])
-    # -10.20 / 8000 = -0.1275 %
-    assert tuples(reports.monthly_revenue_trend(sales), "growth_pct")[1] == (D("-0.13"),)
+@pytest.mark.parametrize(
+    "before,after,growth",
+    [
+        ("8000.00", "7989.80", "-0.13"),  # -0.1275
+        ("8000.00", "8010.20", "0.13"),
+        ("131160992.57", "134302243.05", "2.39"),  # 2.394958: rounding it at four digits first would give 2.40
+        ("0.01", "99999999999999.99", "999999999999999800.00"),
+        ("3.00", "3.00", "0.00"),
+    ],
+)
+def test_growth_rounds_once_half_away_from_zero(spark, before, after, growth):
+    sales = orders(spark, [("u", "a", 1, before, "CONFIRMED", "2024-01-01"), ("u", "a", 1, after, "CONFIRMED", "2024-02-01")])
+    assert tuples(reports.monthly_revenue_trend(sales), "growth_pct")[1] == (D(growth),)
 
 
 def test_customer_summary(spark):
