@@ -110,6 +110,27 @@ def test_reservation_batches_equal_batch(spark, tmp_path):
     assert rows(left) == rows(remaining_stock(products, outcomes))
 
 
+def test_streams_resume_where_they_stopped(spark, tmp_path):
+    """Counters and dead-letter counts outlive a stopped query."""
+    products = spark.createDataFrame([("a", 10)], "id string, stock int")
+
+    def reserve(n):
+        row = spark.createDataFrame([(f"r{n}", n, "a", 4, "RESERVE")], STOCK_REQUESTS)
+        row.coalesce(1).write.mode("append").parquet(f"{tmp_path}/requests")
+        spark.createDataFrame([("m", "{")] * 3, RAW_EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/raw")
+        outcomes = reserve_stock_stream(read_stock_requests(spark, f"{tmp_path}/requests"), products)
+        finish(outcomes.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/p1"), path=f"{tmp_path}/outcomes")
+        letters = dead_letter_stream(read_product_events(spark, f"{tmp_path}/raw"))
+        finish(letters.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/p2"), path=f"{tmp_path}/letters")
+
+    for n in range(3):
+        reserve(n)
+    outcomes = spark.read.schema("request_id string, outcome string, remaining bigint").parquet(f"{tmp_path}/outcomes")
+    assert rows(outcomes) == [("r0", "RESERVED", 6), ("r1", "RESERVED", 2), ("r2", "INSUFFICIENT", 2)]
+    letters = spark.read.schema("message_id string, attempts bigint").parquet(f"{tmp_path}/letters")
+    assert rows(letters) == [("m", 6)]
+
+
 def test_sync_overwrites_the_counter(spark, tmp_path):
     requests = [("r1", 1, "a", 5, "RESERVE"), ("r2", 2, "a", 7, "SYNC"), ("r3", 3, "a", 5, "RESERVE"), ("r4", 4, "n", 2, "SYNC"), ("r5", 5, "n", 2, "RESERVE")]
     spark.createDataFrame(requests, STOCK_REQUESTS).coalesce(1).write.parquet(f"{tmp_path}/in")
