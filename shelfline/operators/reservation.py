@@ -93,7 +93,7 @@ def reserve_stock(products: DataFrame, requests: DataFrame, chunk_rows: int = CH
         (F.col("_opening") + F.sum(_net()).over(so_far)).alias("remaining"),
     )
     decided = [T.StructField("outcome", T.StringType()), T.StructField("remaining", T.LongType())]
-    replayed = _in_request_order(contended.select(*requests.columns, "chunk", "_opening")).mapInArrow(
+    replayed = _in_request_order(contended.select(*requests.columns, "chunk", "_opening", _net().alias("_move"))).mapInArrow(
         _replay_rows, T.StructType([*requests.schema, *decided])
     )
     return summed.unionByName(replayed).unionByName(refused.withColumn("remaining", F.lit(None).cast("bigint")))
@@ -136,7 +136,7 @@ def _hot_openings(rows: DataFrame, demand: DataFrame, is_contended: Column) -> D
         return calm
     replayable = written(
         rows.join(F.broadcast(contended.select("product_id").distinct()), "product_id", "left_semi").select(
-            "product_id", "chunk", "seq", "op", "quantity"
+            "product_id", "chunk", "seq", _net().alias("_move")
         ),
         "contended",
     )
@@ -222,31 +222,41 @@ def _replay(
     The stock carries over from batch to batch, so memory holds one batch
     however long a chunk is, and into a chunk without an opening of its own.
     """
-    product = chunk = None
-    left = 0
+    key, left = None, 0
     for batch in batches:
-        opened, codes, remaining = {}, [], []
-        columns = [batch.column(name).to_pylist() for name in ("product_id", "chunk", "_opening", "op", "quantity")]
-        for row_product, row_chunk, opening, op, quantity in zip(*columns):
-            if row_chunk != chunk or row_product != product:
-                product, chunk = row_product, row_chunk
-                left = left if opening is None else opening
-                opened[len(codes)] = left
-            if op == "RELEASE":
-                left += quantity
-                codes.append(2)
-            elif quantity > left:
-                codes.append(1)
-            else:
-                left -= quantity
-                codes.append(0)
-            remaining.append(left)
-        yield batch, opened, np.array(codes, np.int8), np.array(remaining, np.int64)
+        product, chunk, opening = (batch.column(name) for name in ("product_id", "chunk", "_opening"))
+        move = batch.column("_move").to_numpy()
+        moves = move.tolist()
+        opened, remaining, previous = {}, [], []
+        for start, stop in _segments(product, chunk):
+            here = (product[start].as_py(), chunk[start].as_py())
+            if here != key:
+                key = here
+                left = opening[start].as_py() if opening[start].is_valid else left
+                opened[start] = left
+            previous.append(left)
+            for units in moves[start:stop]:
+                if left + units >= 0:
+                    left += units
+                remaining.append(left)
+            previous.extend(remaining[start : stop - 1])
+        after = np.array(remaining, np.int64)
+        refused = after == np.array(previous, np.int64)
+        yield batch, opened, np.where(move > 0, 2, np.where(refused, 1, 0)).astype(np.int8), after
+
+
+def _segments(product: pa.Array, chunk: pa.Array) -> list[tuple[int, int]]:
+    """Stretches of rows of one chunk of one product."""
+    if not len(chunk):
+        return []
+    moved = np.diff(product.dictionary_encode().indices.to_numpy()) | np.diff(chunk.to_numpy())
+    starts = [0, *(np.flatnonzero(moved) + 1).tolist()]
+    return list(zip(starts, [*starts[1:], len(chunk)]))
 
 
 def _replay_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, _, codes, remaining in _replay(batches):
-        result = batch.drop_columns(["chunk", "_opening"])
+        result = batch.drop_columns(["chunk", "_opening", "_move"])
         outcomes = pa.DictionaryArray.from_arrays(pa.array(codes), pa.array(_CODES)).cast(pa.string())
         yield result.append_column("outcome", outcomes).append_column("remaining", pa.array(remaining))
 
@@ -258,11 +268,11 @@ def _replay_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not len(codes):
             continue
         kind = batch.schema.field("product_id").type
-        quantity = batch.column("quantity").to_numpy(zero_copy_only=False)
+        wanted = -batch.column("_move").to_numpy()
         starts = list(dict.fromkeys([0, *opened]))
         # An accepted request allows less stock down to nothing left, a refused one more up to just short of it.
         down = np.minimum.reduceat(np.where(codes == 0, remaining, _UNBOUNDED), starts)
-        up = np.minimum.reduceat(np.where(codes == 1, quantity - remaining - 1, _UNBOUNDED), starts)
+        up = np.minimum.reduceat(np.where(codes == 1, wanted - remaining - 1, _UNBOUNDED), starts)
         ended = []
         for start, stop, less, more in zip(starts, [*starts[1:], len(codes)], down.tolist(), up.tolist()):
             if start in opened:

@@ -189,7 +189,7 @@ def test_runs_survive_small_arrow_batches(spark):
 def arrow(opening, requests, sizes):
     columns = {
         "product_id": ["a"] * len(requests), "chunk": [0] * len(requests), "_opening": [opening] * len(requests),
-        "op": [op for op, _ in requests], "quantity": [q for _, q in requests],
+        "_move": [q if op == "RELEASE" else -q for op, q in requests],
     }
     return iter(pa.Table.from_pydict(columns).to_batches(max_chunksize=sizes))
 
