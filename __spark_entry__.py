@@ -424,6 +424,11 @@ def product_event_outcomes(t: StarSchema) -> DataFrame:
     return events.event_outcome_counts(_routed(t))
 
 
+@query
+def delivery_counters(t: StarSchema) -> DataFrame:
+    return events.delivery_counters(_routed(t))
+
+
 @query
 def dead_letter(t: StarSchema) -> DataFrame:
     return events.dead_letter(_routed(t).where("outcome = 'failed'"))

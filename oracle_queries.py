@@ -349,6 +349,11 @@ FROM products""",
     "routed_events_stream": ROUTED,
     "product_event_outcomes": OUTCOMES,
     "product_event_outcomes_stream": OUTCOMES,
+    "delivery_counters": f"""WITH {MESSAGES}, per_message AS (
+  SELECT message_id, count(*) AS n, count(*) FILTER (WHERE outcome = 'failed') AS bad FROM messages GROUP BY message_id)
+SELECT CAST(sum(n) AS BIGINT) AS processed, CAST(sum(n - bad) AS BIGINT) AS acked, CAST(sum(bad) AS BIGINT) AS nacked,
+       count(*) FILTER (WHERE bad >= 5) AS dead_lettered
+FROM per_message""",
     "dead_letter": DEAD_LETTERS,
     "dead_letter_stream": DEAD_LETTERS,
     "route_notifications": f"""WITH {NOTIFY}

@@ -64,12 +64,10 @@ def delete_products(products: DataFrame, requests: DataFrame) -> Split:
     """
     kept = products.join(requests.select("id").distinct(), "id", "left_anti").select(products.columns)
     first = requests.groupBy("id").agg(F.min(F.struct("seq", "request_id")).alias("_first"))
-    effective = first.join(products.select("id"), "id", "left_semi").select("id", "_first")
-    rejects = (
-        requests.join(effective, "id", "left")
-        .where(F.col("_first").isNull() | (F.struct("seq", "request_id") != F.col("_first")))
-        .drop("_first")
-        .withColumn("reasons", F.array(F.lit(NOT_FOUND)))
+    effective = first.join(products.select("id"), "id", "left_semi").select("id", "_first.seq", "_first.request_id")
+    # Matching on all three columns spreads the requests of one id over the tasks.
+    rejects = requests.join(effective, ["id", "seq", "request_id"], "left_anti").select(
+        *requests.columns, F.array(F.lit(NOT_FOUND)).alias("reasons")
     )
     return Split(kept, rejects)
 

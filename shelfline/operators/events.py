@@ -75,6 +75,21 @@ def event_outcome_counts(events: DataFrame) -> DataFrame:
     )
 
 
+def delivery_counters(events: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """One row: deliveries ``processed``, ``acked``, ``nacked``, and messages ``dead_lettered``.
+
+    Counting per message first gives all four in one pass.
+    """
+    failed = F.sum(F.when(F.col("outcome") == "failed", 1).otherwise(0))
+    per_message = events.groupBy("message_id").agg(F.count(F.lit(1)).alias("_all"), failed.alias("_failed"))
+    return per_message.agg(
+        F.coalesce(F.sum("_all"), F.lit(0)).alias("processed"),
+        F.coalesce(F.sum(F.col("_all") - F.col("_failed")), F.lit(0)).alias("acked"),
+        F.coalesce(F.sum("_failed"), F.lit(0)).alias("nacked"),
+        F.count(F.when(F.col("_failed") >= max_attempts, 1)).alias("dead_lettered"),
+    )
+
+
 def dead_letter(failed: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Messages that failed ``max_attempts`` times or more, with their ``attempts``."""
     return (

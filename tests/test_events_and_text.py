@@ -126,3 +126,11 @@ def test_batch_dead_letters_need_five_failures(spark):
     failed = column(spark, ["a"] * 5 + ["b"] * 4 + ["c"] * 7, "message_id")
     assert sorted(tuples(events.dead_letter(failed))) == [("a", 5), ("c", 7)]
     assert sorted(tuples(events.dead_letter(failed, 7))) == [("c", 7)]
+
+
+def test_delivery_counters(spark):
+    routed = spark.createDataFrame(
+        [("a", "failed")] * 5 + [("a", "handled")] + [("b", "failed")] * 4 + [("c", "unknown")], "message_id string, outcome string"
+    )
+    assert tuples(events.delivery_counters(routed)) == [(11, 2, 9, 1)]
+    assert tuples(events.delivery_counters(routed.where("false"))) == [(0, 0, 0, 0)]

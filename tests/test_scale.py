@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import tuples
-from shelfline.operators import filters, ordering, quality
+from shelfline.operators import catalog, filters, ordering, quality
 from shelfline.operators.ordered import add_chunk, hot_ranges, key_extents, with_previous
 from shelfline.plans import reports
 
@@ -82,6 +82,16 @@ def test_fact_joins_split_the_hot_product(spark, skewed, run):
         assert "skew=true" in final_plan(run(*skewed))
 
 
+def test_repeated_deletes_of_one_product_spread_over_tasks(spark, skewed):
+    sales, catalog_table = skewed
+    deletes = sales.select(F.col("product_id").alias("id"), F.col("id").alias("request_id"), F.col("id").cast("bigint").alias("seq"))
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false"):
+        result = catalog.delete_products(catalog_table, deletes)
+        assert result.accepted.isEmpty() and result.rejects.count() == 60_000 - 2000
+        sizes = [r["count"] for r in result.rejects.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 0.3 * 60_000
+
+
 def test_reports_shuffle_aggregates_not_facts(spark, skewed):
     """What crosses the product shuffle is one row per task and product, however hot a product is."""
     sales, catalog = skewed
