@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,11 +31,9 @@ def broken_rules(rules: Sequence[Rule]) -> Column:
 
 
 def split_by_rules(df: DataFrame, rules: Sequence[Rule]) -> Split:
-    checked = df.withColumn("reasons", broken_rules(rules))
-    return Split(
-        checked.where(F.size("reasons") == 0).drop("reasons"),
-        checked.where(F.size("reasons") > 0),
-    )
+    """The accepted side tests plain conditions; only refused rows build their list of reasons."""
+    refused = reduce(or_, [F.coalesce(rule.broken, F.lit(False)) for rule in rules])
+    return Split(df.where(~refused), df.where(refused).withColumn("reasons", broken_rules(rules)))
 
 
 def not_null(*columns: str) -> list[Rule]:

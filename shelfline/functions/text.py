@@ -9,13 +9,17 @@ from pyspark.sql import Column, functions as F
 # Plain JSON only: no single quotes, no NaN or Infinity.
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
+# Control characters and the space.
+BLANKS = "".join(map(chr, range(0x21)))
+
 # Control and Unicode spaces, line and paragraph ends, and the byte order mark.
 WHITESPACE = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def is_blank(value: Column) -> Column:
     """Null, empty, or nothing but control characters and spaces."""
-    return value.isNull() | ~value.rlike(r"[^\x00-\x20]")
+    may_be = F.substring(value, 1, 1) <= " "  # settles nearly all values without trimming
+    return value.isNull() | (may_be & (F.btrim(value, F.lit(BLANKS)) == ""))
 
 
 def is_empty(value: Column) -> Column:

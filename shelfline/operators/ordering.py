@@ -11,7 +11,7 @@ from shelfline.functions.rules import Split, order_request_rules, split_by_rules
 from shelfline.functions.text import stable_uuid
 from shelfline.operators.ordered import CHUNK_ROWS, with_previous
 from shelfline.operators.reservation import RESERVED, remaining_stock, reserve_stock
-from shelfline.session import durable
+from shelfline.session import written
 
 # Price of a unit without catalogue lookup, and the bulk discount.
 UNIT_PRICE = "99.99"
@@ -75,7 +75,7 @@ def place_orders(products: DataFrame, requests: DataFrame, placed_at: str, chunk
     """
     valid, malformed = split_by_rules(requests, order_request_rules())
     # Written once, as orders, rejects and the new stock all derive from it.
-    outcomes = durable(reserve_stock(products, valid.withColumn("op", F.lit("RESERVE")), chunk_rows))
+    outcomes = written(reserve_stock(products, valid.withColumn("op", F.lit("RESERVE")), chunk_rows), "outcomes")
     accepted = outcomes.where(F.col("outcome") == RESERVED)
     order_id = stable_uuid(F.lit("order"), F.col("request_id"))
     charge = F.concat(F.lit(PAYMENT_PREFIXES["STRIPE"]), stable_uuid(F.lit("payment"), F.col("request_id")))
