@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -535,12 +536,26 @@ def post_order_fanout(t: StarSchema) -> DataFrame:
     return mails.join(sent, F.col("order_id") == F.col("orderId")).select("order_id", "recipient", "total", "status")
 
 
+def _training_data() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """The queries and SQL of the training-data operators and their pipeline, none if they are not there."""
+    if not (find_spec("shelfline.llm") and find_spec("corpus_pipeline")):
+        return {}, {}
+    import corpus_pipeline
+    from shelfline.llm.oracles import ORACLES as sql
+    from shelfline.llm.queries import QUERIES
+
+    cloudpickle.register_pickle_by_value(corpus_pipeline)
+    pipeline_sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**QUERIES, "pipeline": corpus_pipeline.run}, {**sql, **pipeline_sql}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, folder, run=run: plain(run(StarSchema(spark, folder))) for name, run in _QUERIES.items()}
+    own = {name: lambda spark, folder, run=run: plain(run(StarSchema(spark, folder))) for name, run in _QUERIES.items()}
+    return {**own, **_training_data()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {**ORACLES, **_training_data()[1]}
 
 
 def entry(spark: SparkSession) -> DataFrame:
