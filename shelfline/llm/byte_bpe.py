@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from shelfline.llm.support import Recent, adding, appended, file_bytes, worker_store
+from shelfline.llm.support import Recent, adding, appended, file_bytes, small, worker_store
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -99,30 +99,213 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     return ids
 
 
+class Merger:
+    """The same queue over the positions of many short pre-tokens at once.
+
+    Pre-tokens don't touch each other, so the lowest rank of all may go first; of
+    one rank each pre-token merges its leftmost pair only, then looks again. Large
+    buckets are merged as arrays, small ones entry by entry.
+    """
+
+    LARGE = 16
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        joined = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    joined[left << 32 | right] = rank
+        self.joined = joined
+        self.keys = np.array(sorted(joined), np.int64)
+        self.values = np.array([joined[k] for k in self.keys.tolist()] + [-1], np.int32)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, wanted)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == wanted, self.values[at], -1).astype(np.int32)
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as little-endian 32-bit integers."""
+        sizes = np.array([len(p) for p in pieces])
+        token = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        n = len(token)
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        after[bounds[1:] - 1] = -1
+        before[bounds[:-1]] = -1
+        pair = np.full(n, -1, np.int32)
+        inner = np.flatnonzero(after >= 0)
+        pair[inner] = self.rank_of(token[inner], token[inner + 1])
+        token_, after_, before_, pair_, piece_ = map(memoryview, (token, after, before, pair, piece))
+        joined = self.joined.get
+
+        buckets: dict[int, list[int]] = {}
+        words: dict[int, int] = {}
+        groups: dict[int, int] = {}
+        top = 0
+
+        def push(ranks: np.ndarray, places: np.ndarray) -> None:
+            nonlocal top
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            numbers, begins = np.unique(ranks, return_index=True)
+            listed = places.tolist()
+            for rank, i, j in zip(numbers.tolist(), begins.tolist(), [*begins[1:].tolist(), len(listed)]):
+                bucket = buckets.get(rank)
+                if bucket:
+                    bucket += listed[i:j]
+                    continue
+                buckets[rank] = listed[i:j]
+                word, group = rank >> 6, rank >> 12
+                words[word] = words.get(word, 0) | 1 << (rank & 63)
+                groups[group] = groups.get(group, 0) | 1 << (word & 63)
+                top |= 1 << group
+
+        some = np.flatnonzero(pair >= 0)
+        push(pair[some], some)
+        while top:
+            group = (top & -top).bit_length() - 1
+            bits = groups[group]
+            word = group << 6 | (bits & -bits).bit_length() - 1
+            bits = words[word]
+            rank = word << 6 | (bits & -bits).bit_length() - 1
+            bucket = buckets.pop(rank)
+            words[word] = bits = bits & bits - 1
+            if not bits:
+                groups[group] = bits = groups[group] & groups[group] - 1
+                if not bits:
+                    top &= top - 1
+            again = []
+            if len(bucket) >= self.LARGE:
+                at = np.sort(np.array(bucket, np.int32))
+                at = at[pair[at] == rank]
+                at = at[np.diff(at, prepend=-1) > 0]
+                owner = piece[at]
+                first = np.ones(len(at), bool)
+                first[1:] = owner[1:] != owner[:-1]
+                again, at = at[~first].tolist(), at[first]
+                gone = after[at]
+                stop = after[gone]
+                after[at], token[at], pair[gone] = stop, rank, -1
+                right = stop >= 0
+                before[stop[right]] = at[right]
+                pair[at] = -1
+                pair[at[right]] = self.rank_of(token[at[right]], token[stop[right]])
+                left = before[at]
+                has = left >= 0
+                left = left[has]
+                pair[left] = self.rank_of(token[left], token[at[has]])
+                changed = np.concatenate([at, left])
+                changed = changed[pair[changed] >= 0]
+                if len(changed):
+                    push(pair[changed], changed)
+                new = ()
+            else:
+                new, last = [], -1
+                bucket.sort()
+                for at in bucket:
+                    if pair_[at] != rank:
+                        continue
+                    if piece_[at] == last:
+                        again.append(at)
+                        continue
+                    last = piece_[at]
+                    gone = after_[at]
+                    stop = after_[at] = after_[gone]
+                    token_[at], pair_[gone], pair_[at] = rank, -1, -1
+                    if stop >= 0:
+                        before_[stop] = at
+                        found = joined(rank << 32 | token_[stop], -1)
+                        pair_[at] = found
+                        if found >= 0:
+                            new.append((found, at))
+                    left = before_[at]
+                    if left >= 0:
+                        found = pair_[left] = joined(token_[left] << 32 | rank, -1)
+                        if found >= 0:
+                            new.append((found, left))
+            for at in again:
+                new = [*new, (rank, at)]
+            for found, at in new:
+                bucket = buckets.get(found)
+                if bucket:
+                    bucket.append(at)
+                    continue
+                buckets[found] = [at]
+                word, group = found >> 6, found >> 12
+                words[word] = words.get(word, 0) | 1 << (found & 63)
+                groups[group] = groups.get(group, 0) | 1 << (word & 63)
+                top |= 1 << group
+        heads = np.zeros(n, bool)
+        heads[self._chain(after, bounds)] = True
+        kept = token[heads].tobytes()
+        ends = (4 * np.concatenate([[0], np.cumsum(heads)])[bounds]).tolist()
+        return [kept[i:j] for i, j in zip(ends[:-1], ends[1:])]
+
+    @staticmethod
+    def _chain(after: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Starts of all parts, following the links of every piece side by side."""
+        found, at = [], bounds[:-1][np.diff(bounds) > 0]
+        while len(at):
+            found.append(at)
+            at = after[at]
+            at = at[at >= 0]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 class Encoder:
-    """Encodes texts; remembers pre-tokens, and the runs between blanks, that came up lately."""
+    """Encodes texts; remembers the words, each with the blank before it, that came up lately."""
 
     # A pre-token starts at every blank that a visible character follows.
     RUNS = re.compile(r"(?= \S)")
+    HELD = 400_000
+    SHORT = 64
+    TOGETHER = 100_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        longest, find = max(map(len, ranks)), regex.compile(pattern).findall
-        self.pieces = Recent(lambda piece: array("i", merge(piece.encode(), ranks, longest)).tobytes())
-        self.run = lambda run: b"".join(map(self.pieces.__getitem__, find(run)))
-        self.words = Recent(self.word)
+        self.longest, self.ranks, self.find = max(map(len, ranks)), ranks, regex.compile(pattern).findall
+        self.merger = Merger(ranks)
+        self.pieces = Recent(self.piece, 100_000)
+        self.words: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        return array("i", merge(piece.encode(), self.ranks, self.longest)).tobytes()
+
+    def run(self, run: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(run)))
 
-    def word(self, word: str) -> bytes:
-        """Ids of a blank and ``word``."""
-        if not word or word[0].isspace():
-            raise LookupError
-        return self.run(" " + word)
+    def prepare(self, texts: list[str]) -> None:
+        """Learn the words of ``texts`` that aren't known."""
+        here: set[str] = set()
+        for text in texts:
+            here.update(text.split(" ")[1:])
+        if len(self.words) > self.HELD:
+            self.words = {w: self.words[w] for w in here if w in self.words}
+        new = [w for w in here if w not in self.words and len(w) < self.SHORT and w and not w[0].isspace()]
+        split = [self.find(" " + w) for w in new]
+        unknown = list({p for parts in split for p in parts if p not in self.pieces})
+        whole = [self.ranks.get(p.encode()) for p in unknown]
+        parted = [p for p, rank in zip(unknown, whole) if rank is None]
+        known = {p: array("i", [rank]).tobytes() for p, rank in zip(unknown, whole) if rank is not None}
+        for at in range(0, len(parted), self.TOGETHER):
+            part = parted[at : at + self.TOGETHER]
+            known.update(zip(part, self.merger([p.encode() for p in part])))
+        pieces = self.pieces
+        for word, parts in zip(new, split):
+            self.words[word] = b"".join([known[p] if p in known else pieces[p] for p in parts])
+        for piece, ids in known.items():
+            pieces.put(piece, ids)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         first, *words = text.split(" ")
         try:
             return self.run(first) + b"".join(map(self.words.__getitem__, words))
-        except LookupError:  # more than one white space in a row
+        except KeyError:  # more than one white space in a row, or a long word
             return b"".join(map(self.run, self.RUNS.split(text)))
 
 
@@ -133,10 +316,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_store(("byte bpe", ranks_path, pattern), lambda: Encoder(read_ranks(content.value), pattern))
         for batch in batches:
-            parts = [encoder.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])
-            yield appended(batch, **{ids: pa.ListArray.from_arrays(pa.array(offsets), values)})
+            for part in small(batch, text):
+                texts = [t or "" for t in part.column(text).to_pylist()]
+                encoder.prepare(texts)
+                raw = [encoder.encode(t) for t in texts]
+                offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
+                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(raw))])
+                yield appended(part, **{ids: pa.ListArray.from_arrays(pa.array(offsets), values)})
 
     return adding(docs, run, f"`{ids}` array<int>")
 
@@ -155,8 +341,8 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", decoded: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = worker_store(("byte bpe tokens", ranks_path), table).__getitem__
         for batch in batches:
-            column = batch.column(ids)
-            out = [b"".join(map(tokens, row.as_py())) if row.is_valid else b"" for row in column]
-            yield appended(batch, **{decoded: pa.array(out, pa.binary())})
+            for part in small(batch, ids):
+                out = [b"".join(map(tokens, row.as_py())) if row.is_valid else b"" for row in part.column(ids)]
+                yield appended(part, **{decoded: pa.array(out, pa.binary())})
 
     return adding(encoded, run, f"`{decoded}` binary")

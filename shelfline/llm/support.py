@@ -38,11 +38,14 @@ class Recent(dict):
             value = self.make(key)
             if len(key) > 64:
                 return value
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.bound:
             self.older = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def file_bytes(spark: SparkSession, path: str):
@@ -65,6 +68,13 @@ def appended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
 
+def small(batch: pa.RecordBatch, column: str, bytes_each: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with some megabytes of ``column``, one row at least."""
+    each = max(1, int(batch.num_rows * bytes_each / max(batch.column(column).nbytes, 1)))
+    for at in range(0, batch.num_rows, each):
+        yield batch.slice(at, each)
+
+
 def text_crc(column: str = "doc_id"):
     """crc32 of the id written as text, which deals documents into folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
