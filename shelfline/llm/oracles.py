@@ -2,4 +2,96 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from shelfline.llm import licenses, secret_ledger
+
+_SPACED = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _licenses() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    phrases = sorted(licenses.PHRASES.items(), key=lambda p: p[1])
+
+    def places(phrase: str) -> str:
+        here = " AND ".join(f"w[i + {n}] = {_text(word)}" for n, word in enumerate(phrase.split()))
+        return f"list_filter(range(1, len(w) + 1), lambda i: {here})"
+
+    found = ", ".join(f"{places(phrase)} AS p{n}" for n, (phrase, _) in enumerate(phrases))
+    every = " || ".join(f"p{n}" for n in range(len(phrases)))
+    named = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN {_text(label)} END" for n, (_, label) in enumerate(phrases))
+    templates = ", ".join(
+        f"({_text(label)}, [{', '.join(map(_text, sorted(words)))}])" for label, words in licenses.template_words(licenses.TEMPLATES).items()
+    )
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER} AS t FROM documents),
+    worded AS (SELECT *, regexp_extract_all(t, '{word}') AS w FROM d),
+    placed AS (SELECT r, doc_id, w, {found} FROM worded),
+    based AS (SELECT r, doc_id, w, {every} AS p, list_filter([{named}], lambda x: x IS NOT NULL) AS base FROM placed),
+    blocks AS (SELECT r, list_distinct(regexp_extract_all(b, '{word}')) AS bw FROM (SELECT r, unnest(string_split(t, chr(10))) AS b FROM d)),
+    templates(label, tw) AS (VALUES {templates}),
+    hits AS (SELECT r, label, len(list_intersect(bw, tw)) / len(tw) AS share FROM blocks, templates
+             WHERE len(list_intersect(bw, tw)) >= {licenses.CONTAINMENT} * len(tw) - 1e-9),
+    best AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM hits GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(p) - 1 AS first_word, list_max(p) - 1 AS last_word,
+           array_to_string(base, ',') AS base_labels,
+           array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') AS labels,
+           CASE WHEN len(p) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+    FROM based LEFT JOIN best USING (r)"""
+
+
+_SUBSTRINGS = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+    windows AS (SELECT r, doc_id, i, list_slice(w, i, i + 12) AS window_words FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+    firsts AS (SELECT window_words, min(doc_id) AS f FROM windows GROUP BY window_words),
+    covered AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (window_words) WHERE f < doc_id),
+    words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+    kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.p) AS k FROM words ANTI JOIN covered ON words.r = covered.r AND words.p = covered.p GROUP BY words.r),
+    gone AS (SELECT r, count(*) AS n FROM covered GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone.n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)"""
+
+_PARTENUM = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') AS w FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')))
+                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+    grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.x = b.x AND a.doc_id < b.doc_id
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reached(a, b) AS (SELECT a, b FROM ways UNION SELECT reached.a, ways.b FROM reached JOIN ways ON reached.b = ways.a),
+    least_of AS (SELECT a, min(b) AS m FROM reached GROUP BY a)
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM sets LEFT JOIN least_of ON doc_id = a"""
+
+
+def _secrets() -> str:
+    def spans(n: int, rule: secret_ledger.Rule) -> str:
+        around = _text(f"(?s)(.*?)({rule.pattern})")
+        gap, match, part = (f"regexp_extract_all(t, {around}, {group})" for group in (1, 2, 2 + rule.part))
+        before = "coalesce(list_sum(list_transform(x.g[1:i], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(x.m[1:i - 1], lambda y: length(y))), 0)"
+        every = f"list_transform(range(1, len(x.m) + 1), lambda i: {{s: ({before})::BIGINT, k: {n}, e: ({before} + length(x.m[i]))::BIGINT, l: length(x.v[i])}})"
+        return f"(SELECT list_filter({every}, lambda z: z.l >= {rule.least}) FROM (SELECT {{g: {gap}, m: {match}, v: {part}}} AS x)) AS k{n}"
+
+    rules = secret_ledger.RULES
+    columns = ", ".join(spans(n, rule) for n, rule in enumerate(rules))
+    kinds = "[" + ", ".join(_text(rule.kind) for rule in rules) + "]"
+
+    def joined(numbers) -> str:
+        every = " || ".join(f"k{n}" for n in numbers)
+        return f"array_to_string(list_transform(list_sort({every}), lambda z: {kinds}[z.k + 1] || ':' || z.s || ':' || z.e), ',')"
+
+    base = ", ".join(f"len(k{n})::BIGINT AS n_{rules[n].kind}" for n in range(secret_ledger.BASE))
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS (SELECT doc_id, {columns} FROM d)
+    SELECT doc_id, {base}, sha256({joined(range(secret_ledger.BASE))}) AS base_sha256, {joined(range(len(rules)))} AS spans FROM found"""
+
+
+ORACLES: dict[str, str] = {
+    "op3_licenses": _licenses(),
+    "op4_substrings": _SUBSTRINGS,
+    "op7_partenum": _PARTENUM,
+    "op10_secret_ledger": _secrets(),
+}

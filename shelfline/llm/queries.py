@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfline.llm import byte_bpe, interpolated_lm, licenses, partenum, quality_rules, secret_ledger, substrings, token_files, toxicity
+from shelfline.llm import byte_bpe, decontaminate, interpolated_lm, licenses, partenum, quality_rules, secret_ledger, substrings, token_files, toxicity
 from shelfline.llm.exchange import stored
 from shelfline.llm.support import documents
 from shelfline.session import work_folder
@@ -22,7 +22,7 @@ def query(run):
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep_text=False)
     return byte_bpe.decode(encoded, ranks).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -31,6 +31,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of every benchmark item that stands in a document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", F.explode("items").alias("item_id"))
+
+
 @query
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")

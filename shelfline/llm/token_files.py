@@ -29,7 +29,10 @@ from tokenizers import Tokenizer
 
 from shelfline.llm.support import Recent, file_bytes, worker_store
 
-MANIFEST = T.StructType.fromDDL("part int, name string, documents bigint, tokens bigint, width int, low bigint, high bigint, nulls boolean, start bigint")
+_KINDS = {int: (T.IntegerType(), pa.int32()), str: (T.StringType(), pa.string()), bool: (T.BooleanType(), pa.bool_()), "long": (T.LongType(), pa.int64())}
+_FIELDS = {"part": int, "name": str, "documents": "long", "tokens": "long", "width": int, "low": "long", "high": "long", "nulls": bool, "start": "long"}
+MANIFEST = T.StructType([T.StructField(name, _KINDS[kind][0]) for name, kind in _FIELDS.items()])
+_ARROW = pa.schema([(name, _KINDS[kind][1]) for name, kind in _FIELDS.items()])
 FINGERPRINT_SEED = 7
 
 
@@ -179,7 +182,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id
         with files.open_output_stream(f"{root}/{name}.idx") as index:
             index.write(ShardIndex.pack(np.concatenate(firsts), np.concatenate(seconds), sizes))
         row = (TaskContext.get().partitionId(), name, len(sizes), int(sizes.sum()), width, low, high, nulls, 0)
-        yield pa.RecordBatch.from_pylist([dict(zip(MANIFEST.names, row))], schema=pa.schema([pa.field(f.name, pa.int32() if f.dataType == T.IntegerType() else pa.int64() if f.dataType == T.LongType() else pa.bool_() if f.dataType == T.BooleanType() else pa.string()) for f in MANIFEST]))
+        yield pa.RecordBatch.from_pylist([dict(zip(MANIFEST.names, row))], schema=_ARROW)
 
     files, root = FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)

@@ -1,0 +1,47 @@
+import pytest
+from pyspark.sql import functions as F
+
+from fixtures import ODD, crc, documents, odd_documents
+from shelfline.llm import queries, toxicity
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in queries.op8_toxicity(spark, folder).collect()}
+    assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert all(r.held_out == (crc(i) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for i, r in got.items())
+    held = [(r.toxic, got[r.doc_id].predicted) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if got[r.doc_id].held_out]
+    right = sum(t and p for t, p in held)
+    assert right >= 0.9 * sum(p for _, p in held) and right >= 0.85 * sum(t for t, _ in held)
+
+
+def test_folding():
+    assert toxicity.fold("1D10T! Lоser\tcl0wn, $tupid  m​oron") == " idiot loser clown stupid moron "
+    assert toxicity.fold("") == "  "
+
+
+def test_only_the_heaviest_entry_at_a_word_counts_and_exceptions_spare():
+    model = toxicity.Model(((" lo", 1.0), (" loser ", 2.0), (" trash ", 3.0)), ("trash can",))
+    matcher = model.matcher()
+    assert toxicity.weigh(matcher, toxicity.fold("Loser, lost!")) == 3.0
+    assert toxicity.weigh(matcher, toxicity.fold("the trash can is trash")) == 3.0
+    assert toxicity.weigh(matcher, toxicity.fold("")) == 0.0
+
+
+def test_odd_documents_and_no_labels(spark):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    model = toxicity.learn(odd_documents(spark), labels)
+    assert len(model.lexicon) == len(toxicity.SEEDS)
+    rows = toxicity.score(odd_documents(spark).withColumn("toxicity", F.lit("x")), model).collect()
+    assert len(rows) == len(ODD) and len({round(r.toxicity, 9) for r in rows}) == 1
+    assert toxicity.score(documents(spark, []), model).count() == 0
+
+
+@pytest.mark.parametrize("kinds", [(0, 1), (1, 0)])
+def test_lexicon_is_learnt(spark, kinds):
+    rows = [(n, f"some word{n % 7} here " + ("blorf again" if n % 3 == 0 else "and there")) for n in range(600)]
+    labels = spark.createDataFrame([(n, 1, kinds[n % 3 == 0]) for n in range(600)] + [(None, 1, 1), (5, None, None)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.learn(documents(spark, rows), labels)
+    assert (" blorf " in dict(model.lexicon)) == (kinds == (0, 1))
+    scored = {r.doc_id: r.toxicity for r in toxicity.score(documents(spark, rows), model).collect()}
+    assert all((scored[n] >= 0.3) == bool(kinds[n % 3 == 0]) for n in range(600))
