@@ -262,14 +262,14 @@ class Encoder:
 
     # A pre-token starts at every blank that a visible character follows.
     RUNS = re.compile(r"(?= \S)")
-    HELD = 400_000
+    HELD = 200_000
     SHORT = 64
-    TOGETHER = 100_000
+    TOGETHER = 50_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.longest, self.ranks, self.find = max(map(len, ranks)), ranks, regex.compile(pattern).findall
         self.merger = Merger(ranks)
-        self.pieces = Recent(self.piece, 100_000)
+        self.pieces = Recent(self.piece, 50_000)
         self.words: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
@@ -309,8 +309,11 @@ class Encoder:
             return b"".join(map(self.run, self.RUNS.split(text)))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text`` by the merge ranks of a file, each match of ``pattern`` by itself."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the ids of ``text`` by the merge ranks of a file, each match of ``pattern`` by itself.
+
+    Without ``keep_text`` the texts don't travel back.
+    """
     content = file_bytes(docs.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,9 +325,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
                 raw = [encoder.encode(t) for t in texts]
                 offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(raw))])
-                yield appended(part, **{ids: pa.ListArray.from_arrays(pa.array(offsets), values)})
+                kept = part if keep_text else part.drop_columns([text])
+                yield appended(kept, **{ids: pa.ListArray.from_arrays(pa.array(offsets), values)})
 
-    return adding(docs, run, f"`{ids}` array<int>")
+    return adding(docs, run, f"`{ids}` array<int>", without=() if keep_text else (text,))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -87,6 +87,7 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.ids = [i for i, _ in items]
         self.texts = [folded(np.frombuffer(t.encode(), np.uint8)) for _, t in items]
+        self.longest = max(map(len, self.texts), default=0)
         keys = [grams(t) for t in self.texts]
         item = np.repeat(np.arange(len(items)), [len(k) for k in keys])
         place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
@@ -121,7 +122,7 @@ class Index:
             return set()
         posting = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.begins[slot], counts)
         at, item, place = np.repeat(at, counts), self.item[posting], self.place[posting]
-        diagonal, half = at - place + REGION, self.edits[item] + 1
+        diagonal, half = at - place + self.longest, self.edits[item] + 1
         band = diagonal // half
         keys = np.concatenate([item << 40 | band, item << 40 | np.maximum(band - 1, 0)])
         order = np.argsort(keys, kind="stable")
@@ -138,7 +139,7 @@ class Index:
     def _verify(self, out: set, item: int, band: int, places: np.ndarray, at: np.ndarray, whole: bytes, offsets: np.ndarray) -> None:
         k, least = self.bounds[item]
         rows = np.searchsorted(offsets, at, "right") - 1
-        low = band * (k + 1) - REGION
+        low = band * (k + 1) - self.longest
         for row in np.unique(rows).tolist():
             if (row, item) in out:
                 continue

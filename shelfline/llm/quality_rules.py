@@ -23,6 +23,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfline.llm.exchange import stored
+
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -130,8 +132,8 @@ def _gain(low: int, high: int, low0: int, high0: int) -> float:
 def learn(features: DataFrame, labels: DataFrame, label: str = "quality", bins: int = 32, most_rules: int = 8, most_conditions: int = 3, precision: float = 0.9, least_rows: int = 10) -> list[Rule]:
     """Rules that reject rows like those labelled 0.
 
-    ``features`` has doc_id and FEATURES and is read once for each step, so it
-    should be a stored table. A rule is kept if ``precision`` of at least
+    ``features`` has doc_id and FEATURES. Its labelled rows are stored, as every
+    step reads them. A rule is kept if ``precision`` of at least
     ``least_rows`` pruning rows that it rejects are labelled 0.
     """
     known = labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.min(label).alias("_label"))
@@ -144,8 +146,15 @@ def learn(features: DataFrame, labels: DataFrame, label: str = "quality", bins:
         for feature in FEATURES:
             quantiles.setdefault(feature, set()).update(found[feature])
     cuts = {feature: sorted(values) for feature, values in quantiles.items()}
+    if not cuts:
+        return []
+    binned = [
+        F.struct(F.lit(n).alias("feature"), F.expr(f"size(filter(array({', '.join(f'{c!r}D' for c in map(float, cuts[f]))}), c -> c < {f}))").alias("bin"))
+        for n, f in enumerate(FEATURES)
+    ]
+    rows = stored(rows.withColumn("_bins", F.array(*binned)), "labelled")
     rules: list[Rule] = []
-    while cuts and len(rules) < most_rules:
+    while len(rules) < most_rules:
         left = rows.where(verdict(rules))
         rule: Rule = ()
         while len(rule) < most_conditions:
@@ -166,8 +175,7 @@ def learn(features: DataFrame, labels: DataFrame, label: str = "quality", bins:
 
 def _best(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Condition, bool] | None:
     """The condition with the best gain, and whether it leaves only rows labelled 0."""
-    bins = [F.struct(F.lit(n).alias("feature"), F.expr(f"size(filter(array({', '.join(f'{c!r}D' for c in map(float, cuts[f]))}), c -> c < {f}))").alias("bin")) for n, f in enumerate(FEATURES)]
-    exploded = rows.select("_low", F.explode(F.array(*bins)).alias("at")).groupBy("at.feature", "at.bin")
+    exploded = rows.select("_low", F.explode("_bins").alias("at")).groupBy("at.feature", "at.bin")
     table: dict[int, dict[int, tuple[int, int]]] = {}
     for r in exploded.agg(F.sum("_low").alias("low"), F.sum(1 - F.col("_low")).alias("high")).collect():  # features times bins
         table.setdefault(r.feature, {})[r.bin] = (r.low, r.high)

@@ -54,21 +54,21 @@ def file_bytes(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def adding(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str) -> DataFrame:
-    """``df`` with the columns of the DDL ``added``, which ``run`` appends to each batch.
+def adding(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the columns of the DDL ``added``, which ``run`` appends to each batch after dropping ``without``.
 
     Columns of ``df`` with the same names are replaced.
     """
     new = T.StructType.fromDDL(added)
     old = df.drop(*new.names)
-    return old.mapInArrow(run, T.StructType(old.schema.fields + new.fields))
+    return old.mapInArrow(run, T.StructType([f for f in old.schema.fields if f.name not in without] + new.fields))
 
 
 def appended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
 
-def small(batch: pa.RecordBatch, column: str, bytes_each: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small(batch: pa.RecordBatch, column: str, bytes_each: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with some megabytes of ``column``, one row at least."""
     each = max(1, int(batch.num_rows * bytes_each / max(batch.column(column).nbytes, 1)))
     for at in range(0, batch.num_rows, each):

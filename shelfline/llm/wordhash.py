@@ -98,7 +98,7 @@ def _slice(first: int, offsets: np.ndarray, data: np.ndarray, lower: bool) -> Wo
     data = np.concatenate([_LOWER[data] if lower else data, np.full(8, 32, np.uint8)])
     inside = ~_SPACE[data]
     opens, closes = inside[:size].copy(), inside[:size].copy()
-    opens[1:] &= ~inside[: size - 1]
+    opens[1:] &= ~inside[: max(size - 1, 0)]
     closes &= ~inside[1 : size + 1]
     cut = np.unique(offsets[(offsets > 0) & (offsets < size)])
     opens[cut] = inside[cut]
