@@ -55,7 +55,8 @@ def rule_version(rules: tuple[Rule, ...]) -> str:
 
 def _spans(text: Column, number: int, rule: Rule) -> Column:
     """array<struct<start,kind,end>> of one rule; nothing is extracted from texts without a match."""
-    around = f"(?s)(.*?)({rule.pattern})"
+    # A gap begins where the last match ended and nowhere else, so a text is read once.
+    around = rf"(?s)\G(.*?)({rule.pattern})"
     gaps, matches = F.regexp_extract_all(text, F.lit(around), F.lit(1)), F.regexp_extract_all(text, F.lit(around), F.lit(2))
     parts = F.regexp_extract_all(text, F.lit(around), F.lit(2 + rule.part))
     found = F.arrays_zip(gaps.alias("gap"), matches.alias("match"), parts.alias("part"))
