@@ -21,8 +21,10 @@ from shelfline.operators.reservation import remaining_stock, reserve_stock  # no
 from shelfline.plans import reports  # noqa: E402
 from shelfline.session import work_folder  # noqa: E402
 from shelfline.sources.star_schema import StarSchema  # noqa: E402
-from shelfline.sources.tables import materialize_report, normalize_currency  # noqa: E402
+from shelfline.sources.events import read_product_events  # noqa: E402
+from shelfline.sources.tables import materialize_report, normalize_currency, read_orders, read_products, read_report  # noqa: E402
 from shelfline.streaming import fanout, reservation as stock_stream, routing  # noqa: E402
+from shelfline.streaming.state import stateful  # noqa: E402
 
 # Workers need not have the package installed.
 cloudpickle.register_pickle_by_value(shelfline)
@@ -124,7 +126,7 @@ def order_count_report(t: StarSchema) -> DataFrame:
 def materialized_report(t: StarSchema) -> DataFrame:
     path = work_folder(t.spark, "low_stock_report")
     materialize_report(reports.low_stock_alerts(t.products()), path)
-    return t.spark.read.parquet(path)
+    return read_report(t.spark, path)
 
 
 # Filters, lookups, pages
@@ -189,6 +191,19 @@ def product_page(t: StarSchema) -> DataFrame:
     return paging.page_rows(t.products(), page=1).select("id", "name", "created_at")
 
 
+@query
+def order_line_page(t: StarSchema) -> DataFrame:
+    """Far enough in to be approached by counting; the ids repeat."""
+    lines = paging.page_rows(t.orders(), page=900, shallow_rows=2_000)
+    return lines.select("id", "customer_id", "status", "created_at")
+
+
+@query
+def order_line_total(t: StarSchema) -> DataFrame:
+    found = paging.page(t.orders().select("id", "created_at"), page=2)
+    return found.rows.withColumn("total", F.lit(found.total))
+
+
 @query
 def order_positions(t: StarSchema) -> DataFrame:
     return paging.row_positions(t.order_headers(), "created_at", "id")
@@ -211,8 +226,8 @@ def duplicate_keys(t: StarSchema) -> DataFrame:
 
 @query
 def orphan_orders(t: StarSchema) -> DataFrame:
-    kept = t.products().where(F.col("category") != "ECONOMY")
-    return quality.orphan_orders(t.orders(), kept).select("id", "product_id", "amount")
+    """Requests for products that don't exist."""
+    return quality.orphan_orders(t.stock_requests(), t.products()).select("request_id", "product_id", "quantity")
 
 
 @query
@@ -280,6 +295,17 @@ def delete_products(t: StarSchema) -> DataFrame:
     return catalog.delete_products(t.products(), t.delete_requests()).accepted.select("id", "name")
 
 
+@query
+def delete_unordered_products(t: StarSchema) -> DataFrame:
+    """With the orders given, a product that has some stays."""
+    return catalog.delete_products(t.products(), t.delete_requests(), t.orders()).accepted.select("id", "name")
+
+
+@query
+def delete_unordered_rejects(t: StarSchema) -> DataFrame:
+    return joined(catalog.delete_products(t.products(), t.delete_requests(), t.orders()).rejects)
+
+
 @query
 def delete_rejects(t: StarSchema) -> DataFrame:
     return joined(catalog.delete_products(t.products(), t.delete_requests()).rejects)
@@ -407,7 +433,7 @@ def product_events(t: StarSchema) -> DataFrame:
 
 @query
 def order_placed_events(t: StarSchema) -> DataFrame:
-    fields = F.from_json("message", "orderId bigint, customerId bigint, status string")
+    fields = F.from_json("message", "orderId string, customerId string, status string")
     return events.order_placed_events(t.orders()).select(fields.alias("f")).select("f.*")
 
 
@@ -432,7 +458,7 @@ def delivery_counters(t: StarSchema) -> DataFrame:
 
 @query
 def dead_letter(t: StarSchema) -> DataFrame:
-    return events.dead_letter(_routed(t).where("outcome = 'failed'"))
+    return events.dead_letter(_routed(t).where("outcome = 'failed'"), order="event_id")
 
 
 # Notifications
@@ -475,9 +501,39 @@ def parse_replies_rejects(t: StarSchema) -> DataFrame:
 # Streams: run over all stored rows, then read back
 
 
-def _finish(writer, path: str, out: str | None = None) -> None:
+def _finish(spark: SparkSession, writer, path: str, out: str | None = None) -> None:
     stream = writer.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True)
-    (stream.start(out) if out else stream.start()).awaitTermination()
+    with stateful(spark):
+        running = stream.start(out) if out else stream.start()
+    running.awaitTermination()
+
+
+def _stored(df: DataFrame, name: str) -> str:
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+@query
+def stored_products(t: StarSchema) -> DataFrame:
+    """The table in the library's own layout, written and read back."""
+    return read_products(t.spark, _stored(t.products().withColumn("id", F.col("id").cast("string")), "products"))
+
+
+@query
+def stored_orders(t: StarSchema) -> DataFrame:
+    lines = t.orders().withColumns({c: F.col(c).cast("string") for c in ("id", "customer_id", "product_id")})
+    return read_orders(t.spark, _stored(lines, "orders")).drop("payment_ref", "version")
+
+
+@query
+def stored_event_stream(t: StarSchema) -> DataFrame:
+    """All message files read as a stream."""
+    path = work_folder(t.spark, "messages")
+    messages = read_product_events(t.spark, _stored(t.event_messages().select("message_id", "raw"), "raw"))
+    _finish(t.spark, messages.writeStream.format("parquet"), path, f"{path}/out")
+    read = events.parse_events(t.spark.read.schema(messages.schema).parquet(f"{path}/out"))
+    return read.select("message_id", "eventType", "entityId")
 
 
 @query
@@ -485,7 +541,7 @@ def reserved_stock_stream(t: StarSchema) -> DataFrame:
     path = work_folder(t.spark, "reserved")
     live = StarSchema(t.spark, t.folder, streaming=True)
     outcomes = stock_stream.reserve_stock_stream(live.stock_requests(), t.products())
-    _finish(outcomes.writeStream.format("parquet"), path, f"{path}/out")
+    _finish(t.spark, outcomes.writeStream.format("parquet"), path, f"{path}/out")
     return t.spark.read.schema(outcomes.schema).parquet(f"{path}/out")
 
 
@@ -493,33 +549,35 @@ def reserved_stock_stream(t: StarSchema) -> DataFrame:
 def reserved_stock_batches(t: StarSchema) -> DataFrame:
     path = work_folder(t.spark, "batches")
     live = StarSchema(t.spark, t.folder, streaming=True)
-    _finish(stock_stream.reserve_stock_batches(live.stock_requests(), t.products(), f"{path}/out", f"{path}/progress"), path)
-    return t.spark.read.parquet(f"{path}/out/outcomes").drop("batch_id")
+    writer = stock_stream.reserve_stock_batches(live.stock_requests(), t.products(), f"{path}/out", f"{path}/progress")
+    _finish(t.spark, writer, path)
+    schema = T.StructType([*t.stock_requests().schema, T.StructField("outcome", T.StringType()), T.StructField("remaining", T.LongType())])
+    return t.spark.read.schema(schema).parquet(f"{path}/out/outcomes/batch_id=*")
 
 
 @query
 def routed_events_stream(t: StarSchema) -> DataFrame:
     path = work_folder(t.spark, "routed")
     live = StarSchema(t.spark, t.folder, streaming=True)
-    _finish(routing.routed_sinks(live.event_messages(), f"{path}/out", f"{path}/progress"), path)
-    return t.spark.read.parquet(f"{path}/out").select("event_id", "eventType", "entityId", "outcome")
+    _finish(t.spark, routing.routed_sinks(live.event_messages(), f"{path}/out", f"{path}/progress"), path)
+    schema = "event_id bigint, eventType string, entityId string, batch_id bigint, outcome string"
+    return t.spark.read.schema(schema).parquet(f"{path}/out").drop("batch_id")
 
 
 @query
 def product_event_outcomes_stream(t: StarSchema) -> DataFrame:
     path = work_folder(t.spark, "outcomes")
-    name = "outcomes_" + path.rsplit("-", 1)[-1]
     live = StarSchema(t.spark, t.folder, streaming=True)
-    _finish(product_event_outcomes(live).writeStream.format("memory").queryName(name).outputMode("complete"), path)
-    return t.spark.table(name)
+    _finish(t.spark, routing.outcome_counts_stream(_routed(live), f"{path}/out", f"{path}/progress"), path)
+    return routing.latest_counts(t.spark, f"{path}/out")
 
 
 @query
 def dead_letter_stream(t: StarSchema) -> DataFrame:
     path = work_folder(t.spark, "letters")
     live = StarSchema(t.spark, t.folder, streaming=True)
-    letters = routing.dead_letter_stream(_routed(live).where("outcome = 'failed'"))
-    _finish(letters.writeStream.format("parquet"), path, f"{path}/out")
+    letters = routing.dead_letter_stream(_routed(live).where("outcome = 'failed'"), "event_id")
+    _finish(t.spark, letters.writeStream.format("parquet"), path, f"{path}/out")
     return t.spark.read.schema(letters.schema).parquet(f"{path}/out")
 
 
@@ -530,9 +588,9 @@ def post_order_fanout(t: StarSchema) -> DataFrame:
     orders = live.order_headers().withColumn("id", F.col("id").cast("string"))
     for running in fanout.post_order_fanout(orders, f"{path}/out", f"{path}/progress").values():
         running.awaitTermination()
-    mails = t.spark.read.parquet(f"{path}/out/confirmations")
+    mails = t.spark.read.schema("recipient string, order_id string, total decimal(19,2)").parquet(f"{path}/out/confirmations")
     fields = F.from_json("message", "orderId string, status string")
-    sent = t.spark.read.parquet(f"{path}/out/events").select(fields.alias("f")).select("f.*")
+    sent = t.spark.read.schema("message string").parquet(f"{path}/out/events").select(fields.alias("f")).select("f.*")
     return mails.join(sent, F.col("order_id") == F.col("orderId")).select("order_id", "recipient", "total", "status")
 
 
@@ -550,7 +608,14 @@ def _training_data() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {name: lambda spark, folder, run=run: plain(run(StarSchema(spark, folder))) for name, run in _QUERIES.items()}
+    def bound(run: Query) -> Callable[[SparkSession, str], DataFrame]:
+        def called(spark: SparkSession, folder: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times are UTC
+            return plain(run(StarSchema(spark, folder)))
+
+        return called
+
+    own = {name: bound(run) for name, run in _QUERIES.items()}
     return {**own, **_training_data()[0]}
 
 

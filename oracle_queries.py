@@ -78,6 +78,7 @@ MESSAGES = """messages AS (
               WHEN 'purchase' THEN 'PRODUCT_DELETED' ELSE 'PRODUCT_VIEWED' END AS "eventType",
          CASE WHEN event_type <> 'error' THEN CAST(event_id AS VARCHAR) END AS "entityId",
          CASE WHEN event_type NOT IN ('error', 'purchase') THEN '{"price":' || value || '}' END AS payload,
+         CASE WHEN event_type = 'error' THEN '{broken ' || props END AS raw,
          CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'unknown' ELSE 'handled' END AS outcome
   FROM events)"""
 
@@ -177,7 +178,7 @@ SELECT "eventType", outcome, count(*) AS messages, outcome <> 'failed' AS acknow
 FROM messages GROUP BY "eventType", outcome"""
 
 DEAD_LETTERS = f"""WITH {MESSAGES}
-SELECT message_id, count(*) AS attempts FROM messages WHERE outcome = 'failed' GROUP BY message_id HAVING count(*) >= 5"""
+SELECT message_id, count(*) AS attempts, arg_max(raw, event_id) AS raw FROM messages WHERE outcome = 'failed' GROUP BY message_id HAVING count(*) >= 5"""
 
 MONEY_OF = """round_even(CASE WHEN quantity > 10 THEN {unit} * quantity * CAST(0.90 AS DECIMAL(3,2))
   ELSE {unit} * quantity * CAST(1.00 AS DECIMAL(3,2)) END, 2)"""
@@ -185,6 +186,15 @@ MONEY_OF = """round_even(CASE WHEN quantity > 10 THEN {unit} * quantity * CAST(0
 UNIT_TOTAL = MONEY_OF.format(unit="CAST(99.99 AS DECIMAL(19,2))")
 LIST_TOTAL = MONEY_OF.format(unit="price")
 
+
+def _prefix(text: str, units: int) -> str:
+    """The longest beginning whose characters, those above U+FFFF counted twice, come to ``units`` at most."""
+    wide = f"length(regexp_replace(substr({text}, 1, i), '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+    return f"substr({text}, 1, len(list_filter(range(1, least({units}, length({text})) + 1), lambda i: i + {wide} <= {units})))"
+
+
+# The wording of reasons, mails and prompts below and above is that of the operators.
+
 ORACLES: dict[str, str] = {
     "top_products_by_category": TOP_PRODUCTS,
     "top_products_api": TOP_PRODUCTS,
@@ -245,14 +255,24 @@ FROM requests LEFT JOIN products ON id = product_id""",
     "order_page": f"""WITH {HEADERS}
 SELECT id, customer_id, CAST(amount AS DOUBLE) AS amount, status, created_at
 FROM headers ORDER BY created_at, id LIMIT 20 OFFSET 60""",
+    "order_line_page": f"""WITH {SALES}
+SELECT id, customer_id, status, created_at FROM sales ORDER BY created_at, id LIMIT 20 OFFSET 18000""",
+    "order_line_total": f"""WITH {SALES}
+SELECT id, created_at, (SELECT count(*) FROM sales) AS total FROM sales ORDER BY created_at, id LIMIT 20 OFFSET 40""",
+    "stored_products": f"""WITH {PRODUCTS}
+SELECT CAST(id AS VARCHAR) AS id, name, description, CAST(price AS DOUBLE) AS price, currency, stock, category, created_at,
+       CAST(0 AS BIGINT) AS version FROM products""",
+    "stored_orders": f"""WITH {SALES}
+SELECT CAST(id AS VARCHAR) AS id, CAST(customer_id AS VARCHAR) AS customer_id, CAST(product_id AS VARCHAR) AS product_id, quantity,
+       CAST(amount AS DOUBLE) AS amount, 'USD' AS currency, status, created_at FROM sales""",
+    "stored_event_stream": f'WITH {MESSAGES} SELECT message_id, "eventType", "entityId" FROM messages',
     "product_page": f"WITH {PRODUCTS} SELECT id, name, created_at FROM products ORDER BY created_at, id LIMIT 20 OFFSET 20",
     "order_positions": f"WITH {HEADERS} SELECT id, row_number() OVER (ORDER BY created_at, id) AS position FROM headers",
     "normalized_currency": "SELECT l_orderkey, l_linenumber, 'USD' AS currency, 3 AS width FROM lineitem",
     "duplicate_keys": """SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
-    "orphan_orders": f"""WITH {SALES}
-SELECT id, product_id, CAST(amount AS DOUBLE) AS amount FROM sales
-WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = product_id AND p_type <> 'ECONOMY')""",
+    "orphan_orders": f"""WITH {STOCK_REQUESTS}
+SELECT request_id, product_id, quantity FROM requests WHERE product_id NOT IN (SELECT p_partkey FROM part)""",
     "check_violations": f"""WITH {CREATE_REQUESTS}, drafts AS (
   SELECT request_id AS id, concat_ws('; ',
     CASE WHEN description IS NULL THEN 'description is null' END,
@@ -293,6 +313,11 @@ SELECT request_id, id, CASE WHEN stock < 0 THEN 'Stock cannot be negative' ELSE
 FROM requests WHERE stock < 0 OR id NOT IN (SELECT p_partkey FROM part)""",
     "delete_products": f"""WITH {PRODUCTS}, {REQUESTED}
 SELECT id, name FROM products WHERE id NOT IN (SELECT id FROM requested)""",
+    "delete_unordered_products": f"""WITH {PRODUCTS}, {REQUESTED}
+SELECT id, name FROM products WHERE id NOT IN (SELECT id FROM requested) OR id IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)""",
+    "delete_unordered_rejects": f"""WITH {DELETE_REJECTS}, sold AS (SELECT DISTINCT l_partkey AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT request_id, seq, id, 'Product has orders' AS reasons FROM ranked WHERE id IN (SELECT p FROM sold) AND id IN (SELECT p_partkey FROM part)
+UNION ALL SELECT request_id, seq, id, reasons FROM delete_rejects WHERE id NOT IN (SELECT p FROM sold) OR id NOT IN (SELECT p_partkey FROM part)""",
     "delete_rejects": f"WITH {DELETE_REJECTS} SELECT request_id, seq, id, reasons FROM delete_rejects",
     "combined_money": """WITH lines AS (
   SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(19,2)) AS price,
@@ -344,7 +369,7 @@ SELECT 'delete-' || request_id, 404, reasons FROM delete_rejects""",
 SELECT 'PRODUCT_CREATED' AS "eventType", CAST(id AS VARCHAR) AS "entityId", name, CAST(price AS DOUBLE) AS price, stock,
        CAST(stock < 10 AS VARCHAR) AS low_stock, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS created_at
 FROM products""",
-    "order_placed_events": f'WITH {SALES} SELECT id AS "orderId", customer_id AS "customerId", status FROM sales',
+    "order_placed_events": f'WITH {SALES} SELECT CAST(id AS VARCHAR) AS "orderId", CAST(customer_id AS VARCHAR) AS "customerId", status FROM sales',
     "routed_events": ROUTED,
     "routed_events_stream": ROUTED,
     "product_event_outcomes": OUTCOMES,
@@ -358,8 +383,8 @@ FROM per_message""",
     "dead_letter_stream": DEAD_LETTERS,
     "route_notifications": f"""WITH {NOTIFY}
 SELECT turn, "userId", channel,
-       CASE channel WHEN 'email' THEN substr(message, 1, 80) WHEN 'push' THEN substr(message, 1, 60)
-                    WHEN 'slack' THEN substr(message, 1, 100) END AS preview,
+       CASE channel WHEN 'email' THEN {_prefix('message', 80)} WHEN 'push' THEN {_prefix('message', 60)}
+                    WHEN 'slack' THEN {_prefix('message', 100)} END AS preview,
        CASE WHEN channel = 'sms'
             THEN CAST(length(message) + length(regexp_replace(message, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS INT) END AS chars
 FROM notify WHERE channel <> 'fax' AND message <> ''""",

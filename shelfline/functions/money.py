@@ -8,8 +8,8 @@ from shelfline.schemas import MONEY, WIDE_MONEY
 
 
 def to_money(amount: Column) -> Column:
-    """Round half to even at two places."""
-    return F.bround(amount, 2).cast(MONEY)
+    """Round half to even at two places; null for what the money type doesn't hold."""
+    return F.bround(amount, 2).try_cast(MONEY)
 
 
 def half_up(value: Column, scale: int = 2) -> Column:

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfline.functions.text import is_blank, is_empty, utf16_length
 from shelfline.schemas import EVENT_TYPES
 
+# Fixed value: the least amount that 19 digits, two of them decimal places, do not hold.
+MONEY_LIMIT = "100000000000000000.00"
+
 
 class Rule(NamedTuple):
     message: str
@@ -56,6 +59,7 @@ def product_request_rules() -> list[Rule]:
         Rule("Description cannot exceed 500 characters", _length_outside("description", 0, 500)),
         Rule("Price is required", F.col("price").isNull()),
         Rule("Price must be greater than 0", F.col("price") < F.lit("0.01").cast("decimal(3,2)")),
+        Rule("Price is out of range", F.abs(F.bround(F.col("price"), 2)) >= F.lit(MONEY_LIMIT).cast("decimal(38,2)")),
         Rule("Stock is required", F.col("stock").isNull()),
         Rule("Stock cannot be negative", F.col("stock") < 0),
         Rule("Category is required", is_blank(F.col("category"))),

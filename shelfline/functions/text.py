@@ -31,6 +31,14 @@ def utf16_length(value: Column) -> Column:
     return (F.octet_length(F.encode(value, "UTF-16BE")) / 2).cast("int")
 
 
+def utf16_prefix(value: Column, units: int) -> Column:
+    """The first ``units`` UTF-16 units, less one where they would end inside a character."""
+    coded = F.encode(value, "UTF-16BE")
+    inside = F.hex(F.substring(coded, 2 * units - 1, 1)).between("D8", "DB")
+    whole = F.when(inside, F.lit(2 * units - 2)).otherwise(F.lit(2 * units))
+    return F.when(F.octet_length(coded) <= 2 * units, value).otherwise(F.decode(F.substring(coded, F.lit(1), whole), "UTF-16BE"))
+
+
 def stable_uuid(*parts: Column) -> Column:
     """UUID-shaped id derived from its inputs, so that a re-run gives the same id."""
     digest = F.sha2(F.concat_ws("|", *parts), 256)

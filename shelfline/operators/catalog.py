@@ -9,6 +9,7 @@ from shelfline.functions.rules import Split, product_request_rules, split_by_rul
 from shelfline.functions.text import stable_uuid
 
 NOT_FOUND = "Product not found"
+HAS_ORDERS = "Product has orders"
 
 
 def create_products(requests: DataFrame, created_at: str) -> Split:
@@ -56,12 +57,20 @@ def update_products(products: DataFrame, requests: DataFrame) -> Split:
     return Split(updated, rejects.unionByName(missing))
 
 
-def delete_products(products: DataFrame, requests: DataFrame) -> Split:
+def delete_products(products: DataFrame, requests: DataFrame, orders: DataFrame | None = None) -> Split:
     """The product table without the requested ids, and the requests that found nothing.
 
     The first request for an id deletes it, so a repeated one finds nothing.
     The first is found by aggregation, not by ordering all requests of an id.
+    With ``orders`` a product that has some is not deleted, and all requests
+    for it are refused.
     """
+    if orders is not None:
+        ordered = orders.select(F.col("product_id").alias("id")).distinct()
+        bound = requests.join(products.join(ordered, "id", "left_semi").select("id"), "id", "left_semi")
+        free = delete_products(products, requests.join(bound.select("id").distinct(), "id", "left_anti"))
+        refused = bound.select(*requests.columns, F.array(F.lit(HAS_ORDERS)).alias("reasons"))
+        return Split(free.accepted, free.rejects.unionByName(refused))
     kept = products.join(requests.select("id").distinct(), "id", "left_anti").select(products.columns)
     first = requests.groupBy("id").agg(F.min(F.struct("seq", "request_id")).alias("_first"))
     effective = first.join(products.select("id"), "id", "left_semi").select("id", "_first.seq", "_first.request_id")

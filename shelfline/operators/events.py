@@ -25,7 +25,7 @@ def product_events(products: DataFrame, event_type: str) -> DataFrame:
         F.lit(None).cast("string")
         if event_type == "PRODUCT_DELETED"
         else F.struct(
-            F.struct(F.col("id").alias("value")).alias("id"),
+            F.struct(F.col("id").cast("string").alias("value")).alias("id"),
             "name",
             "description",
             F.struct(F.col("price").alias("amount"), "currency").alias("price"),
@@ -35,12 +35,13 @@ def product_events(products: DataFrame, event_type: str) -> DataFrame:
             (F.col("stock") < LOW_STOCK).alias("lowStock"),
         )
     )
-    envelope = F.struct(F.lit(event_type).alias("eventType"), F.col("id").alias("entityId"), payload.alias("payload"))
+    envelope = F.struct(F.lit(event_type).alias("eventType"), F.col("id").cast("string").alias("entityId"), payload.alias("payload"))
     return products.select(F.to_json(envelope, _WRITTEN).alias("message"))
 
 
 def order_placed_events(orders: DataFrame) -> DataFrame:
-    placed = F.struct(F.col("id").alias("orderId"), F.col("customer_id").alias("customerId"), "status")
+    """One ``message`` per order; both ids are text."""
+    placed = F.struct(F.col("id").cast("string").alias("orderId"), F.col("customer_id").cast("string").alias("customerId"), "status")
     return orders.select(F.to_json(placed, _WRITTEN).alias("message"))
 
 
@@ -90,10 +91,10 @@ def delivery_counters(events: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> Da
     )
 
 
-def dead_letter(failed: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Messages that failed ``max_attempts`` times or more, with their ``attempts``."""
+def dead_letter(failed: DataFrame, max_attempts: int = MAX_ATTEMPTS, order: str = "raw") -> DataFrame:
+    """Messages that failed ``max_attempts`` times or more, with their ``attempts`` and the ``raw`` text of the last by ``order``."""
     return (
         failed.groupBy("message_id")
-        .agg(F.count(F.lit(1)).alias("attempts"))
+        .agg(F.count(F.lit(1)).alias("attempts"), F.max_by("raw", order).alias("raw"))
         .where(F.col("attempts") >= max_attempts)
     )

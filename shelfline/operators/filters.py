@@ -71,8 +71,7 @@ def order_response(orders: DataFrame) -> DataFrame:
 def availability(requests: DataFrame, products: DataFrame) -> DataFrame:
     """Whether stock covers each request; an unknown product is unavailable.
 
-    Stock is looked up once per distinct product, and the answer joins back to
-    the requests, which AQE splits when one product dominates.
+    A plain left join, in which AQE splits the requests when one product dominates.
     """
     stock = products.select(F.col("id").alias("product_id"), "stock")
     return requests.join(stock, "product_id", "left").withColumn(

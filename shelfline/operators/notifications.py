@@ -8,9 +8,9 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfline.functions.rules import Split, broken_rules, notify_request_rules
-from shelfline.functions.text import STRICT_JSON, is_empty, once, sole_json_value, trim_whitespace, utf16_length
+from shelfline.functions.text import STRICT_JSON, is_empty, once, sole_json_value, trim_whitespace, utf16_length, utf16_prefix
 
-# Channels in order, and how many characters of the message each previews.
+# Channels in order, and how many UTF-16 units of the message each previews.
 CHANNELS = ("email", "sms", "push", "slack")
 PREVIEW_CHARS = {"email": 80, "push": 60, "slack": 100}
 
@@ -44,7 +44,7 @@ def route_notifications(requests: DataFrame) -> Split:
     checked = requests.withColumn("reasons", reasons)
     preview = F.lit(None).cast("string")
     for channel, size in PREVIEW_CHARS.items():
-        preview = F.when(F.col("channel") == channel, F.substring("message", 1, size)).otherwise(preview)
+        preview = F.when(F.col("channel") == channel, utf16_prefix(F.col("message"), size)).otherwise(preview)
     routed = (
         checked.where(F.col("reasons").isNull())
         .drop("reasons")
@@ -56,6 +56,7 @@ def route_notifications(requests: DataFrame) -> Split:
 
 def order_confirmations(orders: DataFrame) -> DataFrame:
     """Recipient, subject and body of the confirmation mail of every order."""
+    # The wording of the mail.
     body = F.concat(
         F.lit("Dear customer,\n\nYour order "),
         F.col("id"),
@@ -100,6 +101,7 @@ def parse_replies(replies: DataFrame) -> Split:
     Code fences around the JSON are dropped. ``subject_too_long`` and
     ``channel_unlisted`` flag replies that ignored the instructions.
     """
+    # The fences that replies come in.
     unfenced = F.regexp_replace(F.regexp_replace("reply", "```json\n?", ""), "```\n?", "")
     names = ("subject", "body", "channel")
     read = F.from_json(
@@ -107,7 +109,7 @@ def parse_replies(replies: DataFrame) -> Split:
     )
     complete = once(read, lambda f: F.when(~reduce(or_, [is_empty(f[name]) for name in names]), f))
     parsed = replies.withColumn("_fields", complete)
-    excerpt = F.concat(F.lit("non-JSON response: "), F.substring("reply", 1, 100), F.lit("..."))
+    excerpt = F.concat(F.lit("non-JSON response: "), utf16_prefix(F.col("reply"), 100), F.lit("..."))
     accepted = (
         parsed.where(F.col("_fields").isNotNull())
         .select(*replies.columns, "_fields.subject", "_fields.body", "_fields.channel")

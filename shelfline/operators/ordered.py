@@ -1,68 +1,62 @@
 """Ordered work within a key when one key may hold a large share of all rows.
 
 A key with more than ``chunk_rows`` rows is cut along its sequence number into
-chunks; every other key is one chunk. Work then runs per (key, chunk), and a
-table with one row per chunk carries what a chunk needs from those before it.
+chunks of about that many rows; every other key is one chunk. Work then runs per
+(key, chunk), and a table with one row per chunk carries what a chunk needs from
+those before it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-CHUNK_ROWS = 1_000_000
+from shelfline.session import durable, written
 
+CHUNK_ROWS = 1_000_000
 
-def key_extents(df: DataFrame, key: str, seq: str, *extra) -> DataFrame:
-    """Rows and sequence range of each key, plus further aggregates, in one pass."""
-    return df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(seq).alias("_first"), F.max(seq).alias("_last"), *extra
-    )
 
+def key_sizes(df: DataFrame, key: str, *extra) -> DataFrame:
+    """Rows of each key, plus further aggregates, in one pass."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *extra)
 
-def hot_ranges(extents: DataFrame, key: str, chunk_rows: int) -> DataFrame:
-    """Chunk grid of each key above the limit: at most (all rows / chunk_rows) rows.
 
-    The width spreads a key's rows over about ``rows / chunk_rows`` chunks. As
-    sequence numbers are unique, no chunk can hold more rows than its width.
-    """
-    parts = f"(_rows + {chunk_rows} - 1) div {chunk_rows}"
-    width = F.expr(f"(_last - _first) div ({parts}) + 1")
-    return extents.where(F.col("_rows") > chunk_rows).select(key, "_first", width.alias("_width"))
+def hot_keys(sizes: DataFrame, key: str, chunk_rows: int) -> DataFrame:
+    """The keys to be cut with their ``_rows``: fewer than all rows / chunk_rows."""
+    return sizes.where(F.col("_rows") > chunk_rows).select(key, "_rows")
 
 
-def add_chunk(df: DataFrame, key: str, seq: str, hot: DataFrame, only_cut: bool = False) -> DataFrame:
-    """Number the chunk of every row; 0 for keys that are not cut, or no row for them with ``only_cut``.
+def cut_rows(df: DataFrame, key: str, seq: str, hot: DataFrame, chunk_rows: int) -> DataFrame:
+    """The rows of the ``hot`` keys with the ``chunk`` each is in, stored.
 
-    ``hot`` is broadcast: its size is bounded by rows / chunk_rows.
+    The rows are range-partitioned by key and sequence number, so a chunk is cut
+    by rows wherever they crowd. Its number is that of its partition, which is
+    fixed by storing it; along a key the numbers ascend.
     """
-    chunk = F.expr(f"(`{seq}` - _first) div _width")
-    return (
-        df.join(F.broadcast(hot), key, "inner" if only_cut else "left")
-        .withColumn("chunk", F.coalesce(chunk, F.lit(0).cast("bigint")))
-        .drop("_first", "_width")
-    )
+    total = hot.agg(F.sum("_rows")).first()[0] or 0
+    parts = max(-(-total // chunk_rows), 1)
+    rows = df.join(hot.select(key), key, "left_semi").repartitionByRange(parts, key, seq)
+    return written(rows.withColumn("chunk", F.spark_partition_id().cast("bigint")), "chunks")
 
 
 def with_previous(df: DataFrame, key: str, seq: str, value: str, name: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``LAG(value)`` per key by ``seq``, without one task per hot key.
 
     Inside a chunk it is a plain window. The first row of a later chunk takes
-    the last value of the chunk before it, found in the one-row-per-chunk
-    table of the cut keys, which is broadcast under the same bound.
+    the last value of the chunk before it, from a table with one row per chunk.
     """
-    hot = hot_ranges(key_extents(df, key, seq), key, chunk_rows)
-    chunked = add_chunk(df, key, seq, hot)
+    hot = durable(hot_keys(key_sizes(df, key), key, chunk_rows))
+    if hot.isEmpty():
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(key).orderBy(seq)))
+    calm = df.join(hot.select(key), key, "left_anti")
+    cut = cut_rows(df, key, seq, hot, chunk_rows)
     within = Window.partitionBy(key, "chunk").orderBy(seq)
-    edges = (
-        add_chunk(df.select(key, seq, value), key, seq, hot, only_cut=True)
-        .groupBy(key, "chunk")
-        .agg(F.max_by(F.struct(value), F.col(seq)).alias("_edge"))
-    )
+    edges = cut.groupBy(key, "chunk").agg(F.max_by(F.struct(value), F.col(seq)).alias("_edge"))
     carried = edges.select(key, "chunk", F.lag("_edge").over(Window.partitionBy(key).orderBy("chunk")).alias("_carried"))
-    return (
-        chunked.withColumn("_position", F.row_number().over(within))
+    lagged = (
+        cut.withColumn("_position", F.row_number().over(within))
         .withColumn("_lag", F.lag(value).over(within))
-        .join(F.broadcast(carried), [key, "chunk"], "left")
+        .join(carried, [key, "chunk"], "left")
         .withColumn(name, F.when(F.col("_position") == 1, F.col(f"_carried.{value}")).otherwise(F.col("_lag")))
         .drop("chunk", "_position", "_lag", "_carried")
     )
+    return calm.withColumn(name, F.lag(value).over(Window.partitionBy(key).orderBy(seq))).unionByName(lagged)

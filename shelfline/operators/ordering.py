@@ -91,6 +91,7 @@ def place_orders(products: DataFrame, requests: DataFrame, placed_at: str, chunk
         F.lit(placed_at).cast("timestamp").alias("created_at"),
         F.lit(0).cast("bigint").alias("version"),
     )
+    # Fixed value: the wording of the reason.
     shortage = F.format_string("Product %s does not have enough stock for quantity %d", F.col("product_id"), F.col("quantity"))
     short = (
         outcomes.where(F.col("outcome") != RESERVED)

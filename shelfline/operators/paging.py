@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shelfline.session import durable
 
 # Offsets up to this many rows are served by a per-task top-n, which holds that many rows.
 SHALLOW_ROWS = 100_000
+# Bounds drawn in each step towards a deeper page.
+BOUNDS = 63
 
 
 class Page(NamedTuple):
@@ -17,12 +19,55 @@ class Page(NamedTuple):
     total: int
 
 
-def page_rows(df: DataFrame, page: int, size: int = 20, sort: str = "created_at", key: str = "id") -> DataFrame:
-    """Slice ``page`` (from 0) by ``sort`` ascending, ties broken by ``key``; empty past the end."""
+def page_rows(
+    df: DataFrame, page: int, size: int = 20, sort: str = "created_at", key: str = "id", shallow_rows: int = SHALLOW_ROWS
+) -> DataFrame:
+    """Slice ``page`` (from 0) by ``sort`` ascending, ties broken by ``key`` and then by the other columns; empty past the end.
+
+    A page further in than ``shallow_rows`` is approached by counting: drawn
+    bounds cut the order into cells, the rows of each are counted, and the cell
+    in which the page starts is cut again until it starts near its beginning.
+    Rows are filtered by place in the order, so repeated and null keys count as
+    what they are. Only the rows from that cell on are sorted, for a top-n.
+    """
     start = page * size
-    if start + size <= SHALLOW_ROWS:
-        return df.orderBy(sort, key).offset(start).limit(size)
-    return _deep_page(df, start, size, sort, key)
+    others = [c for c in df.columns if c not in (sort, key)]
+    place = F.struct(_plain(df, sort).alias("s"), _plain(df, key).alias("k"), (F.xxhash64(*others) if others else F.lit(0)).alias("h"))
+    placed = df.withColumn("_place", place)
+    kind, rows = placed.schema["_place"].dataType, None
+    while start + size > shallow_rows:
+        drawn = placed.select("_place").distinct().orderBy(F.xxhash64("_place")).limit(BOUNDS).agg(F.sort_array(F.collect_list("_place"))).first()[0]
+        bounds = [_literal(row, kind) for row in drawn]
+        if not bounds:
+            break
+        cell = F.size(F.filter(F.array(*bounds), lambda bound: bound <= F.col("_place")))
+        counts = sorted((r.cell, r.n) for r in placed.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())
+        total, before, wanted = sum(n for _, n in counts), 0, []
+        for number, n in counts:  # one for each cell
+            if before + n > start and before < start + size:
+                wanted.append(number)
+            elif not wanted:
+                start, before = start - n, before - n
+            before += n
+        if not wanted:
+            return df.limit(0)
+        if total == rows:
+            break  # all alike
+        rows = total
+        if wanted[0] > 0:
+            placed = placed.where(F.col("_place") >= bounds[wanted[0] - 1])
+        if wanted[-1] < len(bounds):
+            placed = placed.where(F.col("_place") < bounds[wanted[-1]])
+    return placed.orderBy("_place").offset(start).limit(size).drop("_place")
+
+
+def _plain(df: DataFrame, name: str) -> Column:
+    """The column, instants as numbers."""
+    return F.unix_micros(F.col(name)) if isinstance(df.schema[name].dataType, T.TimestampType) else F.col(name)
+
+
+def _literal(place, kind: T.StructType) -> Column:
+    return F.struct(*[F.lit(place[f.name]).cast(f.dataType).alias(f.name) for f in kind])
 
 
 def page(df: DataFrame, page: int, size: int = 20, sort: str = "created_at", key: str = "id") -> Page:
@@ -48,8 +93,3 @@ def row_positions(df: DataFrame, sort: str, key: str) -> DataFrame:
         .withColumn("position", F.col("_before") + inside)
         .select(key, "position")
     )
-
-
-def _deep_page(df: DataFrame, start: int, size: int, sort: str, key: str) -> DataFrame:
-    wanted = row_positions(df, sort, key).where((F.col("position") > start) & (F.col("position") <= start + size))
-    return df.join(F.broadcast(wanted.select(key)), key, "left_semi").orderBy(sort, key)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from shelfline.operators.ordered import CHUNK_ROWS, add_chunk, hot_ranges, key_extents
+from shelfline.operators.ordered import CHUNK_ROWS, cut_rows, hot_keys, key_sizes
 from shelfline.session import durable, written
 
 RESERVED = "RESERVED"
@@ -35,6 +35,9 @@ INSUFFICIENT = "INSUFFICIENT"
 INVALID_QUANTITY = "INVALID_QUANTITY"
 INVALID_OPERATION = "INVALID_OPERATION"
 
+# Over how many groups the refused rows of one product are spread.
+REFUSED_CHUNKS = 4096
+
 
 def _units(op: str) -> Column:
     """Units a row moves if it is an ``op``, else 0."""
@@ -64,63 +67,68 @@ def reserve_stock(products: DataFrame, requests: DataFrame, chunk_rows: int = CH
         .when(~F.coalesce(F.col("op").isin("RESERVE", "RELEASE"), F.lit(False)), INVALID_OPERATION)
         .when(F.col("product_id").isNull(), F.when(F.col("op") == "RESERVE", INSUFFICIENT).otherwise(RELEASED))
     )
-    refused = requests.withColumn("outcome", refusal).where(F.col("outcome").isNotNull())
     valid = requests.where(refusal.isNull())
 
     stock = products.select(F.col("id").alias("product_id"), F.col("stock").cast("bigint").alias("_stock"))
-    demand = durable(key_extents(valid, "product_id", "seq", *_moves()).join(stock, "product_id", "left"))
+    demand = durable(key_sizes(valid, "product_id", *_moves()).join(stock, "product_id", "left"))
     is_contended = F.col("_take") > F.col("_stock")
-    hot = hot_ranges(demand, "product_id", chunk_rows)
+    hot = hot_keys(demand, "product_id", chunk_rows)
+    tasks = _tasks(requests, demand.agg(F.sum("_rows")).first()[0] or 0, chunk_rows)
     chunk_zero = F.lit(0).cast("bigint").alias("chunk")
     one_chunk = demand.where(F.col("_rows") <= chunk_rows).select(
         "product_id", chunk_zero, F.col("_stock").alias("_opening"), is_contended.alias("_contended")
     )
-    if hot.isEmpty():
-        chunked, openings = valid.select("*", chunk_zero), one_chunk
-    else:
-        chunked = add_chunk(valid, "product_id", "seq", hot)
-        cut = add_chunk(valid, "product_id", "seq", hot, only_cut=True)
-        openings = one_chunk.unionByName(_hot_openings(cut, demand, is_contended))
+    # Refused rows take no part; their chunks only spread them.
+    spread = F.when(F.col("_refusal").isNotNull(), -1 - F.pmod(F.xxhash64("request_id"), F.lit(REFUSED_CHUNKS))).otherwise(F.lit(0))
+    chunked = requests.withColumn("_refusal", refusal).withColumn("chunk", spread.cast("bigint"))
+    openings = one_chunk
+    if not hot.isEmpty():
+        cut = cut_rows(valid, "product_id", "seq", hot, chunk_rows)
+        uncut = chunked.join(hot.select(F.col("product_id"), F.lit(0).cast("bigint").alias("chunk")), ["product_id", "chunk"], "left_anti")
+        chunked = uncut.unionByName(cut.withColumn("_refusal", F.lit(None).cast("string")))
+        openings = one_chunk.unionByName(_hot_openings(cut, demand, is_contended, tasks))
 
     unknown = F.col("_opening").isNull()
-    at_rest = chunked.join(openings.where(unknown | ~F.col("_contended")), ["product_id", "chunk"])
-    contended = chunked.join(openings.where(F.col("_contended")), ["product_id", "chunk"])
+    known = chunked.join(openings.where(unknown | ~F.col("_contended")).withColumn("_calm", F.lit(True)), ["product_id", "chunk"], "left")
+    at_rest = known.where(F.col("_refusal").isNotNull() | F.col("_calm"))
+    contended = chunked.where(F.col("_refusal").isNull()).join(openings.where(F.col("_contended")), ["product_id", "chunk"])
 
     so_far = Window.partitionBy("product_id", "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    decided = F.when(F.col("op") == "RELEASE", RELEASED).when(unknown, INSUFFICIENT).otherwise(RESERVED)
     summed = at_rest.select(
         *requests.columns,
-        F.when(F.col("op") == "RELEASE", RELEASED).when(unknown, INSUFFICIENT).otherwise(RESERVED).alias("outcome"),
-        (F.col("_opening") + F.sum(_net()).over(so_far)).alias("remaining"),
-    )
-    decided = [T.StructField("outcome", T.StringType()), T.StructField("remaining", T.LongType())]
-    replayed = _in_request_order(contended.select(*requests.columns, "chunk", "_opening", _net().alias("_move"))).mapInArrow(
-        _replay_rows, T.StructType([*requests.schema, *decided])
+        F.coalesce("_refusal", decided).alias("outcome"),
+        F.when(F.col("_refusal").isNull(), F.col("_opening") + F.sum(_net()).over(so_far)).alias("remaining"),
     )
-    return summed.unionByName(replayed).unionByName(refused.withColumn("remaining", F.lit(None).cast("bigint")))
+    added = [T.StructField("outcome", T.StringType()), T.StructField("remaining", T.LongType())]
+    moves = contended.select(*requests.columns, "chunk", "_opening", _net().alias("_move"))
+    replayed = _in_request_order(moves, tasks).mapInArrow(_replay_rows, T.StructType([*requests.schema, *added]))
+    return summed.unionByName(replayed)
 
 
 def remaining_stock(products: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The product table after the outcomes of :func:`reserve_stock`."""
+    """The product table after the outcomes of :func:`reserve_stock`; stock that its type no longer holds is null."""
     moved = (
         outcomes.where(F.col("outcome").isin(RESERVED, RELEASED))
         .groupBy(F.col("product_id").alias("id"))
         .agg(F.sum(_net()).alias("_moved"))
     )
-    stock = (F.col("stock") + F.coalesce("_moved", F.lit(0).cast("bigint"))).cast(products.schema["stock"].dataType)
+    stock = (F.col("stock") + F.coalesce("_moved", F.lit(0).cast("bigint"))).try_cast(products.schema["stock"].dataType)
     return products.join(moved, "id", "left").withColumn("stock", stock).select(products.columns)
 
 
-def _in_request_order(rows: DataFrame, run: str = "chunk") -> DataFrame:
+def _in_request_order(rows: DataFrame, tasks: int, run: str = "chunk") -> DataFrame:
     """Each run of chunks in one task, by ``seq``. The explicit count keeps AQE from merging all into one task."""
     keys = dict.fromkeys(["product_id", run, "chunk"])
-    return rows.repartition(_tasks(rows), "product_id", run).sortWithinPartitions(*keys, "seq")
+    return rows.repartition(tasks, "product_id", run).sortWithinPartitions(*keys, "seq")
 
 
-def _tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _tasks(df: DataFrame, rows: int, chunk_rows: int) -> int:
+    """Tasks that replay: as many as shuffles have, more if each would have more rows than a chunk."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // max(chunk_rows, CHUNK_ROWS)))
 
 
-def _hot_openings(rows: DataFrame, demand: DataFrame, is_contended: Column) -> DataFrame:
+def _hot_openings(rows: DataFrame, demand: DataFrame, is_contended: Column, tasks: int) -> DataFrame:
     """Opening stock of every chunk of the cut products, given their rows."""
     totals = rows.groupBy("product_id", "chunk").agg(*_moves())
     product = demand.select("product_id", "_stock", is_contended.alias("_contended"))
@@ -135,16 +143,16 @@ def _hot_openings(rows: DataFrame, demand: DataFrame, is_contended: Column) -> D
     if contended.isEmpty():
         return calm
     replayable = written(
-        rows.join(F.broadcast(contended.select("product_id").distinct()), "product_id", "left_semi").select(
+        rows.join(contended.select("product_id").distinct(), "product_id", "left_semi").select(
             "product_id", "chunk", "seq", _net().alias("_move")
         ),
         "contended",
     )
-    settled = _settle(replayable, contended).withColumn("_contended", F.lit(True))
+    settled = _settle(replayable, contended, tasks).withColumn("_contended", F.lit(True))
     return calm.unionByName(settled)
 
 
-def _settle(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+def _settle(rows: DataFrame, chunks: DataFrame, tasks: int) -> DataFrame:
     """Exact opening of every chunk: follow the known spans, replay what they leave open, until nothing is."""
     spans = rows.sparkSession.createDataFrame([], _span_schema(chunks))
     for attempt in itertools.count():
@@ -162,7 +170,7 @@ def _settle(rows: DataFrame, chunks: DataFrame) -> DataFrame:
         to_replay = walked.where(F.col("run").isNotNull()).select("product_id", "chunk", "run", "_opening")
         if to_replay.isEmpty():
             return walked.select("product_id", "chunk", "_opening")
-        fresh = _in_request_order(rows.join(F.broadcast(to_replay), ["product_id", "chunk"]), "run").mapInArrow(
+        fresh = _in_request_order(rows.join(to_replay, ["product_id", "chunk"]), tasks, "run").mapInArrow(
             _replay_spans, _span_schema(chunks)
         )
         spans = durable(spans.unionByName(fresh))

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# How the names of work folders begin.
+WORK = "work-"
+
+
 def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators rely on.
 
@@ -52,7 +56,56 @@ def durable(df: DataFrame) -> DataFrame:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables and stream progress, beside the checkpoints."""
     _ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{spark.sparkContext.getCheckpointDir()}/{WORK}{name}-{uuid.uuid4().hex}"
+
+
+def _place(spark: SparkSession, path: str):
+    """The file system of ``path`` and its place there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place) and files.getFileStatus(place).isDirectory()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    files, place = _place(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(place) if status.isDirectory()]
+
+
+def replace_file(spark: SparkSession, written_folder: str, target: str) -> None:
+    """Move the one part file of ``written_folder`` to ``target``, replacing it in one step."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    files, folder = _place(spark, written_folder)
+    (part,) = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, jvm.org.apache.hadoop.fs.Path(target), options)
+    files.delete(folder, True)
+
+
+def remove_work_folders(spark: SparkSession) -> None:
+    """Remove all work folders and written tables of this session, for when its results are stored elsewhere."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return
+    files, place = _place(spark, folder)
+    for status in files.listStatus(place):
+        if status.getPath().getName().startswith(WORK):
+            files.delete(status.getPath(), True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -28,16 +28,22 @@ def read_stock_requests(spark: SparkSession, path: str, max_files_per_trigger: i
 def read_product_events_kafka(
     spark: SparkSession, servers: str, topic: str, max_offsets_per_trigger: int = 10_000_000
 ) -> DataFrame:
-    """The same stream from a Kafka topic; needs the public Kafka connector on the class path."""
+    """The same stream from a Kafka topic; needs the public Kafka connector on the class path.
+
+    A message is known by its ``message_id`` header, else by its place in the
+    topic. The record key names the product, so it does not tell messages apart.
+    """
     messages = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("maxOffsetsPerTrigger", max_offsets_per_trigger)
+        .option("includeHeaders", "true")
         .load()
     )
     position = F.concat_ws("-", "topic", "partition", "offset")
+    named = F.get(F.filter(F.coalesce("headers", F.array()), lambda header: header["key"] == "message_id"), F.lit(0))["value"]
     return messages.select(
-        F.coalesce(F.col("key").cast("string"), position).alias("message_id"),
+        F.coalesce(named.cast("string"), position).alias("message_id"),
         F.col("value").cast("string").alias("raw"),
     )

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfline.schemas import MONEY
+from shelfline.session import is_folder
 
 
 EXACT = "decimal(38,10)"
@@ -38,11 +39,14 @@ class StarSchema:
     streaming: bool = False
 
     def table(self, name: str) -> DataFrame:
-        self.spark.conf.set("spark.sql.session.timeZone", "UTC")
-        if self.streaming:
-            files = self.spark.readStream.schema(TABLES[name]).option("pathGlobFilter", f"{name}.parquet")
-            return files.parquet(self.folder)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
+        """A table stored as one file or as a folder of them. The session's time zone must be UTC."""
+        path = f"{self.folder}/{name}.parquet"
+        if not self.streaming:
+            return self.spark.read.schema(TABLES[name]).parquet(path)
+        files = self.spark.readStream.schema(TABLES[name])
+        if is_folder(self.spark, path):
+            return files.parquet(path)
+        return files.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
     def products(self) -> DataFrame:
         return self.table("part").select(

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shelfline.schemas import ORDERS, PRODUCTS
+from shelfline.session import file_exists, list_folders, remove_folder, replace_file
+
+POINTER = "CURRENT"
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
@@ -51,19 +57,37 @@ def normalize_currency(df: DataFrame) -> DataFrame:
 def materialize_report(df: DataFrame, path: str) -> bool:
     """Store a report; an empty result keeps the previous snapshot. Returns whether it wrote.
 
-    The result is computed once: it is staged next to the target and copied
-    over only when it has rows.
+    The result is written once, as a version of its own under ``path``; a small
+    file that names the version is then replaced in one step, so readers find
+    the old snapshot or the new one. The version before stays for readers that
+    have begun; older ones go.
     """
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}_staged"
-    df.write.mode("overwrite").parquet(staged)
-    fresh = spark.read.schema(df.schema).parquet(staged)
-    if fresh.isEmpty():
+    name = f"version-{time.time_ns()}-{uuid.uuid4().hex}"
+    version = f"{path.rstrip('/')}/{name}"
+    df.write.parquet(version)
+    if spark.read.schema(df.schema).parquet(version).isEmpty():
+        remove_folder(spark, version)
         return False
-    fresh.write.mode("overwrite").parquet(path)
+    before = _current(spark, path)
+    spark.createDataFrame([(name,)], "version string").coalesce(1).write.text(f"{version}-pointer")
+    replace_file(spark, f"{version}-pointer", f"{path.rstrip('/')}/{POINTER}")
+    for folder in list_folders(spark, path):
+        if folder.startswith("version-") and folder not in (name, before):
+            remove_folder(spark, f"{path.rstrip('/')}/{folder}")
     return True
 
 
+def _current(spark: SparkSession, path: str) -> str | None:
+    pointer = f"{path.rstrip('/')}/{POINTER}"
+    return spark.read.text(pointer).first().value if file_exists(spark, pointer) else None
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The current snapshot that :func:`materialize_report` stored."""
+    return spark.read.parquet(f"{path.rstrip('/')}/{_current(spark, path)}")
+
+
 def materialize_reports(reports: dict[str, DataFrame], root: str) -> dict[str, bool]:
     """Store several reports; one that fails does not stop the others."""
     written: dict[str, bool] = {}

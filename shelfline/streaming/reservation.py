@@ -18,8 +18,7 @@ from shelfline.operators.reservation import (
     remaining_stock,
     reserve_stock,
 )
-from shelfline.session import durable
-from shelfline.streaming.state import use_rocksdb
+from shelfline.session import durable, remove_folder
 
 SYNCED = "SYNCED"
 
@@ -73,9 +72,9 @@ def reserve_stock_stream(requests: DataFrame, products: DataFrame) -> DataFrame:
     its ``quantity``. A product's requests of one micro-batch are sorted in
     its task, so bound the batch at the source (``maxFilesPerTrigger``,
     ``maxOffsetsPerTrigger``). For large batches with hot products use
-    :func:`reserve_stock_batches`, which splits them.
+    :func:`reserve_stock_batches`, which splits them. Start the query inside
+    ``streaming.state.stateful``.
     """
-    use_rocksdb(requests.sparkSession)
     kind = requests.schema["product_id"].dataType.simpleString()
     request_kind = requests.schema["request_id"].dataType.simpleString()
     initial = products.select(F.col("id").cast(kind).alias("product_id"), F.col("stock").cast("bigint").alias("stock"))
@@ -102,17 +101,20 @@ def reserve_stock_batches(
 
     Batch ``n`` reads the stock left by batch ``n - 1`` and owns the folders
     ``outcomes/batch_id=n`` and ``stock/batch_id=n`` under ``out``, which it
-    replaces when it is run again. It writes the whole (id, stock) table each
+    replaces when it is run again; stock that no later run needs is removed. It writes the whole (id, stock) table each
     time, so it suits large batches; the counter state suits small ones.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = durable(batch)  # read by several passes
         before = products.select("id", "stock")
         if batch_id > 0:
             before = spark.read.schema(before.schema).parquet(f"{out}/stock/batch_id={batch_id - 1}")
         outcomes = durable(reserve_stock(before, batch, chunk_rows))
         outcomes.write.mode("overwrite").parquet(f"{out}/outcomes/batch_id={batch_id}")
         remaining_stock(before, outcomes).write.mode("overwrite").parquet(f"{out}/stock/batch_id={batch_id}")
+        if batch_id > 1:  # a batch that runs again reads the stock of the one before
+            remove_folder(spark, f"{out}/stock/batch_id={batch_id - 2}")
 
     return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

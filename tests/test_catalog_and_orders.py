@@ -13,7 +13,7 @@ D = Decimal
 AT = "2024-01-01 00:00:00"
 
 
-def request(n, name="Mechanical Keyboard", description="Hot-swap", price="149.99", stock=200, category="PERIPHERALS"):
+def request(n, name="Garden Lantern", description="Copper, 40 cm", price="87.35", stock=64, category="OUTDOOR"):
     return (f"r{n}", n, name, description, None if price is None else D(price), stock, category)
 
 
@@ -26,9 +26,9 @@ def test_create_accepts_and_rounds_half_even(spark):
         spark.createDataFrame([request(1), request(2, price="2.345"), request(3, price="2.355")], PRODUCT_REQUESTS), AT
     )
     rows = {r.price: r for r in made.accepted.collect()}
-    assert set(rows) == {D("149.99"), D("2.34"), D("2.36")}
-    first = rows[D("149.99")]
-    assert (first.name, first.stock, first.currency, first.version) == ("Mechanical Keyboard", 200, "USD", 0)
+    assert set(rows) == {D("87.35"), D("2.34"), D("2.36")}
+    first = rows[D("87.35")]
+    assert (first.name, first.stock, first.currency, first.version) == ("Garden Lantern", 64, "USD", 0)
     assert made.accepted.where(~is_uuid(F.col("id"))).isEmpty() and made.rejects.isEmpty()
 
 
@@ -52,6 +52,24 @@ def test_create_reports_every_broken_rule(spark):
     }
 
 
+def test_a_price_that_does_not_fit_is_refused_alone(spark):
+    rows = [request(1), request(2, price="99999999999999999999.99"), request(3, price="99999999999999999.99"), request(4, price="99999999999999999.995")]
+    made = catalog.create_products(spark.createDataFrame(rows, PRODUCT_REQUESTS), AT)
+    assert {r.price for r in made.accepted.collect()} == {D("87.35"), D("99999999999999999.99")}
+    assert reasons(made.rejects) == {"r2": ["Price is out of range"], "r4": ["Price is out of range"]}
+    changed = catalog.update_products(products(spark, [("a", 1, "X")]), spark.createDataFrame(rows, PRODUCT_REQUESTS).withColumn("id", F.lit("a")))
+    assert changed.rejects.count() == 2 and changed.accepted.first().price == D("99999999999999999.99")
+
+
+def test_a_product_with_orders_is_not_deleted(spark):
+    table = products(spark, [("a", 1, "X"), ("b", 1, "X"), ("c", 1, "X")])
+    asked = spark.createDataFrame([("r1", 1, "a"), ("r2", 2, "b"), ("r3", 3, "b"), ("r4", 4, "zz"), ("r5", 5, "a")], "request_id string, seq bigint, id string")
+    sold = spark.createDataFrame([("a",), ("zz",)], "product_id string")
+    split = catalog.delete_products(table, asked, sold)
+    assert sorted(tuples(split.accepted, "id")) == [("a",), ("c",)]
+    assert reasons(split.rejects) == {"r1": ["Product has orders"], "r5": ["Product has orders"], "r3": ["Product not found"], "r4": ["Product not found"]}
+
+
 def test_create_update_delete_life_cycle(spark):
     table = catalog.create_products(spark.createDataFrame([request(1)], PRODUCT_REQUESTS), AT).accepted
     (key,) = [r.id for r in table.collect()]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from helpers import orders, products, tuples
 from shelfline.functions import rules
-from shelfline.functions.text import is_blank, sole_json_value, stable_uuid, utf16_length
+from shelfline.functions.text import is_blank, sole_json_value, stable_uuid, utf16_length, utf16_prefix
 from shelfline.operators import events, notifications, quality
 
 
@@ -80,6 +80,9 @@ def test_confirmation_text(spark):
     assert row.body == "Dear customer,\n\nYour order o0 has been placed.\nTotal: $989.90\n\nThank you!"
 
 
+# The wording of prompts and mails.
+
+
 def test_prompt(spark):
     df = spark.createDataFrame([("PRODUCT_UPDATED", '{"a":1}'), ("ODD", None)], "eventType string, payload string")
     vip = {r.eventType: r.prompt for r in notifications.notification_prompts(df, "premium VIP customer").collect()}
@@ -92,16 +95,16 @@ def test_prompt(spark):
 
 
 def test_reply_parsing(spark):
-    good = '{"subject":"Update","body":"Product updated.","channel":"email"}'
+    good = '{"subject":"New lantern","body":"It glows.","channel":"email"}'
     replies = [
         good,
         f"```json\n{good}\n```",
         f"```\n{good}```",
         f"\n  {good}\n\t",
-        "Sorry, I cannot generate that notification.",
+        "There is nothing to say about this one",
         '{"subject":"","body":"b","channel":"push"}',
         '{"subject":"s","channel":"push"}',
-        f"{good} Hope this helps!",
+        f"{good} As you asked.",
         "null",
         f"[{good}]",
         json.dumps({"subject": "s" * 61, "body": "b", "channel": "fax"}),
@@ -110,11 +113,11 @@ def test_reply_parsing(spark):
     parsed = notifications.parse_replies(column(spark, replies, "reply"))
     accepted = {r.i: r for r in parsed.accepted.collect()}
     assert sorted(accepted) == [0, 1, 2, 3, 10]
-    assert all((accepted[i].subject, accepted[i].body, accepted[i].channel) == ("Update", "Product updated.", "email") for i in range(4))
+    assert all((accepted[i].subject, accepted[i].body, accepted[i].channel) == ("New lantern", "It glows.", "email") for i in range(4))
     assert [(accepted[i].subject_too_long, accepted[i].channel_unlisted) for i in (0, 10)] == [(False, False), (True, True)]
     rejects = {r.i: r.reasons for r in parsed.rejects.collect()}
     assert sorted(rejects) == [4, 5, 6, 7, 8, 9, 11]
-    assert rejects[4] == ["non-JSON response: Sorry, I cannot generate that notification...."]
+    assert rejects[4] == ["non-JSON response: There is nothing to say about this one..."]
 
 
 def test_reply_excerpt_is_a_hundred_characters(spark):
@@ -123,9 +126,19 @@ def test_reply_excerpt_is_a_hundred_characters(spark):
 
 
 def test_batch_dead_letters_need_five_failures(spark):
-    failed = column(spark, ["a"] * 5 + ["b"] * 4 + ["c"] * 7, "message_id")
-    assert sorted(tuples(events.dead_letter(failed))) == [("a", 5), ("c", 7)]
-    assert sorted(tuples(events.dead_letter(failed, 7))) == [("c", 7)]
+    failed = column(spark, ["a"] * 5 + ["b"] * 4 + ["c"] * 7, "message_id").withColumn("raw", F.format_string("try %d", 99 - F.col("i")))
+    assert sorted(tuples(events.dead_letter(failed, order="i"))) == [("a", 5, "try 95"), ("c", 7, "try 84")]
+    assert sorted(tuples(events.dead_letter(failed, 7, order="i"))) == [("c", 7, "try 84")]
+
+
+def test_previews_and_excerpts_count_utf16_units(spark):
+    texts = ["\U0001f600" * 90, "a" + "\U0001f600" * 90, "x" * 81, "é" * 80, "", "\U0001f600" * 40]
+    got = [r[0] for r in column(spark, texts).orderBy("i").select(utf16_prefix(F.col("t"), 80)).collect()]
+    assert got == ["\U0001f600" * 40, "a" + "\U0001f600" * 39, "x" * 80, "é" * 80, "", "\U0001f600" * 40]
+    request = spark.createDataFrame([("u", texts[0], "email")], "userId string, message string, channel string")
+    assert notifications.route_notifications(request).accepted.first().preview == "\U0001f600" * 40
+    excerpt = notifications.parse_replies(column(spark, ["y" + "\U0001f600" * 60], "reply")).rejects.first().reasons[0]
+    assert excerpt == "non-JSON response: y" + "\U0001f600" * 49 + "..."
 
 
 def test_delivery_counters(spark):

@@ -14,10 +14,10 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(contract._QUERIES) == set(contract.ORACLES)
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", contract._QUERIES)
 def test_query_equals_sql(spark, duck, name):
     problem, rows = compare(spark, duck, contract.queries()[name], contract.oracle_sql()[name], FOLDER)
     assert problem is None and rows > 0

@@ -32,7 +32,12 @@ def test_empty_report_keeps_the_last_snapshot(spark, tmp_path):
     report = reports.low_stock_alerts(products(spark, [("a", 1, "X")]))
     assert tables.materialize_report(report, f"{tmp_path}/r")
     assert not tables.materialize_report(report.where("false"), f"{tmp_path}/r")
-    assert spark.read.parquet(f"{tmp_path}/r").count() == 1
+    assert tables.read_report(spark, f"{tmp_path}/r").count() == 1
+    more = reports.low_stock_alerts(products(spark, [("a", 1, "X"), ("b", 2, "X")]))
+    for _ in range(3):
+        assert tables.materialize_report(more, f"{tmp_path}/r")
+    assert tables.read_report(spark, f"{tmp_path}/r").count() == 2
+    assert len(list((tmp_path / "r").glob("version-*"))) == 2  # the one before stays for its readers
 
 
 def test_one_failing_report_does_not_stop_the_others(spark, tmp_path):
@@ -40,7 +45,7 @@ def test_one_failing_report_does_not_stop_the_others(spark, tmp_path):
     bad = good.withColumn("stock", F.raise_error(F.lit("broken")))
     with pytest.raises(ExceptionGroup, match="bad"):
         tables.materialize_reports({"bad": bad, "good": good}, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/good").count() == 1
+    assert tables.read_report(spark, f"{tmp_path}/good").count() == 1
 
 
 def test_pages(spark):
@@ -51,11 +56,28 @@ def test_pages(spark):
     assert paging.page_rows(df, 3).isEmpty()
 
 
-def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
-    df = spark.range(500).select("id", (F.xxhash64("id") % 7).alias("created_at"), (F.col("id") * 2).alias("other"))
-    shallow = [tuples(paging.page_rows(df, n, 60)) for n in (0, 4, 8, 9)]
-    monkeypatch.setattr(paging, "SHALLOW_ROWS", 0)
-    assert [tuples(paging.page_rows(df, n, 60)) for n in (0, 4, 8, 9)] == shallow
+@pytest.mark.parametrize("kind", ["bigint", "string", "timestamp", "date"])
+def test_deep_pages_equal_shallow_ones(spark, kind):
+    """Sort values tie, and keys repeat and are null, also together."""
+    at = {"timestamp": F.timestamp_seconds("n"), "date": F.date_from_unix_date(F.col("n").cast("int"))}.get(kind, F.col("n").cast(kind))
+    df = spark.range(500).select(
+        F.when(F.col("id") % 9 != 0, F.col("id") % 60).alias("id"),
+        (F.xxhash64("id") % 7).alias("n"),
+        (F.col("id") % 250).alias("other"),
+    )
+    df = df.withColumn("created_at", F.when(F.col("n") != 3, at)).repartition(3)
+    everything = df.orderBy("created_at", "id", F.xxhash64(*[c for c in df.columns if c not in ("created_at", "id")]))
+    want = tuples(everything)
+    for n in (0, 1, 4, 7, 8, 9):
+        shallow = tuples(paging.page_rows(df, n, 60))
+        assert shallow == want[60 * n : 60 * n + 60]
+        for limit in (0, 100, 200):
+            assert tuples(paging.page_rows(df, n, 60, shallow_rows=limit)) == shallow
+
+
+def test_deep_pages_of_rows_that_are_all_alike(spark):
+    df = spark.range(300).select(F.lit(1).alias("id"), F.lit(2).alias("created_at"))
+    assert [paging.page_rows(df, n, 40, shallow_rows=0).count() for n in (0, 3, 7, 8)] == [40, 40, 20, 0]
 
 
 def test_lookups(spark):
