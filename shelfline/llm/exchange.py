@@ -53,6 +53,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def planes(*arrays: np.ndarray, ordered: bool = True) -> bytes:
     """Arrays of equal length as bytes, plane by plane; if ``ordered``, the first is sorted and written as differences."""
     first, *others = arrays
+    if not len(first):
+        return b""
     out = [np.diff(first, prepend=first.dtype.type(0)) if ordered else first, *others]
     return b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in out)
 
