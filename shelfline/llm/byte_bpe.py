@@ -18,9 +18,11 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -269,7 +271,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.longest, self.ranks, self.find = max(map(len, ranks)), ranks, regex.compile(pattern).findall
         self.merger = Merger(ranks)
-        self.pieces = Recent(self.piece, 50_000)
+        self.pieces = Recent(self.piece, 20_000)
         self.words: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
@@ -282,23 +284,33 @@ class Encoder:
         """Learn the words of ``texts`` that aren't known."""
         here: set[str] = set()
         for text in texts:
-            here.update(text.split(" ")[1:])
+            here.update(islice(text.split(" "), 1, None))
         if len(self.words) > self.HELD:
-            self.words = {w: self.words[w] for w in here if w in self.words}
-        new = [w for w in here if w not in self.words and len(w) < self.SHORT and w and not w[0].isspace()]
-        split = [self.find(" " + w) for w in new]
-        unknown = list({p for parts in split for p in parts if p not in self.pieces})
-        whole = [self.ranks.get(p.encode()) for p in unknown]
-        parted = [p for p, rank in zip(unknown, whole) if rank is None]
-        known = {p: array("i", [rank]).tobytes() for p, rank in zip(unknown, whole) if rank is not None}
-        for at in range(0, len(parted), self.TOGETHER):
-            part = parted[at : at + self.TOGETHER]
-            known.update(zip(part, self.merger([p.encode() for p in part])))
-        pieces = self.pieces
-        for word, parts in zip(new, split):
-            self.words[word] = b"".join([known[p] if p in known else pieces[p] for p in parts])
-        for piece, ids in known.items():
-            pieces.put(piece, ids)
+            self.words = {w: self.words[w] for w in here & self.words.keys()}
+        new = [w for w in here - self.words.keys() if w and len(w) < self.SHORT and not w[0].isspace()]
+        # Letters are one pre-token with the blank before them; so are they when a point or comma follows.
+        letters = {w for w in new if w.isalpha()}
+        ended = [w for w in new if w[-1] in ".," and w[:-1].isalpha()]
+        letters.update(w[:-1] for w in ended)
+        parted = {}
+        for word in new:
+            if word not in letters and not (word[-1] in ".," and word[:-1].isalpha()):
+                parts = parted[word] = self.find(" " + word)
+                letters.update(p[1:] for p in parts if p[0] == " " and p[1:].isalpha())
+        unknown = []
+        for word in letters - self.words.keys():
+            whole = self.ranks.get(b" " + word.encode())
+            if whole is None:
+                unknown.append(word)
+            else:
+                self.words[word] = array("i", [whole]).tobytes()
+        for at in range(0, len(unknown), self.TOGETHER):
+            part = unknown[at : at + self.TOGETHER]
+            self.words.update(zip(part, self.merger([b" " + w.encode() for w in part])))
+        for word in ended:
+            self.words[word] = self.words[word[:-1]] + self.pieces[word[-1]]
+        for word, parts in parted.items():
+            self.words[word] = b"".join([self.words[p[1:]] if p[0] == " " and p[1:] in letters else self.pieces[p] for p in parts])
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
@@ -346,7 +358,10 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", decoded: str =
         tokens = worker_store(("byte bpe tokens", ranks_path), table).__getitem__
         for batch in batches:
             for part in small(batch, ids):
-                out = [b"".join(map(tokens, row.as_py())) if row.is_valid else b"" for row in part.column(ids)]
+                column = part.column(ids)
+                offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())]).tolist()
+                every = column.flatten().to_numpy().tolist()
+                out = [b"".join(map(tokens, every[i:j])) for i, j in zip(offsets[:-1], offsets[1:])]
                 yield appended(part, **{decoded: pa.array(out, pa.binary())})
 
     return adding(encoded, run, f"`{decoded}` binary")
