@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 from shelfline.llm.exchange import from_planes, planes, stored
 from shelfline.llm.wordhash import mix, pair, windows, words_of
 
+#: Elements below this bound, about one in eight, are compared before the whole sets: two sets differ in no fewer elements.
+LIGHT = np.uint64(1 << 61)
 #: Differences up to which parts are cut into pieces: the sets are small, and whole parts of few elements meet by chance.
 CUT_UP_TO = 48
 #: Parts above the k + 1 that larger sets need. Of k + 1 + SLACK parts two similar sets share SLACK + 1, so a part that is
@@ -223,26 +225,28 @@ def _facts(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _members(rows: DataFrame, size: int) -> DataFrame:
-    """(id, n, elements, parity...) of the rows."""
+    """(id, n, elements, light, parity...) of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, elements, parity = [], [], []
+            sizes, elements, light, parity = [], [], [], []
             for sets in sets_of(batch.column("text"), size):
                 bit = (sets.elements & np.uint64(64 * PARITY - 1)).astype(np.int64)
                 odd = np.bincount(sets.row_of() * 64 * PARITY + bit, minlength=len(sets.sizes) * 64 * PARITY) & 1
                 parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, PARITY))
                 sizes.append(sets.sizes)
-                elements += [planes(sets.elements[i:j]) for i, j in zip(sets.begins[:-1], sets.begins[1:])]
+                own = [sets.elements[i:j] for i, j in zip(sets.begins[:-1], sets.begins[1:])]
+                elements += map(planes, own)
+                light += [planes(e[: np.searchsorted(e, LIGHT)]) for e in own]
             if not sizes:
                 continue
             words = np.concatenate(parity)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.concatenate(sizes)), pa.array(elements, pa.binary()), *(pa.array(words[:, n]) for n in range(PARITY))],
-                names=["id", "n", "elements", *PARITIES],
+                [batch.column("id"), pa.array(np.concatenate(sizes)), *(pa.array(c, pa.binary()) for c in (elements, light)), *(pa.array(words[:, n]) for n in range(PARITY))],
+                names=["id", "n", "elements", "light", *PARITIES],
             )
 
-    return rows.mapInArrow(run, f"id bigint, n bigint, elements binary, {', '.join(f'{p} bigint' for p in PARITIES)}")
+    return rows.mapInArrow(run, f"id bigint, n bigint, elements binary, light binary, {', '.join(f'{p} bigint' for p in PARITIES)}")
 
 
 def _may_link(x: list, y: list, scheme: Scheme):
@@ -253,24 +257,34 @@ def _may_link(x: list, y: list, scheme: Scheme):
 
 
 def _links(pairs: DataFrame, members: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+    """The pairs whose sets are similar enough: by sizes and parities, then by a part of the sets, then by all of them."""
     num, den = scheme.num, scheme.den
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                one, two = from_planes(x, np.uint64)[0], from_planes(y, np.uint64)[0]
-                common = np.count_nonzero(np.diff(np.sort(np.concatenate([one, two]))) == 0)
-                kept.append(den * common >= num * (len(one) + len(two) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    light = [members.drop("elements").withColumnsRenamed({"id": id_, **{c: f"{c}_{id_}" for c in ("n", *PARITIES)}}) for id_ in ("a", "b")]
-    near = pairs.join(light[0], "a").join(light[1], "b").where(_may_link(*([F.col(f"{c}_{id_}") for c in ("n", *PARITIES)] for id_ in ("a", "b")), scheme))
-    both = near.select("a", "b").distinct()
-    for id_, name in (("a", "x"), ("b", "y")):
-        both = both.join(members.select(F.col("id").alias(id_), F.col("elements").alias(name)), id_)
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
+    def common(x: bytes, y: bytes) -> tuple[int, int]:
+        one, two = from_planes(x, np.uint64)[0], from_planes(y, np.uint64)[0]
+        return np.count_nonzero(np.diff(np.sort(np.concatenate([one, two]))) == 0), len(one) + len(two)
+
+    def filtered(test):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = [batch.column(c).to_pylist() for c in ("x", "y", "size")]
+                kept = [test(*common(x, y), size) for x, y, size in zip(*columns)]
+                yield batch.select(["a", "b", "size"]).filter(pa.array(kept, pa.bool_()))
+
+        return run
+
+    def with_sets(found: DataFrame, column: str) -> DataFrame:
+        for id_, name in (("a", "x"), ("b", "y")):
+            found = found.join(members.select(F.col("id").alias(id_), F.col(column).alias(name)), id_)
+        return found.select("a", "b", "size", "x", "y")
+
+    slim = [members.drop("elements", "light").withColumnsRenamed({"id": id_, **{c: f"{c}_{id_}" for c in ("n", *PARITIES)}}) for id_ in ("a", "b")]
+    may = _may_link(*([F.col(f"{c}_{id_}") for c in ("n", *PARITIES)] for id_ in ("a", "b")), scheme)
+    near = pairs.join(slim[0], "a").join(slim[1], "b").where(may).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("size")).distinct()
+    schema = "a bigint, b bigint, size bigint"
+    likely = with_sets(near, "light").mapInArrow(filtered(lambda same, both, size: (both - 2 * same) * (den + num) <= size * (den - num)), schema)
+    alike = with_sets(stored(likely, "likely"), "elements").mapInArrow(filtered(lambda same, both, size: den * same >= num * (both - same)), schema)
+    return alike.select("a", "b").distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:
