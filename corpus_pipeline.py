@@ -8,11 +8,15 @@ document: a stage keeps all of them or none.
 from __future__ import annotations
 
 import public_tokenizers
+import shelfline
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
-
 from shelfline.llm import byte_bpe, decontaminate, partenum, secret_ledger, toxicity
 from shelfline.session import work_folder
 
+# Workers need not have the package installed.
+cloudpickle.register_pickle_by_value(shelfline)
+
 TOXIC_FROM = 0.3
 SHINGLE_WORDS, ALIKE_PERCENT = 5, 80
 
