@@ -36,6 +36,17 @@ _ARROW = pa.schema([(name, _KINDS[kind][1]) for name, kind in _FIELDS.items()])
 FINGERPRINT_SEED = 7
 
 
+# Bytes that byte-level vocabularies show as the characters of the same number; the others follow from 256.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+PROBES = ("a", "probe", "größe", "été", "ñandú", "straßenbahnhaltestelle")
+
+
+def shown(text: str) -> str:
+    """The bytes of a text as byte-level vocabularies show them."""
+    return text if text.isascii() else text.encode().decode("latin-1").translate(_BYTES)
+
+
 class WordEncoder:
     """The library's ids of a text, word by word: no token of a vocabulary that drops white space spans two words."""
 
@@ -43,7 +54,12 @@ class WordEncoder:
         tokenizer = Tokenizer.from_buffer(content)
         self.kind = np.uint16 if max(tokenizer.get_vocab_size(), end_id) < 1 << 16 else np.uint32
         self.end = self.kind(end_id).tobytes()
-        self.parts = Recent(lambda part: np.array(tokenizer.encode(part, add_special_tokens=False).ids, self.kind).tobytes())
+        self.whole = lambda part: np.array(tokenizer.encode(part, add_special_tokens=False).ids, self.kind).tobytes()
+        model = tokenizer.model
+        merged = lambda part: np.array([t.id for t in model.tokenize(shown(part))], self.kind).tobytes()
+        # One run of lower-case letters needs the library's merges only, where they start from bytes.
+        self.letters = Recent(merged if all(self.whole(p) == merged(p) for p in PROBES) else self.whole)
+        self.parts = Recent(self.whole, 20_000)
         self.words = Recent(self.word)
 
     def word(self, word: bytes) -> bytes:
@@ -51,7 +67,7 @@ class WordEncoder:
         letters = text.rstrip(".,")
         # Letters of Latin-1 have one form and one lower case, so their variants share an entry.
         if letters.isalpha() and max(letters) < "Ā":
-            return self.parts[letters.lower()] + (self.parts[text[len(letters) :]] if len(letters) < len(text) else b"")
+            return self.letters[letters.lower()] + (self.parts[text[len(letters) :]] if len(letters) < len(text) else b"")
         return self.parts[text]
 
     def encode(self, text: bytes | None) -> bytes:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -72,3 +73,8 @@ def test_words_alone_encode_like_the_whole(library):
         encoder = token_files.WordEncoder(file.read(), 1)
     for text in ["It's I'LL they've 'S 1999 3.5% A.B.C., ..., İstanbul Å Å W̊ ßẞ ΣΣ.", "x y z \x1c \x85 <|endoftext|>. <|ENDOFTEXT|> a<|startoftext|>b", "日本語,テスト! ªº µ."]:
         assert np.frombuffer(encoder.encode(text.encode()), np.uint16).tolist() == ids_of(library, text)
+    rng = random.Random(7)
+    letters = "aeinrstAEIZéèüßñÉÀÿµªº'.,-1 "
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        assert np.frombuffer(encoder.encode(text.encode()), np.uint16).tolist() == ids_of(library, text)
