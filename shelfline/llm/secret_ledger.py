@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfline.llm.exchange import shuffles_removed
 from shelfline.session import written
 
 
@@ -85,6 +86,17 @@ def _read(spark, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
+def _texts(rows: DataFrame, unseen: DataFrame) -> DataFrame:
+    """(blob, text) of the unseen blobs.
+
+    The empty ``mark`` makes the text depend on the join, or Spark would scan
+    all rows before it to have fewer to join.
+    """
+    wanted = unseen.select(F.col("blob").alias("_blob"), F.col("path").alias("_path"), "mark")
+    found = rows.join(wanted, (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")))
+    return found.select("blob", F.concat("text", "mark").alias("text"))
+
+
 def scan_versions(versions: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``versions`` with ``blob`` and the ``spans`` found in its text, scanning what ``ledger`` hasn't seen.
 
@@ -95,12 +107,12 @@ def scan_versions(versions: DataFrame, ledger: str, path: str = "doc_id", text:
     content = F.coalesce(F.col(text), F.lit(""))
     rows = versions.drop("blob", "spans").withColumn("blob", F.sha2(content.cast("binary"), 256))
     seen = _read(spark, f"{ledger}/seen/{version}", "blob string")
-    # One path stands for each unseen blob: its text alone is read, however many copies there are.
-    unseen = written(rows.groupBy("blob").agg(F.min(path).alias("path")).join(seen, "blob", "left_anti"), "unseen")
-    texts = rows.select("blob", F.col(path).alias("path"), content.alias("text"))
-    fresh = texts.join(unseen, (texts.blob == unseen.blob) & texts.path.eqNullSafe(unseen.path), "left_semi")
+    # One path stands for each unseen blob: its text alone is scanned, however many copies there are.
+    chosen = rows.groupBy("blob").agg(F.min(path).alias("path")).join(seen, "blob", "left_anti")
+    unseen = written(chosen.withColumn("mark", F.lit("")), "unseen")
     stored = f"{ledger}/findings/{version}"
-    scan(fresh, rules).dropDuplicates(["blob"]).write.mode("append").parquet(stored)
+    with shuffles_removed(spark):
+        scan(_texts(rows.select("blob", F.col(path).alias("path"), content.alias("text")), unseen), rules).dropDuplicates(["blob"]).write.mode("append").parquet(stored)
     unseen.select("blob").write.mode("append").parquet(f"{ledger}/seen/{version}")
     findings = spark.read.schema("blob string, spans array<struct<start:int,kind:int,end:int>>").parquet(stored).dropDuplicates(["blob"])
     names = F.array(*[F.lit(rule.kind) for rule in rules])

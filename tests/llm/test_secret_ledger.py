@@ -73,6 +73,15 @@ def test_only_unseen_blobs_are_scanned(spark, ledger, monkeypatch):
     assert scanned[2] == 5
 
 
+def test_seen_texts_are_not_scanned(spark, tmp_path):
+    """Spark must not move the patterns below the join that leaves the unseen texts."""
+    spark.createDataFrame([("x", 1, "")], "blob string, path bigint, mark string").write.parquet(f"{tmp_path}/unseen")
+    rows = documents(spark, TRICKY).selectExpr("sha2(text, 256) AS blob", "doc_id AS path", "text")
+    plan = secret_ledger.scan(secret_ledger._texts(rows, spark.read.parquet(f"{tmp_path}/unseen")))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Join Inner", 1)[1].split("\n", 1)[1]
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in below and "RLIKE" not in below
+
+
 def test_redaction(spark, ledger):
     rows = {r.doc_id: r.text for r in secret_ledger.redact(secret_ledger.scan_versions(documents(spark, TRICKY + [(50, "é token=abcdefgh. x"), (51, None)]), ledger)).collect()}
     assert rows[50] == "é [secret] x" and rows[51] is None
