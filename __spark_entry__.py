@@ -194,14 +194,14 @@ def product_page(t: StarSchema) -> DataFrame:
 @query
 def order_line_page(t: StarSchema) -> DataFrame:
     """Far enough in to be approached by counting; the ids repeat."""
-    lines = paging.page_rows(t.orders(), page=900, shallow_rows=2_000)
+    lines = paging.page_rows(t.orders(), page=200, shallow_rows=2_000)
     return lines.select("id", "customer_id", "status", "created_at")
 
 
 @query
 def order_line_total(t: StarSchema) -> DataFrame:
     found = paging.page(t.orders().select("id", "created_at"), page=2)
-    return found.rows.withColumn("total", F.lit(found.total))
+    return found.rows.withColumn("total", F.lit(found.total).cast("bigint"))
 
 
 @query

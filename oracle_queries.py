@@ -256,7 +256,7 @@ FROM requests LEFT JOIN products ON id = product_id""",
 SELECT id, customer_id, CAST(amount AS DOUBLE) AS amount, status, created_at
 FROM headers ORDER BY created_at, id LIMIT 20 OFFSET 60""",
     "order_line_page": f"""WITH {SALES}
-SELECT id, customer_id, status, created_at FROM sales ORDER BY created_at, id LIMIT 20 OFFSET 18000""",
+SELECT id, customer_id, status, created_at FROM sales ORDER BY created_at, id LIMIT 20 OFFSET 4000""",
     "order_line_total": f"""WITH {SALES}
 SELECT id, created_at, (SELECT count(*) FROM sales) AS total FROM sales ORDER BY created_at, id LIMIT 20 OFFSET 40""",
     "stored_products": f"""WITH {PRODUCTS}
