@@ -41,6 +41,8 @@ CUT_UP_TO = 48
 #: Parts above the k + 1 that larger sets need. Of k + 1 + SLACK parts two similar sets share SLACK + 1, so a part that is
 #: empty in both need only count as shared if each of the two has more than SLACK empty parts.
 SLACK = 3
+#: Signatures that a task gathers before it sends them.
+HELD = 1_000_000
 PARITY = 4
 PARITIES = tuple(f"parity{n}" for n in range(PARITY))
 
@@ -148,17 +150,22 @@ class Scheme:
                     yield np.broadcast_to(rows[:, None], sent.shape)[sent], named[sent]
 
 
-def _stars(signature: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct signatures with their smallest id, and the distinct pairs of that id and the others."""
+def _stars(signature: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+    """Distinct signatures with their smallest id and their count, and pairs of that id and the others.
+
+    A pair is marked if its signature counts three or more.
+    """
     order = np.lexsort((ids, signature))
     signature, ids = signature[order], ids[order]
-    new = np.ones(len(signature), bool)
-    new[1:] = signature[1:] != signature[:-1]
-    begins = np.flatnonzero(new)
-    leader = np.repeat(ids[begins], np.diff(np.append(begins, len(ids))))
+    begins = np.flatnonzero(np.diff(signature, prepend=~signature[:1]))
+    sizes = np.diff(np.append(begins, len(ids)))
+    total = np.add.reduceat(counts[order], begins)
+    leader, many = np.repeat(ids[begins], sizes), np.repeat(total >= 3, sizes)
     other = leader != ids
-    pairs = np.unique(np.stack([leader[other], ids[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
-    return signature[begins], ids[begins], pairs[0], pairs[1]
+    pairs, at = np.unique(np.stack([leader[other], ids[other]]), axis=1, return_inverse=True)
+    marked = np.zeros(pairs.shape[1], np.int8)
+    marked[at.ravel()[many[other]]] = 1
+    return (signature[begins], ids[begins], total), (pairs[0], pairs[1], marked)
 
 
 def _batch(bucket: list[int], kind: int, payload: list[bytes]) -> pa.RecordBatch:
@@ -166,13 +173,24 @@ def _batch(bucket: list[int], kind: int, payload: list[bytes]) -> pa.RecordBatch
 
 
 def _candidates(rows: DataFrame, size: int, scheme: Scheme) -> DataFrame:
-    """(a, b) pairs of a leader and another document that share a signature, a < b."""
+    """(a, b, marked) pairs of a leader and another document that share a signature, a < b; marked if more documents have it."""
     bits = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1, 1).bit_length()
 
+    def sent(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        signature, ids = (np.concatenate(x) for x in zip(*found))
+        (signature, leader, total), (a, b, marked) = _stars(signature, ids, np.ones(len(ids), np.int32))
+        edges = np.searchsorted(signature, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        edges = [0, *edges.tolist(), len(signature)]
+        spans = [(n, i, j) for n, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
+        yield _batch([n for n, _, _ in spans], 0, [planes(signature[i:j], leader[i:j], total[i:j].astype(np.int32)) for _, i, j in spans])
+        dealt = (pair(a.view(np.uint64), b.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+        for n in np.unique(dealt):
+            yield _batch([int(n)], 1, [planes(a[dealt == n], b[dealt == n], marked[dealt == n], ordered=False)])
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
-            ids = batch.column("id").to_numpy()
-            found, known = [], set()
+            ids, known = batch.column("id").to_numpy(), set()
             for sets in sets_of(batch.column("text"), size):
                 mark = list(zip(*(d.tolist() for d in digests(sets))))
                 own = ids[sets.first : sets.first + len(sets.sizes)]
@@ -184,28 +202,24 @@ def _candidates(rows: DataFrame, size: int, scheme: Scheme) -> DataFrame:
                         chosen.append(r)
                 for row, signature in scheme.signatures(sets, np.array(chosen, np.int64)):
                     found.append((signature, own[row]))
-            if not found:
-                continue
-            signature, leader, a, b = _stars(*(np.concatenate(x) for x in zip(*found)))
-            edges = np.searchsorted(signature, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            edges = [0, *edges.tolist(), len(signature)]
-            spans = [(n, i, j) for n, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
-            yield _batch([n for n, _, _ in spans], 0, [planes(signature[i:j], leader[i:j]) for _, i, j in spans])
-            dealt = (pair(a.view(np.uint64), b.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-            for n in np.unique(dealt):
-                yield _batch([int(n)], 1, [planes(a[dealt == n], b[dealt == n], ordered=False)])
+                    held += len(row)
+                if held >= HELD:
+                    yield from sent(found)
+                    found, held = [], 0
+        if found:
+            yield from sent(found)
 
     def meet(table: pa.Table) -> pa.Table:
         kinds, payloads = table.column("kind").to_numpy(), table.column("payload").to_pylist()
-        leaders = [from_planes(p, np.uint64, np.int64) for p, k in zip(payloads, kinds) if k == 0]
-        pairs = [from_planes(p, np.int64, np.int64, ordered=False) for p, k in zip(payloads, kinds) if k == 1]
+        leaders = [from_planes(p, np.uint64, np.int64, np.int32) for p, k in zip(payloads, kinds) if k == 0]
+        pairs = [from_planes(p, np.int64, np.int64, np.int8, ordered=False) for p, k in zip(payloads, kinds) if k == 1]
         if leaders:
-            pairs.append(list(_stars(*(np.concatenate(x) for x in zip(*leaders)))[2:]))
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
-        return pa.table({"a": a, "b": b})
+            pairs.append(list(_stars(*(np.concatenate(x) for x in zip(*leaders)))[1]))
+        a, b, marked = (np.concatenate(x) for x in zip(*pairs))
+        return pa.table({"a": a, "b": b, "marked": marked.astype(np.int32)})
 
-    return rows.mapInArrow(sign, "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+    signed = rows.mapInArrow(sign, "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, marked int")
+    return signed.groupBy("a", "b").agg(F.max("marked").alias("marked"))
 
 
 def _facts(rows: DataFrame, size: int) -> DataFrame:
@@ -306,7 +320,24 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _left_over(members: DataFrame, components: DataFrame, copies: DataFrame, tested: DataFrame, size: int, scheme: Scheme) -> DataFrame:
+def _unsettled(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """(id) of all documents that have a signature in common with members of another component and of a third document.
+
+    A signature's documents hang together as leader, batch leaders and others,
+    so three steps from a pair that crosses components reach all of them.
+    """
+    of = [components.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
+    marked = pairs.where("marked = 1").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+    ends = known.where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    near = stored(ends.join(marked, "id", "left_semi").select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near")
+    for _ in range(3):
+        steps = [pairs.join(near.withColumnRenamed("id", x), x, "left_semi").select(F.col(y).alias("id")) for x, y in (("a", "b"), ("b", "a"))]
+        near = stored(near.unionByName(steps[0]).unionByName(steps[1]).distinct(), "near")
+    return near
+
+
+def _left_over(members: DataFrame, components: DataFrame, copies: DataFrame, tested: DataFrame, scheme: Scheme) -> DataFrame:
     """Pairs of different components that share a signature and weren't compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,15 +347,15 @@ def _left_over(members: DataFrame, components: DataFrame, copies: DataFrame, tes
                 continue
             sets = Sets(0, np.concatenate([[0], np.cumsum([len(r) for r in raw])]), np.concatenate(raw))
             for row, signature in scheme.signatures(sets, np.arange(len(raw))):
-                taken = batch.select(["id", "n", *PARITIES, "component"]).take(pa.array(row))
+                taken = batch.select(["id", "component"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), *taken.columns], names=["signature", *taken.schema.names])
 
-    one_each = members.join(copies.select(F.col("u").alias("id")), "id", "left_anti")
-    placed = one_each.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    schema = f"signature bigint, id bigint, n bigint, {', '.join(f'{p} bigint' for p in PARITIES)}, component bigint"
-    signed = stored(placed.mapInArrow(run, schema), "signatures")
+    one_each = members.join(_unsettled(tested, components), "id", "left_semi").join(copies.select(F.col("u").alias("id")), "id", "left_anti")
+    placed = stored(one_each.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")), "unsettled")
+    signed = placed.select("id", "component", "elements").mapInArrow(run, "signature bigint, id bigint, component bigint")
     busy = signed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
-    open_ = stored(signed.join(busy, "signature", "left_semi"), "open")
+    open_ = signed.join(busy, "signature", "left_semi").join(placed.select("id", "n", *PARITIES), "id")
+    open_ = stored(open_, "open")
     x, y = open_.alias("x"), open_.alias("y")
     may = _may_link(*([F.col(f"{side}.{c}") for c in ("n", *PARITIES)] for side in ("x", "y")), scheme)
     may = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & may
@@ -346,7 +377,7 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, ke
     members = stored(_members(named.join(ids, "id", "left_semi"), size), "members")
     links = stored(_links(pairs, members, scheme), "links").unionByName(copies.select(F.col("v").alias("a"), F.col("u").alias("b")))
     found = stored(connected(links), "components")
-    more = stored(_links(_left_over(members, found, copies, pairs, size, scheme), members, scheme), "links")
+    more = stored(_links(_left_over(members, found, copies, pairs, scheme), members, scheme), "links")
     if not more.isEmpty():
         found = connected(links.unionByName(more))
     labelled = facts.select("id", "n_shingles").join(found, "id", "left")

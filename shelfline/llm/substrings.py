@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfline.llm.exchange import NO_ID, Dealer, from_planes, piece_batch, planes
+from shelfline.llm.exchange import Dealer, from_planes, piece_batch, planes
 from shelfline.llm.wordhash import Words, windows, words_of
 
 WINDOW = 13

@@ -18,7 +18,6 @@ without labels of both kinds the seed words alone score; rows are independent.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
