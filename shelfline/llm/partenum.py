@@ -36,8 +36,8 @@ from shelfline.llm.wordhash import mix, pair, windows, words_of
 
 #: Elements below this bound, about one in eight, are compared before the whole sets: two sets differ in no fewer elements.
 LIGHT = np.uint64(1 << 61)
-#: Differences up to which parts are cut into pieces: the sets are small, and whole parts of few elements meet by chance.
-CUT_UP_TO = 48
+#: Differences up to which parts are cut into pieces. Whole parts are half as many, but hold fewer elements and meet by chance.
+CUT_UP_TO = 1 << 30
 #: Parts above the k + 1 that larger sets need. Of k + 1 + SLACK parts two similar sets share SLACK + 1, so a part that is
 #: empty in both need only count as shared if each of the two has more than SLACK empty parts.
 SLACK = 3
@@ -351,7 +351,7 @@ def _left_over(members: DataFrame, components: DataFrame, copies: DataFrame, tes
                 yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), *taken.columns], names=["signature", *taken.schema.names])
 
     one_each = members.join(_unsettled(tested, components), "id", "left_semi").join(copies.select(F.col("u").alias("id")), "id", "left_anti")
-    placed = stored(one_each.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")), "unsettled")
+    placed = one_each.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     signed = placed.select("id", "component", "elements").mapInArrow(run, "signature bigint, id bigint, component bigint")
     busy = signed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
     open_ = signed.join(busy, "signature", "left_semi").join(placed.select("id", "n", *PARITIES), "id")
