@@ -43,6 +43,8 @@ CUT_UP_TO = 1 << 30
 SLACK = 3
 #: Signatures that a task gathers before it sends them.
 HELD = 1_000_000
+#: Signatures of three or more documents are looked up by this many of their bits.
+CELL_BITS, BUSY = 24, 1
 PARITY = 4
 PARITIES = tuple(f"parity{n}" for n in range(PARITY))
 
@@ -151,21 +153,14 @@ class Scheme:
 
 
 def _stars(signature: np.ndarray, ids: np.ndarray, counts: np.ndarray):
-    """Distinct signatures with their smallest id and their count, and pairs of that id and the others.
-
-    A pair is marked if its signature counts three or more.
-    """
+    """Distinct signatures with their smallest id and their count, and the distinct pairs of that id and the others."""
     order = np.lexsort((ids, signature))
     signature, ids = signature[order], ids[order]
     begins = np.flatnonzero(np.diff(signature, prepend=~signature[:1]))
-    sizes = np.diff(np.append(begins, len(ids)))
-    total = np.add.reduceat(counts[order], begins)
-    leader, many = np.repeat(ids[begins], sizes), np.repeat(total >= 3, sizes)
+    leader = np.repeat(ids[begins], np.diff(np.append(begins, len(ids))))
     other = leader != ids
-    pairs, at = np.unique(np.stack([leader[other], ids[other]]), axis=1, return_inverse=True)
-    marked = np.zeros(pairs.shape[1], np.int8)
-    marked[at.ravel()[many[other]]] = 1
-    return (signature[begins], ids[begins], total), (pairs[0], pairs[1], marked)
+    pairs = np.unique(np.stack([leader[other], ids[other]]), axis=1)
+    return (signature[begins], ids[begins], np.add.reduceat(counts[order], begins)), (pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int8))
 
 
 def _batch(bucket: list[int], kind: int, payload: list[bytes]) -> pa.RecordBatch:
@@ -173,19 +168,22 @@ def _batch(bucket: list[int], kind: int, payload: list[bytes]) -> pa.RecordBatch
 
 
 def _candidates(rows: DataFrame, size: int, scheme: Scheme) -> DataFrame:
-    """(a, b, marked) pairs of a leader and another document that share a signature, a < b; marked if more documents have it."""
+    """(a, b, kind): pairs of a leader and another document that share a signature, a < b.
+
+    Rows of kind BUSY name, as ``a``, cells of CELL_BITS that hold a signature of three or more documents.
+    """
     bits = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1, 1).bit_length()
 
     def sent(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         signature, ids = (np.concatenate(x) for x in zip(*found))
-        (signature, leader, total), (a, b, marked) = _stars(signature, ids, np.ones(len(ids), np.int32))
+        (signature, leader, total), (a, b, kind) = _stars(signature, ids, np.ones(len(ids), np.int32))
         edges = np.searchsorted(signature, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
         edges = [0, *edges.tolist(), len(signature)]
         spans = [(n, i, j) for n, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
         yield _batch([n for n, _, _ in spans], 0, [planes(signature[i:j], leader[i:j], total[i:j].astype(np.int32)) for _, i, j in spans])
         dealt = (pair(a.view(np.uint64), b.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
         for n in np.unique(dealt):
-            yield _batch([int(n)], 1, [planes(a[dealt == n], b[dealt == n], marked[dealt == n], ordered=False)])
+            yield _batch([int(n)], 1, [planes(a[dealt == n], b[dealt == n], kind[dealt == n], ordered=False)])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
@@ -215,11 +213,16 @@ def _candidates(rows: DataFrame, size: int, scheme: Scheme) -> DataFrame:
         pairs = [from_planes(p, np.int64, np.int64, np.int8, ordered=False) for p, k in zip(payloads, kinds) if k == 1]
         if leaders:
             pairs.append(list(_stars(*(np.concatenate(x) for x in zip(*leaders)))[1]))
-        a, b, marked = (np.concatenate(x) for x in zip(*pairs))
-        return pa.table({"a": a, "b": b, "marked": marked.astype(np.int32)})
+            signature, total = (np.concatenate(x) for x in zip(*((s, n) for s, _, n in leaders)))
+            order = np.argsort(signature)
+            begins = np.flatnonzero(np.diff(signature[order], prepend=~signature[order[:1]]))
+            cells = np.unique(signature[order][begins][np.add.reduceat(total[order], begins) >= 3] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+            pairs.append([cells, np.zeros_like(cells), np.full(len(cells), BUSY, np.int8)])
+        a, b, kind = (np.concatenate(x) for x in zip(*pairs))
+        return pa.table({"a": a, "b": b, "kind": kind.astype(np.int32)})
 
-    signed = rows.mapInArrow(sign, "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, marked int")
-    return signed.groupBy("a", "b").agg(F.max("marked").alias("marked"))
+    signed = rows.mapInArrow(sign, "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, kind int")
+    return signed.distinct()
 
 
 def _facts(rows: DataFrame, size: int) -> DataFrame:
@@ -320,37 +323,35 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _unsettled(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """(id) of all documents that have a signature in common with members of another component and of a third document.
+def _busy_cells(found: DataFrame) -> np.ndarray:
+    """A bit for each cell; 2 ** CELL_BITS bits whatever the corpus."""
+    cell = F.col("a") + 1  # Spark's bitmaps count from 1
+    parts = found.where(F.col("kind") == BUSY).groupBy(F.bitmap_bucket_number(cell).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits"))
+    bits = np.zeros(1 << CELL_BITS, bool)
+    for row in parts.collect():
+        part = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little").astype(bool)
+        begin = (row.n - 1) * len(part)
+        bits[begin : begin + len(part)] = part[: len(bits) - begin]
+    return np.packbits(bits)
 
-    A signature's documents hang together as leader, batch leaders and others,
-    so three steps from a pair that crosses components reach all of them.
-    """
-    of = [components.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
-    marked = pairs.where("marked = 1").select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
-    ends = known.where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    near = stored(ends.join(marked, "id", "left_semi").select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near")
-    for _ in range(3):
-        steps = [pairs.join(near.withColumnRenamed("id", x), x, "left_semi").select(F.col(y).alias("id")) for x, y in (("a", "b"), ("b", "a"))]
-        near = stored(near.unionByName(steps[0]).unionByName(steps[1]).distinct(), "near")
-    return near
-
-
-def _left_over(members: DataFrame, components: DataFrame, copies: DataFrame, tested: DataFrame, scheme: Scheme) -> DataFrame:
+
+def _left_over(members: DataFrame, components: DataFrame, copies: DataFrame, tested: DataFrame, busy_cells: np.ndarray, scheme: Scheme) -> DataFrame:
     """Pairs of different components that share a signature and weren't compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(busy_cells).astype(bool)
         for batch in batches:
             raw = [from_planes(p, np.uint64)[0] for p in batch.column("elements").to_pylist()]
             if not raw:
                 continue
             sets = Sets(0, np.concatenate([[0], np.cumsum([len(r) for r in raw])]), np.concatenate(raw))
             for row, signature in scheme.signatures(sets, np.arange(len(raw))):
+                some = wanted[signature >> np.uint64(64 - CELL_BITS)]  # two documents alone have been compared
+                row, signature = row[some], signature[some]
                 taken = batch.select(["id", "component"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), *taken.columns], names=["signature", *taken.schema.names])
 
-    one_each = members.join(_unsettled(tested, components), "id", "left_semi").join(copies.select(F.col("u").alias("id")), "id", "left_anti")
+    one_each = members.join(copies.select(F.col("u").alias("id")), "id", "left_anti")
     placed = one_each.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     signed = placed.select("id", "component", "elements").mapInArrow(run, "signature bigint, id bigint, component bigint")
     busy = signed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
@@ -372,12 +373,13 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, ke
     marked = facts.where("id is not null and n_shingles > 0")
     first = marked.groupBy("one", "two", "n_shingles").agg(F.min("id").alias("v"), F.count("*").alias("times")).where("times > 1").drop("times")
     copies = stored(marked.join(first, ["one", "two", "n_shingles"]).where("id != v").select(F.col("id").alias("u"), "v").distinct(), "copies")
-    pairs = stored(_candidates(named, size, scheme), "pairs")
+    met = stored(_candidates(named, size, scheme), "pairs")
+    pairs = met.where(F.col("kind") != BUSY).select("a", "b")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     members = stored(_members(named.join(ids, "id", "left_semi"), size), "members")
     links = stored(_links(pairs, members, scheme), "links").unionByName(copies.select(F.col("v").alias("a"), F.col("u").alias("b")))
     found = stored(connected(links), "components")
-    more = stored(_links(_left_over(members, found, copies, pairs, scheme), members, scheme), "links")
+    more = stored(_links(_left_over(members, found, copies, pairs, _busy_cells(met), scheme), members, scheme), "links")
     if not more.isEmpty():
         found = connected(links.unionByName(more))
     labelled = facts.select("id", "n_shingles").join(found, "id", "left")
