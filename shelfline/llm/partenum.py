@@ -242,12 +242,13 @@ def _facts(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _members(rows: DataFrame, size: int) -> DataFrame:
-    """(id, n, elements, light, parity...) of the rows."""
+    """(id, n, one, two, elements, light, parity...) of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, elements, light, parity = [], [], [], []
+            sizes, marks, elements, light, parity = [], [], [], [], []
             for sets in sets_of(batch.column("text"), size):
+                marks.append(np.stack(digests(sets)))
                 bit = (sets.elements & np.uint64(64 * PARITY - 1)).astype(np.int64)
                 odd = np.bincount(sets.row_of() * 64 * PARITY + bit, minlength=len(sets.sizes) * 64 * PARITY) & 1
                 parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, PARITY))
@@ -257,13 +258,13 @@ def _members(rows: DataFrame, size: int) -> DataFrame:
                 light += [planes(e[: np.searchsorted(e, LIGHT)]) for e in own]
             if not sizes:
                 continue
-            words = np.concatenate(parity)
+            words, (one, two) = np.concatenate(parity), np.concatenate(marks, axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.concatenate(sizes)), *(pa.array(c, pa.binary()) for c in (elements, light)), *(pa.array(words[:, n]) for n in range(PARITY))],
-                names=["id", "n", "elements", "light", *PARITIES],
+                [batch.column("id"), *map(pa.array, (np.concatenate(sizes), one, two)), *(pa.array(c, pa.binary()) for c in (elements, light)), *(pa.array(words[:, n]) for n in range(PARITY))],
+                names=["id", "n", "one", "two", "elements", "light", *PARITIES],
             )
 
-    return rows.mapInArrow(run, f"id bigint, n bigint, elements binary, light binary, {', '.join(f'{p} bigint' for p in PARITIES)}")
+    return rows.mapInArrow(run, f"id bigint, n bigint, one bigint, two bigint, elements binary, light binary, {', '.join(f'{p} bigint' for p in PARITIES)}")
 
 
 def _may_link(x: list, y: list, scheme: Scheme):
@@ -295,7 +296,7 @@ def _links(pairs: DataFrame, members: DataFrame, scheme: Scheme) -> DataFrame:
             found = found.join(members.select(F.col("id").alias(id_), F.col(column).alias(name)), id_)
         return found.select("a", "b", "size", "x", "y")
 
-    slim = [members.drop("elements", "light").withColumnsRenamed({"id": id_, **{c: f"{c}_{id_}" for c in ("n", *PARITIES)}}) for id_ in ("a", "b")]
+    slim = [members.drop("one", "two", "elements", "light").withColumnsRenamed({"id": id_, **{c: f"{c}_{id_}" for c in ("n", *PARITIES)}}) for id_ in ("a", "b")]
     may = _may_link(*([F.col(f"{c}_{id_}") for c in ("n", *PARITIES)] for id_ in ("a", "b")), scheme)
     near = pairs.join(slim[0], "a").join(slim[1], "b").where(may).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("size")).distinct()
     schema = "a bigint, b bigint, size bigint"
@@ -335,7 +336,7 @@ def _busy_cells(found: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
-def _left_over(members: DataFrame, components: DataFrame, copies: DataFrame, tested: DataFrame, busy_cells: np.ndarray, scheme: Scheme) -> DataFrame:
+def _left_over(members: DataFrame, components: DataFrame, tested: DataFrame, busy_cells: np.ndarray, scheme: Scheme) -> DataFrame:
     """Pairs of different components that share a signature and weren't compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,8 +352,10 @@ def _left_over(members: DataFrame, components: DataFrame, copies: DataFrame, tes
                 taken = batch.select(["id", "component"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), *taken.columns], names=["signature", *taken.schema.names])
 
-    one_each = members.join(copies.select(F.col("u").alias("id")), "id", "left_anti")
-    placed = one_each.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # Of equal sets one row is enough; which of them are members depends on the batches they came in.
+    one_each = members.groupBy("one", "two", "n").agg(F.min("id").alias("id"))
+    one_each = one_each.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = members.join(one_each, ["id", "one", "two", "n"])
     signed = placed.select("id", "component", "elements").mapInArrow(run, "signature bigint, id bigint, component bigint")
     busy = signed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
     open_ = signed.join(busy, "signature", "left_semi").join(placed.select("id", "n", *PARITIES), "id")
@@ -379,7 +382,7 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, ke
     members = stored(_members(named.join(ids, "id", "left_semi"), size), "members")
     links = stored(_links(pairs, members, scheme), "links").unionByName(copies.select(F.col("v").alias("a"), F.col("u").alias("b")))
     found = stored(connected(links), "components")
-    more = stored(_links(_left_over(members, found, copies, pairs, _busy_cells(met), scheme), members, scheme), "links")
+    more = stored(_links(_left_over(members, found, pairs, _busy_cells(met), scheme), members, scheme), "links")
     if not more.isEmpty():
         found = connected(links.unionByName(more))
     labelled = facts.select("id", "n_shingles").join(found, "id", "left")

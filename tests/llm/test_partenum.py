@@ -85,5 +85,48 @@ def test_similar_sets_share_a_signature(size):
         assert found[0] & found[1]
 
 
+def _only_by_second_round(spark, rows, monkeypatch):
+    """Components where every signature goes through one leader, id 1, that is similar to none."""
+
+    class One(partenum.Scheme):
+        def signatures(self, sets, chosen):
+            chosen = chosen[sets.sizes[chosen] > 0]
+            yield chosen, np.full(len(chosen), 7 << 60, np.uint64)
+
+    monkeypatch.setattr(partenum, "Scheme", One)
+    return sorted((tuple(r) for r in partenum.components(documents(spark, rows).coalesce(1)).collect()), key=repr)
+
+
+def test_copies_out_of_order_within_a_batch(spark, monkeypatch):
+    """The smallest id of a group of copies comes after another of them, so that it is not the one signed."""
+    a = [f"a{n}" for n in range(60)]
+    b = [*a[:-1], "b"]
+    rows = [(1, " ".join(f"l{n}" for n in range(60))), (30, " ".join(a)), (20, " ".join(a)), (40, " ".join(b))]
+    assert _only_by_second_round(spark, rows, monkeypatch) == plain(rows)
+
+
+def test_copy_that_shares_its_id_with_another_text(spark, monkeypatch):
+    """Id 30 is a copy of 20 by one row; its other row is similar to 40."""
+    a, c = ([f"{x}{n}" for n in range(60)] for x in "ac")
+    rows = [(1, " ".join(f"l{n}" for n in range(60))), (20, " ".join(a)), (30, " ".join(a)), (30, " ".join(c)), (40, " ".join([*c[:-1], "d"]))]
+    assert _only_by_second_round(spark, rows, monkeypatch) == plain(rows)
+
+
+def test_shuffled_families_with_copies(spark):
+    """Ids in no order, families of similar texts with exact copies among them."""
+    rng = random.Random(11)
+    rows, ids = [], rng.sample(range(1000), 240)
+    for family in range(8):
+        text = [f"w{rng.randrange(300)}" for _ in range(rng.choice([12, 40, 150]))]
+        for n in range(15):
+            text = list(text)
+            for _ in range(rng.randint(0, 2)):
+                text[rng.randrange(len(text))] = f"w{rng.randrange(300)}"
+            rows += [(ids.pop(), " ".join(text)) for _ in range(rng.randint(1, 2))]
+    rng.shuffle(rows)
+    got = sorted((tuple(r) for r in partenum.components(documents(spark, rows).repartition(3)).collect()), key=repr)
+    assert got == plain(rows)
+
+
 def test_empty_table(spark):
     assert partenum.components(documents(spark, [])).count() == 0
