@@ -34,8 +34,8 @@ ADDED = 0.1
 BIGRAM = 2
 END, START = np.uint64(0x5E17), np.uint64(0x57A7)
 ONE = np.uint64(1)
-# Counts of fitting documents and of held-out ones.
-COUNTS = (np.uint32, np.uint32)
+# Counts of fitting documents and of held-out ones in one block, and their totals where one of them needs more.
+COUNTS, TOTALS = (np.uint32, np.uint32), (np.int64, np.int64)
 # Steps to an octave in which shares are rounded while the weights are learnt.
 STEPS, NONE = 8, -(1 << 12)
 PRIOR = (0.4, 0.4, 0.2)
@@ -94,7 +94,7 @@ class Questions:
 
 
 def totals(blocks: np.ndarray, parts: list[list[np.ndarray]]) -> Iterator[tuple[int, bytes]]:
-    """Each block's keys with their totals, and for block -1 the sizes of this bucket."""
+    """Each block's first key, its totals and their width, and for block -1 the sizes of this bucket."""
     keys = np.concatenate([p[0] for p in parts])
     order = np.argsort(keys)
     begins = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
@@ -106,16 +106,19 @@ def totals(blocks: np.ndarray, parts: list[list[np.ndarray]]) -> Iterator[tuple[
     every = (fit + held)[words]
     sizes = [fit[words].sum(), np.count_nonzero(fit[words]), every.sum(), np.count_nonzero(every)]
     yield -1, np.array(sizes, np.int64).tobytes()
-    fit, held = fit.astype(np.uint32)[group], held.astype(np.uint32)[group]
     edges = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
     for block, part, i, j in zip(blocks, parts, edges[:-1], edges[1:]):
-        yield int(block), part[0][:1].tobytes() + planes(fit[i:j], held[i:j], ordered=False)
+        own = fit[group[i:j]], held[group[i:j]]
+        kinds = COUNTS if max(n.max() for n in own) <= np.iinfo(np.uint32).max else TOTALS
+        width = np.dtype(kinds[0]).itemsize
+        yield int(block), part[0][:1].tobytes() + bytes([width]) + planes(*(n.astype(kind) for n, kind in zip(own, kinds)), ordered=False)
 
 
 def _answered(payloads: list[bytes]) -> list[np.ndarray]:
-    """Totals in the order of a block's keys; every payload starts with its first key."""
+    """Totals in the order of a block's keys; every payload starts with its first key and the width of its totals."""
     ordered = sorted(payloads, key=lambda p: np.frombuffer(p, np.uint64, 1)[0])
-    return [np.concatenate(x).astype(np.int64) for x in zip(*(from_planes(p[8:], *COUNTS, ordered=False) for p in ordered))]
+    kinds = {np.dtype(k[0]).itemsize: k for k in (COUNTS, TOTALS)}
+    return [np.concatenate(x).astype(np.int64) for x in zip(*(from_planes(p[9:], *kinds[p[8]], ordered=False) for p in ordered))]
 
 
 def octave(count: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -93,6 +94,22 @@ def test_expectation_maximisation_finds_the_likelier_part():
     assert after > 0.85 and alone + any_ < 0.15 and after + alone + any_ == pytest.approx(1)
 
 
+def test_totals_beyond_32_bits():
+    """Two blocks whose counts fit 32 bits while their totals don't."""
+    most = np.uint32(2**32 - 1)
+    parts = [
+        [np.array([3, 4, 9], np.uint64), np.array([most, 5, 1], np.uint32), np.array([0, most, 1], np.uint32)],
+        [np.array([3, 4], np.uint64), np.array([most, 7], np.uint32), np.array([2, most], np.uint32)],
+        [np.array([9], np.uint64), np.array([1], np.uint32), np.array([1], np.uint32)],
+    ]
+    told = dict(interpolated_lm.totals(np.array([0, 1, 2]), parts))
+    most = int(most)
+    assert [x.tolist() for x in interpolated_lm._answered([told[0]])] == [[2 * most, 12, 2], [2, 2 * most, 2]]
+    assert [x.tolist() for x in interpolated_lm._answered([told[1]])] == [[2 * most, 12], [2, 2 * most]]
+    assert [x.tolist() for x in interpolated_lm._answered([told[2], told[1]])] == [[2 * most, 12, 2], [2, 2 * most, 2]]
+    assert np.frombuffer(told[-1], np.int64).tolist() == [2 * most + 2, 2, 2 * most + 6, 2]
+
+
 def test_odd_documents(spark):
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in interpolated_lm.score(odd_documents(spark)).collect()), key=repr)
     assert got == base(ODD)
