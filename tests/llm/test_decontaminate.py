@@ -77,6 +77,19 @@ def test_edited_passages(spark):
     assert any(got.values()) and not all(got.values())
 
 
+def test_verbatim_passages_at_every_place(spark):
+    """66 folded bytes of a longer item are found wherever they begin; 60 are not."""
+    rng = random.Random(8)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(230))
+    passages = [item[begin : begin + 66] for begin in range(len(item) - 65)]
+    rows = [(n, "".join(rng.choice("0123456789") for _ in range(40)) + p + "".join(rng.choice("0123456789") for _ in range(40))) for n, p in enumerate(passages)]
+    rows += [(1000 + n, t.replace(p, p[3:-3])) for (n, t), p in zip(rows, passages)]
+    table = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.contaminated(documents(spark, rows), table).collect()}
+    assert all(got[n] == [7] for n in range(len(passages)))
+    assert not any(got[1000 + n] for n in range(len(passages)))
+
+
 def test_odd_documents_and_blocks(spark, benchmark, monkeypatch):
     docs = odd_documents(spark).withColumn("ITEMS", F.lit("x")).union(benchmark.limit(2).selectExpr("item_id + 100", "text", "'en'", "'s'", "0L", "'x'", "7", "array(1)", "'x'"))
     once = [(r.doc_id, r["items"]) for r in decontaminate.contaminated(docs, benchmark).collect()]
