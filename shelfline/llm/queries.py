@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfline.llm import byte_bpe, decontaminate, interpolated_lm, licenses, partenum, quality_rules, secret_ledger, substrings, token_files, toxicity
+from shelfline.llm import byte_bpe, decontaminate, interpolated_lm, licenses, merkle_manifest, partenum, quality_rules, secret_ledger, substrings, token_files, toxicity
 from shelfline.llm.exchange import stored
-from shelfline.llm.support import documents
+from shelfline.llm.support import documents, text_crc
 from shelfline.session import work_folder
 
 QUERIES = {}
@@ -102,3 +104,11 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kinds = [number(rule.kind) for rule in secret_ledger.RULES[: secret_ledger.BASE]]
     return found.select("doc_id", *kinds, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = {"text": F.when(text_crc() % 5 == 0, lowered).otherwise(F.col("text"))}
+    proven = merkle_manifest.manifest(documents(spark, sf_dir), tampered)
+    return proven.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
