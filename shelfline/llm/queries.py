@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfline.llm import byte_bpe, decontaminate, interpolated_lm, licenses, merkle_manifest, partenum, quality_rules, secret_ledger, substrings, token_files, toxicity
+from shelfline.llm import byte_bpe, decontaminate, interpolated_lm, licenses, merkle_manifest, packing, partenum, quality_rules, secret_ledger, substrings, token_files, toxicity
 from shelfline.llm.exchange import stored
 from shelfline.llm.support import documents, text_crc
 from shelfline.session import work_folder
@@ -112,3 +112,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = {"text": F.when(text_crc() % 5 == 0, lowered).otherwise(F.col("text"))}
     proven = merkle_manifest.manifest(documents(spark, sf_dir), tampered)
     return proven.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pack(cut).withColumnRenamed("key", "doc_id")
