@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfline.llm import byte_bpe, decontaminate, interpolated_lm, licenses, merkle_manifest, packing, partenum, quality_rules, secret_ledger, substrings, token_files, toxicity
+from shelfline.llm import byte_bpe, decontaminate, interpolated_lm, licenses, merkle_manifest, packing, partenum, quality_rules, secret_ledger, spelling_variants, substrings, token_files, toxicity
 from shelfline.llm.exchange import stored
 from shelfline.llm.support import documents, text_crc
 from shelfline.session import work_folder
@@ -106,6 +106,11 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_spellings(documents(spark, sf_dir), planted=199)
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
