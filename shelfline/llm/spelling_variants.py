@@ -4,12 +4,17 @@ The vocabulary becomes a trie held as a table: a node is a prefix, with the
 letters that go on from it and, where a word ends, that word's count. All words
 walk it together, one level a step, as states (word, node, what is left of the
 word, edits). A state joins its node's row. Without an edit yet it goes on along
-its own word and also tries every other letter, put in, put in place of the next
-one, or met after leaving the next one out; with one edit it goes on only along
-what is left. A state that has made one edit and ends where a word ends has found
-a neighbour. A letter counts as put in or left out at the end of a run of equal
+its own word and also tries other letters: put in, put in place of the next one,
+or met after leaving the next one out. With one edit it goes on only along what
+is left. A state that has made one edit and ends where a word ends has found a
+neighbour. A letter counts as put in or left out at the end of a run of equal
 ones, so every neighbour is found once.
 
+Near the root a node has very many words and letters below it. So a word's first
+half takes no edit on the way forward: words walk the trie of the words read
+backward too, and make the edits of their first half there. Both tries are one
+table; a mark before a node's letters tells the way.
+
 Words over ``LONG`` letters would need as many steps. Their neighbours are found
 by the hashes of the word and of the word without each of its letters instead.
 
@@ -31,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfline.llm.exchange import stored
 from shelfline.llm.support import small
-from shelfline.session import work_folder
+from shelfline.session import list_folders, work_folder
 
 LETTERS = "A-Za-zÀ-ÿ"
 LEAST_LETTERS, LEAST_COUNT, RATIO = 6, 5, 5
@@ -84,30 +89,43 @@ def count_words(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _trie(words: DataFrame) -> tuple[str, int]:
-    """The trie's nodes (node, letters, n), stored by depth; and its depth."""
-    depth = F.explode(F.sequence(F.lit(0), F.char_length("word"))).alias("depth")
-    steps = words.select("word", "n", depth).select(
+FORWARD, BACKWARD = ">", "<"
+
+
+def _both_ways(words: DataFrame) -> DataFrame:
+    """Every word as it is read forward and backward, after the mark of the way; ``half`` is where its edits begin."""
+    size = F.char_length("word")
+    ways = [(F.lit(FORWARD), F.col("word"), F.floor(size / 2)), (F.lit(BACKWARD), F.reverse("word"), F.ceil(size / 2))]
+    read = F.explode(F.array(*[F.struct(F.concat(way, letters).alias("read"), half.cast("int").alias("half")) for way, letters, half in ways]))
+    return words.select("word", "n", size.alias("size"), read.alias("r")).select("word", "n", "size", "r.*")
+
+
+def _trie(read: DataFrame) -> str:
+    """The tries' nodes (node, letters, n), stored by depth.
+
+    A word's neighbours are at most one letter shorter, so none walks above half of that.
+    """
+    depth = F.explode(F.sequence(F.greatest(F.floor((F.col("size") - 1) / 2).cast("int"), F.lit(0)), F.col("size"))).alias("depth")
+    steps = read.select("read", "n", "size", depth).select(
         "depth",
-        F.expr("substring(word, 1, depth)").alias("node"),
-        F.expr("nullif(substring(word, depth + 1, 1), '')").alias("letter"),
-        F.expr("if(depth = char_length(word), n, null)").alias("n"),
+        F.expr("substring(read, 1, depth + 1)").alias("node"),
+        F.expr("nullif(substring(read, depth + 2, 1), '')").alias("letter"),
+        F.expr("if(depth = size, n, null)").alias("n"),
     )
-    # The map tasks keep one set of letters a node, so the root costs a row each.
+    # The map tasks keep one set of letters a node.
     nodes = steps.groupBy("depth", "node").agg(F.collect_set("letter").alias("letters"), F.max("n").alias("n"))
-    path = work_folder(words.sparkSession, "trie")
+    path = work_folder(read.sparkSession, "trie")
     # A task has few depths, so there are about as many files as tasks and depths together.
     nodes.repartitionByRange("depth", "node").write.partitionBy("depth").parquet(path)
-    return path, words.agg(F.max(F.char_length("word"))).first()[0]
+    return path
 
 
 _STATE = "struct<node:string,rest:string,edits:int,near:string,near_n:bigint>"
 
 
-def _state(node: Column, rest: Column, edits: int, near: Column | None = None, near_n: Column | None = None) -> Column:
+def _state(node: Column, rest: Column, edits: int) -> Column:
     nothing = F.lit(None)
-    found = nothing if near is None else near, nothing if near_n is None else near_n
-    return F.struct(node.alias("node"), rest.alias("rest"), F.lit(edits).alias("edits"), found[0].alias("near"), found[1].alias("near_n")).cast(_STATE)
+    return F.struct(node.alias("node"), rest.alias("rest"), F.lit(edits).alias("edits"), nothing.alias("near"), nothing.alias("near_n")).cast(_STATE)
 
 
 def _step(states: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -115,42 +133,57 @@ def _step(states: DataFrame, nodes: DataFrame) -> DataFrame:
     node, rest = F.col("node"), F.col("rest")
     head, tail = F.substring(rest, 1, 1), F.expr("substring(rest, 2)")
     second, after = F.substring(rest, 2, 1), F.expr("substring(rest, 3)")
-    clean, none = F.col("edits") == 0, F.array().cast(f"array<{_STATE}>")
+    last, more = F.expr("right(node, 1)"), rest != ""
+    clean, forward, none = F.col("edits") == 0, F.startswith(node, F.lit(FORWARD)), F.array().cast(f"array<{_STATE}>")
+    # Read backward, a run's last letter comes first, and the half itself belongs to the way forward.
+    may_leave_out = F.when(forward, head != second).otherwise(head != last)
+    may_put_in = forward | (F.char_length(node) - 1 > F.ceil(F.char_length("word") / 2))
 
     def only(condition: Column, state: Column) -> Column:
         return F.when(condition, F.array(state)).otherwise(none)
 
-    def edited(letter: Column) -> Column:
-        below = F.concat(node, letter)
-        put_in = F.array(_state(below, rest, 1))
-        replaced = only(rest != "", _state(below, tail, 1))
-        left_out = only((rest != "") & (letter == second), _state(below, after, 1))
-        return F.concat(put_in, replaced, left_out)
+    def tried(allowed: Column, beside: Column, left: Column) -> Column:
+        others = F.filter("letters", lambda c: c != beside)
+        return F.when(allowed, F.transform(others, lambda c: _state(F.concat(node, c), left, 1))).otherwise(none)
 
-    goes_on = (rest != "") & (clean | F.array_contains("letters", head))
-    at_end = F.col("n").isNotNull() & F.when(clean, F.char_length(rest) == 1).otherwise(rest == "")
-    tries = F.flatten(F.transform(F.filter("letters", lambda c: c != head), edited))
+    word = F.expr("if(startswith(node, '" + FORWARD + "'), substring(node, 2), reverse(substring(node, 2)))")
+    found = F.struct(F.lit(None).alias("node"), F.lit("").alias("rest"), F.lit(1).alias("edits"), word.alias("near"), F.col("n").alias("near_n")).cast(_STATE)
+    at_end = F.when(clean, (F.char_length(rest) == 1) & (forward | may_leave_out)).otherwise(~more) & F.col("n").isNotNull()
     every = F.concat(
-        F.when(goes_on & clean, F.array(_state(F.concat(node, head), tail, 0))).otherwise(none),
-        F.when(goes_on & ~clean, F.array(_state(F.concat(node, head), tail, 1))).otherwise(none),
-        only(at_end, _state(F.lit(None), F.lit(""), 1, node, F.col("n"))),
-        F.when(clean, tries).otherwise(none),
+        only(more & clean, _state(F.concat(node, head), tail, 0)),
+        only(more & ~clean & F.array_contains("letters", head), _state(F.concat(node, head), tail, 1)),
+        only(at_end, found),
+        tried(clean & more, head, tail),
+        tried(clean & may_put_in, F.when(forward, head).otherwise(last), rest),
+        only(clean & (second != "") & may_leave_out & F.array_contains("letters", second), _state(F.concat(node, second), after, 1)),
     )
-    done = only(F.lit(True), _state(node, rest, 1, F.col("near"), F.col("near_n")))
+    same = F.array(F.struct("node", "rest", "edits", "near", "near_n").cast(_STATE))
     joined = states.join(nodes, "node", "left")
-    return joined.select("word", F.explode(F.when(F.col("near").isNotNull(), done).otherwise(every)).alias("s")).select("word", "s.*")
+    return joined.select("word", F.explode(F.when(F.col("near").isNotNull(), same).otherwise(every)).alias("s")).select("word", "s.*")
 
 
 def _walked(words: DataFrame) -> DataFrame:
     """(word, near, near_n) of neighbours among words of up to LONG letters."""
     spark = words.sparkSession
-    path, depth = _trie(words)
-    states = words.select("word", F.lit("").alias("node"), F.col("word").alias("rest"), F.lit(0).alias("edits"), F.lit(None).cast("string").alias("near"), F.lit(None).cast("bigint").alias("near_n"))
-    found = None
-    for level in range(depth + 1):
+    # As many tasks as shuffles have: few bytes of words make much work.
+    read = stored(_both_ways(words).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "read"), "read")
+    path = _trie(read)
+    depths = sorted(int(name.partition("=")[2]) for name in list_folders(spark, path) if "=" in name)
+    nothing = F.lit(None)
+    starts = read.select(
+        "half",
+        "word",
+        F.expr("substring(read, 1, half + 1)").alias("node"),
+        F.expr("substring(read, half + 2)").alias("rest"),
+        F.lit(0).alias("edits"),
+        nothing.cast("string").alias("near"),
+        nothing.cast("bigint").alias("near_n"),
+    )
+    states, found = starts.where(F.lit(False)).drop("half"), None
+    for number, level in enumerate(depths):  # a depth without nodes has no states
         nodes = spark.read.schema("node string, letters array<string>, n bigint").parquet(f"{path}/depth={level}")
-        states = _step(states, nodes)
-        if level % LEVELS == LEVELS - 1 or level == depth:
+        states = _step(states.unionByName(starts.where(F.col("half") == level).drop("half")), nodes)
+        if number % LEVELS == LEVELS - 1 or level == depths[-1]:
             made = stored(states, "states")
             ended, states = made.where("near IS NOT NULL"), made.where("near IS NULL")
             found = ended if found is None else found.unionByName(ended)
