@@ -7,14 +7,18 @@ facts keep this parallel:
 * If all reserves of a product together fit its stock, all are accepted and
   the stock left is a running sum: a window, no Python.
 * Otherwise the requests are replayed in order. A product with more than
-  ``chunk_rows`` requests is cut into chunks that replay side by side from
-  guessed opening stocks. A replay also reports for which openings its
-  decisions hold, so a wrong guess often settles the chunk all the same;
-  chunks it does not settle replay again from their corrected opening. The
-  first open chunk of a product always has its exact opening and hands its
-  stock on to the chunks after it: one more in the first round, and twice as
-  many in every further one. So the rounds end after about log2(chunks) even
-  if no guess ever helps, and the result is exact.
+  ``chunk_rows`` requests is cut into chunks. Each chunk is replayed once for
+  all openings it may have, side by side with the others, and yields a transfer
+  function from opening to closing stock; composed along the product these give
+  every chunk its exact opening (:mod:`shelfline.operators.transfer`), from which
+  all chunks are replayed for their outcomes. The openings that a chunk may have
+  are bounded by the moves before it.
+
+Where some chunk of a product may have more than ``TABLE`` openings, chunks are
+replayed from guessed openings instead. Such a replay reports for which openings
+its decisions hold, so a wrong guess often settles the chunk all the same; the
+others replay again. The first open chunk always has its exact opening and hands
+its stock on to those after it, twice as many in every round.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shelfline.operators.ordered import CHUNK_ROWS, cut_rows, hot_keys, key_sizes
+from shelfline.operators.transfer import MAP, Openings, as_table, opening_stocks
 from shelfline.session import durable, written
 
 RESERVED = "RESERVED"
@@ -35,6 +40,9 @@ INSUFFICIENT = "INSUFFICIENT"
 INVALID_QUANTITY = "INVALID_QUANTITY"
 INVALID_OPERATION = "INVALID_OPERATION"
 
+# Openings for which a chunk is replayed at once.
+TABLE = 1 << 20
+
 # Over how many groups the refused rows of one product are spread.
 REFUSED_CHUNKS = 4096
 
@@ -130,7 +138,7 @@ def _tasks(df: DataFrame, rows: int, chunk_rows: int) -> int:
 
 def _hot_openings(rows: DataFrame, demand: DataFrame, is_contended: Column, tasks: int) -> DataFrame:
     """Opening stock of every chunk of the cut products, given their rows."""
-    totals = rows.groupBy("product_id", "chunk").agg(*_moves())
+    totals = rows.groupBy("product_id", "chunk").agg(*_moves(), F.max(_units("RESERVE")).alias("_most"))
     product = demand.select("product_id", "_stock", is_contended.alias("_contended"))
     chunks = durable(totals.join(product, "product_id"))
 
@@ -148,8 +156,63 @@ def _hot_openings(rows: DataFrame, demand: DataFrame, is_contended: Column, task
         ),
         "contended",
     )
-    settled = _settle(replayable, contended, tasks).withColumn("_contended", F.lit(True))
-    return calm.unionByName(settled)
+    reached = durable(_reached(contended))
+    wide = reached.groupBy("product_id").agg(F.max(F.col("_last") - F.col("_first")).alias("_wide")).where(F.col("_wide") >= TABLE)
+    settled = _transferred(replayable, reached.join(wide, "product_id", "left_anti"), tasks)
+    if not wide.isEmpty():
+        guessed = contended.join(wide, "product_id", "left_semi")
+        settled = settled.unionByName(_settle(replayable.join(wide, "product_id", "left_semi"), guessed, tasks))
+    return calm.unionByName(settled.withColumn("_contended", F.lit(True)))
+
+
+def _reached(chunks: DataFrame) -> DataFrame:
+    """The chunks numbered along each product, with the openings ``_first`` to ``_last`` that each may have.
+
+    After a chunk the stock is at most what all its moves add to the opening, or
+    one less than a request that it refused and all that was released after.
+    Beyond the units it asks for a chunk accepts everything.
+    """
+    along = Window.partitionBy("product_id").orderBy("chunk")
+    net = F.sum(F.col("_give") - F.col("_take")).over(along)
+    refused = F.max(F.col("_most") - 1 + F.col("_give") - F.col("_net")).over(along)
+    summed = chunks.withColumn("at", F.row_number().over(along).cast("bigint") - 1).withColumn("_net", net)
+    closing = summed.withColumn("_closing", F.col("_net") + F.greatest(F.col("_stock"), refused))
+    opening = F.lag("_closing").over(along)
+    return closing.select(
+        "product_id",
+        "chunk",
+        "at",
+        "_stock",
+        F.when(F.col("at") == 0, F.col("_stock")).otherwise(F.lit(0)).alias("_first"),
+        F.when(F.col("at") == 0, F.col("_stock")).otherwise(F.greatest(F.lit(0), F.least(opening, F.col("_take")))).alias("_last"),
+    )
+
+
+def _transferred(rows: DataFrame, reached: DataFrame, tasks: int) -> DataFrame:
+    """Exact opening of every chunk by its transfer function and those before it."""
+    moves = rows.join(reached.select("product_id", "chunk", "at", "_first", "_last"), ["product_id", "chunk"])
+    maps = durable(_in_request_order(moves, tasks).mapInArrow(_functions, f"product_id {_key_type(reached)}, at bigint, {MAP}"))
+    starts = reached.where(F.col("at") == 0).select("product_id", F.col("_stock").alias("opening"))
+    opened = opening_stocks(maps, starts, "product_id").withColumnRenamed("opening", "_opening")
+    return reached.select("product_id", "chunk", "at").join(opened, ["product_id", "at"]).select("product_id", "chunk", "_opening")
+
+
+def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per chunk: its transfer function. Memory holds one batch and one chunk's openings."""
+    key = openings = held = None
+    for batch in batches:
+        moves = batch.column("_move").to_numpy()
+        for start, stop in _segments(batch.column("product_id"), batch.column("chunk")):
+            row = batch.slice(start, 1)
+            here = (row.column("product_id")[0].as_py(), row.column("chunk")[0].as_py())
+            if here != key:
+                if key is not None:
+                    yield from as_table(*held, openings.transfer(), "product_id").to_batches()
+                key, held = here, (row.column("product_id"), row.column("at"))
+                openings = Openings(row.column("_first")[0].as_py(), row.column("_last")[0].as_py())
+            openings.play(moves[start:stop])
+    if key is not None:
+        yield from as_table(*held, openings.transfer(), "product_id").to_batches()
 
 
 def _settle(rows: DataFrame, chunks: DataFrame, tasks: int) -> DataFrame:

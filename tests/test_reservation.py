@@ -118,6 +118,7 @@ def test_guesses_that_never_help_still_end_soon(spark, monkeypatch):
     from shelfline.operators import reservation
 
     follow, rounds = reservation.durable, []
+    monkeypatch.setattr(reservation, "TABLE", 1)
     monkeypatch.setattr(reservation, "durable", lambda df: rounds.append("run" in df.columns) or follow(df))
     rng = random.Random(4)
     requests = [
@@ -215,3 +216,33 @@ def test_span_holds_for_every_opening_inside_it(requests, opening, other, sizes)
     assert inside == (codes == other_codes)
     if inside:
         assert other_left == other + spans[0]["change"]
+
+
+@pytest.mark.parametrize("table", [1, 1 << 20])
+@pytest.mark.parametrize("fan", [2, 64])
+def test_cut_products_by_functions_and_by_guesses(spark, monkeypatch, table, fan):
+    from shelfline.operators import reservation, transfer
+
+    monkeypatch.setattr(reservation, "TABLE", table)
+    monkeypatch.setattr(transfer, "FAN", fan)
+    rng = random.Random(table + fan)
+    stock = {"hot": 60, "warm": 3000, "low": 0}
+    requests = []
+    for seq in range(1500):
+        product = rng.choice(["hot", "hot", "warm", "low"])
+        op = "RELEASE" if rng.random() < 0.3 else "RESERVE"
+        requests.append((f"r{seq}", seq, product, rng.randint(1, 40 if product != "hot" else 9), op))
+    want, want_left = sequential(stock, requests)
+    got, left = run(spark, stock, requests, chunk_rows=40)
+    assert got == want and left == want_left
+
+
+def test_functions_leave_no_rounds(spark, monkeypatch):
+    """Every chunk of a contended product is replayed once for its function and once for its outcomes."""
+    from shelfline.operators import reservation
+
+    monkeypatch.setattr(reservation, "_settle", None)
+    requests = [(f"r{s}", s, "a", 1 + s * 7 % 5, "RELEASE" if s % 4 == 0 else "RESERVE") for s in range(900)]
+    want, want_left = sequential({"a": 25}, requests)
+    got, left = run(spark, {"a": 25}, requests, chunk_rows=15)
+    assert got == want and left == want_left
