@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from shelfline.session import durable, written
+from shelfline.session import durable, small_side, written
 
 CHUNK_ROWS = 1_000_000
 
@@ -34,7 +34,7 @@ def cut_rows(df: DataFrame, key: str, seq: str, hot: DataFrame, chunk_rows: int)
     """
     total = hot.agg(F.sum("_rows")).first()[0] or 0
     parts = max(-(-total // chunk_rows), 1)
-    rows = df.join(hot.select(key), key, "left_semi").repartitionByRange(parts, key, seq)
+    rows = df.join(small_side(hot.select(key)), key, "left_semi").repartitionByRange(parts, key, seq)
     return written(rows.withColumn("chunk", F.spark_partition_id().cast("bigint")), "chunks")
 
 

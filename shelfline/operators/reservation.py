@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shelfline.operators.ordered import CHUNK_ROWS, cut_rows, hot_keys, key_sizes
 from shelfline.operators.transfer import MAP, Openings, as_table, opening_stocks
-from shelfline.session import durable, written
+from shelfline.session import durable, small_side, written
 
 RESERVED = "RESERVED"
 RELEASED = "RELEASED"
@@ -92,7 +92,7 @@ def reserve_stock(products: DataFrame, requests: DataFrame, chunk_rows: int = CH
     openings = one_chunk
     if not hot.isEmpty():
         cut = cut_rows(valid, "product_id", "seq", hot, chunk_rows)
-        uncut = chunked.join(hot.select(F.col("product_id"), F.lit(0).cast("bigint").alias("chunk")), ["product_id", "chunk"], "left_anti")
+        uncut = chunked.join(small_side(hot.select("product_id", chunk_zero)), ["product_id", "chunk"], "left_anti")
         chunked = uncut.unionByName(cut.withColumn("_refusal", F.lit(None).cast("string")))
         openings = one_chunk.unionByName(_hot_openings(cut, demand, is_contended, tasks))
 
@@ -138,7 +138,7 @@ def _tasks(df: DataFrame, rows: int, chunk_rows: int) -> int:
 
 def _hot_openings(rows: DataFrame, demand: DataFrame, is_contended: Column, tasks: int) -> DataFrame:
     """Opening stock of every chunk of the cut products, given their rows."""
-    totals = rows.groupBy("product_id", "chunk").agg(*_moves(), F.max(_units("RESERVE")).alias("_most"))
+    totals = rows.groupBy("product_id", "chunk").agg(*_moves())
     product = demand.select("product_id", "_stock", is_contended.alias("_contended"))
     chunks = durable(totals.join(product, "product_id"))
 
@@ -151,12 +151,12 @@ def _hot_openings(rows: DataFrame, demand: DataFrame, is_contended: Column, task
     if contended.isEmpty():
         return calm
     replayable = written(
-        rows.join(contended.select("product_id").distinct(), "product_id", "left_semi").select(
+        rows.join(small_side(contended.select("product_id", "chunk")), ["product_id", "chunk"], "left_semi").select(
             "product_id", "chunk", "seq", _net().alias("_move")
         ),
         "contended",
     )
-    reached = durable(_reached(contended))
+    reached = durable(_reached(replayable, contended))
     wide = reached.groupBy("product_id").agg(F.max(F.col("_last") - F.col("_first")).alias("_wide")).where(F.col("_wide") >= TABLE)
     settled = _transferred(replayable, reached.join(wide, "product_id", "left_anti"), tasks)
     if not wide.isEmpty():
@@ -165,32 +165,36 @@ def _hot_openings(rows: DataFrame, demand: DataFrame, is_contended: Column, task
     return calm.unionByName(settled.withColumn("_contended", F.lit(True)))
 
 
-def _reached(chunks: DataFrame) -> DataFrame:
+def _reached(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """The chunks numbered along each product, with the openings ``_first`` to ``_last`` that each may have.
 
     After a chunk the stock is at most what all its moves add to the opening, or
-    one less than a request that it refused and all that was released after.
-    Beyond the units it asks for a chunk accepts everything.
+    one less than a request that it refused and all that moved after. A chunk
+    whose opening covers its lowest running sum accepts everything.
     """
+    within = Window.partitionBy("product_id", "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    refused = F.max(F.when(F.col("_move") < 0, -F.col("_move") - 1 - F.col("_sum")))
+    bounds = rows.withColumn("_sum", F.sum("_move").over(within)).groupBy("product_id", "chunk").agg(
+        F.sum("_move").alias("_net"), refused.alias("_refused"), F.max(-F.col("_sum")).alias("_need")
+    )
     along = Window.partitionBy("product_id").orderBy("chunk")
-    net = F.sum(F.col("_give") - F.col("_take")).over(along)
-    refused = F.max(F.col("_most") - 1 + F.col("_give") - F.col("_net")).over(along)
-    summed = chunks.withColumn("at", F.row_number().over(along).cast("bigint") - 1).withColumn("_net", net)
-    closing = summed.withColumn("_closing", F.col("_net") + F.greatest(F.col("_stock"), refused))
+    numbered = chunks.select("product_id", "chunk", "_stock").join(bounds, ["product_id", "chunk"])
+    summed = numbered.withColumn("at", F.row_number().over(along).cast("bigint") - 1).withColumn("_before", F.sum("_net").over(along) - F.col("_net"))
+    closing = F.col("_before") + F.col("_net") + F.greatest(F.col("_stock"), F.max(F.col("_refused") - F.col("_before")).over(along))
     opening = F.lag("_closing").over(along)
-    return closing.select(
+    return summed.withColumn("_closing", closing).select(
         "product_id",
         "chunk",
         "at",
         "_stock",
         F.when(F.col("at") == 0, F.col("_stock")).otherwise(F.lit(0)).alias("_first"),
-        F.when(F.col("at") == 0, F.col("_stock")).otherwise(F.greatest(F.lit(0), F.least(opening, F.col("_take")))).alias("_last"),
+        F.when(F.col("at") == 0, F.col("_stock")).otherwise(F.greatest(F.lit(0), F.least(opening, F.col("_need")))).alias("_last"),
     )
 
 
 def _transferred(rows: DataFrame, reached: DataFrame, tasks: int) -> DataFrame:
     """Exact opening of every chunk by its transfer function and those before it."""
-    moves = rows.join(reached.select("product_id", "chunk", "at", "_first", "_last"), ["product_id", "chunk"])
+    moves = rows.join(small_side(reached.select("product_id", "chunk", "at", "_first", "_last")), ["product_id", "chunk"])
     maps = durable(_in_request_order(moves, tasks).mapInArrow(_functions, f"product_id {_key_type(reached)}, at bigint, {MAP}"))
     starts = reached.where(F.col("at") == 0).select("product_id", F.col("_stock").alias("opening"))
     opened = opening_stocks(maps, starts, "product_id").withColumnRenamed("opening", "_opening")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 # How the names of work folders begin.
@@ -53,6 +53,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A stored ``df`` hinted for broadcast if it has at most ``most`` rows; beyond that the join is Spark's choice."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables and stream progress, beside the checkpoints."""
     _ensure_checkpoint_dir(spark)
