@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
-from importlib.util import find_spec
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -16,7 +15,7 @@ import shelfline  # noqa: E402
 from oracle_queries import ORACLES  # noqa: E402
 from shelfline.functions import rules  # noqa: E402
 from shelfline.functions.money import combine_money, money_error  # noqa: E402
-from shelfline.operators import catalog, events, filters, notifications, ordering, paging, quality  # noqa: E402
+from shelfline.operators import catalog, events, filters, notifications, ordering, paging, quality, versions  # noqa: E402
 from shelfline.operators.reservation import remaining_stock, reserve_stock  # noqa: E402
 from shelfline.plans import reports  # noqa: E402
 from shelfline.session import work_folder  # noqa: E402
@@ -290,6 +289,18 @@ def update_rejects(t: StarSchema) -> DataFrame:
     return joined(catalog.update_products(t.products(), t.update_requests()).rejects.select("request_id", "id", "reasons"))
 
 
+@query
+def versioned_updates(t: StarSchema) -> DataFrame:
+    updated = versions.versioned_updates(t.products(), t.versioned_requests()).accepted
+    return updated.select("id", "name", "price", "stock", "category", "version")
+
+
+@query
+def versioned_update_errors(t: StarSchema) -> DataFrame:
+    rejects = versions.versioned_updates(t.products(), t.versioned_requests(), chunk_rows=_chunk_rows(t.update_requests())).rejects
+    return ordering.error_status(rejects).select("request_id", "id", "status", "message")
+
+
 @query
 def delete_products(t: StarSchema) -> DataFrame:
     return catalog.delete_products(t.products(), t.delete_requests()).accepted.select("id", "name")
@@ -601,11 +612,12 @@ def post_order_fanout(t: StarSchema) -> DataFrame:
 
 def _training_data() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """The queries and SQL of the training-data operators and their pipeline, none if they are not there."""
-    if not (find_spec("shelfline.llm") and find_spec("corpus_pipeline")):
+    try:
+        import corpus_pipeline
+        from shelfline.llm.oracles import ORACLES as sql
+        from shelfline.llm.queries import QUERIES
+    except ImportError:
         return {}, {}
-    import corpus_pipeline
-    from shelfline.llm.oracles import ORACLES as sql
-    from shelfline.llm.queries import QUERIES
 
     cloudpickle.register_pickle_by_value(corpus_pipeline)
     pipeline_sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

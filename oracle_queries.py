@@ -66,6 +66,14 @@ UPDATE_REQUESTS = """requests AS (
          o_orderkey % 100 - 5 AS stock, 'C' || o_orderstatus AS category
   FROM orders)"""
 
+VERSIONED = f"""{UPDATE_REQUESTS}, valid AS (
+  SELECT *, request_id % 4 AS version FROM requests WHERE stock >= 0 AND id IN (SELECT p_partkey FROM part)),
+chain AS (
+  SELECT id, min(request_id) AS request_id, 0 AS version FROM valid WHERE version = 0 GROUP BY id
+  UNION ALL
+  SELECT c.id, min(v.request_id), c.version + 1 FROM chain c JOIN valid v ON v.id = c.id AND v.version = c.version + 1 AND v.request_id > c.request_id
+  GROUP BY c.id, c.version)"""
+
 HISTORY = """history AS (
   SELECT user_id AS order_id, event_id AS seq,
          CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'click' THEN 'PAYMENT_CONFIRMED'
@@ -311,6 +319,16 @@ FROM products p JOIN latest u ON u.id = p.id WHERE u.stock <> p.stock""",
     "update_rejects": f"""WITH {UPDATE_REQUESTS}
 SELECT request_id, id, CASE WHEN stock < 0 THEN 'Stock cannot be negative' ELSE 'Product not found' END AS reasons
 FROM requests WHERE stock < 0 OR id NOT IN (SELECT p_partkey FROM part)""",
+    "versioned_updates": f"""WITH RECURSIVE {PRODUCTS}, {VERSIONED}, made AS (
+  SELECT id, max(request_id) AS request_id, count(*) AS n FROM chain GROUP BY id)
+SELECT p.id, coalesce(v.name, p.name) AS name, CAST(CASE WHEN v.id IS NULL THEN p.price ELSE round_even(v.price, 2) END AS DOUBLE) AS price,
+       CAST(coalesce(v.stock, p.stock) AS INT) AS stock, coalesce(v.category, p.category) AS category, coalesce(m.n, 0) AS version
+FROM products p LEFT JOIN made m ON m.id = p.id LEFT JOIN valid v ON v.request_id = m.request_id""",
+    "versioned_update_errors": f"""WITH RECURSIVE {VERSIONED}
+SELECT request_id, id, CAST(CASE WHEN stock < 0 THEN 400 WHEN id NOT IN (SELECT p_partkey FROM part) THEN 404 ELSE 409 END AS INT) AS status,
+       CASE WHEN stock < 0 THEN 'Stock cannot be negative' WHEN id NOT IN (SELECT p_partkey FROM part) THEN 'Product not found'
+            ELSE 'Product was changed by another request' END AS message
+FROM requests WHERE request_id NOT IN (SELECT request_id FROM chain)""",
     "delete_products": f"""WITH {PRODUCTS}, {REQUESTED}
 SELECT id, name FROM products WHERE id NOT IN (SELECT id FROM requested)""",
     "delete_unordered_products": f"""WITH {PRODUCTS}, {REQUESTED}

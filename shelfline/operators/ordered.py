@@ -60,3 +60,25 @@ def with_previous(df: DataFrame, key: str, seq: str, value: str, name: str, chun
         .drop("chunk", "_position", "_lag", "_carried")
     )
     return calm.withColumn(name, F.lag(value).over(Window.partitionBy(key).orderBy(seq))).unionByName(lagged)
+
+
+def with_next(df: DataFrame, key: str, seq: str, value: str, name: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The first ``value`` that is not null after each row of its key by ``seq``, without one task per hot key."""
+    hot = durable(hot_keys(key_sizes(df, key), key, chunk_rows))
+
+    def ahead(*keys: str):
+        # Read backward, so that the frame only grows.
+        back = Window.partitionBy(*keys).orderBy(F.col(seq).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(value, ignorenulls=True).over(back)
+
+    if hot.isEmpty():
+        return df.withColumn(name, ahead(key))
+    calm = df.join(hot.select(key), key, "left_anti")
+    cut = cut_rows(df, key, seq, hot, chunk_rows)
+    edges = cut.where(F.col(value).isNotNull()).groupBy(key, "chunk").agg(F.min_by(value, seq).alias("_edge"))
+    every = cut.select(key, "chunk").distinct().join(edges, [key, "chunk"], "left")
+    later = Window.partitionBy(key).orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(key, "chunk", F.last("_edge", ignorenulls=True).over(later).alias("_carried"))
+    followed = cut.withColumn("_inside", ahead(key, "chunk")).join(carried, [key, "chunk"], "left")
+    found = followed.withColumn(name, F.coalesce("_inside", "_carried")).drop("chunk", "_inside", "_carried")
+    return calm.withColumn(name, ahead(key)).unionByName(found)

@@ -153,6 +153,10 @@ class StarSchema:
             F.concat(F.lit("C"), F.col("o_orderstatus")).alias("category"),
         )
 
+    def versioned_requests(self) -> DataFrame:
+        """The updates with the version that each was made from."""
+        return self.update_requests().withColumn("version", F.col("seq") % 4)
+
     def delete_requests(self) -> DataFrame:
         return self.table("orders").select(
             F.col("o_orderkey").alias("request_id"), F.col("o_orderkey").alias("seq"), (F.col("o_custkey") * 2).alias("id")
