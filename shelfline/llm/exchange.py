@@ -3,9 +3,9 @@
 Documents are dealt into blocks by their id. Each block sends every key it holds
 once, with numbers reduced in the block, to the bucket that the key's upper bits
 name; a bucket answers each block. So a key that very many documents share comes
-up once for each block at most, whatever share of the rows has it, and a task
-holds a block or a bucket, both of which shrink as ``spark.sql.shuffle.partitions``
-grows. Keys travel as sorted arrays, written byte plane by byte plane as
+up once for each block at most, whatever share of the rows has it. A task works on
+one block or bucket at a time; their number follows the bytes of the corpus, so
+that each has a few megabytes at every size. Keys travel as sorted arrays, written byte plane by byte plane as
 differences, which the shuffle compresses well.
 
 Blocks follow the quantiles of the id. Where one id fills several of them its
@@ -26,7 +26,11 @@ from shelfline.session import work_folder
 #: A null id counts as greater than any other.
 NO_ID = np.int64(2**63 - 1)
 #: Entries that a task gathers before it sends them.
-HELD = 4_000_000
+HELD = 2_000_000
+#: Bytes of text in a block, and of the text whose keys a bucket has.
+BLOCK_BYTES, BUCKET_BYTES = 3 << 20, 2 << 20
+#: Cuts of the id that the driver holds; beyond them a hash of the text divides further.
+CUTS = 4096
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -74,11 +78,15 @@ def from_planes(raw: bytes, *kinds, ordered: bool = True) -> list[np.ndarray]:
 class Dealer:
     """Blocks and buckets for one corpus."""
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id") -> None:
-        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.blocks, self.bits, self.key = 2 * parts, max(parts - 1, 1).bit_length(), key
-        wanted = F.array(*[F.lit(n / self.blocks) for n in range(1, self.blocks)])
-        bounds = docs.agg(F.percentile_approx(F.col(key).cast("long"), wanted, 10 * self.blocks).alias("b")).first().b
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
+        self.key = key
+        self.bytes = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+        wanted_blocks = max(2, -(-self.bytes // BLOCK_BYTES))
+        self.shelves = min(wanted_blocks, CUTS)
+        self.each = -(-wanted_blocks // self.shelves)
+        self.bits = max(2, int(self.bytes // BUCKET_BYTES).bit_length())
+        cuts = F.array(*[F.lit(n / self.shelves) for n in range(1, self.shelves)])
+        bounds = docs.agg(F.percentile_approx(F.col(key).cast("long"), cuts, 10 * self.shelves).alias("b")).first().b
         self.bounds = np.array(bounds or [], np.int64)
 
     def keyed(self, docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
@@ -94,15 +102,15 @@ class Dealer:
         ids = self.ids(batch)
         low, high = np.searchsorted(self.bounds, ids, "left"), np.searchsorted(self.bounds, ids, "right")
         if not len(self.bounds):
-            low, high = low * 0, low * 0 + self.blocks - 1
+            low, high = low * 0, low * 0 + self.shelves - 1
         spread = batch.column("spread").to_numpy(zero_copy_only=False)
-        return (low + spread % (high - low + 1)).astype(np.int32)
+        return ((low + spread % (high - low + 1)) * self.each + (spread >> 32) % self.each).astype(np.int32)
 
     def pieces(self, block: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple[int, int, bytes]]:
         """(bucket, block, payload) for sorted keys."""
-        edges = np.searchsorted(keys, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
-        edges = np.concatenate([[0], edges, [len(keys)]])
-        return [(b, block, planes(keys[i:j], *(v[i:j] for v in values))) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
+        buckets = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        begins = np.flatnonzero(np.diff(buckets, prepend=-1))
+        return [(int(buckets[i]), block, planes(keys[i:j], *(v[i:j] for v in values))) for i, j in zip(begins, [*begins[1:], len(keys)])]
 
     def gather(
         self,

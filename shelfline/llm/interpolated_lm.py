@@ -197,7 +197,7 @@ class Scores:
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    dealer = Dealer(docs, key)
+    dealer = Dealer(docs, key, text)
     rows = dealer.keyed(docs, F.pmod(text_crc(key), F.lit(FOLDS)).cast("int").alias("fold"), text=text)
     questions = dealer.on_blocks(rows, [], Questions(dealer), "bucket int, block int, payload binary", whole=True)
     answers = dealer.replied(questions, (np.uint64, *COUNTS), totals, "ngrams")

@@ -163,11 +163,10 @@ def texts_of(words: Words, stays: np.ndarray) -> list[bytes]:
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kept, n_words, n_removed) of every row."""
-    dealer = Dealer(docs, key)
+    dealer = Dealer(docs, key, text)
     rows = dealer.keyed(docs, text=text)
     # Some four cells or more for each word of usual length.
-    chars = docs.agg(F.sum(F.char_length(text)).alias("n")).first().n or 0
-    bits = min(max(int(chars).bit_length(), 16), 62)
+    bits = min(max(int(dealer.bytes).bit_length(), 16), 62)
 
     def ask(batch: pa.RecordBatch):
         for words in words_of(batch.column("text")):
