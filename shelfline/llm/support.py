@@ -15,11 +15,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def worker_store(key: tuple, make: Callable):
-    """One object per Python worker process, built on first use and shared by its tasks."""
+    """One object of each kind (``key[0]``) per Python worker process, built on first use and shared by its tasks.
+
+    Another key of the kind replaces it, so a worker that lives on holds no more.
+    """
     home = sys.modules.setdefault("shelfline_worker_store", types.ModuleType("shelfline_worker_store"))
-    if key not in home.__dict__.setdefault("held", {}):
-        home.held[key] = make()
-    return home.held[key]
+    held = home.__dict__.setdefault("held", {})
+    if held.get(key[0], (None,))[0] != key:
+        held.pop(key[0], None)
+        held[key[0]] = (key, make())
+    return held[key[0]][1]
 
 
 class Recent(dict):

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfline.llm.support import adding, appended, text_crc
+from shelfline.llm.support import adding, appended, small, text_crc
 
 # Look-alikes, letter by letter.
 _CYRILLIC = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ѵ": "v", "ԝ": "w"}
@@ -105,7 +105,7 @@ def weigh(matcher, folded: str) -> float:
 def _weighed(docs: DataFrame, model: Model, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
-        for batch in batches:
+        for batch in (part for whole in batches for part in small(whole, text)):
             folded = [fold(t or "") for t in batch.column(text).to_pylist()]
             totals = [weigh(matcher, f) for f in folded] if model.lexicon else [0.0] * len(folded)
             yield appended(batch, weight=pa.array(totals, pa.float64()), words=pa.array([max(f.count(" ") - 1, 0) for f in folded], pa.int64()))
@@ -115,7 +115,7 @@ def _weighed(docs: DataFrame, model: Model, text: str) -> DataFrame:
 
 def _entry_counts(labelled: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small(whole, "text")):
             counts = Counter(), Counter()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 counts[toxic].update(entries(fold(text or "")))
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
-        for batch in batches:
+        for batch in (part for whole in batches for part in small(whole, text)):
             folded = [fold(t or "") for t in batch.column(text).to_pylist()]
             total = np.array([weigh(matcher, f) for f in folded], float)
             words = np.array([max(f.count(" ") - 1, 0) for f in folded], float)
