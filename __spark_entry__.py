@@ -15,14 +15,14 @@ import shelfline  # noqa: E402
 from oracle_queries import ORACLES  # noqa: E402
 from shelfline.functions import rules  # noqa: E402
 from shelfline.functions.money import combine_money, money_error  # noqa: E402
-from shelfline.operators import catalog, events, filters, notifications, ordering, paging, quality, versions  # noqa: E402
+from shelfline.operators import catalog, deliveries, events, filters, notifications, ordering, paging, quality, versions  # noqa: E402
 from shelfline.operators.reservation import remaining_stock, reserve_stock  # noqa: E402
 from shelfline.plans import reports  # noqa: E402
 from shelfline.session import work_folder  # noqa: E402
 from shelfline.sources.star_schema import StarSchema  # noqa: E402
 from shelfline.sources.events import read_product_events  # noqa: E402
 from shelfline.sources.tables import materialize_report, normalize_currency, read_orders, read_products, read_report  # noqa: E402
-from shelfline.streaming import fanout, reservation as stock_stream, routing  # noqa: E402
+from shelfline.streaming import deliveries as delivery_stream, fanout, reservation as stock_stream, routing  # noqa: E402
 from shelfline.streaming.state import stateful  # noqa: E402
 
 # Workers need not have the package installed.
@@ -571,6 +571,44 @@ def reserved_stock_batches(t: StarSchema) -> DataFrame:
     return t.spark.read.schema(schema).parquet(f"{path}/out/outcomes/batch_id=*")
 
 
+@query
+def delivery_states(t: StarSchema) -> DataFrame:
+    return deliveries.delivery_states(t.delivery_log(), "2100-01-01", chunk_rows=_chunk_rows(t.delivery_log()))
+
+
+@query
+def delivery_states_stream(t: StarSchema) -> DataFrame:
+    """The log, then two entries from much later that let all deadlines pass."""
+    path = work_folder(t.spark, "deliveries")
+    log = t.delivery_log()
+    later = log.limit(1).select(F.lit("~").alias("message_id"), "seq", F.lit("2100-01-01").cast("timestamp").alias("at"), F.lit("ACKED").alias("kind"))
+    for part in (log, later, later):
+        part.write.mode("append").parquet(f"{path}/in")
+        live = t.spark.readStream.schema(log.schema).parquet(f"{path}/in")
+        _finish(t.spark, delivery_stream.delivery_states_stream(live).writeStream.format("parquet"), path, f"{path}/out")
+    changes = t.spark.read.schema(delivery_stream.OUTPUT).parquet(f"{path}/out").where("message_id <> '~'")
+    return delivery_stream.latest_states(changes)
+
+
+@query
+def deduplicated_events(t: StarSchema) -> DataFrame:
+    once = events.acknowledged_once(events.route_events(events.parse_events(t.redelivered_messages())))
+    return once.groupBy("message_id", "eventType", "outcome").agg(F.count(F.lit(1)).alias("deliveries"))
+
+
+@query
+def deduplicated_events_stream(t: StarSchema) -> DataFrame:
+    """The source is delivered, and then delivered again to the same stream."""
+    path = work_folder(t.spark, "once")
+    sent = t.redelivered_messages()
+    for half in ("delivery = 1", "delivery > 1"):
+        sent.where(half).write.mode("append").parquet(f"{path}/in")
+        live = t.spark.readStream.schema(sent.schema).parquet(f"{path}/in")
+        _finish(t.spark, routing.routed_sinks(live, f"{path}/out", f"{path}/progress", once_for="7 days"), path)
+    sink = t.spark.read.schema("message_id string, eventType string, batch_id bigint, outcome string").parquet(f"{path}/out")
+    return sink.groupBy("message_id", "eventType", "outcome").agg(F.count(F.lit(1)).alias("deliveries"))
+
+
 @query
 def routed_events_stream(t: StarSchema) -> DataFrame:
     path = work_folder(t.spark, "routed")

@@ -185,6 +185,35 @@ OUTCOMES = f"""WITH {MESSAGES}
 SELECT "eventType", outcome, count(*) AS messages, outcome <> 'failed' AS acknowledged
 FROM messages GROUP BY "eventType", outcome"""
 
+DELIVERIES = """WITH log AS (
+  SELECT CAST(user_id AS VARCHAR) AS message_id, event_id AS seq, ts,
+         CASE event_type WHEN 'view' THEN 'DELIVERED' WHEN 'purchase' THEN 'ACKED' ELSE 'FAILED' END AS kind
+  FROM events),
+beside AS (
+  SELECT *, lead(kind) OVER w AS next_kind, lead(ts) OVER w AS next_ts, lag(kind) OVER w AS before_kind, lag(ts) OVER w AS before_ts
+  FROM log WINDOW w AS (PARTITION BY message_id ORDER BY seq)),
+settled AS (
+  SELECT message_id, seq,
+         CASE WHEN kind = 'DELIVERED' THEN
+                CASE WHEN next_kind IS NULL OR next_kind = 'DELIVERED' OR next_ts - ts >= INTERVAL 30 SECOND THEN 'FAILED' END
+              WHEN kind = 'ACKED' OR NOT coalesce(before_kind = 'DELIVERED' AND ts - before_ts >= INTERVAL 30 SECOND, false) THEN kind END AS outcome
+  FROM beside),
+runs AS (
+  SELECT *, count(*) FILTER (WHERE outcome = 'ACKED') OVER (PARTITION BY message_id ORDER BY seq) AS run FROM settled WHERE outcome IS NOT NULL),
+failures AS (
+  SELECT message_id, run, seq, row_number() OVER (PARTITION BY message_id, run ORDER BY seq) AS nth FROM runs WHERE outcome = 'FAILED'),
+dead AS (SELECT message_id, min(seq) AS dead_at FROM failures WHERE nth = 5 GROUP BY message_id),
+last AS (SELECT message_id, max(run) AS run FROM runs GROUP BY message_id),
+open_runs AS (SELECT l.message_id, count(f.seq) AS n FROM last l LEFT JOIN failures f ON f.message_id = l.message_id AND f.run = l.run GROUP BY l.message_id)
+SELECT o.message_id, CASE WHEN dead_at IS NOT NULL THEN 'DEAD' WHEN n > 0 THEN 'FAILED' ELSE 'ACKED' END AS state,
+       CASE WHEN dead_at IS NOT NULL THEN 5 ELSE n END AS failures, dead_at
+FROM open_runs o LEFT JOIN dead d ON d.message_id = o.message_id"""
+
+DEDUPLICATED = f"""WITH {MESSAGES}
+SELECT CAST(event_id AS VARCHAR) AS message_id, "eventType", outcome,
+       CAST(CASE WHEN outcome <> 'failed' THEN 1 WHEN event_id % 3 = 0 THEN 3 WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS deliveries
+FROM messages"""
+
 DEAD_LETTERS = f"""WITH {MESSAGES}
 SELECT message_id, count(*) AS attempts, arg_max(raw, event_id) AS raw FROM messages WHERE outcome = 'failed' GROUP BY message_id HAVING count(*) >= 5"""
 
@@ -389,6 +418,10 @@ SELECT 'PRODUCT_CREATED' AS "eventType", CAST(id AS VARCHAR) AS "entityId", name
 FROM products""",
     "order_placed_events": f'WITH {SALES} SELECT CAST(id AS VARCHAR) AS "orderId", CAST(customer_id AS VARCHAR) AS "customerId", status FROM sales',
     "routed_events": ROUTED,
+    "delivery_states": DELIVERIES,
+    "delivery_states_stream": DELIVERIES,
+    "deduplicated_events": DEDUPLICATED,
+    "deduplicated_events_stream": DEDUPLICATED,
     "routed_events_stream": ROUTED,
     "product_event_outcomes": OUTCOMES,
     "product_event_outcomes_stream": OUTCOMES,

@@ -67,6 +67,25 @@ def route_events(events: DataFrame) -> DataFrame:
     return events.withColumn("outcome", outcome)
 
 
+def acknowledged_once(routed: DataFrame, keep: str = "7 days") -> DataFrame:
+    """``routed`` deliveries without the repeats of messages that were acknowledged before.
+
+    Delivery is at least once: a message comes again if its acknowledgement is
+    lost. A failed delivery is no repeat; each counts as an attempt. In a stream
+    a message id is remembered for ``keep`` after its first arrival, as long as
+    the source may deliver it again, and then leaves the state. Time is that of
+    arrival, so no row comes too late to be looked at. Rows without a message id
+    are kept.
+    """
+    named = F.col("message_id").isNotNull()
+    taken = F.col("outcome") != "failed"
+    acknowledged, others = routed.where(taken & named), routed.where(~taken | ~named)
+    if not routed.isStreaming:
+        return acknowledged.dropDuplicates(["message_id"]).unionByName(others)
+    arrived = acknowledged.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", keep)
+    return arrived.dropDuplicatesWithinWatermark(["message_id"]).drop("_arrived").unionByName(others)
+
+
 def event_outcome_counts(events: DataFrame) -> DataFrame:
     """Messages per type and outcome, and whether they were acknowledged."""
     return (

@@ -192,6 +192,19 @@ class StarSchema:
             F.col("user_id").cast("string").alias("message_id"), raw.alias("raw"), F.col("event_id")
         )
 
+    def redelivered_messages(self) -> DataFrame:
+        """The messages under ids of their own, every third delivered three times and every other even one twice."""
+        times = F.when(F.col("event_id") % 3 == 0, 3).when(F.col("event_id") % 2 == 0, 2).otherwise(1)
+        sent = self.event_messages().withColumn("message_id", F.col("event_id").cast("string"))
+        return sent.withColumn("delivery", F.explode(F.sequence(F.lit(1), times)))
+
+    def delivery_log(self) -> DataFrame:
+        """Deliveries and their answers; users stand for messages."""
+        kind = F.when(F.col("event_type") == "view", "DELIVERED").when(F.col("event_type") == "purchase", "ACKED").otherwise("FAILED")
+        return self.table("events").select(
+            F.col("user_id").cast("string").alias("message_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind")
+        )
+
     def counters(self) -> DataFrame:
         """Stock counters as a second store knows them: events per user, spread over the product ids."""
         return (

@@ -8,12 +8,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from shelfline.operators.events import MAX_ATTEMPTS, event_outcome_counts, parse_events, route_events
+from shelfline.operators.events import MAX_ATTEMPTS, acknowledged_once, event_outcome_counts, parse_events, route_events
 
 
-def routed_sinks(raw: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+def routed_sinks(raw: DataFrame, out: str, checkpoint: str, once_for: str | None = None) -> DataStreamWriter:
     """Write handled, unknown and failed events apart, in one pass over each micro-batch.
 
+    With ``once_for`` (say ``7 days``) a message that was acknowledged is not
+    written again if the source delivers it again within that time; start the
+    query inside ``streaming.state.stateful`` then.
+
     A batch owns its folder and replaces it when it is run again, so a restart
     neither loses nor doubles rows. Read the sinks back with
     ``spark.read.parquet(out).where("outcome = 'failed'")``, a partition filter.
@@ -22,7 +26,9 @@ def routed_sinks(raw: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/batch_id={batch_id}")
 
-    return route_events(parse_events(raw)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    routed = route_events(parse_events(raw))
+    routed = acknowledged_once(routed, once_for) if once_for else routed
+    return routed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 class _Attempts(StatefulProcessor):

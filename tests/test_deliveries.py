@@ -1,0 +1,123 @@
+import random
+from datetime import datetime, timedelta, timezone
+
+import pytest
+
+from shelfline.operators.deliveries import delivery_states
+from shelfline.operators.events import acknowledged_once, parse_events, route_events
+from shelfline.streaming.deliveries import delivery_states_stream, latest_states
+from shelfline.streaming.routing import routed_sinks
+from shelfline.streaming.state import stateful
+
+LOG = "message_id string, seq bigint, at timestamp, kind string"
+START = datetime(2024, 1, 1, tzinfo=timezone.utc)
+FAR = "2030-01-01"
+
+
+def log(spark, rows):
+    return spark.createDataFrame([(m, seq, START + timedelta(seconds=s), kind) for m, seq, s, kind in rows], LOG)
+
+
+def sequential(rows, as_of):
+    """The plain state machine: (state, failures, dead_at) by message."""
+    kept = {}
+    for message, seq, second, kind in sorted(rows, key=lambda r: r[1]):
+        k = kept.setdefault(message, {"n": 0, "open": None, "dead": None})
+        if k["dead"] is not None:
+            continue
+
+        def fail(at):
+            k["n"] += 1
+            if k["n"] == 5:
+                k["dead"] = at
+
+        counted = False
+        if k["open"] and (kind == "DELIVERED" or second - k["open"][1] >= 30):
+            fail(k["open"][0])
+            counted = True
+        k["open"] = None
+        if k["dead"] is not None:
+            continue
+        if kind == "DELIVERED":
+            k["open"] = (seq, second)
+        elif kind == "ACKED":
+            k["n"] = 0
+        elif not counted:
+            fail(seq)
+    out = {}
+    for message, k in kept.items():
+        if k["open"] and as_of - k["open"][1] >= 30 and k["dead"] is None:
+            k["n"] += 1
+            k["dead"] = k["open"][0] if k["n"] == 5 else None
+            k["open"] = None
+        state = "DEAD" if k["dead"] is not None else "OPEN" if k["open"] else "FAILED" if k["n"] else "ACKED"
+        out[message] = (state, k["n"], k["dead"])
+    return out
+
+
+def batch(spark, rows, as_of=FAR, **options):
+    return {r.message_id: (r.state, r.failures, r.dead_at) for r in delivery_states(log(spark, rows), as_of, **options).collect()}
+
+
+def test_an_ack_between_failures_clears_the_count(spark):
+    rows = [("a", n, n, "FAILED" if n != 3 else "ACKED") for n in range(6)] + [("b", 10 + n, n, "FAILED") for n in range(7)]
+    assert batch(spark, rows) == {"a": ("FAILED", 2, None), "b": ("DEAD", 5, 14)}
+
+
+def test_deadlines(spark):
+    rows = [("open", 1, 0, "DELIVERED"), ("late", 2, 0, "DELIVERED"), ("late", 3, 30, "FAILED"), ("again", 4, 0, "DELIVERED"), ("again", 5, 1, "DELIVERED"),
+            ("again", 6, 2, "ACKED"), ("soon", 7, 0, "DELIVERED"), ("soon", 8, 29, "FAILED"), (None, 9, 0, "FAILED"), ("odd", 10, 0, "OTHER")]
+    assert batch(spark, rows, "2024-01-01 00:00:29") == {"open": ("OPEN", 0, None), "late": ("FAILED", 1, None), "again": ("ACKED", 0, None), "soon": ("FAILED", 1, None)}
+    assert batch(spark, rows, "2024-01-01 00:00:30")["open"] == ("FAILED", 1, None)
+
+
+def random_log(seed, size=500):
+    rng, second, rows = random.Random(seed), 0, []
+    for seq in range(size):
+        second += rng.choice([1, 5, 20, 40])
+        message = rng.choice(["hot", "hot", "hot"] + [f"m{n}" for n in range(12)])
+        rows.append((message, seq, second, rng.choice(["DELIVERED", "DELIVERED", "FAILED", "FAILED", "ACKED"])))
+    return rows
+
+
+@pytest.mark.parametrize("seed, chunk_rows", [(1, 10**6), (2, 30), (3, 11)])
+def test_batch_equals_loop(spark, seed, chunk_rows):
+    """One message has a fifth of all entries and is cut."""
+    rows = random_log(seed)
+    if seed == 3:
+        rows = [(m, s, t, "ACKED" if m == "hot" and s % 3 == 0 else k) for m, s, t, k in rows]
+    assert batch(spark, rows, chunk_rows=chunk_rows) == sequential(rows, 10**12)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rows = random_log(7, 300)
+    steps = [rows[:100], rows[100:200], rows[200:], [("~", 900, 10**7, "ACKED")], [("~", 901, 10**7, "ACKED")]]
+    for step in steps:
+        log(spark, step).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        changes = delivery_states_stream(spark.readStream.schema(LOG).parquet(f"{tmp_path}/in"))
+        with stateful(spark):
+            running = changes.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start(f"{tmp_path}/out")
+        running.awaitTermination()
+    last = latest_states(spark.read.parquet(f"{tmp_path}/out").where("message_id <> '~'"))
+    assert {r.message_id: (r.state, r.failures, r.dead_at) for r in last.collect()} == sequential(rows, 10**12)
+
+
+MESSAGES = [("m1", '{"eventType":"PRODUCT_CREATED","entityId":"e1"}'), ("m2", '{"eventType":"OTHER","entityId":"e1"}'), ("m3", "{"), (None, '{"eventType":"PRODUCT_DELETED"}')]
+
+
+def test_acknowledged_messages_count_once(spark):
+    raw = spark.createDataFrame([*MESSAGES, *MESSAGES, *[MESSAGES[0]] * 500], "message_id string, raw string")
+    got = {r.message_id: r["count"] for r in acknowledged_once(route_events(parse_events(raw))).groupBy("message_id").count().collect()}
+    assert got == {"m1": 1, "m2": 1, "m3": 2, None: 2}
+
+
+def test_replay_of_the_source_writes_nothing_again(spark, tmp_path):
+    raw = spark.createDataFrame(MESSAGES, "message_id string, raw string")
+    for _ in range(3):
+        raw.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        live = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        with stateful(spark):
+            running = routed_sinks(live, f"{tmp_path}/out", f"{tmp_path}/progress", once_for="1 hour").trigger(availableNow=True).start()
+        running.awaitTermination()
+    got = {r.message_id: r["count"] for r in spark.read.parquet(f"{tmp_path}/out").groupBy("message_id").count().collect()}
+    assert got == {"m1": 1, "m2": 1, "m3": 3, None: 3}
