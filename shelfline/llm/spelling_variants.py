@@ -1,8 +1,8 @@
 """Groups of spelling variants: words one edit apart, each led to its commonest neighbour.
 
 The vocabulary becomes a trie held as a table: a node is a prefix, with the
-letters that go on from it and, where a word ends, that word's count. All words
-walk it together, one level a step, as states (word, node, what is left of the
+next two letters of the words below it and, where a word ends, that word's count.
+All words walk it together, one level a step, as states (word, node, what is left of the
 word, edits). A state joins its node's row. Without an edit yet it goes on along
 its own word and also tries other letters: put in, put in place of the next one,
 or met after leaving the next one out. With one edit it goes on only along what
@@ -101,7 +101,7 @@ def _both_ways(words: DataFrame) -> DataFrame:
 
 
 def _trie(read: DataFrame) -> str:
-    """The tries' nodes (node, letters, n), stored by depth.
+    """The tries' nodes (node, next, n), stored by depth; ``next`` has the next two letters of the words below, one at a word's end.
 
     A word's neighbours are at most one letter shorter, so none walks above half of that.
     """
@@ -109,11 +109,11 @@ def _trie(read: DataFrame) -> str:
     steps = read.select("read", "n", "size", depth).select(
         "depth",
         F.expr("substring(read, 1, depth + 1)").alias("node"),
-        F.expr("nullif(substring(read, depth + 2, 1), '')").alias("letter"),
+        F.expr("nullif(substring(read, depth + 2, 2), '')").alias("two"),
         F.expr("if(depth = size, n, null)").alias("n"),
     )
-    # The map tasks keep one set of letters a node.
-    nodes = steps.groupBy("depth", "node").agg(F.collect_set("letter").alias("letters"), F.max("n").alias("n"))
+    # The map tasks keep one set a node.
+    nodes = steps.groupBy("depth", "node").agg(F.collect_set("two").alias("next"), F.max("n").alias("n"))
     path = work_folder(read.sparkSession, "trie")
     # A task has few depths, so there are about as many files as tasks and depths together.
     nodes.repartitionByRange("depth", "node").write.partitionBy("depth").parquet(path)
@@ -132,7 +132,7 @@ def _step(states: DataFrame, nodes: DataFrame) -> DataFrame:
     """All states one level further down; those that found a neighbour stay as they are."""
     node, rest = F.col("node"), F.col("rest")
     head, tail = F.substring(rest, 1, 1), F.expr("substring(rest, 2)")
-    second, after = F.substring(rest, 2, 1), F.expr("substring(rest, 3)")
+    second, after, third = F.substring(rest, 2, 1), F.expr("substring(rest, 3)"), F.substring(rest, 3, 1)
     last, more = F.expr("right(node, 1)"), rest != ""
     clean, forward, none = F.col("edits") == 0, F.startswith(node, F.lit(FORWARD)), F.array().cast(f"array<{_STATE}>")
     # Read backward, a run's last letter comes first, and the half itself belongs to the way forward.
@@ -142,20 +142,20 @@ def _step(states: DataFrame, nodes: DataFrame) -> DataFrame:
     def only(condition: Column, state: Column) -> Column:
         return F.when(condition, F.array(state)).otherwise(none)
 
-    def tried(allowed: Column, beside: Column, left: Column) -> Column:
-        others = F.filter("letters", lambda c: c != beside)
-        return F.when(allowed, F.transform(others, lambda c: _state(F.concat(node, c), left, 1))).otherwise(none)
+    def tried(allowed: Column, beside: Column, then: Column, left: Column) -> Column:
+        others = F.filter("next", lambda two: (F.substring(two, 1, 1) != beside) & (F.substring(two, 2, 1) == then))
+        return F.when(allowed, F.transform(others, lambda two: _state(F.concat(node, F.substring(two, 1, 1)), left, 1))).otherwise(none)
 
     word = F.expr("if(startswith(node, '" + FORWARD + "'), substring(node, 2), reverse(substring(node, 2)))")
     found = F.struct(F.lit(None).alias("node"), F.lit("").alias("rest"), F.lit(1).alias("edits"), word.alias("near"), F.col("n").alias("near_n")).cast(_STATE)
     at_end = F.when(clean, (F.char_length(rest) == 1) & (forward | may_leave_out)).otherwise(~more) & F.col("n").isNotNull()
     every = F.concat(
         only(more & clean, _state(F.concat(node, head), tail, 0)),
-        only(more & ~clean & F.array_contains("letters", head), _state(F.concat(node, head), tail, 1)),
+        only(more & ~clean & F.array_contains("next", F.concat(head, second)), _state(F.concat(node, head), tail, 1)),
         only(at_end, found),
-        tried(clean & more, head, tail),
-        tried(clean & may_put_in, F.when(forward, head).otherwise(last), rest),
-        only(clean & (second != "") & may_leave_out & F.array_contains("letters", second), _state(F.concat(node, second), after, 1)),
+        tried(clean & more, head, second, tail),
+        tried(clean & may_put_in, F.when(forward, head).otherwise(last), head, rest),
+        only(clean & (second != "") & may_leave_out & F.array_contains("next", F.concat(second, third)), _state(F.concat(node, second), after, 1)),
     )
     same = F.array(F.struct("node", "rest", "edits", "near", "near_n").cast(_STATE))
     joined = states.join(nodes, "node", "left")
@@ -181,7 +181,7 @@ def _walked(words: DataFrame) -> DataFrame:
     )
     states, found = starts.where(F.lit(False)).drop("half"), None
     for number, level in enumerate(depths):  # a depth without nodes has no states
-        nodes = spark.read.schema("node string, letters array<string>, n bigint").parquet(f"{path}/depth={level}")
+        nodes = spark.read.schema("node string, next array<string>, n bigint").parquet(f"{path}/depth={level}")
         states = _step(states.unionByName(starts.where(F.col("half") == level).drop("half")), nodes)
         if number % LEVELS == LEVELS - 1 or level == depths[-1]:
             made = stored(states, "states")
