@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shelfline.llm.exchange import from_planes, planes, stored
+from shelfline.llm.support import released, small
 from shelfline.llm.wordhash import mix, pair, windows, words_of
 
 #: Elements below this bound, about one in eight, are compared before the whole sets: two sets differ in no fewer elements.
@@ -221,7 +222,7 @@ def _candidates(rows: DataFrame, size: int, scheme: Scheme) -> DataFrame:
         a, b, kind = (np.concatenate(x) for x in zip(*pairs))
         return pa.table({"a": a, "b": b, "kind": kind.astype(np.int32)})
 
-    signed = rows.mapInArrow(sign, "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, kind int")
+    signed = rows.mapInArrow(released(sign), "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, kind int")
     return signed.distinct()
 
 
@@ -229,7 +230,7 @@ def _facts(rows: DataFrame, size: int) -> DataFrame:
     """(id, n_shingles, one, two) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small(whole, "text")):
             sizes, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for sets in sets_of(batch.column("text"), size):
                 sizes.append(sets.sizes)
@@ -238,14 +239,14 @@ def _facts(rows: DataFrame, size: int) -> DataFrame:
                 two.append(marks[1])
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.concatenate(x)) for x in (sizes, one, two))], names=["id", "n_shingles", "one", "two"])
 
-    return rows.mapInArrow(run, "id bigint, n_shingles bigint, one bigint, two bigint")
+    return rows.mapInArrow(released(run), "id bigint, n_shingles bigint, one bigint, two bigint")
 
 
 def _members(rows: DataFrame, size: int) -> DataFrame:
     """(id, n, one, two, elements, light, parity...) of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small(whole, "text")):
             sizes, marks, elements, light, parity = [], [], [], [], []
             for sets in sets_of(batch.column("text"), size):
                 marks.append(np.stack(digests(sets)))
@@ -264,7 +265,7 @@ def _members(rows: DataFrame, size: int) -> DataFrame:
                 names=["id", "n", "one", "two", "elements", "light", *PARITIES],
             )
 
-    return rows.mapInArrow(run, f"id bigint, n bigint, one bigint, two bigint, elements binary, light binary, {', '.join(f'{p} bigint' for p in PARITIES)}")
+    return rows.mapInArrow(released(run), f"id bigint, n bigint, one bigint, two bigint, elements binary, light binary, {', '.join(f'{p} bigint' for p in PARITIES)}")
 
 
 def _may_link(x: list, y: list, scheme: Scheme):
@@ -356,7 +357,7 @@ def _left_over(members: DataFrame, components: DataFrame, tested: DataFrame, bus
     one_each = members.groupBy("one", "two", "n").agg(F.min("id").alias("id"))
     one_each = one_each.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = members.join(one_each, ["id", "one", "two", "n"])
-    signed = placed.select("id", "component", "elements").mapInArrow(run, "signature bigint, id bigint, component bigint")
+    signed = placed.select("id", "component", "elements").mapInArrow(released(run), "signature bigint, id bigint, component bigint")
     busy = signed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
     open_ = signed.join(busy, "signature", "left_semi").join(placed.select("id", "n", *PARITIES), "id")
     open_ = stored(open_, "open")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -59,6 +60,20 @@ def file_bytes(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def released(run: Callable) -> Callable:
+    """``run`` over batches, after which the worker process gives its free memory back, for it lives on into other stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def adding(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str, without: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the columns of the DDL ``added``, which ``run`` appends to each batch after dropping ``without``.
 
@@ -66,7 +81,7 @@ def adding(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """
     new = T.StructType.fromDDL(added)
     old = df.drop(*new.names)
-    return old.mapInArrow(run, T.StructType([f for f in old.schema.fields if f.name not in without] + new.fields))
+    return old.mapInArrow(released(run), T.StructType([f for f in old.schema.fields if f.name not in without] + new.fields))
 
 
 def appended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
