@@ -89,9 +89,71 @@ def _secrets() -> str:
     SELECT doc_id, {base}, sha256({joined(range(secret_ledger.BASE))}) AS base_sha256, {joined(range(len(rules)))} AS spans FROM found"""
 
 
+#: Levels that the SQL of the manifest has: enough for 16 ** 5 rows a source and as many sources.
+_LEVELS = 5
+
+
+def _crc(text: str) -> str:
+    """crc32 of a text of decimal digits."""
+    bits = "list_reduce(list_prepend({start}, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))"
+    step = bits.format(start="xor(a, b)")
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda ch: unicode(ch)::BIGINT)), lambda a, b: {step}), 4294967295)"
+
+
+def _manifest() -> str:
+    def framed(column: str) -> str:
+        return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR) || ':' || {column}::VARCHAR END"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(framed(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def tree(name: str, group: str, first: str) -> str:
+        """Nodes {name}0, {name}1, ... (group, k, n, digest) up to one node, and the siblings of each."""
+        out = [f"{name}0 AS ({first})"]
+        for level in range(_LEVELS):
+            out.append(
+                f"{name}{level + 1} AS (SELECT {group}, k // 16 AS k, (n + 15) // 16 AS n, "
+                f"CASE WHEN n > 1 THEN sha256(string_agg(digest, '' ORDER BY k)) ELSE min(digest) END AS digest FROM {name}{level} GROUP BY {group}, k // 16, n)"
+            )
+        for level in range(_LEVELS):
+            frame = f"OVER (PARTITION BY {group}, k // 16 ORDER BY k ROWS BETWEEN"
+            out.append(
+                f"{name}s{level} AS (SELECT {group}, k, n, coalesce(string_agg(digest, '') {frame} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+                f"coalesce(string_agg(digest, '') {frame} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{level})"
+            )
+        return ", ".join(out)
+
+    def climbed(name: str, source: str, place: str, group: str) -> list[str]:
+        out, below = [], source
+        for level in range(_LEVELS):
+            step = f"{name}c{level}"
+            out.append(
+                f"{step} AS (SELECT b.* EXCLUDE (proof, folded), b.proof || s.l || s.r AS proof, "
+                f"CASE WHEN s.n > 1 THEN sha256(s.l || b.folded || s.r) ELSE b.folded END AS folded "
+                f"FROM {below} b JOIN {name}s{level} s ON {group} AND s.k = b.{place} // {16**level})"
+            )
+            below = step
+        return out
+
+    low = f"CASE WHEN {_crc('doc_id::VARCHAR')} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    leaves = f"""leaves AS (SELECT doc_id, source, {leaf('text')} AS digest, {leaf('(' + low + ')')} AS given FROM documents),
+    ranked AS (SELECT *, coalesce('=' || source, '') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM leaves)"""
+    groups = f"SELECT 0 AS t, g, row_number() OVER (ORDER BY g) - 1 AS k, count(*) OVER () AS n, digest FROM a{_LEVELS}"
+    lower = climbed("a", "begun", "k", "s.g = b.g")
+    begun = "begun AS (SELECT doc_id, digest AS leaf, g, k, '' AS proof, given AS folded FROM ranked)"
+    met = f"met AS (SELECT c.doc_id, c.leaf, c.proof, c.folded, p.digest AS subroot, p.k AS place FROM ac{_LEVELS - 1} c JOIN places p ON p.g = c.g)"
+    upper = climbed("b", "met", "place", "true")
+    parts = [leaves, tree("a", "g", "SELECT g, k, n, digest FROM ranked"), begun, *lower, f"places AS ({groups})"]
+    parts += [tree("b", "t", "SELECT t, k, n, digest FROM places"), met, *upper]
+    return f"""WITH {", ".join(parts)}
+    SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified
+    FROM bc{_LEVELS - 1} JOIN b{_LEVELS} ON true"""
+
+
 ORACLES: dict[str, str] = {
     "op3_licenses": _licenses(),
     "op4_substrings": _SUBSTRINGS,
     "op7_partenum": _PARTENUM,
     "op10_secret_ledger": _secrets(),
+    "op12_merkle_manifest": _manifest(),
 }
