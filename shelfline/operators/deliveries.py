@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfline.operators.events import MAX_ATTEMPTS
 from shelfline.operators.ordered import CHUNK_ROWS, with_next, with_previous
+from shelfline.session import durable
 
 # Seconds until an unanswered delivery has failed, and the kinds of log entries.
 ACK_DEADLINE_SECONDS = 30
@@ -36,15 +37,16 @@ def delivery_states(log: DataFrame, as_of: str, max_attempts: int = MAX_ATTEMPTS
     now = F.lit(as_of).cast("timestamp")
     entry = F.struct(F.col("kind").alias("kind"), F.col("at").alias("at"))
     known = log.where(F.col("message_id").isNotNull() & F.col("kind").isin(DELIVERED, ACKED, FAILED)).select("message_id", "seq", "at", "kind", entry.alias("_entry"))
-    followed = with_next(known, "message_id", "seq", "_entry", "_next", chunk_rows)
+    # Each pass reads the one before several times, so it is stored.
+    followed = durable(with_next(known, "message_id", "seq", "_entry", "_next", chunk_rows))
     between = with_previous(followed, "message_id", "seq", "_entry", "_before", chunk_rows)
     again = F.when(F.col("_next").isNull(), overdue(F.col("at"), now)).otherwise((F.col("_next.kind") == DELIVERED) | overdue(F.col("at"), F.col("_next.at")))
     counted = F.coalesce((F.col("_before.kind") == DELIVERED) & overdue(F.col("_before.at"), F.col("at")), F.lit(False))
     delivered = F.when(again, FAILED).when(F.col("_next").isNull(), OPEN)
     outcome = F.when(F.col("kind") == DELIVERED, delivered).when((F.col("kind") == ACKED) | ~counted, F.col("kind"))
-    settled = between.select("message_id", "seq", outcome.alias("outcome")).where("outcome IS NOT NULL")
+    settled = durable(between.select("message_id", "seq", outcome.alias("outcome")).where("outcome IS NOT NULL"))
     acked = settled.withColumn("_acked", F.when(F.col("outcome") == ACKED, F.col("seq")))
-    runs = with_next(acked, "message_id", "seq", "_acked", "_until", chunk_rows)
+    runs = durable(with_next(acked, "message_id", "seq", "_acked", "_until", chunk_rows).select("message_id", "seq", "outcome", "_until"))
     # Runs of failures between acknowledgements; a run keeps its first max_attempts places, however long it is.
     run = runs.groupBy("message_id", "_until").agg(
         F.count(F.when(F.col("outcome") == FAILED, 1)).alias("n"),
