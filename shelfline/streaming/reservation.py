@@ -19,8 +19,10 @@ from shelfline.operators.reservation import (
     reserve_stock,
 )
 from shelfline.session import durable, remove_folder
+from shelfline.streaming.reorder import LEAF_ROWS, Reordered, timed
 
 SYNCED = "SYNCED"
+LATE = "LATE"
 
 _COLUMNS = ("request_id", "seq", "quantity", "op")
 
@@ -40,6 +42,18 @@ def decide(op: str, quantity: int | None, left: int | None) -> tuple[str, int |
     return RESERVED, left - quantity
 
 
+def decide_all(left: int | None, requests: pd.DataFrame, product) -> tuple[int | None, pd.DataFrame]:
+    """Stock left after all ``requests`` of a product, in their order, and their outcomes."""
+    outcomes, remaining = [], []
+    for op, quantity in zip(requests["op"], requests["quantity"]):
+        units = None if pd.isna(quantity) else int(quantity)
+        outcome, left = decide(op, units, left)
+        outcomes.append(outcome)
+        remaining.append(None if outcome in (INVALID_QUANTITY, INVALID_OPERATION) else left)
+    result = requests[list(_COLUMNS)].assign(product_id=product, outcome=outcomes)
+    return left, result.assign(remaining=pd.array(remaining, dtype="Int64"))
+
+
 class _Counter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counter = handle.getValueState("counter", "left bigint")
@@ -50,21 +64,41 @@ class _Counter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq")
         left = self.counter.get()[0] if self.counter.exists() else None
-        outcomes, remaining = [], []
-        for op, quantity in zip(batch["op"], batch["quantity"]):
-            units = None if pd.isna(quantity) else int(quantity)
-            outcome, left = decide(op, units, left)
-            outcomes.append(outcome)
-            remaining.append(None if outcome in (INVALID_QUANTITY, INVALID_OPERATION) else left)
+        left, result = decide_all(left, batch, key[0])
         if left is not None:
             self.counter.update((left,))
-        result = batch[list(_COLUMNS)].assign(product_id=key[0], outcome=outcomes)
-        yield result.assign(remaining=pd.array(remaining, dtype="Int64"))
+        yield result
 
     def close(self) -> None:
         pass
 
 
+class _Stock:
+    """The fold of :func:`reserve_stock_reordered`: stock left."""
+
+    kind = "bigint"
+
+    def first(self, initial: pd.DataFrame) -> int:
+        return int(initial["stock"].iloc[0])
+
+    def take(self, key, value, rows: pd.DataFrame) -> tuple[int | None, pd.DataFrame]:
+        return decide_all(value, rows, key[0])
+
+    def late(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[list(_COLUMNS)].assign(product_id=key[0], outcome=LATE, remaining=pd.array([None] * len(rows), dtype="Int64"))
+
+
+def _output(requests: DataFrame) -> str:
+    kind, request_kind = (requests.schema[c].dataType.simpleString() for c in ("product_id", "request_id"))
+    return f"request_id {request_kind}, seq bigint, quantity int, op string, product_id {kind}, outcome string, remaining bigint"
+
+
+def _opening(requests: DataFrame, products: DataFrame):
+    kind = requests.schema["product_id"].dataType.simpleString()
+    initial = products.select(F.col("id").cast(kind).alias("product_id"), F.col("stock").cast("bigint").alias("stock"))
+    return initial.groupBy("product_id")
+
+
 def reserve_stock_stream(requests: DataFrame, products: DataFrame) -> DataFrame:
     """Outcome per request, in ``seq`` order within each micro-batch.
 
@@ -75,21 +109,38 @@ def reserve_stock_stream(requests: DataFrame, products: DataFrame) -> DataFrame:
     :func:`reserve_stock_batches`, which splits them. Start the query inside
     ``streaming.state.stateful``.
     """
-    kind = requests.schema["product_id"].dataType.simpleString()
-    request_kind = requests.schema["request_id"].dataType.simpleString()
-    initial = products.select(F.col("id").cast(kind).alias("product_id"), F.col("stock").cast("bigint").alias("stock"))
     return (
         requests.select("product_id", *_COLUMNS)
         .groupBy("product_id")
         .transformWithStateInPandas(
             statefulProcessor=_Counter(),
-            outputStructType=(
-                f"request_id {request_kind}, seq bigint, quantity int, op string, "
-                f"product_id {kind}, outcome string, remaining bigint"
-            ),
+            outputStructType=_output(requests),
             outputMode="Append",
             timeMode="None",
-            initialState=initial.groupBy("product_id"),
+            initialState=_opening(requests, products),
+        )
+    )
+
+
+def reserve_stock_reordered(requests: DataFrame, products: DataFrame, delay: str = "1 minute", leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Outcome per request, in ``seq`` order across micro-batches, for requests that may come up to ``delay`` late.
+
+    ``requests`` also has ``at``, the time of the request. Each waits until the
+    watermark, ``delay`` behind the latest ``at``, has passed its time and that of
+    the requests before it. One that comes after a later request of its product
+    was decided moves no stock and has outcome LATE; ``where outcome = 'LATE'``
+    is the side output. The last requests wait until later ones come. Start the
+    query inside ``streaming.state.stateful``.
+    """
+    return (
+        timed(requests, "at", delay, "product_id", *_COLUMNS)
+        .groupBy("product_id")
+        .transformWithStateInPandas(
+            statefulProcessor=Reordered(_Stock(), leaf_rows),
+            outputStructType=_output(requests),
+            outputMode="Append",
+            timeMode="EventTime",
+            initialState=_opening(requests, products),
         )
     )
 
