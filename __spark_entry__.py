@@ -15,14 +15,22 @@ import shelfline  # noqa: E402
 from oracle_queries import ORACLES  # noqa: E402
 from shelfline.functions import rules  # noqa: E402
 from shelfline.functions.money import combine_money, money_error  # noqa: E402
-from shelfline.operators import catalog, deliveries, events, filters, notifications, ordering, paging, quality, versions  # noqa: E402
+from shelfline.operators import catalog, deliveries, events, filters, notifications, ordering, paging, quality, reconcile, versions  # noqa: E402
 from shelfline.operators.reservation import remaining_stock, reserve_stock  # noqa: E402
-from shelfline.plans import reports  # noqa: E402
+from shelfline.plans import refreshed, reports  # noqa: E402
 from shelfline.session import work_folder  # noqa: E402
+from shelfline.sources import clustered, seek  # noqa: E402
 from shelfline.sources.star_schema import StarSchema  # noqa: E402
 from shelfline.sources.events import read_product_events  # noqa: E402
-from shelfline.sources.tables import materialize_report, normalize_currency, read_orders, read_products, read_report  # noqa: E402
-from shelfline.streaming import deliveries as delivery_stream, fanout, reservation as stock_stream, routing  # noqa: E402
+from shelfline.sources.tables import (  # noqa: E402
+    materialize_report,
+    normalize_currency,
+    read_orders,
+    read_products,
+    read_report,
+    write_orders_by_month,
+)
+from shelfline.streaming import deliveries as delivery_stream, fanout, reservation as stock_stream, routing, transitions  # noqa: E402
 from shelfline.streaming.state import stateful  # noqa: E402
 
 # Workers need not have the package installed.
@@ -116,6 +124,26 @@ def critical_stock(t: StarSchema) -> DataFrame:
     return reports.critical_stock(t.orders(), t.products(), AS_OF, days=365)
 
 
+@query
+def critical_stock_clustered(t: StarSchema) -> DataFrame:
+    """From a fact table whose files are clustered by day and product."""
+    path = work_folder(t.spark, "clustered")
+    lines = t.orders()
+    clustered.write_clustered(lines, t.products(), path, rows_per_file=max(lines.count() // 16, 50))
+    return reports.critical_stock(clustered.read_clustered(t.spark, path, AS_OF, 365), t.products(), AS_OF, days=365)
+
+
+@query
+def category_sales_clustered(t: StarSchema) -> DataFrame:
+    """Units of one category's products since a day, by a read of the clustered files that hold them."""
+    path = work_folder(t.spark, "clustered")
+    lines = t.orders()
+    clustered.write_clustered(lines, t.products(), path, rows_per_file=max(lines.count() // 16, 50))
+    first = t.products().agg(F.min("category")).first()[0]
+    rows = filters.confirmed(clustered.read_clustered(t.spark, path, AS_OF, 365, first))
+    return rows.groupBy("product_id").agg(F.sum("quantity").alias("units_sold"), F.count("id").alias("order_count"))
+
+
 @query
 def order_count_report(t: StarSchema) -> DataFrame:
     return reports.order_count_report(t.orders())
@@ -203,6 +231,22 @@ def order_line_total(t: StarSchema) -> DataFrame:
     return found.rows.withColumn("total", F.lit(found.total).cast("bigint"))
 
 
+@query
+def order_page_by_seek(t: StarSchema) -> DataFrame:
+    """The same page as ``order_line_page``, from a stored order whose blocks are small enough for the page to lie in a late one."""
+    lines = t.orders()
+    path = work_folder(t.spark, "ordered")
+    seek.write_ordered(lines, path, rows_per_file=max(lines.count() // 20, 50))
+    return seek.read_page(t.spark, path, page=200).select("id", "customer_id", "status", "created_at")
+
+
+@query
+def order_positions_by_seek(t: StarSchema) -> DataFrame:
+    path = work_folder(t.spark, "ordered")
+    seek.write_ordered(t.order_headers(), path, rows_per_file=max(t.order_headers().count() // 20, 50))
+    return seek.positions(t.spark, path).select("id", (F.col("position") + 1).alias("position"))
+
+
 @query
 def order_positions(t: StarSchema) -> DataFrame:
     return paging.row_positions(t.order_headers(), "created_at", "id")
@@ -265,6 +309,11 @@ def stock_drift(t: StarSchema) -> DataFrame:
     return quality.stock_drift(t.products(), t.counters())
 
 
+@query
+def stock_drift_by_digest(t: StarSchema) -> DataFrame:
+    return reconcile.stock_drift_by_digest(t.products(), t.counters(), ranges=64)
+
+
 # Catalog
 
 
@@ -340,6 +389,42 @@ def combined_money(t: StarSchema) -> DataFrame:
     )
 
 
+# Reports from monthly partials: all months but a part of the last, then the whole of that one
+
+
+def _text_ids(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in names})
+
+
+def _refreshed(t: StarSchema) -> str:
+    path, store = work_folder(t.spark, "months"), work_folder(t.spark, "partials")
+    lines = _text_ids(t.orders(), "id", "customer_id", "product_id")
+    month = F.trunc("created_at", "MM")
+    last = F.lit(lines.agg(F.max(month)).first()[0])
+    write_orders_by_month(lines.where((month < last) | (F.pmod(F.xxhash64("id"), F.lit(2)) == 0)), path)
+    refreshed.refresh(t.spark, path, store)
+    write_orders_by_month(lines.where(month == last), path, only_these=True)
+    refreshed.refresh(t.spark, path, store)
+    return store
+
+
+@query
+def refreshed_revenue_trend(t: StarSchema) -> DataFrame:
+    return refreshed.refreshed_revenue_trend(t.spark, _refreshed(t))
+
+
+@query
+def refreshed_top_products(t: StarSchema) -> DataFrame:
+    best = refreshed.refreshed_top_products(t.spark, _refreshed(t), _text_ids(t.products(), "id"))
+    return best.withColumn("product_id", F.col("product_id").cast("bigint"))
+
+
+@query
+def refreshed_customer_summary(t: StarSchema) -> DataFrame:
+    summary = refreshed.refreshed_customer_summary(t.spark, _refreshed(t), _text_ids(t.products(), "id"))
+    return summary.withColumn("customer_id", F.col("customer_id").cast("bigint"))
+
+
 # Reservation and orders
 
 
@@ -571,6 +656,36 @@ def reserved_stock_batches(t: StarSchema) -> DataFrame:
     return t.spark.read.schema(schema).parquet(f"{path}/out/outcomes/batch_id=*")
 
 
+# A key that no table holds.
+_CLOSING = -(1 << 62)
+
+
+def _delivered_late(t: StarSchema, rows: DataFrame, key: str, job: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Output of ``job`` over rows that arrive out of order, then two from much later that let all the others go."""
+    path = work_folder(t.spark, "late")
+    sent, late = t.out_of_order(rows)
+    later = sent.limit(1).withColumns({key: F.lit(_CLOSING).cast(sent.schema[key].dataType), "at": F.lit("2100-01-01").cast("timestamp")})
+    for part in (*(sent.where(F.col("arrival") == n) for n in range(3)), later, later.withColumn("seq", F.col("seq") + 1)):
+        part.drop("arrival").write.mode("append").parquet(f"{path}/in")
+        live = t.spark.readStream.schema(part.drop("arrival").schema).parquet(f"{path}/in")
+        out = job(live, f"{late} seconds")
+        _finish(t.spark, out.writeStream.format("parquet"), path, f"{path}/out")
+    return t.spark.read.schema(out.schema).parquet(f"{path}/out").where(~F.col(key).eqNullSafe(F.lit(_CLOSING)))
+
+
+@query
+def reserved_stock_reordered(t: StarSchema) -> DataFrame:
+    return _delivered_late(
+        t, t.stock_requests(), "product_id", lambda live, late: stock_stream.reserve_stock_reordered(live, t.products(), late)
+    )
+
+
+@query
+def check_order_transitions_stream(t: StarSchema) -> DataFrame:
+    found = _delivered_late(t, t.status_history(), "order_id", transitions.check_order_transitions_stream)
+    return found.drop("late")
+
+
 @query
 def delivery_states(t: StarSchema) -> DataFrame:
     return deliveries.delivery_states(t.delivery_log(), "2100-01-01", chunk_rows=_chunk_rows(t.delivery_log()))

@@ -470,3 +470,25 @@ FROM conversations WHERE turn % 5 IN (0, 1) AND text <> ''""",
 SELECT CAST(id AS VARCHAR) AS order_id, customer_id || '@example.com' AS recipient, CAST(amount AS DOUBLE) AS total, status
 FROM headers""",
 }
+
+# Other ways to the same results.
+ORACLES |= {
+    name: ORACLES[same]
+    for name, same in {
+        "stock_drift_by_digest": "stock_drift",
+        "order_page_by_seek": "order_line_page",
+        "order_positions_by_seek": "order_positions",
+        "critical_stock_clustered": "critical_stock",
+        "refreshed_revenue_trend": "monthly_revenue_trend",
+        "refreshed_top_products": "top_products_by_category",
+        "refreshed_customer_summary": "customer_order_summary",
+        "reserved_stock_reordered": "reserved_stock",
+        "check_order_transitions_stream": "check_order_transitions",
+    }.items()
+}
+
+ORACLES["category_sales_clustered"] = f"""WITH {PRODUCTS}, {SALES}
+SELECT product_id, CAST(sum(quantity) AS BIGINT) AS units_sold, count(*) AS order_count
+FROM sales s JOIN products p ON p.id = s.product_id
+WHERE status = 'CONFIRMED' AND s.created_at >= {AS_OF} - INTERVAL 365 DAY AND category = (SELECT min(category) FROM products)
+GROUP BY product_id"""

@@ -27,6 +27,11 @@ def top_products_by_category(products: DataFrame, orders: DataFrame, k: int = 5)
         .groupBy("product_id")
         .agg(F.count("id").alias("total_orders"), F.sum("amount").alias("total_revenue"))
     )
+    return ranked_sales(products, sales, k)
+
+
+def ranked_sales(products: DataFrame, sales: DataFrame, k: int) -> DataFrame:
+    """The best sellers from ``sales`` (product_id, total_orders, total_revenue)."""
     scored = products.join(sales, products["id"] == sales["product_id"], "left").select(
         "category",
         products["id"].alias("product_id"),
@@ -41,15 +46,22 @@ def monthly_revenue_trend(orders: DataFrame, fill_gaps: bool = True) -> DataFram
     """Revenue per month with growth over the month before.
 
     With ``fill_gaps`` months without sales appear with 0; without, growth is
-    over the last month that had sales. The fact table is read once: gap
-    months are generated between one sales month and the next, on a table of
-    one row per calendar month, which is all the two windows sort.
+    over the last month that had sales. The fact table is read once.
     """
     monthly = (
         confirmed(orders)
         .groupBy(F.trunc("created_at", "MM").alias("month_start"))
         .agg(F.sum("amount").cast(WIDE_MONEY).alias("total_revenue"))
     )
+    return revenue_growth(monthly, fill_gaps)
+
+
+def revenue_growth(monthly: DataFrame, fill_gaps: bool) -> DataFrame:
+    """The trend from ``monthly`` (month_start, total_revenue).
+
+    Gap months are generated between one sales month and the next, on a table of
+    one row per calendar month, which is all the two windows sort.
+    """
     by_month = Window.orderBy("month_start")
     if fill_gaps:
         upto = F.coalesce(F.add_months(F.lead("month_start").over(by_month), -1), F.col("month_start"))
@@ -93,6 +105,11 @@ def customer_order_summary(orders: DataFrame, products: DataFrame) -> DataFrame:
             F.max("created_at").alias("_last"),
         )
     )
+    return summed_customers(per_category)
+
+
+def summed_customers(per_category: DataFrame) -> DataFrame:
+    """The summary from rows distinct by (customer_id, category) with _orders, _spent, _first and _last."""
     orders_placed, spent = F.sum("_orders"), F.sum("_spent")
     return per_category.groupBy("customer_id").agg(
         orders_placed.alias("order_count"),

@@ -205,6 +205,12 @@ class StarSchema:
             F.col("user_id").cast("string").alias("message_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind")
         )
 
+    def out_of_order(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """``rows`` with the time ``at`` of their ``seq`` and the delivery, 0 to 2, in which they arrive; and by how many seconds they may be late."""
+        late = max((rows.agg(F.max("seq")).first()[0] or 0) // 2 + 1, 1)
+        arrival = F.floor((F.col("seq") + F.pmod(F.xxhash64("seq"), F.lit(late))) / late)
+        return rows.withColumns({"at": F.timestamp_seconds("seq"), "arrival": F.least(arrival, F.lit(2))}), late
+
     def counters(self) -> DataFrame:
         """Stock counters as a second store knows them: events per user, spread over the product ids."""
         return (

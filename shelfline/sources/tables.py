@@ -11,6 +11,8 @@ from shelfline.schemas import ORDERS, PRODUCTS
 from shelfline.session import file_exists, list_folders, remove_folder, replace_file
 
 POINTER = "CURRENT"
+# For how long a version that nothing points to is kept: its writer may be about to point to it, a reader still at it.
+KEPT_SECONDS = 3600
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
@@ -33,17 +35,26 @@ def read_table_jdbc(
     )
 
 
-def write_orders_by_month(orders: DataFrame, path: str) -> None:
+def write_orders_by_month(orders: DataFrame, path: str, only_these: bool = False) -> None:
     """Month-partitioned copy of the fact table, for date-bounded reports to prune.
 
-    Read it back with :func:`read_orders_by_month`, whose ``since`` bound
-    becomes a partition filter.
+    Rows are dealt by month and, within it, by id: a large month is spread over
+    tasks, a small one is not cut into a file per task. With ``only_these`` the
+    months that occur in ``orders`` are replaced and the others stay. Read it
+    back with :func:`read_orders_by_month`, whose ``since`` bound becomes a
+    partition filter.
     """
-    orders.withColumn("order_month", F.trunc("created_at", "MM")).write.mode("overwrite").partitionBy("order_month").parquet(path)
+    dealt = orders.withColumn("order_month", F.trunc("created_at", "MM")).repartitionByRange("order_month", F.xxhash64("id"))
+    mode = "dynamic" if only_these else "static"
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("order_month").parquet(path)
+
+
+def orders_with_month(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*ORDERS, T.StructField("order_month", T.DateType())])).parquet(path)
 
 
 def read_orders_by_month(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    orders = spark.read.schema(T.StructType([*ORDERS, T.StructField("order_month", T.DateType())])).parquet(path)
+    orders = orders_with_month(spark, path)
     if since is not None:
         orders = orders.where(F.col("order_month") >= F.trunc(F.lit(since).cast("date"), "MM"))
     return orders.drop("order_month")
@@ -54,13 +65,15 @@ def normalize_currency(df: DataFrame) -> DataFrame:
     return df.withColumn("currency", F.rtrim("currency"))
 
 
-def materialize_report(df: DataFrame, path: str) -> bool:
+def materialize_report(df: DataFrame, path: str, kept_seconds: float = KEPT_SECONDS) -> bool:
     """Store a report; an empty result keeps the previous snapshot. Returns whether it wrote.
 
     The result is written once, as a version of its own under ``path``; a small
     file that names the version is then replaced in one step, so readers find
     the old snapshot or the new one. The version before stays for readers that
-    have begun; older ones go.
+    have begun; ones written before it go once they are ``kept_seconds`` old. Of
+    two writers at once the one that finishes last is read, and neither loses
+    its version.
     """
     spark = df.sparkSession
     name = f"version-{time.time_ns()}-{uuid.uuid4().hex}"
@@ -73,11 +86,19 @@ def materialize_report(df: DataFrame, path: str) -> bool:
     spark.createDataFrame([(name,)], "version string").coalesce(1).write.text(f"{version}-pointer")
     replace_file(spark, f"{version}-pointer", f"{path.rstrip('/')}/{POINTER}")
     for folder in list_folders(spark, path):
-        if folder.startswith("version-") and folder not in (name, before):
+        if folder.startswith("version-") and before and _written(folder) < _written(before) and is_old(folder, kept_seconds):
             remove_folder(spark, f"{path.rstrip('/')}/{folder}")
     return True
 
 
+def _written(version: str) -> int:
+    return int(version.split("-")[1])
+
+
+def is_old(version: str, seconds: float) -> bool:
+    return time.time_ns() - _written(version) > seconds * 1e9
+
+
 def _current(spark: SparkSession, path: str) -> str | None:
     pointer = f"{path.rstrip('/')}/{POINTER}"
     return spark.read.text(pointer).first().value if file_exists(spark, pointer) else None
@@ -85,7 +106,14 @@ def _current(spark: SparkSession, path: str) -> str | None:
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """The current snapshot that :func:`materialize_report` stored."""
-    return spark.read.parquet(f"{path.rstrip('/')}/{_current(spark, path)}")
+    version = _current(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no report has been stored at {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{version}")
+
+
+def has_report(spark: SparkSession, path: str) -> bool:
+    return _current(spark, path) is not None
 
 
 def materialize_reports(reports: dict[str, DataFrame], root: str) -> dict[str, bool]:
