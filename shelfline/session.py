@@ -85,6 +85,12 @@ def file_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Leave an empty file at ``path``."""
+    files, place = _place(spark, path)
+    files.create(place, True).close()
+
+
 def list_folders(spark: SparkSession, path: str) -> list[str]:
     files, place = _place(spark, path)
     return [status.getPath().getName() for status in files.listStatus(place) if status.isDirectory()]

@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shelfline.schemas import ORDERS, PRODUCTS
-from shelfline.session import file_exists, list_folders, remove_folder, replace_file
+from shelfline.session import file_exists, list_folders, remove_folder, replace_file, touch
 
 POINTER = "CURRENT"
-# For how long a version that nothing points to is kept: its writer may be about to point to it, a reader still at it.
+# In a version that the pointer has named. Readers of Parquet pass over the file.
+PUBLISHED = "_PUBLISHED"
+# For how long a version that the pointer has not named is kept: its writer may be about to.
 KEPT_SECONDS = 3600
 
 
@@ -71,9 +73,9 @@ def materialize_report(df: DataFrame, path: str, kept_seconds: float = KEPT_SECO
     The result is written once, as a version of its own under ``path``; a small
     file that names the version is then replaced in one step, so readers find
     the old snapshot or the new one. The version before stays for readers that
-    have begun; ones written before it go once they are ``kept_seconds`` old. Of
-    two writers at once the one that finishes last is read, and neither loses
-    its version.
+    have begun; ones written before it go, but those that were not pointed to
+    stay for ``kept_seconds``, as their writer may be about to. So of two writers
+    at once the one that finishes last is read, and neither loses its version.
     """
     spark = df.sparkSession
     name = f"version-{time.time_ns()}-{uuid.uuid4().hex}"
@@ -85,8 +87,12 @@ def materialize_report(df: DataFrame, path: str, kept_seconds: float = KEPT_SECO
     before = _current(spark, path)
     spark.createDataFrame([(name,)], "version string").coalesce(1).write.text(f"{version}-pointer")
     replace_file(spark, f"{version}-pointer", f"{path.rstrip('/')}/{POINTER}")
-    for folder in list_folders(spark, path):
-        if folder.startswith("version-") and before and _written(folder) < _written(before) and is_old(folder, kept_seconds):
+    touch(spark, f"{version}/{PUBLISHED}")
+    folders = [f for f in list_folders(spark, path) if f.startswith("version-") and before and _written(f) < _written(before)]
+    stale = [f for f in folders if file_exists(spark, f"{path.rstrip('/')}/{f}/{PUBLISHED}") or is_old(f, kept_seconds)]
+    current = _current(spark, path)  # may be another writer's by now
+    for folder in stale:
+        if folder != current:
             remove_folder(spark, f"{path.rstrip('/')}/{folder}")
     return True
 

@@ -100,13 +100,14 @@ def test_two_writers_at_once_lose_no_version(spark, tmp_path, monkeypatch):
     def interleaved(spark_, written, target):
         if not between:
             between.append(True)
-            materialize_report(spark.range(3, 5), path, kept_seconds=0)
-            materialize_report(spark.range(5, 7), path, kept_seconds=0)
+            materialize_report(spark.range(3, 5), path)
+            materialize_report(spark.range(5, 7), path)
         plain(spark_, written, target)
 
     monkeypatch.setattr(tables, "replace_file", interleaved)
     assert materialize_report(spark.range(2), path)
     assert rows(read_report(spark, path)) == [(0,), (1,)]
+    assert len([f for f in list_folders(spark, path) if f.startswith("version-")]) == 3
 
 
 def test_reading_no_report_says_so(spark, tmp_path):
