@@ -23,17 +23,19 @@ def _licenses() -> str:
     found = ", ".join(f"{places(phrase)} AS p{n}" for n, (phrase, _) in enumerate(phrases))
     every = " || ".join(f"p{n}" for n in range(len(phrases)))
     named = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN {_text(label)} END" for n, (_, label) in enumerate(phrases))
+    lengths = licenses.template_lengths(licenses.TEMPLATES)
     templates = ", ".join(
-        f"({_text(label)}, [{', '.join(map(_text, sorted(words)))}])" for label, words in licenses.template_words(licenses.TEMPLATES).items()
+        f"({_text(label)}, {lengths[label]}, [{', '.join(map(_text, sorted(words)))}])" for label, words in licenses.template_words(licenses.TEMPLATES).items()
     )
     return f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER} AS t FROM documents),
     worded AS (SELECT *, regexp_extract_all(t, '{word}') AS w FROM d),
     placed AS (SELECT r, doc_id, w, {found} FROM worded),
     based AS (SELECT r, doc_id, w, {every} AS p, list_filter([{named}], lambda x: x IS NOT NULL) AS base FROM placed),
-    blocks AS (SELECT r, list_distinct(regexp_extract_all(b, '{word}')) AS bw FROM (SELECT r, unnest(string_split(t, chr(10))) AS b FROM d)),
-    templates(label, tw) AS (VALUES {templates}),
-    hits AS (SELECT r, label, len(list_intersect(bw, tw)) / len(tw) AS share FROM blocks, templates
+    templates(label, m, tw) AS (VALUES {templates}),
+    starts AS (SELECT r, w, label, m, tw, unnest(range(0, len(w), m)) AS i FROM worded, templates),
+    blocks AS (SELECT r, label, tw, list_distinct(list_slice(w, i + 1, i + 2 * m)) AS bw FROM starts),
+    hits AS (SELECT r, label, len(list_intersect(bw, tw)) / len(tw) AS share FROM blocks
              WHERE len(list_intersect(bw, tw)) >= {licenses.CONTAINMENT} * len(tw) - 1e-9),
     best AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM hits GROUP BY r)
     SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(p) - 1 AS first_word, list_max(p) - 1 AS last_word,
