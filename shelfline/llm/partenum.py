@@ -13,7 +13,10 @@ signature on very many sets makes no more comparisons than it has sets. What tha
 links is joined to components. A second round, exact and over the compared sets
 alone, takes every signature that more than one component still has and compares
 across components, after the sizes and a parity sketch (whose difference never
-exceeds that of the sets) allow it.
+exceeds that of the sets) allow it. A signature that many sets have would make as
+many comparisons as the square of their number. As similar sets share a signature
+whatever the partition of the domain, its sets are first told apart by signatures
+of a second, independent partition, and of a third where those are common too.
 
 Defined cases: null texts and texts without words have an empty set and link with
 nothing; shorter texts than an n-gram are one element; rows without an id link
@@ -25,6 +28,7 @@ the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,16 +41,15 @@ from shelfline.llm.wordhash import mix, pair, windows, words_of
 
 #: Elements below this bound, about one in eight, are compared before the whole sets: two sets differ in no fewer elements.
 LIGHT = np.uint64(1 << 61)
-#: Differences up to which parts are cut into pieces. Whole parts are half as many, but hold fewer elements and meet by chance.
-CUT_UP_TO = 1 << 30
-#: Parts above the k + 1 that larger sets need. Of k + 1 + SLACK parts two similar sets share SLACK + 1, so a part that is
-#: empty in both need only count as shared if each of the two has more than SLACK empty parts.
-SLACK = 3
 #: Signatures that a task gathers before it sends them.
 HELD = 1_000_000
 #: Signatures of three or more documents are looked up by this many of their bits.
 CELL_BITS, BUSY = 24, 1
 PARITY = 4
+#: Sets up to which those of a signature are all compared; the sets of others are told apart by so many more partitions.
+STRAIGHT, PARTITIONS = 16, 2
+#: Tasks that share the copies of one text.
+SALTS = 16
 PARITIES = tuple(f"parity{n}" for n in range(PARITY))
 
 
@@ -61,6 +64,14 @@ class Sets:
         return np.repeat(np.arange(len(self.sizes)), self.sizes)
 
 
+    def moved(self, partition: int) -> Sets:
+        """The same sets over a domain in another order, so that parts hold other elements."""
+        if not partition:
+            return self
+        elements = pair(self.elements, np.uint64(partition), 5)
+        return Sets(self.first, self.begins, elements[np.lexsort((elements, self.row_of()))])
+
+
 def sets_of(texts: pa.Array, size: int) -> Iterator[Sets]:
     for words in words_of(texts, lower=True):
         grams, at = windows(words, size)
@@ -113,8 +124,6 @@ class Scheme:
         k = 2 * highest * (self.den - self.num) // (self.den + self.num)
         if k == 0:
             return 1, 1, 0
-        if k > CUT_UP_TO:
-            return k + 1 + SLACK, 1, 0
         return k // 2 + 1, 4, 1
 
     def signatures(self, sets: Sets, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -141,16 +150,10 @@ class Scheme:
                 sums = sums.reshape(len(rows), n1, n2)
                 whole = sums.sum(axis=2, dtype=np.uint64)
                 part = np.arange(n1, dtype=np.uint64)[None, :]
-                sent = np.ones(whole.shape, bool)
-                if n1 > CUT_UP_TO:
-                    empty = np.ones(len(rows) * pieces, bool)
-                    empty[place[begins]] = False
-                    empty = empty.reshape(whole.shape)
-                    sent = ~empty | (np.count_nonzero(empty, axis=1) > SLACK)[:, None]
                 for n, left_out in enumerate(combinations(range(n2), k2)):
                     value = whole - sum((sums[:, :, j] for j in left_out), np.uint64(0))
                     named = pair(pair(value, np.broadcast_to(part, value.shape)), np.full(value.shape, instance * 64 + n, np.uint64))
-                    yield np.broadcast_to(rows[:, None], sent.shape)[sent], named[sent]
+                    yield np.repeat(rows, n1), named.ravel()
 
 
 def _stars(signature: np.ndarray, ids: np.ndarray, counts: np.ndarray):
@@ -337,34 +340,58 @@ def _busy_cells(found: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
+def _shared(signed: DataFrame) -> DataFrame:
+    """The rows whose signature more than one component has, with the number of its ``sets``."""
+    found = signed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("sets"))
+    return signed.join(found.where("low < high").select("signature", "sets"), "signature")
+
+
 def _left_over(members: DataFrame, components: DataFrame, tested: DataFrame, busy_cells: np.ndarray, scheme: Scheme) -> DataFrame:
     """Pairs of different components that share a signature and weren't compared."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(busy_cells).astype(bool)
-        for batch in batches:
-            raw = [from_planes(p, np.uint64)[0] for p in batch.column("elements").to_pylist()]
-            if not raw:
-                continue
-            sets = Sets(0, np.concatenate([[0], np.cumsum([len(r) for r in raw])]), np.concatenate(raw))
-            for row, signature in scheme.signatures(sets, np.arange(len(raw))):
-                some = wanted[signature >> np.uint64(64 - CELL_BITS)]  # two documents alone have been compared
-                row, signature = row[some], signature[some]
-                taken = batch.select(["id", "component"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), *taken.columns], names=["signature", *taken.schema.names])
+    def signed(rows: DataFrame, partition: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted = np.unpackbits(busy_cells).astype(bool)
+            for batch in batches:
+                raw = [from_planes(p, np.uint64)[0] for p in batch.column("elements").to_pylist()]
+                if not raw:
+                    continue
+                sets = Sets(0, np.concatenate([[0], np.cumsum([len(r) for r in raw])]), np.concatenate(raw)).moved(partition)
+                for row, signature in scheme.signatures(sets, np.arange(len(raw))):
+                    if not partition:
+                        some = wanted[signature >> np.uint64(64 - CELL_BITS)]  # two documents alone have been compared
+                        row, signature = row[some], signature[some]
+                    taken = batch.select(["id", "component"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), *taken.columns], names=["signature", *taken.schema.names])
+
+        return rows.select("id", "component", "elements").mapInArrow(released(run), "signature bigint, id bigint, component bigint")
 
     # Of equal sets one row is enough; which of them are members depends on the batches they came in.
     one_each = members.groupBy("one", "two", "n").agg(F.min("id").alias("id"))
     one_each = one_each.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = members.join(one_each, ["id", "one", "two", "n"])
-    signed = placed.select("id", "component", "elements").mapInArrow(released(run), "signature bigint, id bigint, component bigint")
-    busy = signed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
-    open_ = signed.join(busy, "signature", "left_semi").join(placed.select("id", "n", *PARITIES), "id")
-    open_ = stored(open_, "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    may = _may_link(*([F.col(f"{side}.{c}") for c in ("n", *PARITIES)] for side in ("x", "y")), scheme)
-    may = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & may
-    pairs = x.join(y, (F.col("x.signature") == F.col("y.signature")) & may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    open_ = stored(_shared(signed(placed, 0)), "open")
+    straight = []
+    for partition in range(1, PARTITIONS + 1):
+        common = open_.where(F.col("sets") > STRAIGHT)
+        if common.isEmpty():
+            break
+        straight.append(open_.where(F.col("sets") <= STRAIGHT))
+        other = _shared(signed(placed.join(common.select("id").distinct(), "id", "left_semi"), partition))
+        both = common.drop("sets").join(other.select("id", F.col("signature").alias("other")), "id")
+        # Two that get the same number by chance are compared for nothing.
+        open_ = stored(_shared(both.select(F.xxhash64("signature", "other").alias("signature"), "id", "component").distinct()), "open")
+    straight.append(open_)
+
+    sketches = placed.select("id", "n", *PARITIES)
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        with_sizes = stored(rows.select("signature", "id", "component").join(sketches, "id"), "sized")
+        x, y = with_sizes.alias("x"), with_sizes.alias("y")
+        may = _may_link(*([F.col(f"{side}.{c}") for c in ("n", *PARITIES)] for side in ("x", "y")), scheme)
+        may = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & may
+        return x.join(y, (F.col("x.signature") == F.col("y.signature")) & may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+    pairs = pairs_of(reduce(DataFrame.unionByName, straight))
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
@@ -376,7 +403,10 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, ke
     facts = stored(_facts(rows, size), "facts")
     marked = facts.where("id is not null and n_shingles > 0")
     first = marked.groupBy("one", "two", "n_shingles").agg(F.min("id").alias("v"), F.count("*").alias("times")).where("times > 1").drop("times")
-    copies = stored(marked.join(first, ["one", "two", "n_shingles"]).where("id != v").select(F.col("id").alias("u"), "v").distinct(), "copies")
+    # The copies of one text may be a third of all rows.
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    marked = marked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    copies = stored(marked.join(first, ["one", "two", "n_shingles", "salt"]).where("id != v").select(F.col("id").alias("u"), "v").distinct(), "copies")
     met = stored(_candidates(named, size, scheme), "pairs")
     pairs = met.where(F.col("kind") != BUSY).select("a", "b")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()

@@ -78,11 +78,12 @@ def test_similar_sets_share_a_signature(size):
         if 100 * common < 85 * (len(a) + len(b) - common) or not len(b):
             continue
         both = partenum.Sets(0, np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]))
-        found = [set(), set()]
-        for row, signature in scheme.signatures(both, np.arange(2)):
-            for r, s in zip(row, signature.tolist()):
-                found[r].add(s)
-        assert found[0] & found[1]
+        for partition in range(partenum.PARTITIONS + 1):
+            found = [set(), set()]
+            for row, signature in scheme.signatures(both.moved(partition), np.arange(2)):
+                for r, s in zip(row, signature.tolist()):
+                    found[r].add(s)
+            assert found[0] & found[1]
 
 
 def _only_by_second_round(spark, rows, monkeypatch):
@@ -128,5 +129,41 @@ def test_shuffled_families_with_copies(spark):
     assert got == plain(rows)
 
 
+@pytest.mark.parametrize(("straight", "partitions"), [(1, 1), (1, 2), (4, 2)])
+def test_common_signatures_are_told_apart(spark, monkeypatch, straight, partitions):
+    """Many similar texts of several components share signatures; other partitions lose no link between them."""
+    monkeypatch.setattr(partenum, "STRAIGHT", straight)
+    monkeypatch.setattr(partenum, "PARTITIONS", partitions)
+    rng = random.Random(21)
+    passage = [f"p{n}" for n in range(70)]
+    rows = []
+    for n in range(120):
+        own = list(passage) + [f"q{rng.randrange(60)}" for _ in range(30)]
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(400)}"
+        rows.append((n * 37 % 1000, " ".join(own)))
+        if n % 3 == 0:
+            own[rng.randrange(len(own))] = "changed"
+            rows.append((n * 37 % 1000 + 1000, " ".join(own)))
+    got = sorted((tuple(r) for r in partenum.components(documents(spark, rows).repartition(3)).collect()), key=repr)
+    want = plain(rows)
+    assert got == want and len({c for _, _, c in want}) > 20
+
+
+def test_second_round_grows_with_the_rows(spark):
+    """Sets that share one signature of many, and nothing else, make few pairs."""
+    rng = np.random.default_rng(4)
+    scheme, count, found = partenum.Scheme(85, 100), 400, []
+    drawn = [np.sort(rng.integers(0, 2**64, 100, dtype=np.uint64)) for _ in range(count)]
+    sets = partenum.Sets(0, np.arange(0, 100 * count + 1, 100), np.concatenate(drawn))
+    for partition in (0, 1):
+        holders = {}
+        for row, signature in scheme.signatures(sets.moved(partition), np.arange(count)):
+            for r, s in zip(row.tolist(), signature.tolist()):
+                holders.setdefault(s, set()).add(r)
+        found.append({(a, b) for held in holders.values() for a in held for b in held if a < b})
+    assert len(found[0] & found[1]) <= max(len(f) for f in found) / 10
+
+
 def test_empty_table(spark):
     assert partenum.components(documents(spark, [])).count() == 0
