@@ -45,9 +45,10 @@ LIGHT = np.uint64(1 << 61)
 HELD = 1_000_000
 #: Signatures of three or more documents are looked up by this many of their bits.
 CELL_BITS, BUSY = 24, 1
-PARITY = 4
+PARITY = 16
 #: Sets up to which those of a signature are all compared; the sets of others are told apart by so many more partitions.
-STRAIGHT, PARTITIONS = 16, 2
+#: A set has some hundred signatures in each partition, so that telling fewer sets apart makes more rows than it saves.
+STRAIGHT, PARTITIONS = 1_000, 2
 #: Tasks that share the copies of one text.
 SALTS = 16
 PARITIES = tuple(f"parity{n}" for n in range(PARITY))
