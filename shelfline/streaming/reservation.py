@@ -1,10 +1,11 @@
-"""Stock reservation over a request stream, with one counter per product as state."""
+"""Stock reservation over a request stream, with a counter per product as state."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
@@ -19,7 +20,7 @@ from shelfline.operators.reservation import (
     reserve_stock,
 )
 from shelfline.session import durable, remove_folder
-from shelfline.streaming.reorder import LEAF_ROWS, Reordered, timed
+from shelfline.streaming.reorder import BUCKETS, LEAF_ROWS, Reordered, bucketed, opening_values, packed, timed, unpacked
 
 SYNCED = "SYNCED"
 LATE = "LATE"
@@ -42,107 +43,127 @@ def decide(op: str, quantity: int | None, left: int | None) -> tuple[str, int |
     return RESERVED, left - quantity
 
 
-def decide_all(left: int | None, requests: pd.DataFrame, product) -> tuple[int | None, pd.DataFrame]:
-    """Stock left after all ``requests`` of a product, in their order, and their outcomes."""
+def decide_all(left: dict, requests: pd.DataFrame) -> pd.DataFrame:
+    """Outcomes of ``requests``, in their order; brings the stock ``left`` of their products up to date."""
     outcomes, remaining = [], []
-    for op, quantity in zip(requests["op"], requests["quantity"]):
+    for product, op, quantity in zip(requests["key"], requests["op"], requests["quantity"]):
         units = None if pd.isna(quantity) else int(quantity)
-        outcome, left = decide(op, units, left)
+        outcome, now = decide(op, units, left.get(product))
+        if now is not None:
+            left[product] = now
         outcomes.append(outcome)
-        remaining.append(None if outcome in (INVALID_QUANTITY, INVALID_OPERATION) else left)
-    result = requests[list(_COLUMNS)].assign(product_id=product, outcome=outcomes)
-    return left, result.assign(remaining=pd.array(remaining, dtype="Int64"))
+        remaining.append(None if outcome in (INVALID_QUANTITY, INVALID_OPERATION) else now)
+    result = requests[[*_COLUMNS, "key"]].assign(outcome=outcomes)
+    return result.assign(remaining=pd.array(remaining, dtype="Int64"))
 
 
-class _Counter(StatefulProcessor):
+class _Counters(StatefulProcessor):
+    """Counters of a bucket of products."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counter = handle.getValueState("counter", "left bigint")
+        self.counters = handle.getValueState("counters", "left binary")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.counter.update((int(initialState["stock"].iloc[0]),))
+        left = self._load()
+        for product, stock in opening_values(initialState):
+            left.setdefault(product, stock)
+        self._save(left)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq")
-        left = self.counter.get()[0] if self.counter.exists() else None
-        left, result = decide_all(left, batch, key[0])
-        if left is not None:
-            self.counter.update((left,))
+        left = self._load()
+        result = decide_all(left, batch)
+        self._save(left)
         yield result
 
     def close(self) -> None:
         pass
 
+    def _load(self) -> dict:
+        if not self.counters.exists():
+            return {}
+        return dict(zip(*(c.to_pylist() for c in unpacked(self.counters.get()[0]).columns)))
+
+    def _save(self, left: dict) -> None:
+        self.counters.update((packed(pa.table({"key": list(left), "left": list(left.values())})),))
+
 
 class _Stock:
     """The fold of :func:`reserve_stock_reordered`: stock left."""
 
-    kind = "bigint"
+    def take(self, values: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        return decide_all(values, rows)
 
-    def first(self, initial: pd.DataFrame) -> int:
-        return int(initial["stock"].iloc[0])
+    def late(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[[*_COLUMNS, "key"]].assign(outcome=LATE, remaining=pd.array([None] * len(rows), dtype="Int64"))
 
-    def take(self, key, value, rows: pd.DataFrame) -> tuple[int | None, pd.DataFrame]:
-        return decide_all(value, rows, key[0])
 
-    def late(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        return rows[list(_COLUMNS)].assign(product_id=key[0], outcome=LATE, remaining=pd.array([None] * len(rows), dtype="Int64"))
+def _output(requests: DataFrame) -> str:
+    request_kind = requests.schema["request_id"].dataType.simpleString()
+    return f"request_id {request_kind}, seq bigint, quantity int, op string, key string, outcome string, remaining bigint"
 
 
-def _output(requests: DataFrame) -> str:
-    kind, request_kind = (requests.schema[c].dataType.simpleString() for c in ("product_id", "request_id"))
-    return f"request_id {request_kind}, seq bigint, quantity int, op string, product_id {kind}, outcome string, remaining bigint"
+def _named(outcomes: DataFrame, requests: DataFrame) -> DataFrame:
+    """Outcomes with the product under its own name and type."""
+    product = F.col("key").cast(requests.schema["product_id"].dataType).alias("product_id")
+    return outcomes.select(*_COLUMNS, product, "outcome", "remaining")
 
 
-def _opening(requests: DataFrame, products: DataFrame):
-    kind = requests.schema["product_id"].dataType.simpleString()
-    initial = products.select(F.col("id").cast(kind).alias("product_id"), F.col("stock").cast("bigint").alias("stock"))
-    return initial.groupBy("product_id")
+def _opening(requests: DataFrame, products: DataFrame, buckets: int):
+    product = F.col("id").cast(requests.schema["product_id"].dataType)
+    return products.select(*bucketed(product, buckets), F.col("stock").cast("bigint").alias("value")).groupBy("bucket")
 
 
-def reserve_stock_stream(requests: DataFrame, products: DataFrame) -> DataFrame:
+def reserve_stock_stream(requests: DataFrame, products: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Outcome per request, in ``seq`` order within each micro-batch.
 
     Counters start from the product table; a SYNC request overwrites one with
-    its ``quantity``. A product's requests of one micro-batch are sorted in
-    its task, so bound the batch at the source (``maxFilesPerTrigger``,
-    ``maxOffsetsPerTrigger``). For large batches with hot products use
-    :func:`reserve_stock_batches`, which splits them. Start the query inside
-    ``streaming.state.stateful``.
+    its ``quantity``. They are kept by bucket of products; a stream can't go on
+    with another number of ``buckets``. The requests of a bucket in one micro-batch
+    are sorted in its task, so bound the batch at the source
+    (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). For large batches with hot
+    products use :func:`reserve_stock_batches`, which splits them. Start the query
+    inside ``streaming.state.stateful``.
     """
-    return (
-        requests.select("product_id", *_COLUMNS)
-        .groupBy("product_id")
+    outcomes = (
+        requests.select(*bucketed("product_id", buckets), *_COLUMNS)
+        .groupBy("bucket")
         .transformWithStateInPandas(
-            statefulProcessor=_Counter(),
+            statefulProcessor=_Counters(),
             outputStructType=_output(requests),
             outputMode="Append",
             timeMode="None",
-            initialState=_opening(requests, products),
+            initialState=_opening(requests, products, buckets),
         )
     )
+    return _named(outcomes, requests)
 
 
-def reserve_stock_reordered(requests: DataFrame, products: DataFrame, delay: str = "1 minute", leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def reserve_stock_reordered(
+    requests: DataFrame, products: DataFrame, delay: str = "1 minute", leaf_rows: int = LEAF_ROWS, buckets: int = BUCKETS
+) -> DataFrame:
     """Outcome per request, in ``seq`` order across micro-batches, for requests that may come up to ``delay`` late.
 
     ``requests`` also has ``at``, the time of the request. Each waits until the
     watermark, ``delay`` behind the latest ``at``, has passed its time and that of
     the requests before it. One that comes after a later request of its product
     was decided moves no stock and has outcome LATE; ``where outcome = 'LATE'``
-    is the side output. The last requests wait until later ones come. Start the
-    query inside ``streaming.state.stateful``.
+    is the side output. The last requests wait until later ones come. State is
+    kept by bucket of products; a stream can't go on with another number of
+    ``buckets``. Start the query inside ``streaming.state.stateful``.
     """
-    return (
-        timed(requests, "at", delay, "product_id", *_COLUMNS)
-        .groupBy("product_id")
+    outcomes = (
+        timed(requests, "at", delay, *bucketed("product_id", buckets), *_COLUMNS)
+        .groupBy("bucket")
         .transformWithStateInPandas(
-            statefulProcessor=Reordered(_Stock(), leaf_rows),
+            statefulProcessor=Reordered(_Stock(), leaf_rows, by="key"),
             outputStructType=_output(requests),
             outputMode="Append",
             timeMode="EventTime",
-            initialState=_opening(requests, products),
+            initialState=_opening(requests, products, buckets),
         )
     )
+    return _named(outcomes, requests)
 
 
 def reserve_stock_batches(

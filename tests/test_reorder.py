@@ -10,7 +10,7 @@ from shelfline.operators.ordering import check_order_transitions
 from shelfline.operators.reservation import reserve_stock
 from shelfline.schemas import STOCK_REQUESTS
 from shelfline.streaming.reorder import Reordered
-from shelfline.streaming.reservation import LATE, reserve_stock_reordered
+from shelfline.streaming.reservation import LATE, reserve_stock_reordered, reserve_stock_stream
 from shelfline.streaming.state import stateful
 from shelfline.streaming.transitions import check_order_transitions_stream
 
@@ -127,3 +127,51 @@ def test_a_task_holds_one_leaf(monkeypatch):
         assert not sum(len(again) for again in buffer._keep(pd.DataFrame({"seq": seqs[n : n + 50], "ms": 0})))
     kept = [buffer._leaf(first)["seq"].tolist() for first in buffer._firsts()]
     assert sum(kept, []) == sorted(seqs) and max(map(len, kept)) <= 10
+
+
+def test_keys_of_a_bucket_keep_their_own_order(spark, tmp_path):
+    """All orders in one bucket, with the same seqs and ids that no double holds; a batch of Arrow holds few rows."""
+    draw = random.Random(9)
+    orders, states = [None, *[(1 << 60) + n for n in range(6)]], ["PENDING", "PAYMENT_CONFIRMED", "CONFIRMED", "FAILED", None]
+    rows = [(order, seq, draw.choice(states), None) for order in orders for seq in range(1, 21)]
+    order = sorted(rows, key=lambda r: r[1] + draw.randrange(8))
+    batches = [order[:70], order[70:], *([(-1, FAR + n, "PENDING", None)] for n in range(2))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = play(
+            spark, str(tmp_path), batches, "order_id bigint, seq bigint, status string, seconds bigint",
+            lambda live: check_order_transitions_stream(live, "200 seconds", leaf_rows=5, buckets=1),
+        )
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    found = found.where("order_id is null or order_id <> -1")
+    columns = ["order_id", "seq", "status", "previous_status"]
+    history = spark.createDataFrame([r[:3] for r in rows], "order_id bigint, seq bigint, status string")
+    expected = check_order_transitions(history).select(columns).collect()
+    assert not found.where("late").count()
+    assert expected and sorted(map(tuple, found.select(columns).collect()), key=repr) == sorted(map(tuple, expected), key=repr)
+
+
+@pytest.mark.parametrize("job", [reserve_stock_stream, reserve_stock_reordered])
+def test_state_is_visited_by_bucket(spark, tmp_path, job):
+    """A visit of the state for each of a product table's rows took most of the time."""
+    stock = spark.range(200).select(((1 << 60) + F.col("id")).alias("id"), (F.col("id") % 7).cast("int").alias("stock"))
+    requests = stock.selectExpr("id request_id", "id - (1L << 60) seq", "id product_id", "3 quantity", "'RESERVE' op", "timestamp'2024-01-01' at")
+    requests.limit(30).write.parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(requests.schema).parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        with stateful(spark):
+            writer = job(live, stock, buckets=2).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/progress")
+            running = writer.trigger(availableNow=True).start(f"{tmp_path}/out")
+        running.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    keyed = spark.read.format("statestore").option("stateVarName", "counters" if job is reserve_stock_stream else "carried").load(f"{tmp_path}/progress")
+    assert keyed.count() == 2
+    if job is reserve_stock_stream:
+        found = {r.product_id: r.outcome for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        asked_for = [r.product_id for r in spark.read.parquet(f"{tmp_path}/in").collect()]
+        assert found == {i: "RESERVED" if (i - (1 << 60)) % 7 >= 3 else "INSUFFICIENT" for i in asked_for}
