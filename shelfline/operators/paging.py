@@ -28,19 +28,25 @@ def page_rows(
     bounds cut the order into cells, the rows of each are counted, and the cell
     in which the page starts is cut again until it starts near its beginning.
     Rows are filtered by place in the order, so repeated and null keys count as
-    what they are. Only the rows from that cell on are sorted, for a top-n.
+    what they are. ``df`` is read three times, the first two for sort and key
+    alone; its rows from the first cell are kept and cut further by themselves.
+    Only the rows from the last cell on are sorted, for a top-n.
     """
     start = page * size
     others = [c for c in df.columns if c not in (sort, key)]
-    place = F.struct(_plain(df, sort).alias("s"), _plain(df, key).alias("k"), (F.xxhash64(*others) if others else F.lit(0)).alias("h"))
-    placed = df.withColumn("_place", place)
-    kind, rows = placed.schema["_place"].dataType, None
+    first = [_plain(df, sort).alias("s"), _plain(df, key).alias("k")]
+    whole = F.struct(*first, (F.xxhash64(*others) if others else F.lit(0)).alias("h"))
+    placed, rows = df.withColumn("_place", F.struct(*first)), None
     while start + size > shallow_rows:
-        drawn = placed.select("_place").distinct().orderBy(F.xxhash64("_place")).limit(BOUNDS).agg(F.sort_array(F.collect_list("_place"))).first()[0]
+        kind = placed.schema["_place"].dataType
+        # Rows are drawn, not places: one that very many rows have is a bound, and a cell of its own.
+        drawn = placed.select("_place").orderBy(F.rand(7)).limit(BOUNDS).agg(F.sort_array(F.collect_set("_place"))).first()[0]
         bounds = [_literal(row, kind) for row in drawn]
         if not bounds:
             break
-        cell = F.size(F.filter(F.array(*bounds), lambda bound: bound <= F.col("_place")))
+        # Cell 2 n lies before bound n, cell 2 n + 1 is bound n.
+        known = F.array(*bounds)
+        cell = 2 * F.size(F.filter(known, lambda bound: bound < F.col("_place"))) + F.array_contains(known, F.col("_place")).cast("int")
         counts = sorted((r.cell, r.n) for r in placed.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())
         total, before, wanted = sum(n for _, n in counts), 0, []
         for number, n in counts:  # one for each cell
@@ -53,11 +59,16 @@ def page_rows(
             return df.limit(0)
         if total == rows:
             break  # all alike
-        rows = total
+        low, high = (bounds[n // 2] if n // 2 < len(bounds) else None for n in (wanted[0] - 1, wanted[-1]))
         if wanted[0] > 0:
-            placed = placed.where(F.col("_place") >= bounds[wanted[0] - 1])
-        if wanted[-1] < len(bounds):
-            placed = placed.where(F.col("_place") < bounds[wanted[-1]])
+            placed = placed.where(F.col("_place") > low if wanted[0] % 2 == 0 else F.col("_place") >= low)
+        if high is not None:
+            placed = placed.where(F.col("_place") < high if wanted[-1] % 2 == 0 else F.col("_place") <= high)
+        if rows is None:
+            placed = durable(placed.drop("_place")).withColumn("_place", whole)
+        rows = total
+    else:
+        placed = placed.withColumn("_place", whole)
     return placed.orderBy("_place").offset(start).limit(size).drop("_place")
 
 

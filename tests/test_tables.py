@@ -80,6 +80,24 @@ def test_deep_pages_of_rows_that_are_all_alike(spark):
     assert [paging.page_rows(df, n, 40, shallow_rows=0).count() for n in (0, 3, 7, 8)] == [40, 40, 20, 0]
 
 
+def test_a_deep_page_reads_its_rows_few_times(spark, monkeypatch):
+    """Each round of counting made the whole table anew; here a place that half of the rows have comes on top."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = 6_000
+    df = spark.range(rows).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 1000 ELSE id END AS created_at", "id % 7 AS other").mapInArrow(counted, "id bigint, created_at bigint, other bigint")
+    found = paging.page_rows(df.select(F.when(F.col("id") % 2 == 0, 4).otherwise(F.col("id")).alias("id"), "created_at", "other"), 190, 10, shallow_rows=50)
+    expected = sorted((1000 if i % 2 == 0 else i, 4 if i % 2 == 0 else i) for i in range(rows))[1900:1910]
+    assert sorted((r.created_at, r.id) for r in found.collect()) == expected
+    assert reads.value <= 4 * rows
+
+
+
 def test_lookups(spark):
     table = products(spark, [("a", 5, "X"), ("b", 5, "X")])
     ids = spark.createDataFrame([("a",), ("zz",), ("a",)], "id string")
