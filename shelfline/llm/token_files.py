@@ -27,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tokenizers import Tokenizer
 
-from shelfline.llm.support import Recent, file_bytes, worker_store
+from shelfline.llm.support import Recent, file_bytes, released, small, worker_store
 
 _KINDS = {int: (T.IntegerType(), pa.int32()), str: (T.StringType(), pa.string()), bool: (T.BooleanType(), pa.bool_()), "long": (T.LongType(), pa.int64())}
 _FIELDS = {"part": int, "name": str, "documents": "long", "tokens": "long", "width": int, "low": "long", "high": "long", "nulls": bool, "start": "long"}
 MANIFEST = T.StructType([T.StructField(name, _KINDS[kind][0]) for name, kind in _FIELDS.items()])
 _ARROW = pa.schema([(name, _KINDS[kind][1]) for name, kind in _FIELDS.items()])
 FINGERPRINT_SEED = 7
+#: Ids that a task reads before it sends them on, or those of one record.
+PAYLOAD_IDS = 1 << 20
 
 
 # Bytes that byte-level vocabularies show as the characters of the same number; the others follow from 256.
@@ -177,9 +179,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id
         files, root = FileSystem.from_uri(folder)
         name, width = uuid.uuid4().hex, encoder.kind(0).itemsize
         out, firsts, seconds, lengths, low, high, nulls = None, [], [], [], None, None, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in small(whole, "text")):
             out = out or files.open_output_stream(f"{root}/{name}.ids")
             parts = [encoder.encode(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             out.write(b"".join(parts))
@@ -208,7 +208,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id
     dealt = _keyed(rows, key).withColumn("spread", F.xxhash64("text")).repartitionByRange(shards, F.col("key").asc_nulls_first(), "spread")
     ordered = dealt.sortWithinPartitions(F.col("key").asc_nulls_first(), "spread", "text").drop("spread")
     written, start = [], 0
-    for row in sorted(ordered.mapInArrow(run, MANIFEST).collect(), key=lambda r: r.part):  # one row for each shard
+    for row in sorted(ordered.mapInArrow(released(run), MANIFEST).collect(), key=lambda r: r.part):  # one row for each shard
         written.append((*row[:-1], start))
         start += row.tokens
     manifest = spark.createDataFrame(written, MANIFEST)
@@ -261,18 +261,21 @@ def look_up(keys: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
                 found = np.repeat(np.arange(len(begins)), counts)
                 records = np.concatenate([np.arange(b, b + c) for b, c in zip(begins, counts)]).astype(np.int64) if len(found) else np.zeros(0, np.int64)
                 width, offsets = shards[number].width, index.offsets
-                payloads = []
-                for record in records:
-                    raw = file.read_at(int(offsets[record + 1] - offsets[record]) * width, int(offsets[record]) * width)
-                    payloads.append(np.frombuffer(raw, np.uint16 if width == 2 else np.uint32).astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(pa.array(found)), pa.array(shards[number].start + offsets[records]), pa.array(payloads, pa.binary())],
-                    names=[key, "start", "payload"],
-                )
+                # Payloads of some megabytes at a time: a shard's records may be of any length.
+                filled = np.cumsum(offsets[records + 1] - offsets[records]) // PAYLOAD_IDS
+                for some in np.split(np.arange(len(records)), np.flatnonzero(np.diff(filled)) + 1):
+                    payloads = []
+                    for record in records[some]:
+                        raw = file.read_at(int(offsets[record + 1] - offsets[record]) * width, int(offsets[record]) * width)
+                        payloads.append(np.frombuffer(raw, np.uint16 if width == 2 else np.uint32).astype("<u4").tobytes())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("key").take(pa.array(found[some])), pa.array(shards[number].start + offsets[records[some]]), pa.array(payloads, pa.binary())],
+                        names=[key, "start", "payload"],
+                    )
 
     schema = T.StructType.fromDDL(f"`{key}` bigint, start bigint, payload binary")
     if not shards:
         return spark.createDataFrame([], schema)
     asked = _keyed(keys.select(key), key).distinct()
-    placed = asked.mapInArrow(place, "shard int, key bigint, first bigint, second bigint")
-    return placed.repartition(len(shards), "shard").sortWithinPartitions("shard", "key").mapInArrow(read, schema)
+    placed = asked.mapInArrow(released(place), "shard int, key bigint, first bigint, second bigint")
+    return placed.repartition(len(shards), "shard").sortWithinPartitions("shard", "key").mapInArrow(released(read), schema)

@@ -78,3 +78,14 @@ def test_words_alone_encode_like_the_whole(library):
     for _ in range(3000):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
         assert np.frombuffer(encoder.encode(text.encode()), np.uint16).tolist() == ids_of(library, text)
+
+
+def test_payloads_are_read_some_ids_at_a_time(spark, monkeypatch):
+    """A batch of payloads was as large as the records of all keys that came in one batch."""
+    docs = spark.createDataFrame([(n // 2, "word " * (n % 7 * 40)) for n in range(60)], "doc_id bigint, text string")
+    folder = work_folder(spark, "tokens")
+    token_files.write_token_files(docs, folder, PATH, end_id=1)
+    found = [sorted(map(tuple, token_files.look_up(docs.select("doc_id"), folder).collect()))]
+    monkeypatch.setattr(token_files, "PAYLOAD_IDS", 50)
+    found.append(sorted(map(tuple, token_files.look_up(docs.select("doc_id"), folder).collect())))
+    assert len(found[0]) == 60 and found[0] == found[1]
