@@ -14,9 +14,9 @@ links is joined to components. A second round, exact and over the compared sets
 alone, takes every signature that more than one component still has and compares
 across components, after the sizes and a parity sketch (whose difference never
 exceeds that of the sets) allow it. A signature that many sets have would make as
-many comparisons as the square of their number. As similar sets share a signature
-whatever the partition of the domain, its sets are first told apart by signatures
-of a second, independent partition, and of a third where those are common too.
+many comparisons as the square of their number. Its sets are first told apart by
+the elements in which they differ from a leader, a prefix filter over those
+differences, and once more where such elements are common too (``_differing``).
 
 Defined cases: null texts and texts without words have an empty set and link with
 nothing; shorter texts than an n-gram are one element; rows without an id link
@@ -41,19 +41,27 @@ from shelfline.llm.wordhash import mix, pair, windows, words_of
 
 #: Elements below this bound, about one in eight, are compared before the whole sets: two sets differ in no fewer elements.
 LIGHT = np.uint64(1 << 61)
-#: Signatures that a task gathers before it sends them.
-HELD = 1_000_000
+#: Signatures that a task gathers before it sends them, and texts that it knows to have signed.
+HELD, KNOWN = 400_000, 20_000
+#: Text that a task works on at a time.
+TEXT_BYTES = 1 << 20
 #: Signatures of three or more documents are looked up by this many of their bits.
 CELL_BITS, BUSY = 24, 1
 PARITY = 16
-#: Sets up to which those of a signature are all compared; the sets of others are told apart by so many more partitions.
-#: A set has some hundred signatures in each partition, so that telling fewer sets apart makes more rows than it saves.
-STRAIGHT, PARTITIONS = 1_000, 2
+#: Sets up to which those of a signature are all compared; others are told apart by what they differ in from a leader,
+#: over so many orders of the elements.
+STRAIGHT, PARTITIONS = 128, 2
+#: Sets of a signature: similar to none that is known, to the leader, or compared with the latter kind alone; linked with the leader anew.
+APART, DEEP, LINKED, DIRECT = 0, 1, 2, 3
 #: Tasks that share the copies of one text.
 SALTS = 16
 PARITIES = tuple(f"parity{n}" for n in range(PARITY))
 
 
+def _reordered(elements: np.ndarray, partition: int) -> np.ndarray:
+    return pair(elements, np.uint64(partition), 5)
+
+
 class Sets:
     """The n-gram sets of consecutive rows, each sorted."""
 
@@ -69,7 +77,7 @@ class Sets:
         """The same sets over a domain in another order, so that parts hold other elements."""
         if not partition:
             return self
-        elements = pair(self.elements, np.uint64(partition), 5)
+        elements = _reordered(self.elements, partition)
         return Sets(self.first, self.begins, elements[np.lexsort((elements, self.row_of()))])
 
 
@@ -191,9 +199,9 @@ def _candidates(rows: DataFrame, size: int, scheme: Scheme) -> DataFrame:
             yield _batch([int(n)], 1, [planes(a[dealt == n], b[dealt == n], kind[dealt == n], ordered=False)])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
-        for batch in batches:
-            ids, known = batch.column("id").to_numpy(), set()
+        found, held, known = [], 0, set()
+        for batch in (part for whole in batches for part in small(whole, "text", TEXT_BYTES)):
+            ids = batch.column("id").to_numpy()
             for sets in sets_of(batch.column("text"), size):
                 mark = list(zip(*(d.tolist() for d in digests(sets))))
                 own = ids[sets.first : sets.first + len(sets.sizes)]
@@ -201,14 +209,16 @@ def _candidates(rows: DataFrame, size: int, scheme: Scheme) -> DataFrame:
                 chosen = []
                 for r, m in enumerate(mark):
                     if m not in known:
+                        if len(known) >= KNOWN:
+                            known.clear()
                         known.add(m)
                         chosen.append(r)
                 for row, signature in scheme.signatures(sets, np.array(chosen, np.int64)):
                     found.append((signature, own[row]))
                     held += len(row)
-                if held >= HELD:
-                    yield from sent(found)
-                    found, held = [], 0
+                    if held >= HELD:
+                        yield from sent(found)
+                        found, held = [], 0
         if found:
             yield from sent(found)
 
@@ -234,7 +244,7 @@ def _facts(rows: DataFrame, size: int) -> DataFrame:
     """(id, n_shingles, one, two) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in small(whole, "text")):
+        for batch in (part for whole in batches for part in small(whole, "text", TEXT_BYTES)):
             sizes, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for sets in sets_of(batch.column("text"), size):
                 sizes.append(sets.sizes)
@@ -250,7 +260,7 @@ def _members(rows: DataFrame, size: int) -> DataFrame:
     """(id, n, one, two, elements, light, parity...) of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in small(whole, "text")):
+        for batch in (part for whole in batches for part in small(whole, "text", TEXT_BYTES)):
             sizes, marks, elements, light, parity = [], [], [], [], []
             for sets in sets_of(batch.column("text"), size):
                 marks.append(np.stack(digests(sets)))
@@ -342,57 +352,116 @@ def _busy_cells(found: DataFrame) -> np.ndarray:
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """The rows whose signature more than one component has, with the number of its ``sets``."""
-    found = signed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("sets"))
-    return signed.join(found.where("low < high").select("signature", "sets"), "signature")
+    """The rows whose signature more than one component has, with the number of its ``sets`` that are to be compared."""
+    numbers = [F.count_if(F.col("kind") == kind).alias(name) for kind, name in ((APART, "apart"), (DEEP, "deep"), (LINKED, "linked"))]
+    found = signed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), *numbers)
+    sets = F.col("apart") + F.when(F.col("linked") > 0, F.col("deep") + F.when(F.col("apart") + F.col("deep") > 0, F.col("linked")).otherwise(0)).otherwise(0)
+    found = found.where("low < high").select("signature", sets.alias("sets"), F.col("linked") > 0, F.col("apart") + F.col("deep") > 0).toDF("signature", "sets", "linked", "others")
+    compared = (F.col("kind") == APART) | (F.col("kind") == DEEP) & F.col("linked") | (F.col("kind") == LINKED) & F.col("others")
+    return signed.join(found.where("sets > 1"), "signature").where(compared).drop("linked", "others")
+
+
+def _differing(common: DataFrame, placed: DataFrame, partition: int, scheme: Scheme) -> DataFrame:
+    """(signature, id, one, two, component, kind, leader) of sets by elements in which they differ from a leader.
+
+    The leader of a common signature is that of its sets which shares most signatures
+    with others, for it has least of its own to differ in. Sets x and y
+    that differ from it in X and Y differ in |X| + |Y| - 2 |X and Y| elements from
+    each other. So those that are similar, not both to the leader, have so many
+    elements of X and Y in common that one is among the first of either, in an
+    order of the elements; these elements and the leader are the new signatures.
+    """
+    total, rest = scheme.den + scheme.num, scheme.den - scheme.num
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in small(whole, "elements")):
+            if not batch.num_rows:
+                continue
+            numbers, named, kinds = [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("elements", "of_leader", "mark", "component", "beside")]
+            for n, (own, leading, mark, component, beside) in enumerate(zip(*columns)):
+                x, p = from_planes(own, np.uint64)[0], from_planes(leading, np.uint64)[0]
+                elements, place, times = np.unique(np.concatenate([x, p]), return_index=True, return_counts=True)
+                differ, of_leader = elements[times == 1], place[times == 1] >= len(x)
+                # Those that the leader hasn't come first, for fewer sets have them.
+                differ = differ[np.lexsort((_reordered(differ, partition), of_leader))]
+                beyond, bound = total * len(differ) - rest * len(x), rest * len(p)
+                least = -(-(beyond + bound + 1) // (2 * total))  # elements in common with a set that isn't similar to the leader
+                first = max(len(differ) - least + 1, 0)
+                kind = np.full(first, LINKED if beyond <= bound else APART, np.int32)
+                if beyond > bound and component != beside:
+                    # Sets similar to the leader may have fewer in common with this one.
+                    deep = len(differ) - -(-(beyond - bound) // (total + rest)) + 1
+                    kind = np.append(kind, np.full(max(deep - first, 0), DEEP, np.int32))
+                told = pair(np.full(len(kind), mark, np.int64).view(np.uint64), differ[: len(kind)], partition)
+                if beyond <= bound and component != beside:
+                    kind, told = np.append(kind, np.int32(DIRECT)), np.append(told, np.uint64(0))
+                numbers.append(np.full(len(kind), n))
+                named.append(told)
+                kinds.append(kind)
+            taken = batch.select(["id", "one", "two", "component", "leader"]).take(pa.array(np.concatenate(numbers)))
+            signature, kind = pa.array(np.concatenate(named).view(np.int64)), pa.array(np.concatenate(kinds).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([signature, *taken.columns[:4], kind, taken.columns[4]], names=["signature", *taken.schema.names[:4], "kind", "leader"])
+
+    set_ = F.struct("id", "one", "two", "component")
+    shared = common.groupBy("id", "one", "two").agg(F.sum("sets").alias("shared"))
+    led = common.join(shared, ["id", "one", "two"]).groupBy("signature").agg(F.max(F.struct("shared", set_.alias("set"))).alias("most"))
+    led = led.select("signature", F.col("most.set").alias("leader"))
+    led = common.join(led, "signature").select("id", "one", "two", "leader").distinct().where(F.struct("id", "one", "two") != F.struct("leader.id", "leader.one", "leader.two"))
+    led = stored(led, "led")
+    needed = led.select("id", "one", "two").unionByName(led.select("leader.id", "leader.one", "leader.two")).distinct()
+    sets = placed.select("id", "one", "two", "component", "elements").join(needed, ["id", "one", "two"], "left_semi").dropDuplicates(["id", "one", "two"])
+    sets = stored(sets, "sets")
+    leaders = sets.select(F.struct("id", "one", "two", "component").alias("leader"), F.col("elements").alias("of_leader"))
+    both = led.join(sets, ["id", "one", "two"]).join(leaders, "leader")
+    both = both.select("id", "one", "two", "component", "elements", "of_leader", F.xxhash64("leader").alias("mark"), F.col("leader.component").alias("beside"), F.col("leader.id").alias("leader"))
+    return both.mapInArrow(released(run), "signature bigint, id bigint, one bigint, two bigint, component bigint, kind int, leader bigint")
 
 
 def _left_over(members: DataFrame, components: DataFrame, tested: DataFrame, busy_cells: np.ndarray, scheme: Scheme) -> DataFrame:
     """Pairs of different components that share a signature and weren't compared."""
 
-    def signed(rows: DataFrame, partition: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted = np.unpackbits(busy_cells).astype(bool)
-            for batch in batches:
-                raw = [from_planes(p, np.uint64)[0] for p in batch.column("elements").to_pylist()]
-                if not raw:
-                    continue
-                sets = Sets(0, np.concatenate([[0], np.cumsum([len(r) for r in raw])]), np.concatenate(raw)).moved(partition)
-                for row, signature in scheme.signatures(sets, np.arange(len(raw))):
-                    if not partition:
-                        some = wanted[signature >> np.uint64(64 - CELL_BITS)]  # two documents alone have been compared
-                        row, signature = row[some], signature[some]
-                    taken = batch.select(["id", "component"]).take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), *taken.columns], names=["signature", *taken.schema.names])
-
-        return rows.select("id", "component", "elements").mapInArrow(released(run), "signature bigint, id bigint, component bigint")
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(busy_cells).astype(bool)
+        for batch in batches:
+            raw = [from_planes(p, np.uint64)[0] for p in batch.column("elements").to_pylist()]
+            if not raw:
+                continue
+            sets = Sets(0, np.concatenate([[0], np.cumsum([len(r) for r in raw])]), np.concatenate(raw))
+            for row, signature in scheme.signatures(sets, np.arange(len(raw))):
+                some = wanted[signature >> np.uint64(64 - CELL_BITS)]  # two documents alone have been compared
+                taken = batch.select(["id", "one", "two", "component"]).take(pa.array(row[some]))
+                kinds = np.full(taken.num_rows, APART, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(signature[some].view(np.int64)), *taken.columns, pa.array(kinds)], names=["signature", *taken.schema.names, "kind"])
 
     # Of equal sets one row is enough; which of them are members depends on the batches they came in.
     one_each = members.groupBy("one", "two", "n").agg(F.min("id").alias("id"))
     one_each = one_each.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = members.join(one_each, ["id", "one", "two", "n"])
-    open_ = stored(_shared(signed(placed, 0)), "open")
-    straight = []
+    of_sets = "signature bigint, id bigint, one bigint, two bigint, component bigint, kind int"
+    open_ = stored(_shared(placed.select("id", "one", "two", "component", "elements").mapInArrow(released(signed), of_sets)), "open")
+    straight, direct = [], []
     for partition in range(1, PARTITIONS + 1):
         common = open_.where(F.col("sets") > STRAIGHT)
         if common.isEmpty():
             break
         straight.append(open_.where(F.col("sets") <= STRAIGHT))
-        other = _shared(signed(placed.join(common.select("id").distinct(), "id", "left_semi"), partition))
-        both = common.drop("sets").join(other.select("id", F.col("signature").alias("other")), "id")
-        # Two that get the same number by chance are compared for nothing.
-        open_ = stored(_shared(both.select(F.xxhash64("signature", "other").alias("signature"), "id", "component").distinct()), "open")
+        differing = stored(_differing(common, placed, partition, scheme), "differing")
+        direct.append(differing.where(F.col("kind") == DIRECT).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).where("a < b"))
+        open_ = stored(_shared(differing.where(F.col("kind") != DIRECT).drop("leader")), "open")
     straight.append(open_)
 
     sketches = placed.select("id", "n", *PARITIES)
     def pairs_of(rows: DataFrame) -> DataFrame:
-        with_sizes = stored(rows.select("signature", "id", "component").join(sketches, "id"), "sized")
+        with_sizes = stored(rows.select("signature", "id", "component", "kind").distinct().join(sketches, "id"), "sized")
         x, y = with_sizes.alias("x"), with_sizes.alias("y")
         may = _may_link(*([F.col(f"{side}.{c}") for c in ("n", *PARITIES)] for side in ("x", "y")), scheme)
-        may = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & may
-        return x.join(y, (F.col("x.signature") == F.col("y.signature")) & may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        kinds = F.greatest("x.kind", "y.kind") == APART
+        kinds = kinds | ((F.col("x.kind") == LINKED) != (F.col("y.kind") == LINKED))
+        may = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & kinds & may
+        return x.join(y, (F.col("x.signature") == F.col("y.signature")) & may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
-    pairs = pairs_of(reduce(DataFrame.unionByName, straight))
+    pairs = reduce(DataFrame.unionByName, [*direct, pairs_of(reduce(DataFrame.unionByName, straight))]).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import documents, odd_documents, texts, words
 from shelfline.llm import partenum, queries
@@ -165,5 +166,36 @@ def test_second_round_grows_with_the_rows(spark):
     assert len(found[0] & found[1]) <= max(len(f) for f in found) / 10
 
 
+@pytest.mark.parametrize("partitions", [1, 2])
+def test_family_around_a_text_is_told_apart(spark, monkeypatch, partitions):
+    """Edited copies of one text, mostly not similar to each other, make fewer signatures than before and few comparisons."""
+    monkeypatch.setattr(partenum, "STRAIGHT", 16)
+    monkeypatch.setattr(partenum, "PARTITIONS", partitions)
+    shared, seen = partenum._shared, []
+
+    def counted(signed):
+        found = shared(signed)
+        per = found.groupBy("signature").count()
+        seen.append((signed.count(), per.agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0))
+        return found
+
+    monkeypatch.setattr(partenum, "_shared", counted)
+    rng = random.Random(31)
+    base, ids = [f"b{n}" for n in range(120)], rng.sample(range(1000), 220)
+    rows = [(ids.pop(), " ".join(base))]
+    while len(ids) > 1:
+        own = list(base)
+        for _ in range(rng.randint(3, 4)):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(10**6)}"
+        rows.append((ids.pop(), " ".join(own)))
+        if len(rows) % 5 == 0:
+            own[rng.randrange(len(own))] = "changed"
+            rows.append((ids.pop(), " ".join(own)))
+    rng.shuffle(rows)
+    got = sorted((tuple(r) for r in partenum.components(documents(spark, rows).repartition(3)).collect()), key=repr)
+    assert got == plain(rows)
+    assert len(seen) > 1 and max(n for n, _ in seen[1:]) <= 2 * seen[0][0] and seen[-1][1] * 20 < seen[0][1]
+
+
 def test_empty_table(spark):
     assert partenum.components(documents(spark, [])).count() == 0
