@@ -7,11 +7,14 @@ document: a stage keeps all of them or none.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 import shelfline
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfline.llm import byte_bpe, decontaminate, partenum, secret_ledger, toxicity
+from shelfline.llm.exchange import BATCH, BATCH_BYTES
 from shelfline.session import work_folder
 
 # Workers need not have the package installed.
@@ -21,12 +24,25 @@ TOXIC_FROM = 0.3
 SHINGLE_WORDS, ALIKE_PERCENT = 5, 80
 
 
+def small_batches(stage):
+    """``stage`` in a session that keeps to batches of some megabytes, for its result is written after it returns."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@small_batches
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below TOXIC_FROM, by a lexicon learnt from all labels."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC_FROM).select(*docs.columns)
 
 
+@small_batches
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; those without id or words stay."""
     groups = partenum.components(docs, SHINGLE_WORDS, ALIKE_PERCENT)
@@ -34,12 +50,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
+@small_batches
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contaminated(docs, benchmark).where(F.size("items") == 0).select(*docs.columns)
 
 
+@small_batches
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
     scanned = secret_ledger.scan_versions(docs, work_folder(spark, "ledger"))
@@ -47,6 +65,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@small_batches
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and whether they decode to the text they came from."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -331,7 +331,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_store(("byte bpe", ranks_path, pattern), lambda: Encoder(read_ranks(content.value), pattern))
         for batch in batches:
-            for part in small(batch, text):
+            for part in small(batch, text, 1 << 20):
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 encoder.prepare(texts)
                 raw = [encoder.encode(t) for t in texts]
@@ -357,7 +357,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", decoded: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = worker_store(("byte bpe tokens", ranks_path), table).__getitem__
         for batch in batches:
-            for part in small(batch, ids):
+            for part in small(batch, ids, 1 << 20):
                 column = part.column(ids)
                 offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())]).tolist()
                 every = column.flatten().to_numpy().tolist()

@@ -45,6 +45,8 @@ LIGHT = np.uint64(1 << 61)
 HELD, KNOWN = 400_000, 20_000
 #: Text that a task works on at a time.
 TEXT_BYTES = 1 << 20
+#: Buckets for each shuffle partition, as bits.
+BUCKET_BITS = 2
 #: Signatures of three or more documents are looked up by this many of their bits.
 CELL_BITS, BUSY = 24, 1
 PARITY = 16
@@ -185,7 +187,8 @@ def _candidates(rows: DataFrame, size: int, scheme: Scheme) -> DataFrame:
 
     Rows of kind BUSY name, as ``a``, cells of CELL_BITS that hold a signature of three or more documents.
     """
-    bits = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1, 1).bit_length()
+    # Some buckets for each partition, as a bucket is worked on whole.
+    bits = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1, 1).bit_length() + BUCKET_BITS
 
     def sent(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         signature, ids = (np.concatenate(x) for x in zip(*found))
