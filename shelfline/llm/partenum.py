@@ -364,7 +364,7 @@ def _shared(signed: DataFrame) -> DataFrame:
     return signed.join(found.where("sets > 1"), "signature").where(compared).drop("linked", "others")
 
 
-def _differing(common: DataFrame, placed: DataFrame, partition: int, scheme: Scheme) -> DataFrame:
+def _differing(common: DataFrame, members: DataFrame, partition: int, scheme: Scheme) -> DataFrame:
     """(signature, id, one, two, component, kind, leader) of sets by elements in which they differ from a leader.
 
     The leader of a common signature is that of its sets which shares most signatures
@@ -407,13 +407,13 @@ def _differing(common: DataFrame, placed: DataFrame, partition: int, scheme: Sch
             yield pa.RecordBatch.from_arrays([signature, *taken.columns[:4], kind, taken.columns[4]], names=["signature", *taken.schema.names[:4], "kind", "leader"])
 
     set_ = F.struct("id", "one", "two", "component")
-    shared = common.groupBy("id", "one", "two").agg(F.sum("sets").alias("shared"))
-    led = common.join(shared, ["id", "one", "two"]).groupBy("signature").agg(F.max(F.struct("shared", set_.alias("set"))).alias("most"))
+    shared = common.groupBy("id", "one", "two", "component").agg(F.sum("sets").alias("shared"))
+    led = common.join(shared.drop("component"), ["id", "one", "two"]).groupBy("signature").agg(F.max(F.struct("shared", set_.alias("set"))).alias("most"))
     led = led.select("signature", F.col("most.set").alias("leader"))
     led = common.join(led, "signature").select("id", "one", "two", "leader").distinct().where(F.struct("id", "one", "two") != F.struct("leader.id", "leader.one", "leader.two"))
     led = stored(led, "led")
-    needed = led.select("id", "one", "two").unionByName(led.select("leader.id", "leader.one", "leader.two")).distinct()
-    sets = placed.select("id", "one", "two", "component", "elements").join(needed, ["id", "one", "two"], "left_semi").dropDuplicates(["id", "one", "two"])
+    needed = shared.select("id", "one", "two", "component")  # leaders are among them
+    sets = members.select("id", "one", "two", "elements").join(needed, ["id", "one", "two"]).dropDuplicates(["id", "one", "two"])
     sets = stored(sets, "sets")
     leaders = sets.select(F.struct("id", "one", "two", "component").alias("leader"), F.col("elements").alias("of_leader"))
     both = led.join(sets, ["id", "one", "two"]).join(leaders, "leader")
@@ -449,7 +449,7 @@ def _left_over(members: DataFrame, components: DataFrame, tested: DataFrame, bus
         if common.isEmpty():
             break
         straight.append(open_.where(F.col("sets") <= STRAIGHT))
-        differing = stored(_differing(common, placed, partition, scheme), "differing")
+        differing = stored(_differing(common, members, partition, scheme), "differing")
         direct.append(differing.where(F.col("kind") == DIRECT).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).where("a < b"))
         open_ = stored(_shared(differing.where(F.col("kind") != DIRECT).drop("leader")), "open")
     straight.append(open_)
