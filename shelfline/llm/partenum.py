@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfline.llm.exchange import from_planes, planes, stored
+from shelfline.llm.exchange import from_planes, planes, removed, stored
 from shelfline.llm.support import released, small
 from shelfline.llm.wordhash import mix, pair, windows, words_of
 
@@ -47,8 +47,10 @@ HELD, KNOWN = 400_000, 20_000
 TEXT_BYTES = 1 << 20
 #: Buckets for each shuffle partition, as bits.
 BUCKET_BITS = 2
-#: Signatures of three or more documents are looked up by this many of their bits.
-CELL_BITS, BUSY = 24, 1
+#: Rows of ``_candidates``: a pair, or a document of a signature that others have too.
+PAIR, SHARED = 0, 1
+#: What the buckets of signatures get besides: signatures with a leader and a count.
+LEADERS = 2
 PARITY = 16
 #: Sets up to which those of a signature are all compared; others are told apart by what they differ in from a leader,
 #: over so many orders of the elements.
@@ -132,11 +134,15 @@ class Scheme:
 
     def parts(self, highest: int) -> tuple[int, int, int]:
         """n1, n2, k2 for an instance whose sets have ``highest`` elements at most."""
-        k = 2 * highest * (self.den - self.num) // (self.den + self.num)
+        k = int(self.differing(highest, highest))
         if k == 0:
             return 1, 1, 0
         return k // 2 + 1, 4, 1
 
+    def differing(self, sizes, highest: int):
+        """The number of elements in which sets of ``sizes`` differ at most from similar ones of up to ``highest`` elements."""
+        return (sizes + np.minimum(sizes * self.den // self.num, highest)) * (self.den - self.num) // (self.den + self.num)
+
     def signatures(self, sets: Sets, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row, signature) of the ``chosen`` rows that aren't empty."""
         chosen = chosen[sets.sizes[chosen] > 0]
@@ -151,7 +157,8 @@ class Scheme:
             index = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(sets.begins[rows], sizes)
             elements = sets.elements[index]
             for instance in (int(band), int(band) + 1):
-                n1, n2, k2 = self.parts(int(lows[instance + 1]) - 1 if instance + 1 < len(lows) else int(lows[-1] * self.den // self.num))
+                highest = int(lows[instance + 1]) - 1 if instance + 1 < len(lows) else int(lows[-1] * self.den // self.num)
+                n1, n2, k2 = self.parts(highest)
                 pieces = n1 * n2
                 # Elements are sorted, so those of a piece are neighbours.
                 place = local * pieces + ((elements >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int64)
@@ -161,21 +168,26 @@ class Scheme:
                 sums = sums.reshape(len(rows), n1, n2)
                 whole = sums.sum(axis=2, dtype=np.uint64)
                 part = np.arange(n1, dtype=np.uint64)[None, :]
-                for n, left_out in enumerate(combinations(range(n2), k2)):
-                    value = whole - sum((sums[:, :, j] for j in left_out), np.uint64(0))
+                values = [whole - sum((sums[:, :, j] for j in left_out), np.uint64(0)) for left_out in combinations(range(n2), k2)]
+                # All sets would share what stands for no elements. Similar sets agree in so many parts; one that has fewer
+                # parts with such a value finds them all by other values, which those that send these values send as well.
+                agree = n1 - self.differing(sizes, highest) // (k2 + 1)
+                needed = np.logical_or.reduce([value == 0 for value in values]).sum(axis=1) >= agree
+                for n, value in enumerate(values):
                     named = pair(pair(value, np.broadcast_to(part, value.shape)), np.full(value.shape, instance * 64 + n, np.uint64))
-                    yield np.repeat(rows, n1), named.ravel()
+                    sent = (value != 0) | needed[:, None]
+                    yield np.broadcast_to(rows[:, None], sent.shape)[sent], named[sent]
 
 
 def _stars(signature: np.ndarray, ids: np.ndarray, counts: np.ndarray):
-    """Distinct signatures with their smallest id and their count, and the distinct pairs of that id and the others."""
+    """Distinct signatures with their smallest id and their count, the (signature, id) of the others, and the distinct pairs of both ids."""
     order = np.lexsort((ids, signature))
     signature, ids = signature[order], ids[order]
     begins = np.flatnonzero(np.diff(signature, prepend=~signature[:1]))
     leader = np.repeat(ids[begins], np.diff(np.append(begins, len(ids))))
     other = leader != ids
     pairs = np.unique(np.stack([leader[other], ids[other]]), axis=1)
-    return (signature[begins], ids[begins], np.add.reduceat(counts[order], begins)), (pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int8))
+    return (signature[begins], ids[begins], np.add.reduceat(counts[order], begins)), (signature[other], ids[other]), (pairs[0], pairs[1])
 
 
 def _batch(bucket: list[int], kind: int, payload: list[bytes]) -> pa.RecordBatch:
@@ -185,21 +197,27 @@ def _batch(bucket: list[int], kind: int, payload: list[bytes]) -> pa.RecordBatch
 def _candidates(rows: DataFrame, size: int, scheme: Scheme) -> DataFrame:
     """(a, b, kind): pairs of a leader and another document that share a signature, a < b.
 
-    Rows of kind BUSY name, as ``a``, cells of CELL_BITS that hold a signature of three or more documents.
+    Rows of kind SHARED have a signature as ``a`` and a document as ``b``: all documents of the signatures that three or
+    more have, and some of those that two have. Rows may come up again.
     """
     # Some buckets for each partition, as a bucket is worked on whole.
     bits = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1, 1).bit_length() + BUCKET_BITS
 
     def sent(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         signature, ids = (np.concatenate(x) for x in zip(*found))
-        (signature, leader, total), (a, b, kind) = _stars(signature, ids, np.ones(len(ids), np.int32))
+        (signature, leader, total), others, pairs = _stars(signature, ids, np.ones(len(ids), np.int32))
         edges = np.searchsorted(signature, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
         edges = [0, *edges.tolist(), len(signature)]
         spans = [(n, i, j) for n, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
-        yield _batch([n for n, _, _ in spans], 0, [planes(signature[i:j], leader[i:j], total[i:j].astype(np.int32)) for _, i, j in spans])
-        dealt = (pair(a.view(np.uint64), b.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-        for n in np.unique(dealt):
-            yield _batch([int(n)], 1, [planes(a[dealt == n], b[dealt == n], kind[dealt == n], ordered=False)])
+        yield _batch([n for n, _, _ in spans], LEADERS, [planes(signature[i:j], leader[i:j], total[i:j].astype(np.int32)) for _, i, j in spans])
+        # What many have in common goes to no single bucket.
+        for kind, (a, b) in ((PAIR, pairs), (SHARED, others)):
+            a, b = a.view(np.int64), b.view(np.int64)
+            dealt = (pair(a.view(np.uint64), b.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(dealt, kind="stable")
+            numbers, begins = np.unique(dealt[order], return_index=True)
+            parts = np.split(order, begins[1:]) if len(numbers) else []
+            yield _batch(numbers.tolist(), kind, [planes(a[part], b[part], ordered=False) for part in parts])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held, known = [], 0, set()
@@ -227,20 +245,17 @@ def _candidates(rows: DataFrame, size: int, scheme: Scheme) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         kinds, payloads = table.column("kind").to_numpy(), table.column("payload").to_pylist()
-        leaders = [from_planes(p, np.uint64, np.int64, np.int32) for p, k in zip(payloads, kinds) if k == 0]
-        pairs = [from_planes(p, np.int64, np.int64, np.int8, ordered=False) for p, k in zip(payloads, kinds) if k == 1]
+        leaders = [from_planes(p, np.uint64, np.int64, np.int32) for p, k in zip(payloads, kinds) if k == LEADERS]
+        found = [(*from_planes(p, np.int64, np.int64, ordered=False), k) for p, k in zip(payloads, kinds) if k != LEADERS]
         if leaders:
-            pairs.append(list(_stars(*(np.concatenate(x) for x in zip(*leaders)))[1]))
-            signature, total = (np.concatenate(x) for x in zip(*((s, n) for s, _, n in leaders)))
-            order = np.argsort(signature)
-            begins = np.flatnonzero(np.diff(signature[order], prepend=~signature[order[:1]]))
-            cells = np.unique(signature[order][begins][np.add.reduceat(total[order], begins) >= 3] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-            pairs.append([cells, np.zeros_like(cells), np.full(len(cells), BUSY, np.int8)])
-        a, b, kind = (np.concatenate(x) for x in zip(*pairs))
-        return pa.table({"a": a, "b": b, "kind": kind.astype(np.int32)})
+            signature, ids, counts = (np.concatenate(x) for x in zip(*leaders))
+            (own, _, total), _, pairs = _stars(signature, ids, counts)
+            often = total[np.searchsorted(own, signature)] >= 3
+            found += [(*pairs, PAIR), (signature[often].view(np.int64), ids[often], SHARED)]
+        a, b = (np.concatenate(x) for x in list(zip(*found))[:2])
+        return pa.table({"a": a, "b": b, "kind": np.repeat([k for _, _, k in found], [len(a) for a, _, _ in found]).astype(np.int32)})
 
-    signed = rows.mapInArrow(released(sign), "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, kind int")
-    return signed.distinct()
+    return rows.mapInArrow(released(sign), "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, kind int")
 
 
 def _facts(rows: DataFrame, size: int) -> DataFrame:
@@ -260,11 +275,11 @@ def _facts(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _members(rows: DataFrame, size: int) -> DataFrame:
-    """(id, n, one, two, elements, light, parity...) of the rows."""
+    """(id, n, one, two, light, parity...) of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in small(whole, "text", TEXT_BYTES)):
-            sizes, marks, elements, light, parity = [], [], [], [], []
+            sizes, marks, light, parity = [], [], [], []
             for sets in sets_of(batch.column("text"), size):
                 marks.append(np.stack(digests(sets)))
                 bit = (sets.elements & np.uint64(64 * PARITY - 1)).astype(np.int64)
@@ -272,17 +287,29 @@ def _members(rows: DataFrame, size: int) -> DataFrame:
                 parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, PARITY))
                 sizes.append(sets.sizes)
                 own = [sets.elements[i:j] for i, j in zip(sets.begins[:-1], sets.begins[1:])]
-                elements += map(planes, own)
                 light += [planes(e[: np.searchsorted(e, LIGHT)]) for e in own]
             if not sizes:
                 continue
             words, (one, two) = np.concatenate(parity), np.concatenate(marks, axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *map(pa.array, (np.concatenate(sizes), one, two)), *(pa.array(c, pa.binary()) for c in (elements, light)), *(pa.array(words[:, n]) for n in range(PARITY))],
-                names=["id", "n", "one", "two", "elements", "light", *PARITIES],
+                [batch.column("id"), *map(pa.array, (np.concatenate(sizes), one, two)), pa.array(light, pa.binary()), *(pa.array(words[:, n]) for n in range(PARITY))],
+                names=["id", "n", "one", "two", "light", *PARITIES],
             )
 
-    return rows.mapInArrow(released(run), f"id bigint, n bigint, one bigint, two bigint, elements binary, light binary, {', '.join(f'{p} bigint' for p in PARITIES)}")
+    return rows.mapInArrow(released(run), f"id bigint, n bigint, one bigint, two bigint, light binary, {', '.join(f'{p} bigint' for p in PARITIES)}")
+
+
+def _whole(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, one, two, elements) of the rows with these ids, from their texts: sets take more room than texts, and few are needed whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in small(whole, "text", TEXT_BYTES)):
+            for sets in sets_of(batch.column("text"), size):
+                elements = [planes(sets.elements[i:j]) for i, j in zip(sets.begins[:-1], sets.begins[1:])]
+                own = batch.column("id").slice(sets.first, len(elements))
+                yield pa.RecordBatch.from_arrays([own, *map(pa.array, digests(sets)), pa.array(elements, pa.binary())], names=["id", "one", "two", "elements"])
+
+    return stored(rows.join(ids, "id", "left_semi").mapInArrow(released(run), "id bigint, one bigint, two bigint, elements binary"), "whole")
 
 
 def _may_link(x: list, y: list, scheme: Scheme):
@@ -292,8 +319,8 @@ def _may_link(x: list, y: list, scheme: Scheme):
     return (x[0] * den >= y[0] * num) & (y[0] * den >= x[0] * num) & (differ * (den + num) <= (x[0] + y[0]) * (den - num))
 
 
-def _links(pairs: DataFrame, members: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs whose sets are similar enough: by sizes and parities, then by a part of the sets, then by all of them."""
+def _links(pairs: DataFrame, members: DataFrame, rows: DataFrame, size: int, scheme: Scheme) -> DataFrame:
+    """The pairs whose sets are similar enough, stored: by sizes and parities, then by a part of the sets, then by all of them."""
     num, den = scheme.num, scheme.den
 
     def common(x: bytes, y: bytes) -> tuple[int, int]:
@@ -309,22 +336,27 @@ def _links(pairs: DataFrame, members: DataFrame, scheme: Scheme) -> DataFrame:
 
         return run
 
-    def with_sets(found: DataFrame, column: str) -> DataFrame:
+    def with_sets(found: DataFrame, sets: DataFrame, column: str) -> DataFrame:
         for id_, name in (("a", "x"), ("b", "y")):
-            found = found.join(members.select(F.col("id").alias(id_), F.col(column).alias(name)), id_)
+            found = found.join(sets.select(F.col("id").alias(id_), F.col(column).alias(name)), id_)
         return found.select("a", "b", "size", "x", "y")
 
-    slim = [members.drop("one", "two", "elements", "light").withColumnsRenamed({"id": id_, **{c: f"{c}_{id_}" for c in ("n", *PARITIES)}}) for id_ in ("a", "b")]
+    slim = [members.drop("one", "two", "light").withColumnsRenamed({"id": id_, **{c: f"{c}_{id_}" for c in ("n", *PARITIES)}}) for id_ in ("a", "b")]
     may = _may_link(*([F.col(f"{c}_{id_}") for c in ("n", *PARITIES)] for id_ in ("a", "b")), scheme)
     near = pairs.join(slim[0], "a").join(slim[1], "b").where(may).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("size")).distinct()
     schema = "a bigint, b bigint, size bigint"
-    likely = with_sets(near, "light").mapInArrow(filtered(lambda same, both, size: (both - 2 * same) * (den + num) <= size * (den - num)), schema)
-    alike = with_sets(stored(likely, "likely"), "elements").mapInArrow(filtered(lambda same, both, size: den * same >= num * (both - same)), schema)
-    return alike.select("a", "b").distinct()
+    near = stored(near, "near")
+    likely = with_sets(near, members, "light").mapInArrow(filtered(lambda same, both, size: (both - 2 * same) * (den + num) <= size * (den - num)), schema)
+    likely = stored(likely, "likely")
+    whole = _whole(rows, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size)
+    alike = with_sets(likely, whole, "elements").mapInArrow(filtered(lambda same, both, size: den * same >= num * (both - same)), schema)
+    links = stored(alike.select("a", "b").distinct(), "links")
+    removed(near, likely, whole)
+    return links
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(id, component) of every document in ``links`` (a, b), by alternating large and small stars."""
+    """(id, component) of every document in ``links`` (a, b), stored, by alternating large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     while True:
@@ -333,25 +365,17 @@ def connected(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.*").where("u != v").distinct(), "edges")
+        before, edges = edges, stored(small.select("e.*").where("u != v").distinct(), "edges")
+        removed(before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if now == state:
             break
         state = now
     # Every document now points at the smallest of its component.
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-
-
-def _busy_cells(found: DataFrame) -> np.ndarray:
-    """A bit for each cell; 2 ** CELL_BITS bits whatever the corpus."""
-    cell = F.col("a") + 1  # Spark's bitmaps count from 1
-    parts = found.where(F.col("kind") == BUSY).groupBy(F.bitmap_bucket_number(cell).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits"))
-    bits = np.zeros(1 << CELL_BITS, bool)
-    for row in parts.collect():
-        part = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little").astype(bool)
-        begin = (row.n - 1) * len(part)
-        bits[begin : begin + len(part)] = part[: len(bits) - begin]
-    return np.packbits(bits)
+    found = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    found = stored(found, "components")
+    removed(edges)
+    return found
 
 
 def _shared(signed: DataFrame) -> DataFrame:
@@ -364,8 +388,8 @@ def _shared(signed: DataFrame) -> DataFrame:
     return signed.join(found.where("sets > 1"), "signature").where(compared).drop("linked", "others")
 
 
-def _differing(common: DataFrame, members: DataFrame, partition: int, scheme: Scheme) -> DataFrame:
-    """(signature, id, one, two, component, kind, leader) of sets by elements in which they differ from a leader.
+def _differing(common: DataFrame, rows: DataFrame, size: int, partition: int, scheme: Scheme) -> DataFrame:
+    """(signature, id, one, two, component, kind, leader) of sets by elements in which they differ from a leader, stored.
 
     The leader of a common signature is that of its sets which shares most signatures
     with others, for it has least of its own to differ in. Sets x and y
@@ -413,59 +437,52 @@ def _differing(common: DataFrame, members: DataFrame, partition: int, scheme: Sc
     led = common.join(led, "signature").select("id", "one", "two", "leader").distinct().where(F.struct("id", "one", "two") != F.struct("leader.id", "leader.one", "leader.two"))
     led = stored(led, "led")
     needed = shared.select("id", "one", "two", "component")  # leaders are among them
-    sets = members.select("id", "one", "two", "elements").join(needed, ["id", "one", "two"]).dropDuplicates(["id", "one", "two"])
-    sets = stored(sets, "sets")
+    whole = _whole(rows, needed.select("id").distinct(), size)
+    sets = stored(whole.join(needed, ["id", "one", "two"]).dropDuplicates(["id", "one", "two"]), "sets")
+    removed(whole)
     leaders = sets.select(F.struct("id", "one", "two", "component").alias("leader"), F.col("elements").alias("of_leader"))
     both = led.join(sets, ["id", "one", "two"]).join(leaders, "leader")
     both = both.select("id", "one", "two", "component", "elements", "of_leader", F.xxhash64("leader").alias("mark"), F.col("leader.component").alias("beside"), F.col("leader.id").alias("leader"))
-    return both.mapInArrow(released(run), "signature bigint, id bigint, one bigint, two bigint, component bigint, kind int, leader bigint")
-
+    differing = stored(both.mapInArrow(released(run), "signature bigint, id bigint, one bigint, two bigint, component bigint, kind int, leader bigint"), "differing")
+    removed(led, sets)
+    return differing
 
-def _left_over(members: DataFrame, components: DataFrame, tested: DataFrame, busy_cells: np.ndarray, scheme: Scheme) -> DataFrame:
-    """Pairs of different components that share a signature and weren't compared."""
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(busy_cells).astype(bool)
-        for batch in batches:
-            raw = [from_planes(p, np.uint64)[0] for p in batch.column("elements").to_pylist()]
-            if not raw:
-                continue
-            sets = Sets(0, np.concatenate([[0], np.cumsum([len(r) for r in raw])]), np.concatenate(raw))
-            for row, signature in scheme.signatures(sets, np.arange(len(raw))):
-                some = wanted[signature >> np.uint64(64 - CELL_BITS)]  # two documents alone have been compared
-                taken = batch.select(["id", "one", "two", "component"]).take(pa.array(row[some]))
-                kinds = np.full(taken.num_rows, APART, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(signature[some].view(np.int64)), *taken.columns, pa.array(kinds)], names=["signature", *taken.schema.names, "kind"])
 
+def _left_over(shared: DataFrame, members: DataFrame, rows: DataFrame, components: DataFrame, tested: DataFrame, size: int, scheme: Scheme) -> DataFrame:
+    """Pairs of different components that share a signature and weren't compared, stored."""
     # Of equal sets one row is enough; which of them are members depends on the batches they came in.
     one_each = members.groupBy("one", "two", "n").agg(F.min("id").alias("id"))
     one_each = one_each.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = members.join(one_each, ["id", "one", "two", "n"])
-    of_sets = "signature bigint, id bigint, one bigint, two bigint, component bigint, kind int"
-    open_ = stored(_shared(placed.select("id", "one", "two", "component", "elements").mapInArrow(released(signed), of_sets)), "open")
-    straight, direct = [], []
+    placed = stored(members.select(F.col("id").alias("signed"), "one", "two", "n").join(one_each, ["one", "two", "n"]), "placed")
+    # Where an id has several texts, its signatures count for each of them.
+    signed = shared.join(placed.select("signed", "id", "one", "two", "component"), "signed").drop("signed").distinct()
+    signed = stored(signed.withColumn("kind", F.lit(APART)), "signed")
+    open_ = stored(_shared(signed), "open")
+    removed(signed)
+    straight, direct, used = [], [], [placed, open_]
     for partition in range(1, PARTITIONS + 1):
         common = open_.where(F.col("sets") > STRAIGHT)
         if common.isEmpty():
             break
         straight.append(open_.where(F.col("sets") <= STRAIGHT))
-        differing = stored(_differing(common, members, partition, scheme), "differing")
+        differing = _differing(common, rows, size, partition, scheme)
         direct.append(differing.where(F.col("kind") == DIRECT).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).where("a < b"))
         open_ = stored(_shared(differing.where(F.col("kind") != DIRECT).drop("leader")), "open")
+        used += [differing, open_]
     straight.append(open_)
 
-    sketches = placed.select("id", "n", *PARITIES)
-    def pairs_of(rows: DataFrame) -> DataFrame:
-        with_sizes = stored(rows.select("signature", "id", "component", "kind").distinct().join(sketches, "id"), "sized")
-        x, y = with_sizes.alias("x"), with_sizes.alias("y")
-        may = _may_link(*([F.col(f"{side}.{c}") for c in ("n", *PARITIES)] for side in ("x", "y")), scheme)
-        kinds = F.greatest("x.kind", "y.kind") == APART
-        kinds = kinds | ((F.col("x.kind") == LINKED) != (F.col("y.kind") == LINKED))
-        may = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & kinds & may
-        return x.join(y, (F.col("x.signature") == F.col("y.signature")) & may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-    pairs = reduce(DataFrame.unionByName, [*direct, pairs_of(reduce(DataFrame.unionByName, straight))]).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    sketches = members.join(placed.where("signed = id").select("id", "one", "two", "n").distinct(), ["id", "one", "two", "n"]).select("id", "n", *PARITIES)
+    sized = reduce(DataFrame.unionByName, straight).select("signature", "id", "component", "kind").distinct().join(sketches, "id")
+    sized = stored(sized, "sized")
+    x, y = sized.alias("x"), sized.alias("y")
+    may = _may_link(*([F.col(f"{side}.{c}") for c in ("n", *PARITIES)] for side in ("x", "y")), scheme)
+    kinds = F.greatest("x.kind", "y.kind") == APART
+    kinds = kinds | ((F.col("x.kind") == LINKED) != (F.col("y.kind") == LINKED))
+    may = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & kinds & may
+    pairs = x.join(y, (F.col("x.signature") == F.col("y.signature")) & may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = stored(reduce(DataFrame.unionByName, [*direct, pairs]).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    removed(*used, sized)
+    return pairs
 
 
 def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -480,14 +497,19 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, ke
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     marked = marked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     copies = stored(marked.join(first, ["one", "two", "n_shingles", "salt"]).where("id != v").select(F.col("id").alias("u"), "v").distinct(), "copies")
-    met = stored(_candidates(named, size, scheme), "pairs")
-    pairs = met.where(F.col("kind") != BUSY).select("a", "b")
+    met = stored(_candidates(named, size, scheme), "met")
+    pairs = stored(met.where(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
+    shared = met.where(F.col("kind") == SHARED).select(F.col("a").alias("signature"), F.col("b").alias("signed"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     members = stored(_members(named.join(ids, "id", "left_semi"), size), "members")
-    links = stored(_links(pairs, members, scheme), "links").unionByName(copies.select(F.col("v").alias("a"), F.col("u").alias("b")))
-    found = stored(connected(links), "components")
-    more = stored(_links(_left_over(members, found, pairs, _busy_cells(met), scheme), members, scheme), "links")
+    links = _links(pairs, members, named, size, scheme)
+    copied = copies.select(F.col("v").alias("a"), F.col("u").alias("b"))
+    found = connected(links.unionByName(copied))
+    left_over = _left_over(shared, members, named, found, pairs, size, scheme)
+    more = _links(left_over, members, named, size, scheme)
     if not more.isEmpty():
-        found = connected(links.unionByName(more))
+        before, found = found, connected(links.unionByName(copied).unionByName(more))
+        removed(before)
+    removed(met, pairs, members, links, left_over, more, copies)
     labelled = facts.select("id", "n_shingles").join(found, "id", "left")
     return labelled.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fixtures import documents, odd_documents, texts, words
 from shelfline.llm import partenum, queries
+from shelfline.session import is_folder, list_folders, work_folder
 
 
 def shingles(text, size):
@@ -87,6 +88,60 @@ def test_similar_sets_share_a_signature(size):
             assert found[0] & found[1]
 
 
+@pytest.mark.parametrize("num", [50, 80, 85])
+def test_sets_as_unlike_as_allowed_share_a_signature(num):
+    """Small sets have many parts without elements; those that differ as far as they may still share a signature."""
+    rng = np.random.default_rng(num)
+    scheme, tried = partenum.Scheme(num, 100), 0
+    for size in [*range(1, 60), 150, 400] * 12:
+        lost = int(rng.integers(0, size * (100 - num) // 100 + 1))
+        most = 100 * (size - lost) // num - size  # elements of the union beyond the first set
+        if size == lost or most < 0:
+            continue
+        base = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        other = np.unique(np.concatenate([base[lost:], rng.integers(0, 2**64, most, dtype=np.uint64)]))
+        both = partenum.Sets(0, np.array([0, len(base), len(base) + len(other)]), np.concatenate([base, other]))
+        found = [set(), set()]
+        for row, signature in scheme.signatures(both, np.arange(2)):
+            for r, s in zip(row, signature.tolist()):
+                found[r].add(s)
+        assert found[0] & found[1]
+        tried += 1
+    assert tried > 300
+
+
+def test_unlike_sets_share_next_to_no_signature():
+    """What stands for no elements would be common to all sets, so that comparisons grew with the square of the corpus."""
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(30, 400, 600)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    elements = rng.integers(0, 2**64, begins[-1], dtype=np.uint64)
+    sets = partenum.Sets(0, begins, np.concatenate([np.sort(elements[i:j]) for i, j in zip(begins[:-1], begins[1:])]))
+    signatures = np.concatenate([signature for _, signature in partenum.Scheme(80, 100).signatures(sets, np.arange(600))])
+    counts = np.unique(signatures, return_counts=True)[1]
+    assert counts[counts > 1].sum() < 60
+
+
+def test_only_tables_that_the_result_reads_stay(spark):
+    """Sets and signatures leave the disk when the last step that reads them ends."""
+    rng = random.Random(5)
+    rows = []
+    for n in range(60):
+        if n % 3 == 0:
+            text = [f"w{rng.randrange(300)}" for _ in range(60)]
+        rows.append((n, " ".join([*text[:-1], f"end{n}"])))
+    docs = documents(spark, rows)
+    before = _tables(spark)
+    result = partenum.components(docs)
+    assert {name.split("-")[1] for name in _tables(spark) - before} == {"facts", "components"}
+    assert sorted((tuple(r) for r in result.collect()), key=repr) == plain(rows)
+
+
+def _tables(spark):
+    folder = work_folder(spark, "none").rpartition("/")[0]
+    return set(list_folders(spark, folder)) if is_folder(spark, folder) else set()
+
+
 def _only_by_second_round(spark, rows, monkeypatch):
     """Components where every signature goes through one leader, id 1, that is similar to none."""
 
