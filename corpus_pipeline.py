@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfline.llm import byte_bpe, decontaminate, partenum, secret_ledger, toxicity
 from shelfline.llm.exchange import BATCH, BATCH_BYTES
-from shelfline.session import work_folder
+from shelfline.session import small_side, work_folder
 
 # Workers need not have the package installed.
 cloudpickle.register_pickle_by_value(shelfline)
@@ -46,7 +46,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; those without id or words stay."""
     groups = partenum.components(docs, SHINGLE_WORDS, ALIKE_PERCENT)
-    copies = groups.where("component_id < doc_id").select("doc_id").distinct()
+    copies = small_side(groups.where("component_id < doc_id").select("doc_id").distinct())
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 

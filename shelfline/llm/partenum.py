@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from shelfline.llm.exchange import from_planes, planes, removed, stored
 from shelfline.llm.support import released, small
 from shelfline.llm.wordhash import mix, pair, windows, words_of
+from shelfline.session import small_side
 
 #: Elements below this bound, about one in eight, are compared before the whole sets: two sets differ in no fewer elements.
 LIGHT = np.uint64(1 << 61)
@@ -258,22 +259,6 @@ def _candidates(rows: DataFrame, size: int, scheme: Scheme) -> DataFrame:
     return rows.mapInArrow(released(sign), "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, kind int")
 
 
-def _facts(rows: DataFrame, size: int) -> DataFrame:
-    """(id, n_shingles, one, two) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in small(whole, "text", TEXT_BYTES)):
-            sizes, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for sets in sets_of(batch.column("text"), size):
-                sizes.append(sets.sizes)
-                marks = digests(sets)
-                one.append(marks[0])
-                two.append(marks[1])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.concatenate(x)) for x in (sizes, one, two))], names=["id", "n_shingles", "one", "two"])
-
-    return rows.mapInArrow(released(run), "id bigint, n_shingles bigint, one bigint, two bigint")
-
-
 def _members(rows: DataFrame, size: int) -> DataFrame:
     """(id, n, one, two, light, parity...) of the rows."""
 
@@ -300,7 +285,7 @@ def _members(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _whole(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, one, two, elements) of the rows with these ids, from their texts: sets take more room than texts, and few are needed whole."""
+    """(id, one, two, elements) of the rows with these ids, stored, from their texts: sets take more room than texts, and few are needed whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in small(whole, "text", TEXT_BYTES)):
@@ -309,7 +294,10 @@ def _whole(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 own = batch.column("id").slice(sets.first, len(elements))
                 yield pa.RecordBatch.from_arrays([own, *map(pa.array, digests(sets)), pa.array(elements, pa.binary())], names=["id", "one", "two", "elements"])
 
-    return stored(rows.join(ids, "id", "left_semi").mapInArrow(released(run), "id bigint, one bigint, two bigint, elements binary"), "whole")
+    some = stored(ids.select("id").distinct(), "ids")
+    sets = stored(rows.join(small_side(some), "id", "left_semi").mapInArrow(released(run), "id bigint, one bigint, two bigint, elements binary"), "whole")
+    removed(some)
+    return sets
 
 
 def _may_link(x: list, y: list, scheme: Scheme):
@@ -348,7 +336,7 @@ def _links(pairs: DataFrame, members: DataFrame, rows: DataFrame, size: int, sch
     near = stored(near, "near")
     likely = with_sets(near, members, "light").mapInArrow(filtered(lambda same, both, size: (both - 2 * same) * (den + num) <= size * (den - num)), schema)
     likely = stored(likely, "likely")
-    whole = _whole(rows, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size)
+    whole = _whole(rows, likely.select(F.explode(F.array("a", "b")).alias("id")), size)
     alike = with_sets(likely, whole, "elements").mapInArrow(filtered(lambda same, both, size: den * same >= num * (both - same)), schema)
     links = stored(alike.select("a", "b").distinct(), "links")
     removed(near, likely, whole)
@@ -437,7 +425,7 @@ def _differing(common: DataFrame, rows: DataFrame, size: int, partition: int, sc
     led = common.join(led, "signature").select("id", "one", "two", "leader").distinct().where(F.struct("id", "one", "two") != F.struct("leader.id", "leader.one", "leader.two"))
     led = stored(led, "led")
     needed = shared.select("id", "one", "two", "component")  # leaders are among them
-    whole = _whole(rows, needed.select("id").distinct(), size)
+    whole = _whole(rows, needed, size)
     sets = stored(whole.join(needed, ["id", "one", "two"]).dropDuplicates(["id", "one", "two"]), "sets")
     removed(whole)
     leaders = sets.select(F.struct("id", "one", "two", "component").alias("leader"), F.col("elements").alias("of_leader"))
@@ -450,10 +438,12 @@ def _differing(common: DataFrame, rows: DataFrame, size: int, partition: int, sc
 
 def _left_over(shared: DataFrame, members: DataFrame, rows: DataFrame, components: DataFrame, tested: DataFrame, size: int, scheme: Scheme) -> DataFrame:
     """Pairs of different components that share a signature and weren't compared, stored."""
-    # Of equal sets one row is enough; which of them are members depends on the batches they came in.
-    one_each = members.groupBy("one", "two", "n").agg(F.min("id").alias("id"))
+    # Of equal sets one row is enough; which of them were compared depends on the batches they came in.
+    ids = tested.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    compared = members.select("id", "one", "two", "n").join(ids, "id", "left_semi")
+    one_each = compared.groupBy("one", "two", "n").agg(F.min("id").alias("id"))
     one_each = one_each.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = stored(members.select(F.col("id").alias("signed"), "one", "two", "n").join(one_each, ["one", "two", "n"]), "placed")
+    placed = stored(compared.withColumnRenamed("id", "signed").join(one_each, ["one", "two", "n"]), "placed")
     # Where an id has several texts, its signatures count for each of them.
     signed = shared.join(placed.select("signed", "id", "one", "two", "component"), "signed").drop("signed").distinct()
     signed = stored(signed.withColumn("kind", F.lit(APART)), "signed")
@@ -490,18 +480,17 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, ke
     scheme = Scheme(num, den)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     named = rows.where("id is not null")
-    facts = stored(_facts(rows, size), "facts")
+    met = stored(_candidates(named, size, scheme), "met")
+    pairs = stored(met.where(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
+    shared = met.where(F.col("kind") == SHARED).select(F.col("a").alias("signature"), F.col("b").alias("signed"))
+    members = stored(_members(rows, size), "members")
+    facts = stored(members.select("id", F.col("n").alias("n_shingles"), "one", "two"), "facts")
     marked = facts.where("id is not null and n_shingles > 0")
     first = marked.groupBy("one", "two", "n_shingles").agg(F.min("id").alias("v"), F.count("*").alias("times")).where("times > 1").drop("times")
     # The copies of one text may be a third of all rows.
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     marked = marked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     copies = stored(marked.join(first, ["one", "two", "n_shingles", "salt"]).where("id != v").select(F.col("id").alias("u"), "v").distinct(), "copies")
-    met = stored(_candidates(named, size, scheme), "met")
-    pairs = stored(met.where(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
-    shared = met.where(F.col("kind") == SHARED).select(F.col("a").alias("signature"), F.col("b").alias("signed"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    members = stored(_members(named.join(ids, "id", "left_semi"), size), "members")
     links = _links(pairs, members, named, size, scheme)
     copied = copies.select(F.col("v").alias("a"), F.col("u").alias("b"))
     found = connected(links.unionByName(copied))
